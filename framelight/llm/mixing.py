@@ -177,7 +177,7 @@ def fit_rates(cells: DataFrame, targets: list[float], steps: int = STEPS, ridge:
     for k in range(steps):
         sums = cells.mapInArrow(partial, ",".join(f"s{j} double" for j in range(d))).agg(*[F.sum(f"s{j}") for j in range(d)]).first()
         e = np.array([sums[j] - targets[j] for j in range(d)])
-        settled = bool(history) and np.abs(e - history[-1][0]).max() < 1e-4
+        settled = bool(history) and np.abs(e - history[-1][0]).max() < 1e-6
         history.append((e, k / (k + 3)))
         if settled:
             break
