@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 _rng = np.random.default_rng(20240517)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOWER = np.arange(256, dtype=np.uint8)
