@@ -19,6 +19,10 @@ def _columns(df: DataFrame, exprs: dict[str, str]) -> DataFrame:
     return df.selectExpr("*", *[f"{v} as {k}" for k, v in exprs.items()])
 
 
+#: Whether a frame carries TCP, on the bytes alone: a filter on ``l4`` would repeat its whole derivation.
+IS_TCP = "coalesce((substring(raw, 13, 2) = X'0800' and length(raw) >= 34 and substring(raw, 24, 1) = X'06') or (substring(raw, 13, 2) = X'86DD' and length(raw) >= 54 and substring(raw, 21, 1) = X'06'), false)"
+
+
 def offsets(frames: DataFrame) -> DataFrame:
     """Adds the layer tags, offsets and the numbers that later stages branch on."""
     kind = f"case when length(raw) >= 14 then {be(12, 2)} end"
@@ -158,4 +162,4 @@ def headers() -> dict[str, str]:
     }
 
 
-__all__ = ["U32", "headers", "ipv6_info", "offsets", "with_packets"]
+__all__ = ["IS_TCP", "U32", "headers", "ipv6_info", "offsets", "with_packets"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelight.operators.dissect import offsets, with_packets
+from framelight.operators.dissect import IS_TCP, offsets, with_packets
 from framelight.operators.tcp import track
 from framelight.operators.timebase import with_time
 
@@ -14,7 +14,7 @@ COLUMNS = ["file", "number", "time", "time_exact", "source", "destination", "pro
 
 def tcp_tracking(frames: DataFrame) -> DataFrame:
     """file, number, rel_seq, rel_ack of the TCP frames; raw bytes stay out of the shuffle."""
-    segments = with_packets(offsets(frames)).where("l4 = 'tcp' and flags is not null")
+    segments = with_packets(offsets(frames.where(IS_TCP)))
     return track(segments.select("file", "number", "source", "destination", "sport", "dport", "seq", "ack", "flags")).select("file", "number", "rel_seq", "rel_ack")
 
 
@@ -24,12 +24,12 @@ def packets(frames: DataFrame, tracked: bool = True) -> DataFrame:
     Only TCP frames meet the tracker's shuffle, and of their columns only those that the query reads;
     the others join them by a union.  ``tracked=False`` leaves rel_seq and rel_ack NULL.
     """
-    table = with_packets(offsets(with_time(frames)))
+    timed = with_time(frames)
     none = [F.lit(None).cast("bigint").alias(c) for c in ("rel_seq", "rel_ack")]
     if not tracked:
-        return _finish(table.select("*", *none))
-    tcp, rest = F.col("l4").eqNullSafe("tcp"), ~F.col("l4").eqNullSafe("tcp")
-    return _finish(track(table.where(tcp))).unionByName(_finish(table.where(rest).select("*", *none)))
+        return _finish(with_packets(offsets(timed)).select("*", *none))
+    tcp, rest = with_packets(offsets(timed.where(IS_TCP))), with_packets(offsets(timed.where(f"not {IS_TCP}")))
+    return _finish(track(tcp)).unionByName(_finish(rest.select("*", *none)))
 
 
 def _finish(table: DataFrame) -> DataFrame:
