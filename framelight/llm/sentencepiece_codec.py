@@ -27,7 +27,9 @@ from .scratch import small_batches
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Distinct units a Python worker remembers between blocks.
-MEMORY = 700_000
+MEMORY = 400_000
+#: Units that are encoded in one call, at most: the library keeps a record of each token until the call ends.
+CHUNK = 16_384
 
 
 def _fields(data: bytes):
@@ -192,8 +194,9 @@ class Codec:
         loose = [("  " in t or t[:1] == " " or t[-1:] == " ") for t in plain]
         split = [[u[1:] for u in _UNIT.findall(" " + t)] if odd else t.split(" ") if t else [] for t, odd in zip(plain, loose, strict=True)]
         fresh = set().union(*split) - self.known.keys()
-        if fresh:
-            self._learn(list(fresh))
+        fresh = list(fresh)
+        for k in range(0, len(fresh), CHUNK):
+            self._learn(fresh[k : k + CHUNK])
         for name in ("pool", "sizes", "good", "back"):
             setattr(self, name, [np.concatenate(getattr(self, name))])
         starts = np.concatenate(([0], np.cumsum(self.sizes[0])))
@@ -254,5 +257,5 @@ def decoded(ids: Column, path: str) -> Column:
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids, parity, round_trip for every row; null and empty texts have no ids, equal rows equal results."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 250)
     return docs.select("doc_id", encoded(F.col("text"), path).alias("e")).select("doc_id", "e.*")
