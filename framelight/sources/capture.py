@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import StructType, _parse_datatype_string
+from pyspark.sql.types import StructType
 
 from framelight import schema as S
 
@@ -133,9 +133,9 @@ def parse(file: str, f: io.BufferedIOBase, kind: str = "capture") -> Iterator[tu
 
 
 def _arrow_schema(ddl: str) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    return to_arrow_schema(_parse_datatype_string(ddl))
+    """The Arrow schema of one of the engine's DDL strings; no session is needed, so workers can ask."""
+    kinds = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary(), "array<string>": pa.list_(pa.string())}
+    return pa.schema([(name, kinds[kind]) for name, kind in (x.split() for x in ddl.split(", "))])
 
 
 def batches(rows: Iterator[tuple], schema: pa.Schema, most: int = 4096, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
