@@ -237,7 +237,6 @@ def parse_files(files: DataFrame, table: str = "frames", kind: str = "capture")
 
 
 def read_captures(spark: SparkSession, path: str, table: str = "frames", kind: str = "capture", pattern: str = "*.pcap*") -> DataFrame:
-    """Captures in any store that Spark reads, one file at a time in a task."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1)
+    """Captures in any store that Spark reads; a task takes files in Arrow batches of bounded bytes, a larger file alone."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
     return parse_files(files, table, kind)

@@ -19,7 +19,6 @@ def stream_packets(spark: SparkSession, folder: str, sink: Callable[[DataFrame,
     Numbering, anchors and connections live within a file, so a batch of whole files gives the rows that
     a batch read gives.  A replayed batch has the same rows under the same id.
     """
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1)
     files = spark.readStream.format("binaryFile").schema(FILES).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files_per_batch).load(folder)
 
     def each(batch: DataFrame, ident: int) -> None:
