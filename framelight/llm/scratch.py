@@ -11,6 +11,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from framelight.ship import ship
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``; where it is unset (tests), a temporary folder."""
@@ -25,6 +27,7 @@ class Scratch:
     """Tables of one run.  ``save`` writes and rereads; ``drop`` removes what is no longer read."""
 
     def __init__(self, spark: SparkSession):
+        ship(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/run-{uuid.uuid4().hex}"
 
@@ -39,7 +42,7 @@ class Scratch:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of texts hold at most this many rows, and 16 MB where the session can bound bytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)
+def small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """Arrow batches of texts hold about ``size`` bytes, however long the texts; workers can import the package."""
+    ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

@@ -257,5 +257,5 @@ def decoded(ids: Column, path: str) -> Column:
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids, parity, round_trip for every row; null and empty texts have no ids, equal rows equal results."""
-    small_batches(docs.sparkSession, 250)
+    small_batches(docs.sparkSession, 1 << 20)
     return docs.select("doc_id", encoded(F.col("text"), path).alias("e")).select("doc_id", "e.*")
