@@ -27,9 +27,9 @@ from .scratch import small_batches
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Distinct units a Python worker remembers between blocks.
-MEMORY = 400_000
+MEMORY = 120_000
 #: Units that are encoded in one call, at most: the library keeps a record of each token until the call ends.
-CHUNK = 16_384
+CHUNK = 8_192
 
 
 def _fields(data: bytes):
@@ -138,11 +138,11 @@ class Codec:
         self.tokenizer = self.model.tokenizer()
         #: A text is its units, each with the space before it, if the normaliser changes nothing else.
         self.by_unit = self.model.units and self.model.dummy_prefix and not self.model.squeeze and not self.model.charsmap
-        self.known: dict[str, int] = {}
         self._reset()
 
     def _reset(self) -> None:
-        self.known.clear()
+        self.known = {}
+        pa.default_memory_pool().release_unused()
         self.known[""] = 0  # a space at the end of a text: the marker alone
         mark = self.tokenizer.token_to_id(MARK)
         self.pool = [np.array([] if mark is None else [mark], np.int32)]
