@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import worker
 from .scratch import small_batches
 
 #: Notices as licence stewards publish them.
@@ -161,6 +162,7 @@ def notices(text: Column, templates: dict[str, str] | None = None, coverage: flo
 
     @F.arrow_udf(_TYPE)
     def scan(texts: pa.Array) -> pa.Array:
+        worker.enter("licenses")
         kind = pa.list_(pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("first", pa.int32()), ("last", pa.int32())]))
         return pa.array([scanner.scan(t) for t in texts.to_pylist()], kind)
 

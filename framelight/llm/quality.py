@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import worker
 from .scratch import Scratch, small_batches
 
 #: metric -> (slack, two-sided); per-mille of words, and hundredths of a code point.
@@ -60,6 +61,7 @@ def counts(text: Column) -> Column:
 
     @F.arrow_udf(_TYPE)
     def counted(texts: pa.Array) -> pa.Array:
+        worker.enter("quality")
         rows = [measure(t) for t in texts.to_pylist()]
         columns = zip(*rows, strict=True) if rows else [[] for _ in COUNTS]
         return pa.StructArray.from_arrays([pa.array(list(c), pa.int64()) for c in columns], list(COUNTS))

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import worker
 from .scratch import small_batches
 
 MARK = "▁"
@@ -234,6 +235,7 @@ def encoded(text: Column, path: str) -> Column:
 
     @F.arrow_udf("struct<ids:array<int>,parity:boolean,round_trip:boolean>")
     def encode(texts: pa.Array) -> pa.Array:
+        worker.enter("sentencepiece", codec.cache_clear)
         ids, good, back = codec(path, threads).encode(texts.to_pylist())
         ends = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
         flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32())
@@ -248,6 +250,7 @@ def decoded(ids: Column, path: str) -> Column:
 
     @F.arrow_udf("string")
     def decode(rows: pa.Array) -> pa.Array:
+        worker.enter("sentencepiece", codec.cache_clear)
         values = rows.to_pylist()
         texts = iter(codec(path, threads).decode([x for x in values if x is not None]))
         return pa.array([None if x is None else next(texts) for x in values], pa.string())

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import worker
+
 #: Distinct units a Python worker remembers between blocks; the table is emptied when it is full.
 MEMORY = 500_000
 
@@ -102,11 +104,17 @@ def _sentencepiece(path: str):
     return sentencepiece.SentencePieceProcessor(model_file=path)
 
 
+def _drop() -> None:
+    piece_table.cache_clear()
+    _sentencepiece.cache_clear()
+
+
 def n_tokens(text: Column, path: str) -> Column:
     """The number of tokens of every text under the vocabulary file ``path`` (.json or .model)."""
 
     @F.arrow_udf("long")
     def counted(texts: pa.Array) -> pa.Array:
+        worker.enter("tokens", _drop)
         if path.endswith(".model"):
             sp = _sentencepiece(path)
             return pa.array([len(sp.encode(t)) if t else 0 for t in texts.to_pylist()], pa.int64())

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from . import worker
+
 BLOCK = 1 << 20
 _rng = np.random.default_rng(20240517)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -96,6 +98,7 @@ def shingle_sets(texts: list, k: int = 5) -> list[np.ndarray]:
 
 def blocks(texts: list, most: int = BLOCK):
     """Index ranges of consecutive texts of at most ``most`` bytes together (one text may be larger)."""
+    worker.enter("words")
     at, size = 0, 0
     for i, t in enumerate(texts):
         n = len(t) if t else 0
