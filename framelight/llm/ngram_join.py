@@ -337,10 +337,52 @@ def _rest_of_hot(hot: DataFrame, classes: DataFrame, roots: DataFrame, percent:
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs``, all columns, whose id is the smallest of their component; of rows that repeat an id, one.
+    """The rows of ``docs``, all columns, whose id is the smallest of their component; all rows that repeat that id.
 
-    Rows without a doc_id cannot be named and are kept.
+    Rows without a doc_id cannot be named and are kept.  ``one_row_of_each`` keeps one row of a group.
     """
     found = near_duplicates(docs, percent).where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
     kept = docs.join(found.withColumnRenamed("doc_id", "__gone"), F.col("doc_id") == F.col("__gone"), "left_anti")
     return kept
+
+
+def one_row_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """One row, all columns, of each group of near duplicates: of the smallest doc_id, or without one if none has any.
+
+    Rows that share an id are one document, whatever their texts.  Rows without an id are documents by
+    their text; one without a shingle is linked with nothing and stays.  Of rows that repeat the id
+    kept, one with a text stays, the one with the least hash of its columns.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    scratch = Scratch(spark)
+    node = F.coalesce(F.col("doc_id").cast("bigint"), F.xxhash64(F.lit("no id"), "text")).alias("doc_id")
+    named = docs.where("doc_id is not null").select(node, "text")
+    # A text that many rows without an id share is one node, and is read as one.
+    unnamed = docs.where("doc_id is null and text is not null").select(node, "text").groupBy("doc_id").agg(F.min("text").alias("text"))
+    unnamed = scratch.save(unnamed, "unnamed")
+    found = scratch.save(near_duplicates(named.unionByName(unnamed), percent), "found")
+
+    # An id with several texts links the components of all of them.
+    homes = found.groupBy("doc_id").agg(F.min("component_id").alias("home"), F.max("component_id").alias("other"), F.max("n_shingles").alias("n"))
+    split = homes.where("home <> other").select("doc_id", "home").join(found.select("doc_id", "component_id"), "doc_id")
+    links = scratch.save(split.where("component_id <> home").select(F.col("home").alias("a"), F.col("component_id").alias("b")).distinct(), "links")
+    homes = homes.join(unnamed.select("doc_id", F.lit(True).alias("unnamed")), "doc_id", "left").where("n > 0 or unnamed is null")
+    if links.limit(1).count():
+        roots = scratch.save(components(links, scratch), "roots")
+        homes = homes.join(roots, F.col("home") == F.col("node"), "left").withColumn("home", F.coalesce("root", "home"))
+    homes = scratch.save(homes.select("doc_id", "home", F.col("unnamed").isNotNull().alias("unnamed")), "homes")
+    least = homes.groupBy("home").agg(F.min(F.struct("unnamed", "doc_id")).alias("least")).select("home", F.col("least.doc_id").alias("kept"))
+    gone = scratch.save(homes.join(least, "home").where("doc_id <> kept").select("doc_id"), "gone")
+    often = docs.select(node).groupBy("doc_id").count().where("count > 1").join(homes.select("doc_id"), "doc_id", "left_semi")
+    often = scratch.save(often.join(gone, "doc_id", "left_anti").select("doc_id"), "often")
+
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), node.alias("__node"))
+    away = gone.unionByName(often).withColumnRenamed("doc_id", "__gone")
+    kept = keyed.join(away, F.col("__node") == F.col("__gone"), "left_anti").select("row")
+    if often.limit(1).count():
+        again = keyed.join(often.withColumnRenamed("doc_id", "__often"), F.col("__node") == F.col("__often"), "left_semi")
+        worded = F.coalesce(F.col("row.text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+        order = F.struct(~worded, F.xxhash64(*[F.col("row")[c] for c in docs.columns]))
+        kept = kept.unionByName(again.groupBy("__node").agg(F.min_by("row", order).alias("row")).select("row"))
+    return kept.select("row.*")

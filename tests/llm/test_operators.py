@@ -229,6 +229,25 @@ def test_near_duplicates_of_nulls_repeats_and_nothing(spark):
     assert sorted(str(r.doc_id) for r in ngram_join.one_of_each(df).collect()) == ["3", "3", "9", "None", "None"]
 
 
+def test_one_row_of_each_group(spark):
+    """Repeated ids, copies without an id and ids with several texts leave one row of each group, however the rows lie."""
+    import corpus_pipeline
+
+    base = [f"w{k}" for k in range(40)]
+    near = " ".join([*base[:39], "other"])
+    rows = [(None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (7, "a b c d e f"), (None, "words with no id at all"), (None, "words with no id at all"), (9, None), (9, None), (None, ""), (None, None), (None, None)]
+    rows += [(None, near), (None, near), (20, " ".join(base)), (20, "second text of this same id"), (21, "second text of this same id"), (30, None), (30, "thirty has one text and one null"), (31, "alone it stands, this one text")]
+    want = sorted([(3, "a b c d e f"), (None, "words with no id at all"), (9, None), (None, ""), (None, None), (None, None), (30, rows[-2][1]), (31, rows[-1][1])], key=repr)
+    for seed in range(2):
+        random.Random(seed).shuffle(rows)
+        df = spark.createDataFrame([(*r, "en") for r in rows], "doc_id bigint, text string, lang string")
+        got = corpus_pipeline.near_duplicates(spark, df, SF)
+        assert got.columns == df.columns
+        got = sorted(((r.doc_id, r.text) for r in got.collect()), key=repr)
+        assert [r for r in got if r[0] != 20] == want and sum(r[0] == 20 for r in got) == 1
+    assert corpus_pipeline.near_duplicates(spark, df.limit(0), SF).count() == 0
+
+
 def test_components(spark):
     rng = random.Random(8)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(1000, 1060)]
