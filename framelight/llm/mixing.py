@@ -2,16 +2,21 @@
 
 A classifier fitted on a labelled table gives every document posteriors over domains.  Documents whose
 posteriors agree on a grid of ``GRID`` steps form a cell and share a rate; one shuffle sums tokens and
-expected domain tokens by cell.  Accelerated projected gradient then minimises, over rates r >= 0,
+expected domain tokens by cell.  The rates r >= 0 minimise
 
     1/2 |sum_i r_i t_i p_i / T - target|^2 + ridge/2 sum_i (t_i / T) (r_i - 1)^2
 
-where every gradient is one Spark aggregation over the cells and only the D residuals reach the driver.
+with a ridge so small that it only chooses among rates that come equally close to the targets; p_i is
+the mean posterior of the cell's tokens.  At the minimum r_i = max(0, 1 + p_i v) for one v of D numbers,
+which is found by Newton steps with step halving on the dual: each is one Spark aggregation over the
+cells, of which D + D^2 + 1 sums reach the driver.  Where the steps do not settle a warning gives the residual.
 The number of cells is at most C(GRID + D - 1, D - 1) whatever the number of documents.
 """
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -24,8 +29,12 @@ from .words import blocks, utf8, word_hashes
 MAX_LABELLED = 20_000
 FEATURES = 1 << 16
 GRID = 64
-RIDGE = 0.02
-STEPS = 60
+RIDGE = 1e-6
+#: A bound only; the steps end where the dual's gradient is below SETTLED.
+STEPS = 300
+SETTLED = 1e-9
+#: Expected domain tokens are summed in fractions of a token, as whole numbers, so that sums are the same in every run.
+FRACTION = 1 << 20
 #: Target shares of tokens.
 TARGETS = {"high": 0.90, "low": 0.05, "toxic": 0.05}
 
@@ -147,46 +156,60 @@ def membership(classifier: Classifier, text: Column) -> Column:
     return member(text)
 
 
-def replay(p: np.ndarray, history: list[tuple[np.ndarray, float]], ridge: float) -> tuple[np.ndarray, np.ndarray]:
-    """(rates, extrapolated point) of cells with posteriors ``p`` after the steps whose residuals ``history`` holds."""
-    r, y = np.ones(len(p)), np.ones(len(p))
-    for e, momentum in history:
-        new = np.maximum(0, y - (p @ e + ridge * (y - 1)) / (1 + ridge))
-        r, y = new, np.maximum(0, new + momentum * (new - r))
-    return r, y
-
-
 def fit_rates(cells: DataFrame, targets: list[float], steps: int = STEPS, ridge: float = RIDGE) -> DataFrame:
-    """``cells``: cell, tokens.  Returns cell, rate.  No tokens: every rate is 1."""
+    """``cells``: cell, tokens, and perhaps expected (domain tokens in FRACTIONs).  Returns cell, rate.  No tokens: every rate is 1."""
     total = cells.agg(F.sum("tokens").alias("t")).first().t or 0
     if not total:
         return cells.select("cell", F.lit(1.0).alias("rate"))
     d = len(targets)
-    history: list[tuple[np.ndarray, float]] = []
 
-    def posteriors(column) -> np.ndarray:
-        return np.array(column.to_pylist(), np.float64).reshape(-1, d) / GRID
-
-    def partial(batches):
-        sums = np.zeros(d)
-        for batch in batches:
-            p = posteriors(batch.column("cell"))
-            sums += p.T @ (batch.column("tokens").to_numpy() / total * replay(p, history, ridge)[1])
-        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in sums], [f"s{k}" for k in range(d)])
-
-    for k in range(steps):
-        sums = cells.mapInArrow(partial, ",".join(f"s{j} double" for j in range(d))).agg(*[F.sum(f"s{j}") for j in range(d)]).first()
-        e = np.array([sums[j] - targets[j] for j in range(d)])
-        settled = bool(history) and np.abs(e - history[-1][0]).max() < 1e-6
-        history.append((e, k / (k + 3)))
+    def posteriors(batch) -> np.ndarray:
+        p = np.array(batch.column("cell").to_pylist(), np.float64).reshape(-1, d) / GRID
+        if "expected" in batch.schema.names:
+            tokens = batch.column("tokens").to_numpy()
+            some = tokens > 0
+            p[some] = np.array(batch.column("expected").to_pylist(), np.float64).reshape(-1, d)[some] / FRACTION / tokens[some, None]
+        return p
+
+    names = ["f", *[f"g{j}" for j in range(d)], *[f"h{j}" for j in range(d * d)]]
+
+    def at(v: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """The dual's value, gradient and second derivative at ``v``."""
+
+        def partial(batches):
+            sums = np.zeros(len(names))
+            for batch in batches:
+                p, w = posteriors(batch), batch.column("tokens").to_numpy() / total
+                r = np.maximum(0, 1 + p @ v)
+                sums += [w @ (r * r) / 2, *(p.T @ (w * r)), *(p.T @ (p * (w * (r > 0))[:, None])).ravel()]
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in sums], names)
+
+        got = np.array(cells.mapInArrow(partial, ",".join(f"{x} double" for x in names)).agg(*[F.sum(x) for x in names]).first())
+        return got[0] - goal @ v + ridge / 2 * v @ v, got[1 : 1 + d] - goal + ridge * v, got[1 + d :].reshape(d, d) + ridge * np.eye(d)
+
+    goal, point = np.array(targets), np.zeros(d)
+    (value, slope, bend), size, settled = at(point), 1.0, False
+    for _ in range(steps):
+        settled = np.abs(slope).max() < SETTLED
         if settled:
             break
+        if size == 1.0:
+            step = -np.linalg.solve(bend, slope)
+        trial = at(point + size * step)
+        if trial[0] <= value + 1e-4 * size * (slope @ step) or np.abs(trial[1]).max() < SETTLED:
+            point, (value, slope, bend), size = point + size * step, trial, 1.0
+        elif size < 1e-9:
+            break
+        else:
+            size /= 2
+    if not settled:
+        logging.getLogger(__name__).warning("rates not settled; domain shares miss their targets by %s", (slope - ridge * point).tolist())
 
     def rates(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("cell"), pa.array(replay(posteriors(batch.column("cell")), history, ridge)[0])], ["cell", "rate"])
+            yield pa.RecordBatch.from_arrays([batch.column("cell"), pa.array(np.maximum(0, 1 + posteriors(batch) @ point))], ["cell", "rate"])
 
-    return cells.select("cell").mapInArrow(rates, "cell array<int>, rate double")
+    return cells.mapInArrow(rates, "cell array<int>, rate double")
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
@@ -206,7 +229,8 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None =
 
 
 def _rates(members: DataFrame, targets: dict[str, float], scratch: Scratch) -> DataFrame:
-    cells = scratch.save(members.groupBy("cell").agg(F.sum("tokens").alias("tokens")), "cells")
+    expected = [F.sum(F.round(F.col("tokens") * F.col("posterior")[k] * FRACTION).cast("bigint")) for k in range(len(targets))]
+    cells = scratch.save(members.groupBy("cell").agg(F.sum("tokens").alias("tokens"), F.array(*expected).alias("expected")), "cells")
     total = sum(targets.values())
     return fit_rates(cells, [x / total for x in targets.values()])
 
@@ -222,7 +246,7 @@ def resample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | N
     scratch = Scratch(spark)
     classifier = fit_classifier(docs, labelled, list(targets))
     member = membership(classifier, F.col("text"))
-    rates = scratch.save(_rates(docs.select(member.alias("m")).select("m.cell", "m.tokens"), targets, scratch), "rates")
+    rates = scratch.save(_rates(docs.select(member.alias("m")).select("m.cell", "m.tokens", "m.posterior"), targets, scratch), "rates")
     chance = F.pmod(F.xxhash64(F.lit("mix"), "row.doc_id", "row.text"), F.lit(1_000_000)) / 1_000_000
     rows = docs.select(F.struct(*docs.columns).alias("row"), member["cell"].alias("cell")).join(F.broadcast(rates), "cell", "left")
     rate = F.coalesce(F.col("rate"), F.lit(1.0))

@@ -469,6 +469,32 @@ def test_rates_against_a_solver(spark):
     assert np.allclose([got[tuple(c)] for c in p], r, atol=1e-3)
 
 
+@pytest.mark.parametrize("sure", [1.0, 0.9, 0.8])
+def test_domain_totals_are_the_best_reachable(spark, sure):
+    """Targets are met wherever rates of at least 0 can meet them; at 0.8 the most certain documents bound what is reached."""
+    p = np.round(((1 - sure) / 2 + (sure - (1 - sure) / 2) * np.eye(3)) * mixing.FRACTION).astype(int)
+    t = np.array([76_000, 13_000, 11_000])
+    rows = [([64 if j == k else 0 for j in range(3)], int(t[k]), [int(t[k] * x) for x in p[k]]) for k in range(3)]
+    cells = spark.createDataFrame(rows, "cell array<int>, tokens bigint, expected array<bigint>")
+    got = {r.cell.index(64): r.rate for r in mixing.fit_rates(cells, list(mixing.TARGETS.values())).collect()}
+    after = (t / t.sum() * [got[k] for k in range(3)]) @ (p / mixing.FRACTION)
+    # At 0.8 the best is to keep the documents of the first domain only, as many as come closest: r = p.goal / p.p.
+    best = [0.90, 0.05, 0.05] if sure > 0.8 else np.array([0.8, 0.1, 0.1]) * (0.8 * 0.9 + 0.1 * 0.05 * 2) / 0.66
+    assert np.abs(after - best).max() < 1e-4
+
+
+def test_mixing_totals_of_real_posteriors(spark):
+    """The totals that mix() reaches, with the posteriors it gives, against a direct solution over the documents."""
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", mixing.domain_of_labels().alias("domain"))
+    rows = mixing.mix(table, labels).collect()
+    p, t, rate = np.array([r.posterior for r in rows]), np.array([r.tokens for r in rows]), np.array([r.rate for r in rows])
+    w, goal, r = t / t.sum(), np.array(list(mixing.TARGETS.values())), np.ones(len(rows))
+    for _ in range(20000):
+        r = np.maximum(0, r - p @ (p.T @ (w * r) - goal))
+    assert np.abs(p.T @ (w * rate) - p.T @ (w * r)).max() < 2e-3
+
+
 def test_mixing_awkward(spark):
     none = spark.createDataFrame([], "doc_id bigint, domain string")
     rows = mixing.mix(docs(spark, AWKWARD), none).collect()
