@@ -18,7 +18,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without a letter and texts of which no learned language has half the evidence."""
+    """Drops texts without a letter and texts of whose n-grams every learned language has too few."""
     return lang_id.keep_known(docs)
 
 

@@ -104,8 +104,9 @@ class Filters:
     def _at(key: np.ndarray) -> list[np.ndarray]:
         return [(mix(key, 20 + k) % np.uint64(SLOTS)).astype(np.int64) for k in range(HASHES)]
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        names, scores = [], np.zeros(len(texts))
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Languages, their shares of all languages' hits, and their hits for each n-gram of the text."""
+        names, scores, evidence = [], np.zeros(len(texts)), np.zeros(len(texts))
         for a, b in blocks(texts):
             key, owner, has = grams(texts[a:b])
             m = b - a
@@ -124,7 +125,8 @@ class Filters:
                 names.append(self.languages[best[j]] if known else "und")
                 if known and total[j]:
                     scores[a + j] = true[j, best[j]] / total[j]
-        return names, scores
+                    evidence[a + j] = true[j, best[j]] / n[j]
+        return names, scores, evidence
 
 
 def learn(labelled: DataFrame, per_language: int = PER_LANGUAGE, share: float = SHARE, min_count: int = MIN_COUNT) -> Filters:
@@ -155,13 +157,13 @@ def learn(labelled: DataFrame, per_language: int = PER_LANGUAGE, share: float =
 
 
 def predicted(filters: Filters, text: Column) -> Column:
-    """struct<lang_pred, score>; ``und`` and 0 for a null text or one without a letter."""
+    """struct<lang_pred, score, evidence>; ``und`` and 0 for a null text or one without a letter."""
     shared = _broadcast(filters)
 
-    @F.arrow_udf("struct<lang_pred:string,score:double>")
+    @F.arrow_udf("struct<lang_pred:string,score:double,evidence:double>")
     def predict(texts: pa.Array) -> pa.Array:
-        names, scores = shared.value.predict(texts.to_pylist())
-        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores)], ["lang_pred", "score"])
+        names, scores, evidence = shared.value.predict(texts.to_pylist())
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores), pa.array(evidence)], ["lang_pred", "score", "evidence"])
 
     return predict(text)
 
@@ -184,12 +186,20 @@ def languages(docs: DataFrame) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     filters = learn(docs.where(~held_out()).select("text", "lang"))
-    return docs.select("doc_id", held_out().alias("held_out"), predicted(filters, F.col("text")).alias("p")).select("doc_id", "held_out", "p.*")
+    return docs.select("doc_id", held_out().alias("held_out"), predicted(filters, F.col("text")).alias("p")).select("doc_id", "held_out", "p.lang_pred", "p.score")
 
 
-def keep_known(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text has a language with a score of at least ``least``."""
+#: A text is of no learned language if its best one has fewer of its n-grams.
+LEAST_EVIDENCE = 0.1
+
+
+def keep_known(docs: DataFrame, least: float = LEAST_EVIDENCE) -> DataFrame:
+    """The rows of ``docs``, all columns, with a language that has at least ``least`` of the text's n-grams.
+
+    Learns from all labelled rows.  Other languages' hits do not count against a text, so neither
+    related languages nor a mixture of two makes a text unknown.
+    """
     small_batches(docs.sparkSession)
-    filters = learn(docs.where(~held_out()).select("text", "lang"))
+    filters = learn(docs.select("text", "lang"))
     whole = docs.select(F.struct(*docs.columns).alias("row"), predicted(filters, F.col("text")).alias("p"))
-    return whole.where((F.col("p.lang_pred") != "und") & (F.col("p.score") >= least)).select("row.*")
+    return whole.where((F.col("p.lang_pred") != "und") & (F.col("p.evidence") >= least)).select("row.*")

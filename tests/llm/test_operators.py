@@ -156,6 +156,17 @@ def test_languages_of_awkward_texts(spark):
     assert lang_id.languages(docs(spark, ["a"]).limit(0)).count() == 0
 
 
+def test_known_texts_stay_and_unknown_ones_go(spark):
+    """A text of three languages stays, a language seen only in rows of the held-out fold is learned, and one without evidence goes."""
+    held = [k for k in range(400) if zlib.crc32(str(k).encode()) % 4 == 2][:3]
+    free = [k for k in range(400) if zlib.crc32(str(k).encode()) % 4 != 2]
+    own = {"aa": "badigoku temalipo " * 9, "bb": "zuchewro fyxthang " * 9, "cc": "klopmisd wertguin " * 9}
+    rows = [(free[k], own["aa"], "aa") for k in range(5)] + [(free[5 + k], own["bb"], "bb") for k in range(5)] + [(k, own["cc"], "cc") for k in held]
+    mixed, alien = (free[20], " ".join(own.values()), None), (free[21], "\u03b1\u03b2\u03b3\u03b4 \u03b5\u03b6\u03b7\u03b8 " * 20, None)
+    got = {r.doc_id for r in lang_id.keep_known(spark.createDataFrame([*rows, mixed, alien], "doc_id bigint, text string, lang string")).collect()}
+    assert got == {r[0] for r in [*rows, mixed]}
+
+
 def test_language_filter_has_no_false_negatives():
     f = lang_id.Filters(["a", "b"], [(k % 2, k * 7919 - 2**40) for k in range(2000)])
     for k in range(2000):
