@@ -5,9 +5,10 @@ The model protobuf is parsed here (pieces, scores, types, trainer and normaliser
 prefix, U+2581 marker), a unigram model with its scores or a BPE model whose merges follow the scores,
 byte fallback, and the matching decoder.
 
-Where no piece has the marker after another character, no merge crosses the start of a marker run, so
-a text is encoded unit by unit: each distinct unit of a block goes once through ``encode_batch`` (which
-is multithreaded), is held against the sentencepiece library (parity) and decoded (round trip).
+Where no piece has the marker after another character, no merge crosses the start of a marker run, and
+where no piece holds a line feed, none crosses one.  So a text is encoded unit by unit: each distinct
+unit that a worker does not remember goes once through ``encode_batch`` (which is multithreaded), is held
+against the sentencepiece library (parity) and decoded (round trip).  Tables are looked up in arrays.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import os
 import re
 import struct
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +29,8 @@ from .scratch import small_batches
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Distinct units a Python worker remembers between blocks.
-MEMORY = 120_000
+#: Distinct units a Python worker remembers between blocks; beyond them the less used half is forgotten.
+MEMORY = 300_000
 #: Units that are encoded in one call, at most: the library keeps a record of each token until the call ends.
 CHUNK = 8_192
 
@@ -89,7 +91,10 @@ class Model:
                 self.dummy_prefix = bool(normal.get(3, 1))
                 self.squeeze = bool(normal.get(4, 1))
                 self.escape = bool(normal.get(5, 1))
-        self.units = self.escape and not any(MARK in p.lstrip(MARK) for p, _, kind in self.pieces if kind in (NORMAL, USER))
+        own = [p for p, _, kind in self.pieces if kind in (NORMAL, USER, UNUSED)]
+        self.units = self.escape and not any(MARK in p.lstrip(MARK) for p in own)
+        #: No piece holds a line feed, so no merge crosses one.
+        self.lines = not any("\n" in p for p in own)
 
     def merges(self) -> list[tuple[str, str]]:
         """Every split of a piece into two pieces, best score of the result first."""
@@ -118,62 +123,93 @@ class Model:
             steps.append(normalizers.Replace(" ", MARK))
         out.normalizer = normalizers.Sequence(steps)
         if self.units:
-            out.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}+[^{MARK}]*"), "isolated")
+            out.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}+[^{MARK}\n]*|\n[^{MARK}\n]*" if self.lines else f"{MARK}+[^{MARK}]*"), "isolated")
         tail = [decoders.Strip(" ", 1, 0)] if self.dummy_prefix else []
         out.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *tail])
         return out
 
 
-_UNIT = re.compile(" +[^ ]*")
+#: A unit is a run of spaces, or a line feed, with what follows up to the next of either.
+_UNIT = re.compile(" +[^ \n]*|\n[^ \n]*")
+_PLAIN_UNIT = re.compile(" +[^ ]*")
 
 
 class Codec:
     """Encoding and decoding with one model file, checked against the sentencepiece library."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, threads: int = 1):
         import sentencepiece
 
         with open(path, "rb") as f:
             self.model = Model(f.read())
+        self.threads = threads
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         self.tokenizer = self.model.tokenizer()
         #: A text is its units, each with the space before it, if the normaliser changes nothing else.
         self.by_unit = self.model.units and self.model.dummy_prefix and not self.model.squeeze and not self.model.charsmap
-        self._reset()
-
-    def _reset(self) -> None:
-        self.known = {}
-        pa.default_memory_pool().release_unused()
-        self.known[""] = 0  # a space at the end of a text: the marker alone
         mark = self.tokenizer.token_to_id(MARK)
+        # Key of a unit (without its first space) -> its place in the tables.  "" is a space before an end: the marker alone.
+        self.known = {"": 0}
         self.pool = [np.array([] if mark is None else [mark], np.int32)]
         self.sizes = [np.array([len(self.pool[0])])]
         self.good = [np.array([mark is not None])]
         self.back = [np.array([mark is not None])]
+        self.uses = np.zeros(0, np.int64)
+
+    def _settle(self) -> None:
+        for name in ("pool", "sizes", "good", "back"):
+            setattr(self, name, [np.concatenate(getattr(self, name))])
+        self.uses = np.concatenate([self.uses, np.zeros(len(self.known) - len(self.uses), np.int64)])
+
+    def _forget(self, keep: int) -> None:
+        """Keeps the ``keep`` most used units (and the marker alone)."""
+        self._settle()
+        self.uses[0] = np.iinfo(np.int64).max // 2
+        stay = np.sort(np.argsort(-self.uses, kind="stable")[:keep])
+        sizes = self.sizes[0]
+        starts = np.cumsum(sizes) - sizes
+        n = sizes[stay]
+        ends = np.cumsum(n)
+        at = np.arange(ends[-1]) + np.repeat(starts[stay] - ends + n, n)
+        keys = list(self.known)
+        self.known = {keys[k]: i for i, k in enumerate(stay.tolist())}
+        self.pool, self.sizes = [self.pool[0][at]], [n]
+        self.good, self.back = [self.good[0][stay]], [self.back[0][stay]]
+        self.uses = self.uses[stay] // 2
+        pa.default_memory_pool().release_unused()
 
     def _learn(self, units: list[str], together: int = 256) -> None:
-        """Encode units (each follows a space, or the prefix that stands for it), many in one text of a batch.
+        """Encode units, many in one text of a batch.
 
-        The pre-tokeniser cuts such a text at its markers, so word ids tell the units apart.  A text
-        whose ids or decoding differ from the library's is looked at unit by unit.
+        The pre-tokeniser cuts such a text at markers and line feeds, so word ids tell the units apart.  A
+        text whose ids or decoding differ from the library's is looked at unit by unit, and so are units
+        that begin or end with spaces, as those would run together.
         """
-        groups = [units[i : i + together] for i in range(0, len(units), together)]
-        raw = [" ".join(g) for g in groups]
+        lines = [u for u in units if u[:1] == "\n"]
+        plain = [u for u in units if u[:1] not in ("\n", " ") and u[-1:] != " "]
+        odd = [[u] for u in units if u[:1] == " " or u[:1] != "\n" and u[-1:] == " "]
+        cut = lambda some, n: [some[i : i + n] for i in range(0, len(some), n)]
+        # (units, whether the text begins with a marker of its own)
+        groups = [(g, True) for g in cut(lines, together)] + [(g, False) for g in [*cut(plain, together), *odd]]
+        raw = ["".join(g) if own else "".join(u if u[:1] == "\n" else " " + u for u in g)[1:] for g, own in groups]
         got = self.tokenizer.encode_batch(raw, add_special_tokens=False)
-        want = self.library.encode(raw, num_threads=1)
+        want = self.library.encode(raw, num_threads=self.threads)
         text = self.tokenizer.decode_batch([e.ids for e in got], skip_special_tokens=False)
-        for group, one, enc, theirs, decoded in zip(groups, raw, got, want, text, strict=True):
+        for (group, own), one, enc, theirs, decoded in zip(groups, raw, got, want, text, strict=True):
             ids, n = enc.ids, len(group)
-            words = np.array([-1 if w is None else w for w in enc.word_ids], np.int64)
-            sizes = np.bincount(words, minlength=n) if len(words) and words.min() >= 0 else np.zeros(0, np.int64)
-            if ids == theirs and decoded == one and len(sizes) == n and sizes.min() > 0:
+            words = np.array(enc.word_ids, np.float64)
+            sizes = np.bincount(words.astype(np.int64), minlength=n + own) if len(words) and not np.isnan(words).any() else np.zeros(0, np.int64)
+            whole = ids == theirs and decoded == one and len(sizes) == n + own and sizes.min() > 0 and (not own or sizes[0] == 1)
+            if whole:
+                sizes, ids = sizes[own:], ids[own:]
                 good = back = np.ones(n, bool)
             elif n > 1:
                 for unit in group:
                     self._learn([unit])
                 continue
-            else:
-                sizes, good, back = np.array([len(ids)]), np.array([ids == theirs]), np.array([decoded == one])
+            else:  # the marker that the text begins with is not the unit's
+                sizes, good, back = np.array([len(ids) - own]), np.array([ids == theirs]), np.array([decoded == one])
+                ids = ids[own:]
             for unit in group:
                 self.known[unit] = len(self.known)
             self.pool.append(np.array(ids, np.int32))
@@ -181,28 +217,38 @@ class Codec:
             self.good.append(good)
             self.back.append(back)
 
+    def _units(self, text: str) -> list[str]:
+        """Keys of a text's units: a unit after a space without that space, a unit after a line feed with it."""
+        if not text:
+            return []
+        lines = self.model.lines
+        if "  " in text or text[0] == " " or text[-1] == " " or lines and " \n" in text:
+            return [u[1:] if u[0] == " " else u for u in (_UNIT if lines else _PLAIN_UNIT).findall(" " + text)]
+        return (text.replace("\n", " \n") if lines else text).split(" ")
+
     def encode(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[bool], list[bool]]:
         """For each text (null: empty): ids, whether the library gives the same, whether decoding gives the text."""
         texts = [t or "" for t in texts]
         if not self.by_unit:
             got = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-            want = self.library.encode(texts, num_threads=1)
+            want = self.library.encode(texts, num_threads=self.threads)
             back, theirs = self.tokenizer.decode_batch(got, skip_special_tokens=False), self.library.decode(want)
             return [np.array(x, np.int32) for x in got], [x == y for x, y in zip(got, want, strict=True)], [x == y for x, y in zip(back, theirs, strict=True)]
         if len(self.known) > MEMORY:
-            self._reset()
-        plain = [t.replace(MARK, " ") for t in texts]  # to the model the marker is a space
-        loose = [("  " in t or t[:1] == " " or t[-1:] == " ") for t in plain]
-        split = [[u[1:] for u in _UNIT.findall(" " + t)] if odd else t.split(" ") if t else [] for t, odd in zip(plain, loose, strict=True)]
-        fresh = set().union(*split) - self.known.keys()
-        fresh = list(fresh)
+            self._forget(MEMORY // 2)
+        split = [self._units(t.replace(MARK, " ")) for t in texts]  # to the model the marker is a space
+        n = np.fromiter(map(len, split), np.int64, len(split))
+        flat_units = list(chain.from_iterable(split))
+        at = np.fromiter(map(self.known.get, flat_units, repeat(-1)), np.int64, len(flat_units))
+        new = np.flatnonzero(at < 0).tolist()
+        fresh = list(dict.fromkeys(map(flat_units.__getitem__, new)))
         for k in range(0, len(fresh), CHUNK):
             self._learn(fresh[k : k + CHUNK])
-        for name in ("pool", "sizes", "good", "back"):
-            setattr(self, name, [np.concatenate(getattr(self, name))])
+        if new:
+            at[new] = np.fromiter((self.known[flat_units[i]] for i in new), np.int64, len(new))
+        self._settle()
+        self.uses += np.bincount(at, minlength=len(self.uses))
         starts = np.concatenate(([0], np.cumsum(self.sizes[0])))
-        n = np.fromiter((len(u) for u in split), np.int64, len(split))
-        at = np.fromiter((self.known[u] for units in split for u in units), np.int64, int(n.sum()))
         size = self.sizes[0][at]
         ends = np.cumsum(size)
         flat = self.pool[0][np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[at] - ends + size, size)]
@@ -219,14 +265,14 @@ class Codec:
 @lru_cache(maxsize=2)
 def codec(path: str, threads: int = 1) -> Codec:
     os.environ.update(TOKENIZERS_PARALLELISM="true", RAYON_NUM_THREADS=str(threads))
-    return Codec(path)
+    return Codec(path, threads)
 
 
 def _threads() -> int:
-    """As many threads as the cluster gives one task."""
+    """Two threads encode a batch, or as many as the cluster gives one task."""
     from pyspark.sql import SparkSession
 
-    return int(SparkSession.active().sparkContext.getConf().get("spark.task.cpus", "1"))
+    return max(2, int(SparkSession.active().sparkContext.getConf().get("spark.task.cpus", "1")))
 
 
 def encoded(text: Column, path: str) -> Column:
