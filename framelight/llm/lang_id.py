@@ -1,11 +1,13 @@
 """Language identification with a bit-sliced Bloom filter of character n-grams.
 
-Slot ``h`` of the filter holds one 64-bit mask with a bit for each language; the AND of the slots of
-an n-gram's hashes returns all languages that contain it at once.  A language's n-grams are those
-whose relative frequency in it is at least ``share`` of the highest in any language, most frequent
-first, up to ``per_language``; so the filter's size does not depend on the corpus.  A text's score
-for a language is its number of n-grams with the language's bit (popcount by language), corrected
-for the filter's false positives: ``(hits - n * p) / (1 - p)``.
+Slot ``h`` of the filter holds a mask with a bit for each language, in as many 64-bit words as there are
+languages; the AND of the slots of an n-gram's hashes returns all languages that contain it at once.  A
+language contains an n-gram if its relative frequency there is at least ``SHARE`` of the highest in any
+language, so every n-gram seen belongs to one language at least.  The filter grows with languages and
+n-grams and is built by a distributed bit_or; only if it would pass ``FILTER_BYTES`` all languages keep
+the same largest share of their n-gram occurrences that fits.  A text's score for a language is its number
+of n-grams with the language's bit (popcount by language), corrected for the filter's false positives:
+``(hits - n * p) / (1 - p)``.
 """
 
 from __future__ import annotations
@@ -21,12 +23,13 @@ from .scratch import Scratch, small_batches
 from .words import blocks, mix
 
 GRAM = 4
-SLOTS = 1 << 20
 HASHES = 3
-PER_LANGUAGE = 20_000
+#: A language contains an n-gram if its relative frequency there is at least this share of the highest in any language.
 SHARE = 0.5
-MIN_COUNT = 3
-MAX_LANGUAGES = 64
+#: Slots for each n-gram of each language.
+PER_GRAM = 8
+#: Bytes of the filter at most, as it is broadcast.
+FILTER_BYTES = 1 << 26
 
 
 @lru_cache(maxsize=1)
@@ -88,21 +91,24 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
 
 
 class Filters:
-    """The bit-sliced filter, the languages' names and their false-positive rates."""
-
-    def __init__(self, languages: list[str], rows: list[tuple[int, int]]):
-        self.languages = languages
-        self.slots = np.zeros(SLOTS, np.uint64)
-        code = np.fromiter((r[0] for r in rows), np.uint64, len(rows))
-        key = np.fromiter((r[1] for r in rows), np.int64, len(rows)).view(np.uint64)
-        for at in self._at(key):
-            np.bitwise_or.at(self.slots, at, np.uint64(1) << code)
-        fill = [float(np.mean((self.slots >> np.uint64(i)) & np.uint64(1))) for i in range(len(languages))]
-        self.false = np.array([f**HASHES for f in fill])
-
-    @staticmethod
-    def _at(key: np.ndarray) -> list[np.ndarray]:
-        return [(mix(key, 20 + k) % np.uint64(SLOTS)).astype(np.int64) for k in range(HASHES)]
+    """The bit-sliced filter, the languages' names and their false-positive rates.
+
+    ``slots``: one row a slot, of as many 64-bit words as the languages need.  ``usual`` is the language
+    for a text with letters but without a known n-gram.
+    """
+
+    def __init__(self, languages: list[str], slots: np.ndarray, usual: str | None = None):
+        self.languages, self.slots = languages, slots
+        self.usual = usual or (languages[0] if languages else None)
+        fill = [float(np.mean((slots[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1))) for i in range(len(languages))]
+        self.false = np.minimum(np.array(fill) ** HASHES, 0.999)
+
+    def masks(self, key: np.ndarray) -> np.ndarray:
+        """For each n-gram the languages that contain it, as words."""
+        mask = np.full((len(key), self.slots.shape[1]), 2**64 - 1, np.uint64)
+        for at in slots_of(key, len(self.slots)):
+            mask &= self.slots[at]
+        return mask
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Languages, their shares of all languages' hits, and their hits for each n-gram of the text."""
@@ -110,50 +116,98 @@ class Filters:
         for a, b in blocks(texts):
             key, owner, has = grams(texts[a:b])
             m = b - a
-            mask = np.full(len(key), 2**64 - 1, np.uint64)
-            for at in self._at(key):
-                mask &= self.slots[at]
+            mask = self.masks(key)
             n = np.bincount(owner, minlength=m)
             true = np.zeros((m, len(self.languages)))
             for i in range(len(self.languages)):
-                hits = np.bincount(owner, weights=((mask >> np.uint64(i)) & np.uint64(1)).astype(float), minlength=m)
+                bit = (mask[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)
+                hits = np.bincount(owner, weights=bit.astype(float), minlength=m)
                 true[:, i] = np.clip((hits - n * self.false[i]) / (1 - self.false[i]), 0, None)
             best = true.argmax(1) if len(self.languages) else np.zeros(m, int)
             total = true.sum(1)
             for j in range(m):
-                known = has[j] and len(self.languages)
-                names.append(self.languages[best[j]] if known else "und")
-                if known and total[j]:
+                if not has[j] or not len(self.languages):
+                    names.append("und")
+                elif total[j]:
+                    names.append(self.languages[best[j]])
                     scores[a + j] = true[j, best[j]] / total[j]
                     evidence[a + j] = true[j, best[j]] / n[j]
+                else:
+                    names.append(self.usual)
         return names, scores, evidence
 
 
-def learn(labelled: DataFrame, per_language: int = PER_LANGUAGE, share: float = SHARE, min_count: int = MIN_COUNT) -> Filters:
-    """Filters from all rows of (text, lang).  At most 64 languages; the driver gets at most 64 * per_language n-grams."""
+def slots_of(key: np.ndarray, slots: int) -> list[np.ndarray]:
+    """The slots of each n-gram, one array a hash."""
+    return [(mix(key, 20 + k) & np.uint64(slots - 1)).astype(np.int64) for k in range(HASHES)]
+
+
+def _cuts(levels: list, capacity: int) -> dict[str, int] | None:
+    """``levels``: (lang, level, n-grams, occurrences).  None if all n-grams fit; else the least level that each language keeps.
+
+    Every language keeps the most frequent n-grams that make up the same share of its occurrences, the largest
+    share that fits, and its most frequent level in any case.
+    """
+    by: dict[str, list] = {}
+    for lang, level, n, times in sorted(levels, key=lambda r: -r[1]):
+        by.setdefault(lang, []).append((level, n, times))
+    if sum(r[2] for r in levels) <= capacity:
+        return None
+
+    def at(share: float) -> tuple[dict[str, int], int]:
+        cut, held = {}, 0
+        for lang, rows in by.items():
+            total, seen = sum(r[2] for r in rows), 0
+            for level, n, times in rows:
+                cut[lang], held, seen = level, held + n, seen + times
+                if seen >= share * total:
+                    break
+        return cut, held
+
+    lo, hi = 0.0, 1.0
+    for _ in range(40):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if at(mid)[1] <= capacity else (lo, mid)
+    return at(lo)[0]
+
+
+def learn(labelled: DataFrame, share: float = SHARE, filter_bytes: int = FILTER_BYTES) -> Filters:
+    """Filters from all rows of (text, lang), with all n-grams of all languages as long as they fit into ``filter_bytes``."""
     small_batches(labelled.sparkSession)
     scratch = Scratch(labelled.sparkSession)
     found = scratch.save(gram_counts(labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())), "grams")
-    totals = found.groupBy("lang").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "lang").limit(MAX_LANGUAGES)
+    totals = scratch.save(found.groupBy("lang").agg(F.sum("n").alias("total")), "totals")
+    size = {r.lang: r.total for r in totals.collect()}  # a number for each language
+    names = sorted(size)
+    words = max(1, -(-len(names) // 64))
+    codes = {x: i for i, x in enumerate(names)}
     rated = found.join(F.broadcast(totals), "lang").withColumn("rate", F.col("n") / F.col("total"))
     top = rated.groupBy("gram").agg(F.max("rate").alias("top"))
-    own = rated.where(F.col("n") >= min_count).join(top, "gram").where(F.col("rate") >= F.col("top") * share)
-    # Counts in buckets of 32 an octave; a language takes whole buckets, from the top, while they fit.
+    # Counts in buckets of 32 an octave.
     shift = "greatest(0, length(bin(n)) - 6)"
-    own = scratch.save(own.select("lang", "gram", F.expr(f"shiftright(n, {shift}) * shiftleft(1L, {shift})").alias("level")), "own")
-    cut: dict[str, int] = {}
-    size: dict[str, int] = {}
-    for r in sorted(own.groupBy("lang", "level").count().collect(), key=lambda r: -r.level):
-        size[r.lang] = size.get(r.lang, 0) + r["count"]
-        if size[r.lang] <= per_language:
-            cut[r.lang] = r.level
-    enough = F.lit(False)
-    for lang, level in cut.items():
-        enough = enough | ((F.col("lang") == lang) & (F.col("level") >= level))
-    kept = own.where(enough).select("lang", "gram").collect()
-    names = sorted({r.lang for r in kept})
-    code = {x: i for i, x in enumerate(names)}
-    return Filters(names, [(code[r.lang], r.gram) for r in kept])
+    own = rated.join(top, "gram").where(F.col("rate") >= F.col("top") * share)
+    own = scratch.save(own.select("lang", "gram", "n", F.expr(f"shiftright(n, {shift}) * shiftleft(1L, {shift})").alias("level")), "own")
+    levels = [tuple(r) for r in own.groupBy("lang", "level").agg(F.count("*"), F.sum("n")).collect()]
+    cut = _cuts(levels, filter_bytes // (8 * words * PER_GRAM))
+    n_grams = sum(r[2] for r in levels if cut is None or r[1] >= cut[r[0]])
+    slots = 1 << min(max(10, (PER_GRAM * n_grams).bit_length()), (filter_bytes // (8 * words)).bit_length() - 1)
+
+    def sliced(batches):
+        for batch in batches:
+            key = batch.column("gram").to_numpy().view(np.uint64)
+            lang, level = batch.column("lang").to_pylist(), batch.column("level").to_pylist()
+            keep = np.array([cut is None or n >= cut[x] for x, n in zip(lang, level, strict=True)], bool)
+            code = np.array([codes[x] for x in lang], np.int64)
+            for at in slots_of(key[keep], slots):
+                bit = (np.uint64(1) << (code[keep] % 64).astype(np.uint64)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(at * words + code[keep] // 64), pa.array(bit)], ["at", "bits"])
+
+    # Bits meet before they reach the driver: at most one number for each word of the filter.
+    bits = own.select("lang", "gram", "level").mapInArrow(sliced, "at bigint, bits bigint").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    table = np.zeros(slots * words, np.int64)
+    table[bits.column("at").to_numpy()] = bits.column("bits").to_numpy()
+    scratch.clear()
+    return Filters(names, table.view(np.uint64).reshape(slots, words), max(names, key=lambda x: (size[x], x), default=None))
 
 
 def predicted(filters: Filters, text: Column) -> Column:
@@ -181,8 +235,10 @@ def held_out() -> Column:
 def languages(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row.
 
-    Learns from text and lang of rows that are not held out; a null lang teaches nothing, a null
-    doc_id is not held out.  With no labelled row every prediction is ``und`` with score 0.
+    Learns from text and lang of rows that are not held out; a null lang teaches nothing, a null doc_id is
+    not held out.  A text with letters but no known n-gram gets the language with most n-grams and score 0;
+    equal counts go to the alphabetically first language.  With no labelled row every prediction is ``und``
+    with score 0.  Rows are judged one by one, an empty table gives none, and other columns are not read.
     """
     small_batches(docs.sparkSession)
     filters = learn(docs.where(~held_out()).select("text", "lang"))

@@ -167,12 +167,66 @@ def test_known_texts_stay_and_unknown_ones_go(spark):
     assert got == {r[0] for r in [*rows, mixed]}
 
 
-def test_language_filter_has_no_false_negatives():
-    f = lang_id.Filters(["a", "b"], [(k % 2, k * 7919 - 2**40) for k in range(2000)])
-    for k in range(2000):
-        key = np.array([k * 7919 - 2**40], np.int64).view(np.uint64)
-        mask = np.bitwise_and.reduce([f.slots[at] for at in f._at(key)])
-        assert mask[0] >> np.uint64(k % 2) & np.uint64(1)
+def slow_grams(text):
+    """Four letters or the spaces between words, as tuples of code points."""
+    out = "".join(c if c.isalpha() else " " for c in text)
+    out = re.sub(" +", " ", "".join(c.lower() if len(c.lower()) == 1 else c for c in out)).lstrip()
+    return [out[i : i + 4] for i in range(len(out) - 3)]
+
+
+def slow_language(rows):
+    """lang -> n-grams, over (text, lang)."""
+    counts = {}
+    for text, lang in rows:
+        if text is not None and lang is not None:
+            counts.setdefault(lang, Counter()).update(slow_grams(text))
+    total = {x: c.total() for x, c in counts.items()}
+    top = Counter()
+    for x, c in counts.items():
+        for g, n in c.items():
+            top[g] = max(top[g], n / total[x])
+    return {x: {g for g, n in c.items() if n / total[x] >= lang_id.SHARE * top[g]} for x, c in counts.items() if c}
+
+
+def test_languages_against_sets(spark):
+    """The filters answer as plain sets of n-grams do, but for false positives, which are subtracted."""
+    table = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").collect()
+    own = slow_language([(r.text, r.lang) for r in table if zlib.crc32(str(r.doc_id).encode()) % 4 != 2])
+    got = {r.doc_id: r for r in lang_id.languages(spark.read.parquet(f"{SF}/documents.parquet")).collect()}
+    for r in table:
+        grams = slow_grams(r.text or "")
+        hits = {x: sum(g in s for g in grams) for x, s in own.items()}
+        if len(grams) >= 100:
+            assert hits[got[r.doc_id].lang_pred] >= 0.98 * max(hits.values()) - 2
+            assert abs(got[r.doc_id].score - hits[got[r.doc_id].lang_pred] / sum(hits.values())) < 0.03
+
+
+def test_seventy_languages(spark):
+    """Languages past the 64th are learned, one of n-grams that all occur equally often too, and rare n-grams count."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda k, j: "".join(random.Random(f"{k} {j}").choices(letters, k=8))
+    rows = [(f"l{k:02d}", " ".join(word(k, j) for j in range(12))) for k in range(70)]
+    filters = lang_id.learn(spark.createDataFrame(rows, "lang string, text string"))
+    assert len(filters.languages) == 70 and filters.slots.shape[1] == 2
+    assert filters.predict([t for _, t in rows])[0] == [x for x, _ in rows]
+    # A filter too small for all keeps n-grams of every language.
+    small = lang_id.learn(spark.createDataFrame(rows * 2 + [(x, t[:40]) for x, t in rows], "lang string, text string"), filter_bytes=1 << 16)
+    assert small.slots.nbytes <= 1 << 16 and (small.false > 0).all()
+
+
+def test_a_text_of_no_known_n_gram(spark):
+    rows = [(1, "badigoku temalipo " * 9, "bb"), (3, "zuchewro", "aa"), (4, "\u03b1\u03b2\u03b3\u03b4\u03b5", None)]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in lang_id.languages(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()}
+    assert got[4] == ("bb", 0.0)
+
+
+def test_language_filter_has_no_false_negatives(spark):
+    rows = [(f"w{k % 2}", f"{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}q") for k in range(2000)]
+    filters = lang_id.learn(spark.createDataFrame(rows, "lang string, text string"))
+    for k, (lang, text) in enumerate(rows):
+        key = lang_id.grams([text])[0]
+        mask = filters.masks(key)[:, 0]
+        assert ((mask >> np.uint64(filters.languages.index(lang))) & np.uint64(1)).any(), k
 
 
 # -- 4 ------------------------------------------------------------------------------------------------
