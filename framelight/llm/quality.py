@@ -3,15 +3,20 @@
 Each metric's sketch is a histogram with 32 buckets an octave (exact below 64): counts per bucket
 add up, so sketches merge by a sum and partial sums run before the shuffle.  Sketches are kept per
 (lang, source); a group of fewer than ``min_group`` documents uses its language's merged sketch and,
-if that is small too, the sketch of all.  A document fails where a metric lies beyond
-``q75 + reach * (q75 - q25) + slack`` (word length: also below the mirrored fence), so a group
-without outliers loses nothing, whatever its level.
+if that is small too, the sketch of all.
+
+Shares of symbols, repeated lines and repeated words fail above
+``q90 + reach * (q90 - q50) + grace / median size``: the group's upper decile, its spread, and what a few
+events (``grace``, which no document is charged for) make in a document of the group's median size, so that
+the fence follows the group even where nine tenths have none.  Word length fails outside
+``q25 - reach * iqr - slack`` to ``q75 + reach * iqr + slack``.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,18 +25,28 @@ from pyspark.sql.window import Window
 from . import worker
 from .scratch import Scratch, small_batches
 
-#: metric -> (slack, two-sided); per-mille of words, and hundredths of a code point.
-FENCES = {"sym_pm": (20, False), "dup_pm": (40, False), "rep_pm": (320, False), "len_c": (80, True)}
+#: metric -> (count, size, grace): per mille of the size that the count, less the grace, makes.
+UPPER = {"sym_pm": ("n_symbols", "n_words", 2), "dup_pm": ("n_dup_lines", "n_lines", 1), "rep_pm": ("n_repeat_words", "n_words", 20)}
+SIZES = ("n_words", "n_lines")
+#: Hundredths of a code point of mean word length.
+LENGTH_SLACK = 80
 REACH = 3
 MIN_GROUP = 100
 MIN_WORDS = 50
+#: Texts of more words are counted in arrays.
+LONG = 200_000
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-_TYPE = "struct<" + ",".join(f"{c}:bigint" for c in COUNTS) + ">"
+_MEASURED = (*COUNTS, "n_lines")
+_TYPE = "struct<" + ",".join(f"{c}:bigint" for c in _MEASURED) + ">"
 
 
 def repeat_words(words: list) -> int:
     """Words inside a 3-word window that occurs twice or more."""
+    if len(words) < 4:
+        return 0
+    if len(words) > LONG:
+        return _repeat_words_of_long(words)
     windows = list(zip(words, words[1:], words[2:], strict=False))
     seen = Counter(windows)
     if len(seen) == len(windows):
@@ -44,35 +59,48 @@ def repeat_words(words: list) -> int:
     return total
 
 
-def measure(text: str | None) -> tuple[int, int, int, int, int]:
-    """The five counts of one whole text; a null text has none of anything."""
+def _repeat_words_of_long(words: list) -> int:
+    """The same with numbers for words, 50 bytes a word whatever the text."""
+    known: dict = {}
+    code = np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words))
+    _, pair = np.unique(code[:-1] * len(known) + code[1:], return_inverse=True)
+    _, window, n = np.unique(pair[:-1].astype(np.int64) * len(known) + code[2:], return_inverse=True, return_counts=True)
+    many = n[window] > 1
+    inside = np.zeros(len(words), bool)
+    for k in range(3):
+        inside[k : k + len(many)] |= many
+    return int(inside.sum())
+
+
+def measure(text: str | None) -> tuple[int, int, int, int, int, int]:
+    """The five counts of one whole text and its lines with a word; a null text has none of anything."""
     if not text:
-        return 0, 0, 0, 0, 0
+        return 0, 0, 0, 0, 0, 0
     data = text.encode()
     words = data.split()
     chars = len(text) - sum(map(text.count, " \t\n\x0b\x0c\r"))
     symbols = sum(map(text.count, "#*$%&|<>"))
     lines = [x for x in data.split(b"\n") if x.strip()]
-    return len(words), chars, symbols, len(lines) - len(set(lines)), repeat_words(words)
+    return len(words), chars, symbols, len(lines) - len(set(lines)), repeat_words(words), len(lines)
 
 
 def counts(text: Column) -> Column:
-    """A struct of the five counts."""
+    """A struct of the five counts and the lines."""
 
     @F.arrow_udf(_TYPE)
     def counted(texts: pa.Array) -> pa.Array:
         worker.enter("quality")
         rows = [measure(t) for t in texts.to_pylist()]
-        columns = zip(*rows, strict=True) if rows else [[] for _ in COUNTS]
-        return pa.StructArray.from_arrays([pa.array(list(c), pa.int64()) for c in columns], list(COUNTS))
+        columns = zip(*rows, strict=True) if rows else [[] for _ in _MEASURED]
+        return pa.StructArray.from_arrays([pa.array(list(c), pa.int64()) for c in columns], list(_MEASURED))
 
     return counted(text)
 
 
 def _ratios() -> dict[str, Column]:
-    n = F.greatest(F.col("n_words"), F.lit(1))
-    over = lambda a, k: F.floor(F.col(a) * k / n).cast("long")
-    return {"sym_pm": over("n_symbols", 1000), "dup_pm": over("n_dup_lines", 1000), "rep_pm": over("n_repeat_words", 1000), "len_c": over("word_chars", 100)}
+    over = lambda a, k, of: F.floor(a * k / F.greatest(F.col(of), F.lit(1))).cast("long")
+    out = {k: over(F.greatest(F.col(count) - grace, F.lit(0)), 1000, size) for k, (count, size, grace) in UPPER.items()}
+    return out | {"len_c": over(F.col("word_chars"), 100, "n_words")}
 
 
 def _base_failed() -> Column:
@@ -81,37 +109,42 @@ def _base_failed() -> Column:
 
 def sketches(measured: DataFrame) -> DataFrame:
     """lang, source, metric, bucket, n over documents that pass the base rules."""
-    ratios = _ratios()
+    ratios = _ratios() | {k: F.col(k) for k in SIZES}
     long = measured.where(~_base_failed()).select("lang", "source", F.inline(F.array(*[F.struct(F.lit(k).alias("metric"), v.alias("v")) for k, v in ratios.items()])))
     shift = "greatest(0, length(bin(v)) - 6)"
     bucket = F.expr(f"cast(shiftleft(shiftright(v, {shift}), {shift}) as bigint)")
     return long.select("lang", "source", "metric", bucket.alias("bucket")).groupBy("lang", "source", "metric", "bucket").agg(F.count("*").alias("n"))
 
 
+QUANTILES = {"q25": (1, 4), "q50": (1, 2), "q75": (3, 4), "q90": (9, 10)}
+
+
 def _quantiles(hist: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, metric, docs, q25, q75 of merged sketches: the first bucket whose running count reaches a quarter."""
+    """keys, metric, q: number of documents and quantiles of merged sketches, each the first bucket whose running count reaches the share."""
     merged = hist.groupBy(*keys, "metric", "bucket").agg(F.sum("n").alias("n"))
     w = Window.partitionBy(*keys, "metric")
     run = merged.withColumns({"upto": F.sum("n").over(w.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)), "docs": F.sum("n").over(w)})
-    at = lambda q: F.min(F.when(F.col("upto") * 4 >= F.col("docs") * q, F.col("bucket")))
-    return run.groupBy(*keys, "metric").agg(F.max("docs").alias("docs"), at(1).alias("q25"), at(3).alias("q75"))
+    at = [F.min(F.when(F.col("upto") * of >= F.col("docs") * share, F.col("bucket"))).alias(name) for name, (share, of) in QUANTILES.items()]
+    return run.groupBy(*keys, "metric").agg(F.max("docs").alias("docs"), *at).select(*keys, "metric", F.struct("docs", *QUANTILES).alias("q"))
 
 
 def thresholds(hist: DataFrame, min_group: int = MIN_GROUP, reach: int = REACH) -> DataFrame:
-    """One row for each (lang, source): an upper and a lower fence for each metric."""
-    fine, lang, whole = _quantiles(hist, ["lang", "source"]), _quantiles(hist, ["lang"]), _quantiles(hist, [])
-    lang = lang.select(F.col("lang").alias("l_lang"), F.col("metric").alias("l_metric"), F.struct("docs", "q25", "q75").alias("by_lang"))
-    whole = whole.select(F.col("metric").alias("w_metric"), F.struct("docs", "q25", "q75").alias("by_all"))
-    rows = fine.withColumn("own", F.struct("docs", "q25", "q75")).join(lang, F.col("lang").eqNullSafe(F.col("l_lang")) & (F.col("metric") == F.col("l_metric"))).join(whole, F.col("metric") == F.col("w_metric"))
-    pick = F.when(F.col("own.docs") >= min_group, F.col("own")).when(F.col("by_lang.docs") >= min_group, F.col("by_lang")).otherwise(F.col("by_all"))
-    rows = rows.select("lang", "source", "metric", pick.alias("q"))
-    spread = (F.col("q.q75") - F.col("q.q25")) * reach
+    """One row for each (lang, source): an upper fence for each metric, and a lower one for the word length."""
+    fine = _quantiles(hist, ["lang", "source"])
+    lang = _quantiles(hist, ["lang"]).select(F.col("lang").alias("l_lang"), F.col("metric").alias("l_metric"), F.col("q").alias("by_lang"))
+    whole = _quantiles(hist, []).select(F.col("metric").alias("w_metric"), F.col("q").alias("by_all"))
+    rows = fine.join(lang, F.col("lang").eqNullSafe(F.col("l_lang")) & (F.col("metric") == F.col("l_metric")))
+    rows = rows.join(whole, F.col("metric") == F.col("w_metric"))
+    pick = F.when(F.col("q.docs") >= min_group, F.col("q")).when(F.col("by_lang.docs") >= min_group, F.col("by_lang")).otherwise(F.col("by_all"))
+    names = [*UPPER, "len_c", *SIZES]
+    each = [F.max(F.when(F.col("metric") == m, F.col("q"))).alias(m) for m in names]
+    wide = rows.select("lang", "source", "metric", pick.alias("q")).groupBy("lang", "source").agg(*each)
     out = []
-    for metric, (slack, two) in FENCES.items():
-        mine = F.col("metric") == metric
-        out.append(F.max(F.when(mine, F.col("q.q75") + spread + slack)).alias(f"{metric}_hi"))
-        out.append(F.max(F.when(mine, F.col("q.q25") - spread - slack if two else F.lit(None).cast("long"))).alias(f"{metric}_lo"))
-    return rows.groupBy("lang", "source").agg(*out)
+    for metric, (_, size, grace) in UPPER.items():
+        free = F.floor(1000 * grace / F.greatest(F.col(f"{size}.q50"), F.lit(1))).cast("long")
+        out.append((F.col(f"{metric}.q90") + (F.col(f"{metric}.q90") - F.col(f"{metric}.q50")) * reach + free).alias(f"{metric}_hi"))
+    spread = (F.col("len_c.q75") - F.col("len_c.q25")) * reach + LENGTH_SLACK
+    return wide.select("lang", "source", *out, (F.col("len_c.q75") + spread).alias("len_c_hi"), (F.col("len_c.q25") - spread).alias("len_c_lo"))
 
 
 def judge(measured: DataFrame, limits: DataFrame) -> DataFrame:
@@ -120,30 +153,38 @@ def judge(measured: DataFrame, limits: DataFrame) -> DataFrame:
     joined = measured.join(limits, F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source")), "left")
     good = ~F.col("base_failed")
     for metric, v in _ratios().items():
-        good = good & F.coalesce(v <= F.col(f"{metric}_hi"), F.lit(True)) & F.coalesce(v >= F.col(f"{metric}_lo"), F.lit(True))
+        good = good & F.coalesce(v <= F.col(f"{metric}_hi"), F.lit(True))
+    good = good & F.coalesce(_ratios()["len_c"] >= F.col("len_c_lo"), F.lit(True))
     return joined.withColumn("base_failed", _base_failed()).withColumn("kept", good)
 
 
 def quality(docs: DataFrame, min_group: int = MIN_GROUP, reach: int = REACH) -> DataFrame:
     """doc_id, the five counts, base_failed, kept for every row.
 
-    Null or empty texts count nothing and fail the base rules; null lang or source form groups of
-    their own; rows are judged one by one, so repeated rows get equal verdicts.
+    Null or empty texts count nothing and fail the base rules; null lang or source form groups of their
+    own; rows are judged one by one, so repeated rows get equal verdicts, and a value at a fence passes.
+    An empty table gives no rows; other columns are not read.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    scratch = Scratch(spark)
-    slim = docs.select("doc_id", "lang", "source", counts(F.col("text")).alias("c")).select("doc_id", "lang", "source", "c.*")
-    measured = scratch.save(slim, "measured")
-    return judge(measured, thresholds(sketches(measured), min_group, reach)).select("doc_id", *COUNTS, "base_failed", "kept")
+    measured, limits = _measured(docs.select("doc_id", "lang", "source", "text"), False, min_group, reach)
+    return judge(measured.select("doc_id", "lang", "source", "c.*"), limits).select("doc_id", *COUNTS, "base_failed", "kept")
 
 
 def keep_good(docs: DataFrame, min_group: int = MIN_GROUP, reach: int = REACH) -> DataFrame:
-    """The rows of ``docs``, all columns, that the rules keep.  Counts are computed row by row, without a join on ids."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    scratch = Scratch(spark)
-    hist = scratch.save(sketches(docs.select("lang", "source", counts(F.col("text")).alias("c")).select("lang", "source", "c.*")), "sketches")
+    """The rows of ``docs``, all columns whatever their names, that the rules keep; nulls, repeats and ties as in ``quality``.
+
+    Rows are written with their counts once and not joined on ids.
+    """
+    measured, limits = _measured(docs, True, min_group, reach)
+    return judge(measured.select("row", "lang", "source", "c.*"), limits).where("kept").select("row.*")
+
+
+def _measured(docs: DataFrame, whole: bool, min_group: int, reach: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id or the whole row, lang, source, c: counts; the groups' limits), written."""
+    small_batches(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession)
+    first = F.struct(*docs.columns).alias("row") if whole else F.col("doc_id")
+    measured = scratch.save(docs.select(first, "lang", "source", counts(F.col("text")).alias("c")), "measured")
+    hist = scratch.save(sketches(measured.select("lang", "source", "c.*")), "sketches")
     limits = scratch.save(thresholds(hist, min_group, reach), "limits")
-    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col("lang"), F.col("source"), counts(F.col("text")).alias("c")).select("row", "lang", "source", "c.*")
-    return judge(whole, limits).where("kept").select("row.*")
+    scratch.drop("sketches")
+    return measured, limits

@@ -95,33 +95,46 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
 
 def _op6_sql() -> str:
     """The base counts from words and windows, sketches as bucket counts, fences, verdicts."""
-    space = r"\x20\x09-\x0D"
-    long = " UNION ALL ".join(f"SELECT rid, lang, source, base_failed, '{k}' AS metric, {v} AS v FROM m" for k, v in {"sym_pm": "n_symbols * 1000 // greatest(n_words, 1)", "dup_pm": "n_dup_lines * 1000 // greatest(n_words, 1)", "rep_pm": "n_repeat_words * 1000 // greatest(n_words, 1)", "len_c": "word_chars * 100 // greatest(n_words, 1)"}.items())
+    space, least, reach = r"\x20\x09-\x0D", quality.MIN_GROUP, quality.REACH
+    share = lambda count, size, grace: f"greatest({count} - {grace}, 0) * 1000 // greatest({size}, 1)"
+    metrics = {k: share(*v) for k, v in quality.UPPER.items()} | {"len_c": "word_chars * 100 // greatest(n_words, 1)"} | {k: k for k in quality.SIZES}
+    long = " UNION ALL ".join(f"SELECT rid, lang, source, base_failed, '{k}' AS metric, {v} AS v FROM m" for k, v in metrics.items())
+    cuts = ", ".join(f"min(bucket) FILTER (upto * {of} >= docs * {n}) AS {q}" for q, (n, of) in quality.QUANTILES.items())
 
-    def quartiles(keys: str) -> str:
+    def quantiles(keys: str) -> str:
         by = f"{keys}, metric" if keys else "metric"
-        run = f"SELECT {by}, bucket, sum(sum(n)) OVER (PARTITION BY {by} ORDER BY bucket) AS upto, sum(sum(n)) OVER (PARTITION BY {by}) AS docs FROM h GROUP BY {by}, bucket"
-        return f"(SELECT {by}, max(docs) AS docs, min(bucket) FILTER (upto * 4 >= docs) AS q25, min(bucket) FILTER (upto * 4 >= docs * 3) AS q75 FROM ({run}) GROUP BY {by})"
-
-    pick = lambda c: f"CASE WHEN f.docs >= {quality.MIN_GROUP} THEN f.{c} WHEN b.docs >= {quality.MIN_GROUP} THEN b.{c} ELSE a.{c} END"
-    slack = "CASE metric " + " ".join(f"WHEN '{k}' THEN {v}" for k, (v, _) in quality.FENCES.items()) + " END"
-    two = ", ".join(f"'{k}'" for k, (_, both) in quality.FENCES.items() if both)
+        run = f"""SELECT {by}, bucket, sum(sum(n)) OVER (PARTITION BY {by} ORDER BY bucket) AS upto, sum(sum(n)) OVER (PARTITION BY {by}) AS docs
+          FROM h GROUP BY {by}, bucket"""
+        return f"(SELECT {by}, max(docs) AS docs, {cuts} FROM ({run}) GROUP BY {by})"
+
+    pick = ", ".join(f"CASE WHEN f.docs >= {least} THEN f.{q} WHEN b.docs >= {least} THEN b.{q} ELSE a.{q} END AS {q}" for q in quality.QUANTILES)
+    one = lambda metric, q: f"max({q}) FILTER (metric = '{metric}')"
+    fences = []
+    for k, (_, size, grace) in quality.UPPER.items():
+        high, middle = one(k, "q90"), one(k, "q50")
+        fences.append(f"{high} + ({high} - {middle}) * {reach} + {1000 * grace} // greatest({one(size, 'q50')}, 1) AS {k}_hi")
+    low, high = one("len_c", "q25"), one("len_c", "q75")
+    fences.append(f"{high} + ({high} - {low}) * {reach} + {quality.LENGTH_SLACK} AS len_c_hi, {low} - ({high} - {low}) * {reach} - {quality.LENGTH_SLACK} AS len_c_lo")
+    good = " AND ".join([f"coalesce({metrics[k]} <= {k}_hi, true)" for k in (*quality.UPPER, "len_c")] + [f"coalesce({metrics['len_c']} >= len_c_lo, true)"])
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
-w AS (SELECT *, regexp_extract_all(text, '[^{space}]+') AS ws, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^{space}]')) AS ls FROM d),
+w AS (SELECT *, regexp_extract_all(text, '[^{space}]+') AS ws,
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^{space}]')) AS ls FROM d),
 g AS (SELECT rid, unnest(list_transform(range(1, len(ws) - 1), lambda i: {{'i': i, 'g': ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]}})) AS u FROM w),
 c AS (SELECT rid, u.i AS i, count(*) OVER (PARTITION BY rid, u.g) AS n FROM g),
 r AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM c WHERE n > 1) GROUP BY rid),
-k AS (SELECT w.rid, doc_id, lang, source, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+k AS (SELECT w.rid, doc_id, lang, source, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+  len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, len(ls)::BIGINT AS n_lines,
   (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN r ON w.rid = r.rid),
 m AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM k),
 l AS ({long}),
-h AS (SELECT lang, source, metric, (v >> greatest(0, length(bin(v)) - 6)) << greatest(0, length(bin(v)) - 6) AS bucket, count(*) AS n FROM l WHERE NOT base_failed GROUP BY ALL),
-t AS (SELECT f.lang, f.source, f.metric, {pick('q25')} AS q25, {pick('q75')} AS q75 FROM {quartiles('lang, source')} f
-  JOIN {quartiles('lang')} b ON f.lang IS NOT DISTINCT FROM b.lang AND f.metric = b.metric JOIN {quartiles('')} a ON f.metric = a.metric),
-v AS (SELECT rid, bool_and(v <= q75 + {quality.REACH} * (q75 - q25) + {slack} AND (l.metric NOT IN ({two}) OR v >= q25 - {quality.REACH} * (q75 - q25) - {slack})) AS good
-  FROM (SELECT * FROM l WHERE NOT base_failed) l JOIN (SELECT lang AS tl, source AS ts, metric AS tm, q25, q75 FROM t) t ON l.lang IS NOT DISTINCT FROM tl AND l.source IS NOT DISTINCT FROM ts AND l.metric = tm GROUP BY rid)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(good, true) AS kept FROM m LEFT JOIN v ON m.rid = v.rid
+h AS (SELECT lang, source, metric, (v >> greatest(0, length(bin(v)) - 6)) << greatest(0, length(bin(v)) - 6) AS bucket, count(*) AS n
+  FROM l WHERE NOT base_failed GROUP BY ALL),
+t AS (SELECT f.lang AS tl, f.source AS ts, f.metric, {pick} FROM {quantiles('lang, source')} f
+  JOIN {quantiles('lang')} b ON f.lang IS NOT DISTINCT FROM b.lang AND f.metric = b.metric JOIN {quantiles('')} a ON f.metric = a.metric),
+z AS (SELECT tl, ts, {', '.join(fences)} FROM t GROUP BY tl, ts)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {good} AS kept
+FROM m LEFT JOIN z ON lang IS NOT DISTINCT FROM tl AND source IS NOT DISTINCT FROM ts
 """
 
 

@@ -364,10 +364,12 @@ def slow_measure(text):
     n = Counter(windows)
     inside = {i + j for i, x in enumerate(windows) if n[x] > 1 for j in range(3)}
     lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
-    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(inside)
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(inside), len(lines)
 
 
-def test_measures():
+@pytest.mark.parametrize("long", [200_000, 3])
+def test_measures(monkeypatch, long):
+    monkeypatch.setattr(quality, "LONG", long)
     rng = random.Random(3)
     texts = AWKWARD + ["".join(rng.choice(["a ", "b ", "c\n", "é# ", "\x0b", " ", "\u00a0x "]) for _ in range(rng.randrange(60))) for _ in range(400)]
     for t in texts:
@@ -382,26 +384,47 @@ def slow_bucket(v):
 def slow_kept(rows, min_group):
     """rows: id -> (lang, source, counts)."""
     base = lambda c: c[0] < 50 or 100 * c[4] > 50 * c[0]
-    ratio = lambda c: {"sym_pm": c[2] * 1000 // max(1, c[0]), "dup_pm": c[3] * 1000 // max(1, c[0]), "rep_pm": c[4] * 1000 // max(1, c[0]), "len_c": c[1] * 100 // max(1, c[0])}
+    share = lambda n, grace, size: max(0, n - grace) * 1000 // max(1, size)
+    ratio = lambda c: {"sym_pm": share(c[2], 2, c[0]), "dup_pm": share(c[3], 1, c[5]), "rep_pm": share(c[4], 20, c[0]), "len_c": c[1] * 100 // max(1, c[0]), "n_words": c[0], "n_lines": c[5]}
     out = {}
     for k, (lang, source, c) in rows.items():
         if base(c):
             out[k] = (True, False)
             continue
-        good = True
-        for metric, (slack, two) in quality.FENCES.items():
-            for fits in (lambda r: r[:2] == (lang, source), lambda r: r[0] == lang, lambda r: True):
-                v = sorted(slow_bucket(ratio(r[2])[metric]) for r in rows.values() if fits(r) and not base(r[2]))
-                if len(v) >= min_group:
-                    break
-            q = lambda x: v[(len(v) * x + 3) // 4 - 1]  # noqa: B023, E731
-            spread = 3 * (q(3) - q(1))
-            mine = ratio(c)[metric]
-            good &= mine <= q(3) + spread + slack and (not two or mine >= q(1) - spread - slack)
+        for fits in (lambda r: r[:2] == (lang, source), lambda r: r[0] == lang, lambda r: True):
+            group = [ratio(r[2]) for r in rows.values() if fits(r) and not base(r[2])]
+            if len(group) >= min_group:
+                break
+
+        def q(metric, share, of):
+            v = sorted(slow_bucket(r[metric]) for r in group)  # noqa: B023
+            return v[-(-len(v) * share // of) - 1]
+
+        mine, good = ratio(c), True
+        for metric, size, grace in (("sym_pm", "n_words", 2), ("dup_pm", "n_lines", 1), ("rep_pm", "n_words", 20)):
+            high = q(metric, 9, 10)
+            good &= mine[metric] <= high + 3 * (high - q(metric, 1, 2)) + 1000 * grace // max(1, q(size, 1, 2))
+        a, b = q("len_c", 1, 4), q("len_c", 3, 4)
+        good &= a - 3 * (b - a) - 80 <= mine["len_c"] <= b + 3 * (b - a) + 80
         out[k] = (False, good)
     return out
 
 
+def test_each_quality_rule_fires(spark):
+    """Many repeated lines, repeated words, symbols or overlong words fail where the group has none; a single repeated line does not."""
+    rng = random.Random(12)
+    word = lambda n=6: "".join(rng.choice("abcdefgh") for _ in range(n))
+    lines = lambda: [" ".join(word() for _ in range(8)) for _ in range(12)]
+    texts = ["\n".join(lines()) for _ in range(150)]
+    bad = lines()
+    passage = " ".join(word() for _ in range(20))
+    texts += ["\n".join(bad + bad[:5]), " ".join([passage, *lines(), passage, *lines()[:2], passage]), "\n".join(lines()).replace(" ", "# "), " ".join(word(14) for _ in range(80))]
+    texts += ["\n".join([*bad, bad[0]])]
+    df = spark.createDataFrame([(k, t, "en", "s") for k, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string")
+    gone = {r.doc_id for r in quality.quality(df).collect() if not r.kept}
+    assert gone == {150, 151, 152, 153}
+
+
 def test_quality_against_sorted_groups(spark):
     table = spark.read.parquet(f"{SF}/documents.parquet")
     rows = {r.doc_id: (r.lang, r.source, slow_measure(r.text)) for r in table.collect()}
