@@ -1,16 +1,17 @@
 """Mixing sources to target weights with soft domain membership.
 
-A classifier fitted on a labelled table gives every document posteriors over domains.  Documents whose
-posteriors agree on a grid of ``GRID`` steps form a cell and share a rate; one shuffle sums tokens and
-expected domain tokens by cell.  The rates r >= 0 minimise
+A classifier fitted on a labelled table gives every document posteriors over domains.  The rates r >= 0 of
+documents minimise
 
     1/2 |sum_i r_i t_i p_i / T - target|^2 + ridge/2 sum_i (t_i / T) (r_i - 1)^2
 
-with a ridge so small that it only chooses among rates that come equally close to the targets; p_i is
-the mean posterior of the cell's tokens.  At the minimum r_i = max(0, 1 + p_i v) for one v of D numbers,
-which is found by Newton steps with step halving on the dual: each is one Spark aggregation over the
-cells, of which D + D^2 + 1 sums reach the driver.  Where the steps do not settle a warning gives the residual.
-The number of cells is at most C(GRID + D - 1, D - 1) whatever the number of documents.
+with a ridge so small that it only chooses among rates that come equally close to the targets; t_i are a
+document's tokens, p_i its posteriors.  At the minimum r_i = max(0, 1 + p_i v) for one v of D numbers, so
+nothing but v travels to the documents.  v is found by projected Newton steps with step halving on the dual:
+first over cells of documents whose posteriors agree on a grid of ``GRID`` steps (one shuffle sums tokens and
+expected domain tokens by cell), then over the documents themselves until the gradient is settled.  Each step
+is one aggregation, of which D + D^2 + 1 sums reach the driver.  Where steps do not settle a warning gives
+the residual.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from .scratch import Scratch, small_batches
 from .words import blocks, utf8, word_hashes
 
-#: At most so many labelled documents, those with the smallest hash of their id, fit the classifier.
+#: At most so many labelled documents, those with the smallest hash of their id, one text each, fit the classifier.
 MAX_LABELLED = 20_000
 FEATURES = 1 << 16
 GRID = 64
@@ -107,7 +108,8 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, domains: list[str], mos
     known = labelled.where(F.col("domain").isin(domains) & F.col("doc_id").isNotNull())
     chosen = known.select("doc_id", "domain").orderBy(F.xxhash64("doc_id"), "doc_id", "domain").limit(most)
     half = F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(2)).cast("int")
-    train = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").select("text", "domain", half.alias("half"))
+    train = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
+    train = train.groupBy("doc_id", "domain").agg(F.min("text").alias("text")).select("text", "domain", half.alias("half"))
     code = {x: i for i, x in enumerate(domains)}
 
     def count(batches):
@@ -156,46 +158,21 @@ def membership(classifier: Classifier, text: Column) -> Column:
     return member(text)
 
 
-def fit_rates(cells: DataFrame, targets: list[float], steps: int = STEPS, ridge: float = RIDGE) -> DataFrame:
-    """``cells``: cell, tokens, and perhaps expected (domain tokens in FRACTIONs).  Returns cell, rate.  No tokens: every rate is 1."""
-    total = cells.agg(F.sum("tokens").alias("t")).first().t or 0
-    if not total:
-        return cells.select("cell", F.lit(1.0).alias("rate"))
-    d = len(targets)
-
-    def posteriors(batch) -> np.ndarray:
-        p = np.array(batch.column("cell").to_pylist(), np.float64).reshape(-1, d) / GRID
-        if "expected" in batch.schema.names:
-            tokens = batch.column("tokens").to_numpy()
-            some = tokens > 0
-            p[some] = np.array(batch.column("expected").to_pylist(), np.float64).reshape(-1, d)[some] / FRACTION / tokens[some, None]
-        return p
-
-    names = ["f", *[f"g{j}" for j in range(d)], *[f"h{j}" for j in range(d * d)]]
-
-    def at(v: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        """The dual's value, gradient and second derivative at ``v``."""
-
-        def partial(batches):
-            sums = np.zeros(len(names))
-            for batch in batches:
-                p, w = posteriors(batch), batch.column("tokens").to_numpy() / total
-                r = np.maximum(0, 1 + p @ v)
-                sums += [w @ (r * r) / 2, *(p.T @ (w * r)), *(p.T @ (p * (w * (r > 0))[:, None])).ravel()]
-            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in sums], names)
+def _newton(at, goal: np.ndarray, ridge: float, steps: int, point: np.ndarray) -> np.ndarray:
+    """The v at which the dual's gradient vanishes.  ``at``: v -> (sum w r^2 / 2, sum w r p, sum over r > 0 of w p p')."""
 
-        got = np.array(cells.mapInArrow(partial, ",".join(f"{x} double" for x in names)).agg(*[F.sum(x) for x in names]).first())
-        return got[0] - goal @ v + ridge / 2 * v @ v, got[1 : 1 + d] - goal + ridge * v, got[1 + d :].reshape(d, d) + ridge * np.eye(d)
+    def dual(v: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        value, slope, bend = at(v)
+        return value - goal @ v + ridge / 2 * v @ v, slope - goal + ridge * v, bend + ridge * np.eye(len(v))
 
-    goal, point = np.array(targets), np.zeros(d)
-    (value, slope, bend), size, settled = at(point), 1.0, False
+    (value, slope, bend), size, settled = dual(point), 1.0, False
     for _ in range(steps):
         settled = np.abs(slope).max() < SETTLED
         if settled:
             break
         if size == 1.0:
             step = -np.linalg.solve(bend, slope)
-        trial = at(point + size * step)
+        trial = dual(point + size * step)
         if trial[0] <= value + 1e-4 * size * (slope @ step) or np.abs(trial[1]).max() < SETTLED:
             point, (value, slope, bend), size = point + size * step, trial, 1.0
         elif size < 1e-9:
@@ -204,51 +181,106 @@ def fit_rates(cells: DataFrame, targets: list[float], steps: int = STEPS, ridge:
             size /= 2
     if not settled:
         logging.getLogger(__name__).warning("rates not settled; domain shares miss their targets by %s", (slope - ridge * point).tolist())
+    return point
 
-    def rates(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("cell"), pa.array(np.maximum(0, 1 + posteriors(batch) @ point))], ["cell", "rate"])
 
-    return cells.mapInArrow(rates, "cell array<int>, rate double")
+def fit_cells(cells: DataFrame, targets: list[float], steps: int = STEPS, ridge: float = RIDGE) -> np.ndarray:
+    """v over ``cells``: cell, tokens, and perhaps expected (domain tokens in FRACTIONs).  No tokens: zeros."""
+    total, d = cells.agg(F.sum("tokens").alias("t")).first().t or 0, len(targets)
+    if not total:
+        return np.zeros(d)
+    names = ["f", *[f"g{j}" for j in range(d)], *[f"h{j}" for j in range(d * d)]]
+
+    def at(v: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        def partial(batches):
+            sums = np.zeros(len(names))
+            for batch in batches:
+                p, w = cell_posteriors(batch, d), batch.column("tokens").to_numpy() / total
+                r = np.maximum(0, 1 + p @ v)
+                sums += [w @ (r * r) / 2, *(p.T @ (w * r)), *(p.T @ (p * (w * (r > 0))[:, None])).ravel()]
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in sums], names)
+
+        got = np.array(cells.mapInArrow(partial, ",".join(f"{x} double" for x in names)).agg(*[F.sum(x) for x in names]).first())
+        return got[0], got[1 : 1 + d], got[1 + d :].reshape(d, d)
+
+    return _newton(at, np.array(targets), ridge, steps, np.zeros(d))
+
+
+def cell_posteriors(batch, d: int) -> np.ndarray:
+    """The mean posteriors of a cell's tokens, or the cell's own where it has none."""
+    p = np.array(batch.column("cell").to_pylist(), np.float64).reshape(-1, d) / GRID
+    if "expected" in batch.schema.names:
+        tokens = batch.column("tokens").to_numpy()
+        some = tokens > 0
+        p[some] = np.array(batch.column("expected").to_pylist(), np.float64).reshape(-1, d)[some] / FRACTION / tokens[some, None]
+    return p
+
+
+def rate_of(posterior: Column, v: np.ndarray) -> Column:
+    """max(0, 1 + p v)"""
+    inner = sum((posterior[k] * F.lit(float(x)) for k, x in enumerate(v)), F.lit(1.0))
+    return F.greatest(F.lit(0.0), inner)
+
+
+def fit_documents(members: DataFrame, targets: list[float], start: np.ndarray, steps: int = STEPS, ridge: float = RIDGE) -> np.ndarray:
+    """v over ``members`` (tokens, posterior), from ``start``; sums are built-in aggregates."""
+    total, d = members.agg(F.sum("tokens").alias("t")).first().t or 0, len(targets)
+    if not total:
+        return start
+
+    def at(v: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        w, p = F.col("tokens") / F.lit(float(total)), [F.col("posterior")[k] for k in range(d)]
+        r = F.col("r")
+        sums = [F.sum(w * r * r / 2), *[F.sum(w * r * x) for x in p], *[F.sum(F.when(r > 0, w * p[i] * p[j]).otherwise(0.0)) for i in range(d) for j in range(i, d)]]
+        got = np.array(members.withColumn("r", rate_of(F.col("posterior"), v)).agg(*sums).first(), float)
+        bend = np.zeros((d, d))
+        bend[np.triu_indices(d)] = got[1 + d :]
+        return got[0], got[1 : 1 + d], bend + np.triu(bend, 1).T
+
+    return _newton(at, np.array(targets), ridge, steps, start)
+
+
+def fit(members: DataFrame, targets: dict[str, float], scratch: Scratch) -> np.ndarray:
+    """v for ``members`` (tokens, posterior, cell): over cells, then over documents."""
+    expected = [F.sum(F.round(F.col("tokens") * F.col("posterior")[k] * FRACTION).cast("bigint")) for k in range(len(targets))]
+    cells = scratch.save(members.groupBy("cell").agg(F.sum("tokens").alias("tokens"), F.array(*expected).alias("expected")), "cells")
+    shares = [x / sum(targets.values()) for x in targets.values()]
+    return fit_documents(members, shares, fit_cells(cells, shares))
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
     """doc_id, tokens, posterior, rate for every row.
 
-    Null and empty texts have no tokens and the posterior of an empty text.  Equal texts get equal
-    rates.  With no labelled row posteriors are uniform.
+    Null and empty texts have no tokens and the posterior of an empty text.  Equal texts get equal rates,
+    repeated rows and ids included.  With no labelled row posteriors are uniform; without tokens every rate
+    is 1.  Of a repeated id's texts the alphabetically first trains.  An empty table gives no rows; other
+    columns are not read.
     """
     targets = targets or TARGETS
-    spark = docs.sparkSession
-    small_batches(spark)
-    scratch = Scratch(spark)
+    small_batches(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession)
     classifier = fit_classifier(docs, labelled, list(targets))
     slim = scratch.save(docs.select("doc_id", membership(classifier, F.col("text")).alias("m")).select("doc_id", "m.*"), "members")
-    rates = scratch.save(_rates(slim, targets, scratch), "rates")
-    return slim.join(F.broadcast(rates), "cell", "left").select("doc_id", "tokens", "posterior", F.coalesce("rate", F.lit(1.0)).alias("rate"))
-
-
-def _rates(members: DataFrame, targets: dict[str, float], scratch: Scratch) -> DataFrame:
-    expected = [F.sum(F.round(F.col("tokens") * F.col("posterior")[k] * FRACTION).cast("bigint")) for k in range(len(targets))]
-    cells = scratch.save(members.groupBy("cell").agg(F.sum("tokens").alias("tokens"), F.array(*expected).alias("expected")), "cells")
-    total = sum(targets.values())
-    return fit_rates(cells, [x / total for x in targets.values()])
+    v = fit(slim, targets, scratch)
+    scratch.drop("cells")
+    return slim.select("doc_id", "tokens", "posterior", F.round(rate_of(F.col("posterior"), v), 9).alias("rate"))
 
 
 def resample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
-    """Rows of ``docs``, all columns, each as often as its rate says: the whole part, and once more with the rest as chance.
+    """Rows of ``docs``, all columns whatever their names, each as often as its rate says: the whole part, and once more with the rest as chance.
 
-    The chance is a hash of the row's id and text, so a rerun gives the same rows.
+    The chance is a hash of the row's id and text, so a rerun gives the same rows, and equal rows stay or go
+    together.  Nulls, ties, repeats and empty tables as in ``mix``.
     """
     targets = targets or TARGETS
-    spark = docs.sparkSession
-    small_batches(spark)
-    scratch = Scratch(spark)
+    small_batches(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession)
     classifier = fit_classifier(docs, labelled, list(targets))
     member = membership(classifier, F.col("text"))
-    rates = scratch.save(_rates(docs.select(member.alias("m")).select("m.cell", "m.tokens", "m.posterior"), targets, scratch), "rates")
+    slim = scratch.save(docs.select(member.alias("m")).select("m.cell", "m.tokens", "m.posterior"), "members")
+    v = fit(slim, targets, scratch)
+    scratch.clear()
     chance = F.pmod(F.xxhash64(F.lit("mix"), "row.doc_id", "row.text"), F.lit(1_000_000)) / 1_000_000
-    rows = docs.select(F.struct(*docs.columns).alias("row"), member["cell"].alias("cell")).join(F.broadcast(rates), "cell", "left")
-    rate = F.coalesce(F.col("rate"), F.lit(1.0))
-    times = (F.floor(rate) + F.when(chance < rate - F.floor(rate), 1).otherwise(0)).cast("int")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.round(rate_of(member["posterior"], v), 9).alias("rate"))
+    times = (F.floor("rate") + F.when(chance < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int")
     return rows.where(times > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), times))).select("row.*")

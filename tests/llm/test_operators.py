@@ -532,15 +532,17 @@ def test_alignment_is_common_and_rising():
 # -- 10 -----------------------------------------------------------------------------------------------
 
 
-def test_mixing_meets_targets(spark):
-    table = spark.read.parquet(f"{SF}/documents.parquet")
-    labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", mixing.domain_of_labels().alias("domain"))
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_mixing_meets_targets(spark, sf):
+    """Expected domain totals within 1 % of every target, which these posteriors can all meet."""
+    table = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    labels = spark.read.parquet(f"/root/testdata/{sf}/labels.parquet").select("doc_id", mixing.domain_of_labels().alias("domain"))
     rows = mixing.mix(table, labels).collect()
     assert len(rows) == table.count() and all(r.rate >= 0 and abs(sum(r.posterior) - 1) < 1e-6 for r in rows)
     total = sum(r.tokens for r in rows)
-    before, after = (np.array([sum(r.tokens * (r.rate if k else 1) * r.posterior[d] for r in rows) / total for d in range(3)]) for k in (0, 1))
+    after = np.array([sum(r.tokens * r.rate * r.posterior[d] for r in rows) / total for d in range(3)])
     goal = np.array(list(mixing.TARGETS.values()))
-    assert np.abs(after - goal).sum() < np.abs(before - goal).sum() and np.abs(after - goal).max() < 0.06
+    assert (np.abs(after - goal) <= 0.01 * goal).all()
 
 
 def test_rates_against_a_solver(spark):
@@ -550,7 +552,8 @@ def test_rates_against_a_solver(spark):
     t = rng.integers(1, 100, len(p)).astype(float)
     goal = np.array([0.7, 0.1, 0.2])
     cells = spark.createDataFrame([([int(x) for x in c], int(n)) for c, n in zip(p, t, strict=True)], "cell array<int>, tokens bigint")
-    got = {tuple(r.cell): r.rate for r in mixing.fit_rates(cells, goal.tolist(), steps=60, ridge=0.3).collect()}
+    v = mixing.fit_cells(cells, goal.tolist(), steps=60, ridge=0.3)
+    got = {tuple(c): max(0, 1 + c / mixing.GRID @ v) for c in p}
     q, w, r = p / mixing.GRID, t / t.sum(), np.ones(len(p))
     for _ in range(20000):
         r = np.maximum(0, r - (q @ (q.T @ (w * r) - goal) + 0.3 * (r - 1)) / 1.3)
@@ -564,7 +567,8 @@ def test_domain_totals_are_the_best_reachable(spark, sure):
     t = np.array([76_000, 13_000, 11_000])
     rows = [([64 if j == k else 0 for j in range(3)], int(t[k]), [int(t[k] * x) for x in p[k]]) for k in range(3)]
     cells = spark.createDataFrame(rows, "cell array<int>, tokens bigint, expected array<bigint>")
-    got = {r.cell.index(64): r.rate for r in mixing.fit_rates(cells, list(mixing.TARGETS.values())).collect()}
+    v = mixing.fit_cells(cells, list(mixing.TARGETS.values()))
+    got = {k: max(0, 1 + p[k] / mixing.FRACTION @ v) for k in range(3)}
     after = (t / t.sum() * [got[k] for k in range(3)]) @ (p / mixing.FRACTION)
     # At 0.8 the best is to keep the documents of the first domain only, as many as come closest: r = p.goal / p.p.
     best = [0.90, 0.05, 0.05] if sure > 0.8 else np.array([0.8, 0.1, 0.1]) * (0.8 * 0.9 + 0.1 * 0.05 * 2) / 0.66
@@ -580,7 +584,40 @@ def test_mixing_totals_of_real_posteriors(spark):
     w, goal, r = t / t.sum(), np.array(list(mixing.TARGETS.values())), np.ones(len(rows))
     for _ in range(20000):
         r = np.maximum(0, r - p @ (p.T @ (w * r) - goal))
-    assert np.abs(p.T @ (w * rate) - p.T @ (w * r)).max() < 2e-3
+    assert np.abs(p.T @ (w * rate) - p.T @ (w * r)).max() < 1e-5
+
+
+def test_posteriors_by_hand(spark):
+    """The classifier's features and posteriors from plain counts of words, and its fit against many small gradient steps."""
+    domains = ["x", "y"]
+    texts = [("red blue red", "x"), ("blue green", "x"), ("dog cat", "y"), ("cat cat mouse dog", "y")] * 8
+    table = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(texts)], "doc_id bigint, text string")
+    labelled = spark.createDataFrame([(k, d) for k, (_, d) in enumerate(texts)], "doc_id bigint, domain string")
+    got = mixing.fit_classifier(table, labelled, domains)
+    half = {r.doc_id: r.h for r in table.select("doc_id", F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(2)).alias("h")).collect()}
+    counts = Counter()
+    for k, (t, d) in enumerate(texts):
+        if half[k] == 0:
+            counts.update((w, domains.index(d)) for w in t.split())
+    size = [sum(n for (_, e), n in counts.items() if e == d) for d in range(2)]
+    logs = lambda w: np.log([(counts[w, d] + 0.5) / (size[d] + 0.5 * mixing.FEATURES) for d in range(2)])
+
+    def features(t):
+        odds = np.array([logs(w) - logs(w).mean() for w in t.split()])
+        return np.concatenate([odds.mean(0), odds.max(0), [np.log1p(len(odds))]])
+
+    for t in ("red blue red", "cat green"):
+        assert np.allclose(got.features([t.encode()])[0][0], features(t), atol=1e-5)
+    x = np.array([features(t) for k, (t, _) in enumerate(texts) if half[k]])
+    y = np.eye(2)[[domains.index(d) for k, (_, d) in enumerate(texts) if half[k]]]
+    design = np.hstack([(x - x.mean(0)) / (x.std(0) + 1e-9), np.ones((len(x), 1))])
+    w = np.zeros((design.shape[1], 2))
+    for _ in range(20000):
+        e = np.exp(design @ w)
+        w -= 0.05 * (design.T @ (e / e.sum(1, keepdims=True) - y) / len(x) + 1e-4 * w)
+    mine = got.posteriors([t.encode() for k, (t, _) in enumerate(texts) if half[k]])[0]
+    e = np.exp(design @ w)
+    assert np.abs(mine - e / e.sum(1, keepdims=True)).max() < 0.02
 
 
 def test_mixing_awkward(spark):
