@@ -1,16 +1,19 @@
-"""License notices found by patience alignment.
+"""Licence texts and notices found by patience alignment.
 
-Words unique both in the text's window and in the template are anchors; the longest increasing
-subsequence of their positions is kept, and the gaps between anchors are aligned in the same way, with
-the equal words at either end of a gap matched first.  Coverage is the share of the template's words
-that are aligned.  Windows are the regions of the whole text dense in the template's words, so nothing
-that could reach the asked coverage within a window's length is passed over.
+Words unique both in the text's window and in the template are anchors; the longest increasing subsequence
+of their positions is kept, and the gaps between anchors are aligned in the same way, with the equal words at
+either end of a gap matched first.  A gap without a unique word is anchored at its rarest common words.
+Coverage is the share of the whole template's words that are aligned; a template of fewer than SHORT words
+must be there completely, as one other word makes it another notice.
+
+Where to align: a text is reduced to the words of a template that stand near three of its words in a row.
+Words between the parts of a notice, however many, fall away, and so do the same words in ordinary prose.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, insort
 from collections import Counter
 
 import numpy as np
@@ -19,20 +22,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import worker
+from .license_texts import TEMPLATES
 from .scratch import small_batches
 
-#: Notices as licence stewards publish them.
-TEMPLATES = {
-    "apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at',
-    "mit": "Released under the MIT License.",
-    "mit-permission": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction',
-    "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
-    "bsd-redistribution": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-}
 COVERAGE = 0.8
+SHORT = 16
+#: Words beside three in a row that may belong to a notice.
+MARGIN = 6
+#: Characters of a text that are split into words at once; only a template's words are kept of them.
+PIECE = 1 << 20
 
 _WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
 
@@ -41,8 +39,19 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def _pieces(text: str):
+    """The text in pieces of about PIECE characters that end at white space."""
+    at = 0
+    while len(text) - at > PIECE:
+        space = re.compile(r"\s").search(text, at + PIECE)
+        stop = space.end() if space else len(text)
+        yield text[at:stop]
+        at = stop
+    yield text[at:]
+
+
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The longest subsequence with rising second members, by patience piles."""
+    """The longest subsequence rising in both members, by patience piles.  ``pairs``: by rising first, then falling second members."""
     tops: list[int] = []
     at: list[int] = []
     back = [-1] * len(pairs)
@@ -61,7 +70,7 @@ def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def align(text: list[str], template: list[str]) -> list[tuple[int, int]]:
+def align(text: list, template: list) -> list[tuple[int, int]]:
     """Matched (text position, template position) pairs, rising in both."""
     out: list[tuple[int, int]] = []
     todo = [(0, len(text), 0, len(template))]
@@ -76,10 +85,15 @@ def align(text: list[str], template: list[str]) -> list[tuple[int, int]]:
         if a == b or c == d:
             continue
         ours, theirs = Counter(text[a:b]), Counter(template[c:d])
-        where = {w: j for j, w in enumerate(template[c:d], c) if theirs[w] == 1}
-        anchors = _increasing([(i, where[w]) for i, w in enumerate(text[a:b], a) if ours[w] == 1 and w in where])
-        if not anchors:
+        times = {w: n * theirs[w] for w, n in ours.items() if w in theirs}
+        if not times:
             continue
+        rarest = min(times.values())  # 1: unique in both
+        where: dict = {}
+        for j in range(d - 1, c - 1, -1):
+            if times.get(template[j]) == rarest:
+                where.setdefault(template[j], []).append(j)
+        anchors = _increasing([(i, j) for i in range(a, b) for j in where.get(text[i], ())])
         out += anchors
         i0, j0 = a, c
         for i, j in [*anchors, (b, d)]:
@@ -88,38 +102,91 @@ def align(text: list[str], template: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+class _Template:
+    def __init__(self, name: str, found: list[str], code: dict[str, int], coverage: float):
+        self.name, self.codes = name, [code[w] for w in found]
+        m = len(found)
+        self.need = m if m < SHORT else max(1, int(np.ceil(coverage * m)))
+        self.vocabulary = set(self.codes)
+        #: Three words in a row (fewer in a shorter template) -> their first place.
+        self.run = min(3, m)
+        self.seeds: dict[tuple, int] = {}
+        for j in range(m - self.run, -1, -1):
+            self.seeds[tuple(self.codes[j : j + self.run])] = j
+        #: Words of which a text with enough of the template must have one: the longest, as few as suffice.
+        self.marks, left = set(), m - self.need + 1
+        for w, n in sorted(Counter(found).items(), key=lambda x: (-len(x[0]), x[0])):
+            if left <= 0:
+                break
+            self.marks.add(w)
+            left -= n
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str], coverage: float):
-        self.coverage = coverage
-        self.templates = {k: words(v) for k, v in templates.items() if words(v)}
-        self.vocabulary = {w for t in self.templates.values() for w in t}
-
-    def _windows(self, found: list[str], template: list[str], places: dict[str, list[int]]):
-        """(first word, aligned words, range) of windows that reach the coverage, left to right."""
-        need = int(np.ceil(self.coverage * len(template)))
-        mine = [places[w] for w in dict.fromkeys(template) if w in places]
-        if not mine or sum(w in places for w in template) < need:
-            return
-        hits = np.sort(np.concatenate([np.array(x) for x in mine]))
-        size = len(template) + max(3, len(template) // 3)
-        if len(hits) < need:
-            return
-        dense = hits[np.flatnonzero(hits[need - 1 :] - hits[: len(hits) - need + 1] < size)]
+        found = {k: words(v) for k, v in templates.items()}
+        found = {k: v for k, v in found.items() if v}
+        self.code = {w: i for i, w in enumerate(dict.fromkeys(w for v in found.values() for w in v))}
+        self.templates = [_Template(k, v, self.code, coverage) for k, v in found.items()]
+        self.marks = {w for t in self.templates for w in t.marks}
+
+    def _hits(self, text: str) -> tuple[list[int], list[int], set[str]]:
+        """Places and codes of the words that any template has, and the marks among them; empty without a mark."""
+        places, codes, marks, at = [], [], set(), 0
+        get = self.code.get
+        for piece in _pieces(text):
+            found = words(piece)
+            marks |= self.marks.intersection(found)
+            for i, w in enumerate(found, at):
+                c = get(w)
+                if c is not None:
+                    places.append(i)
+                    codes.append(c)
+            at += len(found)
+        return places, codes, marks
+
+    @staticmethod
+    def _near(t: _Template, places: list[int], codes: list[int]) -> tuple[list[int], list[int], list[int]]:
+        """(places, codes: the template's words near a seed; indices among them where an early seed starts)."""
+        k, seeds = t.run, []
+        for i in range(len(codes) - k + 1):
+            if places[i + k - 1] - places[i] == k - 1:
+                j = t.seeds.get(tuple(codes[i : i + k]))
+                if j is not None:
+                    seeds.append((places[i], j))
+        near_places, near_codes, starts, s = [], [], [], 0
+        first = dict(seeds)
+        for p, c in zip(places, codes, strict=True):
+            while s + 1 < len(seeds) and p > seeds[s][0] + k - 1 + MARGIN:
+                s += 1
+            if seeds and seeds[s][0] - MARGIN <= p <= seeds[s][0] + k - 1 + MARGIN and c in t.vocabulary:
+                if first.get(p, len(t.codes)) <= len(t.codes) - t.need:
+                    starts.append(len(near_places))
+                near_places.append(p)
+                near_codes.append(c)
+        return near_places, near_codes, starts
+
+    def _found(self, t: _Template, places: list[int], codes: list[int]):
+        """Notices (aligned words, first word, word after the last), left to right."""
+        places, codes, starts = self._near(t, places, codes)
         best: tuple[int, int, int] | None = None
-        taken = 0
-        for lo in dense.tolist():
-            if best and lo > best[1]:
+        taken = -1
+        for lo in starts:
+            if best and places[lo] > best[1]:
                 yield best
                 taken, best = best[2], None
-            if lo < taken:
-                continue
-            window = found[lo : lo + size]
-            have = set(window)
-            if sum(w in have for w in template) < need:
-                continue
-            pairs = align(window, template)
-            if len(pairs) >= need and (best is None or len(pairs) > best[0]):
-                best = (len(pairs), lo + pairs[0][0], lo + pairs[-1][0] + 1)
+            # From the three words themselves, and with what stands before them.
+            for at in dict.fromkeys((lo, max(0, lo - MARGIN))):
+                while at < len(places) and places[at] < taken:
+                    at += 1
+                window = codes[at : at + 2 * len(t.codes) + 2 * MARGIN]
+                if len(window) < t.need:
+                    continue
+                pairs = align(window, t.codes)
+                if len(pairs) >= t.need:
+                    mine = (len(pairs), places[at + pairs[0][0]], places[at + pairs[-1][0]] + 1)
+                    if best is None or (mine[0], mine[1] - mine[2]) > (best[0], best[1] - best[2]):
+                        best = mine
         if best:
             yield best
 
@@ -127,30 +194,29 @@ class Scanner:
         """Every notice found: license, coverage, first word, word after the last; ordered by place."""
         if not text:
             return []
-        found = words(text)
-        seen = self.vocabulary.intersection(found)
-        places: dict[str, list[int]] = {w: [] for w in seen}
-        if any(sum(w in seen for w in t) >= self.coverage * len(t) for t in self.templates.values()):
-            for i, w in enumerate(found):
-                if w in seen:
-                    places[w].append(i)
-        else:
+        places, codes, marks = self._hits(text)
+        if not marks:
             return []
-        out = []
-        for name, template in self.templates.items():
-            for n, first, last in self._windows(found, template, places):
-                out.append({"license": name, "coverage": n / len(template), "first": first, "last": last})
+        seen, out = set(codes), []
+        for t in self.templates:
+            if t.marks.isdisjoint(marks) or sum(c in seen for c in t.codes) < t.need:
+                continue
+            for n, first, last in self._found(t, places, codes):
+                out.append({"license": t.name, "coverage": n / len(t.codes), "first": first, "last": last, "words": n})
         return self._settle(out)
 
     @staticmethod
     def _settle(found: list[dict]) -> list[dict]:
-        """Of overlapping notices the one with more aligned words; ties to the earlier name."""
-        size = lambda x: (-x["coverage"] * (x["last"] - x["first"]), x["license"])
-        kept: list[dict] = []
-        for x in sorted(found, key=size):
-            if all(x["last"] <= y["first"] or y["last"] <= x["first"] for y in kept):
-                kept.append(x)
-        return sorted(kept, key=lambda x: (x["first"], x["license"]))
+        """Of overlapping notices the one with more aligned words, then the higher coverage; ties to the earlier name."""
+        kept: list[tuple[int, int]] = []
+        out = []
+        for x in sorted(found, key=lambda x: (-x["words"], -x["coverage"], x["license"], x["first"])):
+            at = bisect_left(kept, (x["first"], x["first"]))
+            if (at and kept[at - 1][1] > x["first"]) or (at < len(kept) and kept[at][0] < x["last"]):
+                continue
+            insort(kept, (x["first"], x["last"]))
+            out.append({k: x[k] for k in ("license", "coverage", "first", "last")})
+        return sorted(out, key=lambda x: (x["first"], x["license"]))
 
 
 _TYPE = "array<struct<license:string,coverage:double,first:int,last:int>>"
@@ -170,6 +236,12 @@ def notices(text: Column, templates: dict[str, str] | None = None, coverage: flo
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
-    """doc_id, notices for every row; rows are independent, so null or repeated ids stay as they are."""
+    """doc_id, notices for every row.
+
+    Null and empty texts have none.  Rows are independent: null or repeated ids stay as they are, repeated
+    rows get equal results, an empty table gives no rows.  Of overlapping notices the one with more aligned
+    words stays, ties go to the alphabetically first licence.  Other columns are not read, so their names do
+    not matter.  A long text is read in pieces of which only a template's words are kept.
+    """
     small_batches(docs.sparkSession)
     return docs.select("doc_id", notices(F.col("text"), templates, coverage).alias("notices"))

@@ -468,7 +468,8 @@ def _rest_of_hot(hot: DataFrame, classes: DataFrame, roots: DataFrame, percent:
     right = right.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     goal = _reach(percent, F.col("nx"), F.col("ny"))
     fits = (F.col("x") < F.col("y")) & (F.col("rx") != F.col("ry")) & (F.col("nx") - F.col("px") >= goal) & (F.col("ny") - F.col("py") >= goal)
-    return left.join(right, ["gram", "range", "part"]).where(fits).select("x", "y").distinct()
+    # Sizes after the explodes are unknown to the planner, which must not broadcast them.
+    return left.join(right.hint("merge"), ["gram", "range", "part"]).where(fits).select("x", "y").distinct()
 
 
 def one_row_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:

@@ -504,28 +504,116 @@ def test_protobuf_and_unigram_rebuild():
 # -- 9 ------------------------------------------------------------------------------------------------
 
 
+def found(spark, texts):
+    rows = license_scan.scan_licenses(docs(spark, texts)).collect()
+    return {r.doc_id: [(n.license, n.coverage) for n in r.notices] for r in rows}
+
+
 def test_licenses(spark):
-    mit = license_scan.TEMPLATES["mit-permission"]
-    changed = mit.replace("hereby", "herewith").replace("free of charge, ", "")
-    texts = AWKWARD + [f"filler words {t} more filler" for t in license_scan.TEMPLATES.values()] + [changed, mit.upper(), "the license under which this is licensed", f"{mit}\n{'x ' * 9000}{license_scan.TEMPLATES['gpl-3.0']}"]
-    got = {r.doc_id: [(n.license, n.coverage) for n in r.notices] for r in license_scan.scan_licenses(docs(spark, texts)).collect()}
+    """Every template is found whole, between other words, in any case and with other white space; nothing else is."""
+    names = list(license_scan.TEMPLATES)
+    texts = AWKWARD + [f"filler words {t} more filler" for t in license_scan.TEMPLATES.values()]
+    texts += ["\n * ".join(t.upper().split()) for t in license_scan.TEMPLATES.values()]
+    texts += ["the license under which this is licensed", " ".join(sorted(" ".join(license_scan.TEMPLATES.values()).split()))]
+    got = found(spark, texts)
     n = len(AWKWARD)
     assert all(got[k] == [] for k in range(n))
-    for k, name in enumerate(license_scan.TEMPLATES):
-        assert (name, 1.0) in got[n + k], name
-    k = n + len(license_scan.TEMPLATES)
-    assert got[k][0][0] == "mit-permission" and 0.8 <= got[k][0][1] < 1
-    assert got[k + 1] == [("mit-permission", 1.0)] and got[k + 2] == []
-    assert [x[0] for x in got[k + 3]] == ["mit-permission", "gpl-3.0"]
-
+    for k, name in enumerate(names):
+        assert got[n + k] == [(name, 1.0)], name
+        assert got[n + len(names) + k] == [(name, 1.0)], name
+    assert got[len(texts) - 2] == got[len(texts) - 1] == []
+    assert license_scan.scan_licenses(docs(spark, ["a"]).limit(0)).count() == 0
+
+
+def test_changed_licenses(spark):
+    mit, gpl = (license_scan.TEMPLATES[k] for k in ("mit", "gpl-3.0-notice"))
+    w = mit.split()
+    foreign = lambda n: " ".join(f"inserted{k}" for k in range(n))
+    prose = lambda n: " ".join(random.Random(n).choices("the of to in any copy use software without and sell is for notice with on".split(), k=n))
+    texts = [
+        mit.replace("hereby", "herewith").replace("free of charge, ", ""),  # 0
+        *[" ".join([*w[:80], foreign(n), *w[80:]]) for n in (20, 200, 5000)],  # 1 to 3
+        " ".join([*w[:40], prose(300), *w[40:]]),  # 4
+        " ".join(w[:30]),  # 5: the first sentence only
+        f"{mit}\n{'x ' * 9000}{gpl} {mit}",  # 6
+        "Released under the BSD License. Licensed under CC BY-ND 4.0",  # 7
+        gpl.replace("3", "2"),  # 8
+        prose(3000),  # 9
+        "y " * 700_000 + mit + " z" * 700_000,  # 10: over several pieces
+    ]
+    got = found(spark, texts)
+    assert [x[0] for x in got[0]] == ["mit"] and 0.8 <= got[0][0][1] < 1
+    assert got[1] == got[2] == got[3] == [("mit", 1.0)]
+    assert [x[0] for x in got[4]] == ["mit"] and got[4][0][1] > 0.9
+    assert got[5] == [] and got[9] == []
+    assert got[6] == [("mit", 1.0), ("gpl-3.0-notice", 1.0), ("mit", 1.0)]
+    assert got[7] == [("cc-by-nd-4.0-notice", 1.0)] and got[8] == [("gpl-2.0-notice", 1.0)] and got[10] == [("mit", 1.0)]
+
+
+def test_places_of_licenses_against_brute_force(spark, monkeypatch):
+    """Small templates in random texts: the notices are those that trying every stretch of words finds."""
+    templates = {"a": "one two three four five six", "b": "seven eight nine"}
+    rng = random.Random(11)
+    texts = []
+    for _ in range(120):
+        parts = [rng.choice(["x y", "one two", "three", templates["a"], templates["b"], "nine seven", "z"]) for _ in range(rng.randrange(9))]
+        texts.append(" ".join(parts))
+    monkeypatch.setattr(license_scan, "PIECE", 17)
+    got = license_scan.scan_licenses(docs(spark, texts), templates).collect()
+    for r in got:
+        w = texts[r.doc_id].split()
+        want = [(name, i, i + len(t.split())) for name, t in templates.items() for i in range(len(w)) if w[i : i + len(t.split())] == t.split()]
+        mine = [(n.license, n.first, n.last) for n in r.notices]
+        assert set(want) <= {x if x[2] - x[1] == len(templates[x[0]].split()) else None for x in mine}, texts[r.doc_id]
+        for name, i, j in mine:  # what is found besides has other words between the template's
+            it = iter(w[i:j])
+            assert all(x in it for x in templates[name].split())
+
+
+def slow_align(a, b):
+    """Length of the alignment, by recursion on lists: equal ends, then rarest common words, longest rising chain, gaps."""
+    n = 0
+    while a and b and a[0] == b[0]:
+        a, b, n = a[1:], b[1:], n + 1
+    while a and b and a[-1] == b[-1]:
+        a, b, n = a[:-1], b[:-1], n + 1
+    both = {w: a.count(w) * b.count(w) for w in a if w in b}
+    if not both:
+        return n
+    rare = {w for w, k in both.items() if k == min(both.values())}
+    pairs = [(i, j) for i, w in enumerate(a) for j, v in enumerate(b) if w == v and w in rare]
+    chains = {}
+    for p in pairs:
+        chains[p] = 1 + max((chains[q] for q in pairs if q[0] < p[0] and q[1] < p[1] and q in chains), default=0)
+    return n, max(chains.values()), a, b
+
+
+def test_alignment():
+    """Common, rising, at most as long as the longest common subsequence, as long where words are unique, and one chain step as by hand."""
+
+    def lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(new[-1], row[j + 1]))
+            row = new
+        return row[-1]
 
-def test_alignment_is_common_and_rising():
     rng = random.Random(9)
-    for _ in range(300):
+    for k in range(600):
         a, b = ([rng.choice("abcdefgh") for _ in range(rng.randrange(14))] for _ in range(2))
+        if k % 3 == 0:
+            a, b = (rng.sample("abcdefghijklmnop", rng.randrange(14)) for _ in range(2))
         pairs = license_scan.align(a, b)
         assert all(a[i] == b[j] for i, j in pairs)
         assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:], strict=False))
+        assert len(pairs) <= lcs(a, b)
+        by_hand = slow_align(a, b)
+        assert len(pairs) >= (by_hand if isinstance(by_hand, int) else by_hand[0] + by_hand[1])
+        if len(set(a)) == len(a) and len(set(b)) == len(b):
+            ends = by_hand if isinstance(by_hand, int) else by_hand[0] + lcs(by_hand[2], by_hand[3])
+            assert len(pairs) == ends
     assert len(license_scan.align(list("xabcy"), list("abc"))) == 3
 
 
