@@ -463,6 +463,40 @@ def test_top_k(spark):
     assert got == sorted(want)
 
 
+def slow_top(whole, k=5):
+    want = []
+    for q, v in whole.items():
+        if q % 50 == 0:
+            best = sorted((-int(v @ x), c) for c, x in whole.items() if c != q)[:k]
+            want += [(q, i + 1, c, -s) for i, (s, c) in enumerate(best)]
+    return sorted(want)
+
+
+@pytest.mark.parametrize("spread", [0.02, 0.3])
+def test_top_k_prunes_clusters(spark, monkeypatch, spread):
+    """Of vectors in clusters less than half is replicated to a group of queries; results stay exact, whatever the groups."""
+    monkeypatch.setattr(vector_search, "GROUP", 4)
+    rng = np.random.default_rng(3)
+    heart = rng.normal(size=(20, 16))
+    heart /= np.linalg.norm(heart, axis=1)[:, None]
+    vs = (heart[rng.integers(20, size=3000)] + spread * rng.normal(size=(3000, 16)) / 4).astype(np.float32)
+    table = spark.createDataFrame([(k, [float(x) for x in v]) for k, v in enumerate(vs)], "vec_id bigint, embedding array<float>")
+    # Blocks that the bounds must beat: as many as there are groups.
+    monkeypatch.setattr(vector_search, "QUERY_BLOCK", 4)
+    report = {}
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in vector_search.search(table, report=report).collect())
+    assert got == slow_top({k: np.floor(256 * v.astype(float)) for k, v in enumerate(vs)})
+    assert report["replicas"] < 0.5 * report["groups"] * report["candidates"]
+
+
+def test_top_k_of_an_id_with_several_vectors(spark):
+    """A query never gets a row of its own id, however many there are."""
+    rows = [(0, [1.0, 0.0]), *[(0, [2.0 + k, 0.0]) for k in range(9)], *[(k, [0.1 * k, 1.0]) for k in range(1, 12)]]
+    got = vector_search.search(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")).collect()
+    assert len(got) == 50 and all(r.vec_id != 0 for r in got)
+    assert sorted({r.vec_id for r in got}) == [7, 8, 9, 10, 11]
+
+
 def test_top_k_of_few(spark):
     kind = "vec_id bigint, embedding array<float>"
     assert vector_search.search(spark.createDataFrame([], kind)).count() == 0
