@@ -151,5 +151,46 @@ FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT a, min(b) AS b FROM
 """
 
 
+def _op1_sql() -> str:
+    """Rules by length, the labelled URLs' counts, Witten-Bell from order 0 up, mean differences, the calibrated bucket."""
+    top, upper, lower = url_filter.ORDER, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    ordered = sorted(url_filter.RULES, key=lambda r: (-len(r[0]), r[0]))
+
+    def fits(rule: str) -> str:
+        host, _, path = rule.partition("/")
+        return f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '/{path}')"
+
+    rule = "CASE " + " ".join(f"WHEN {fits(r)} THEN '{r}'" for r, _ in ordered) + " END"
+    verdict = "CASE " + " ".join(f"WHEN {fits(r)} THEN '{v}'" for r, v in ordered) + " END"
+    levels = ""
+    for k in range(top + 1):
+        suffix = f"substr(context, {top - k + 1}, {k})" if k else "''"
+        up = f"JOIN o{k - 1} u ON u.c = substr(q.c, 2, {k}) AND u.symbol = q.symbol" if k else "CROSS JOIN (SELECT 1.0::DOUBLE / count(DISTINCT symbol) AS pr, 1.0::DOUBLE / count(DISTINCT symbol) AS pa FROM f) u"
+        blend = lambda x: f"CASE WHEN coalesce(t.{x}_all, 0) > 0 THEN (coalesce(s.{x}, 0) + t.{x}_types * u.p{x}) / (t.{x}_all + t.{x}_types) ELSE u.p{x} END AS p{x}"
+        levels += f"""
+s{k} AS (SELECT {suffix} AS c, symbol, coalesce(sum(n) FILTER (rejected), 0)::BIGINT AS r, coalesce(sum(n) FILTER (NOT rejected), 0)::BIGINT AS a FROM n GROUP BY ALL),
+t{k} AS (SELECT c, sum(r)::BIGINT AS r_all, sum(a)::BIGINT AS a_all, count(*) FILTER (r > 0) AS r_types, count(*) FILTER (a > 0) AS a_types FROM s{k} GROUP BY c),
+o{k} AS (SELECT q.c, q.symbol, {blend('r')}, {blend('a')} FROM (SELECT DISTINCT {suffix} AS c, symbol FROM f) q
+  LEFT JOIN s{k} s ON s.c = q.c AND s.symbol = q.symbol LEFT JOIN t{k} t ON t.c = q.c {up}),"""
+    bucket = f"floor(least(greatest(score, {-30 * url_filter._UNIT}), {30 * url_filter._UNIT}) / 10)::INTEGER"
+    return f"""
+WITH b AS (SELECT row_number() OVER () AS rid, page_id, url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest,
+  translate(CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE coalesce(url, '') END, '{upper}', '{lower}') AS chars FROM pages),
+h AS (SELECT rid, page_id, url, chars, translate(regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1), '{upper}', '{lower}') AS host,
+  regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM b),
+r AS (SELECT *, {rule} AS rule, {verdict} AS ruled, ('0x' || substr(md5(url), 1, 4))::INTEGER % {url_filter.HELD_OUT} = 0 AS apart FROM h),
+f AS (SELECT rid, ruled, apart, substr(p, i, {top}) AS context, substr(p, i + {top}, 1) AS symbol
+  FROM (SELECT *, unnest(range(1, length(p) - {top - 1})) AS i FROM (SELECT *, repeat(chr(1), {top}) || chars AS p FROM r))),
+n AS (SELECT ruled = 'block' AS rejected, context, symbol, count(*) AS n FROM f WHERE ruled IS NOT NULL AND NOT apart GROUP BY ALL),{levels}
+e AS (SELECT rid, round(sum(ln(pr) - ln(pa)) / count(*) * {url_filter._UNIT})::BIGINT AS score FROM f JOIN o{top} o ON o.c = f.context AND o.symbol = f.symbol GROUP BY rid),
+y AS (SELECT {bucket} AS bucket, count(*) FILTER (ruled = 'block') AS rj, count(*) FILTER (ruled = 'allow') AS ac FROM r JOIN e ON r.rid = e.rid WHERE ruled IS NOT NULL AND apart GROUP BY 1),
+x AS (SELECT bucket, (sum(ac) OVER () - sum(ac) OVER (ORDER BY bucket))::DOUBLE / sum(ac) OVER () AS wrong,
+  1 - (sum(rj) OVER () - sum(rj) OVER (ORDER BY bucket))::DOUBLE / sum(rj) OVER () AS missed, sum(ac) OVER () AS acs, sum(rj) OVER () AS rjs FROM y),
+z AS (SELECT bucket AS cut FROM x WHERE wrong <= {url_filter.FALSE_REJECTS}::DOUBLE AND acs > 0 AND rjs > 0 ORDER BY wrong + missed, bucket LIMIT 1)
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN coalesce(url, '') <> '' AND {bucket} > (SELECT cut FROM z) THEN 'block' ELSE 'allow' END) AS verdict,
+  coalesce(score, 0)::DOUBLE / {url_filter._UNIT} AS score FROM r LEFT JOIN e ON r.rid = e.rid
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_ngram_jaccard_join": _OP4_SQL, "op6_quality_rules": _op6_sql(), "op7_exact_top_k": _OP7_SQL}
+    return {"op1_url_filters": _op1_sql(), "op4_ngram_jaccard_join": _OP4_SQL, "op6_quality_rules": _op6_sql(), "op7_exact_top_k": _OP7_SQL}

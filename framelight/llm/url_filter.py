@@ -1,11 +1,14 @@
 """URL filtering: a rule list first, then the ratio of two character models.
 
-Characters fold to 32 symbols.  One variable-order Markov model is counted over accepted and one over
-rejected URLs: the probability of a symbol mixes the orders 3, 2, 1 and 0 with Witten-Bell weights, so a
-context seen seldom falls back to its shorter suffix.  A URL's score is the log-likelihood difference
-(rejected minus accepted) divided by its length; the threshold is calibrated on labelled URLs that took
-no part in the counts.  Everything is DataFrame expressions.  The model is an array of at most 32^3
-contexts of 32 numbers, 8 MB, whatever the number of URLs.
+One variable-order Markov model is counted over accepted and one over rejected URLs (by default those that a
+rule allows or blocks; a table of labelled URLs may take their place): the probability of a character after
+the ORDER characters before it mixes the orders ORDER, ..., 1, 0 with Witten-Bell weights, so a context seen
+seldom falls back to its shorter suffix.  A URL's score is the log-likelihood difference (rejected minus
+accepted) divided by its length; the threshold is calibrated on labelled URLs that took no part in the counts.
+
+Everything is DataFrame expressions.  Contexts are rows over the URLs' own characters, as many as the corpus
+has, and tables of them are joined, never broadcast by hint: the planner broadcasts one only below its own size
+bound, and AQE splits a join on a context that very many URLs share.
 """
 
 from __future__ import annotations
@@ -19,16 +22,15 @@ from .scratch import Scratch
 
 #: (host suffix and path, block or allow)
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-#: Words of a host that mark a URL as rejected for training.
-REJECTED_WORDS = ("spam", "casino", "adult", "pills", "bets", "ads", "viagra", "porn", "poker", "xxx")
 #: Share of held-out accepted URLs that the calibrated threshold may reject.
 FALSE_REJECTS = 0.005
-SYMBOLS = 32
-ORDER = 3
-
+#: One in so many labelled URLs calibrates the threshold.
+HELD_OUT = 5
+#: Characters of the longest context.
+ORDER = 5
+#: Stands before a URL's first character; scores are kept in ten-thousandths.
+_START, _UNIT = "\x01", 10_000
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
-_OTHER = {"0": 26, "/": 27, ".": 28, "-": 29}
-_REST, _START = 30, 31
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -53,93 +55,79 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return pick(0), pick(1)
 
 
-def symbols(url: Column) -> Column:
-    """The URL as an array of symbol numbers: letters 0-25, digits 26, then / . - and anything else."""
-    table = [_REST] * 128
-    for i, c in enumerate(_LETTERS):
-        table[ord(c)] = i
-    for c, i in _OTHER.items():
-        table[ord(c)] = i
-    for c in "123456789":
-        table[ord(c)] = 26
-    codes = F.array(*map(F.lit, table))
-    plain = F.translate(url, _LETTERS.upper(), _LETTERS)
-    chars = F.filter(F.split(plain, ""), lambda c: c != "")
-    return F.transform(chars, lambda c: F.coalesce(F.get(codes, F.ascii(c)), F.lit(_REST)))
+def characters(url: Column) -> Column:
+    """What the models read: the URL after ``://`` (all of it without one), A-Z lower-cased."""
+    at = F.instr(url, "://")
+    rest = F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise(url)
+    return F.translate(F.coalesce(rest, F.lit("")), _LETTERS.upper(), _LETTERS)
 
 
-def steps(url: Column) -> Column:
-    """An array of (context: the three symbols before, the latest lowest; symbol) for each character."""
-    padded = F.concat(F.array_repeat(F.lit(_START), ORDER), symbols(url))
-    # The padded array is bound once; indices run over the URL's own symbols.
-    bound = F.transform(F.array(padded), lambda s: F.transform(F.when(F.size(s) > ORDER, F.sequence(F.lit(ORDER), F.size(s) - 1)), lambda i: F.struct((F.get(s, i - 3) * 1024 + F.get(s, i - 2) * 32 + F.get(s, i - 1)).alias("context"), F.get(s, i).alias("symbol"))))
-    return F.get(bound, F.lit(0))
+def steps(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, context (ORDER characters), symbol for each character of ``url``."""
+    padded = F.concat(F.lit(_START * ORDER), characters(F.col("url"))).alias("p")
+    long = rows.select(*keys, padded).where(F.length("p") > ORDER)
+    long = long.select(*keys, "p", F.explode(F.sequence(F.lit(1), F.length("p") - ORDER)).alias("i"))
+    return long.select(*keys, F.substring("p", F.col("i"), F.lit(ORDER)).alias("context"), F.substring("p", F.col("i") + ORDER, F.lit(1)).alias("symbol"))
 
 
 def counts(labelled: DataFrame) -> DataFrame:
     """rejected, context, symbol, n over all rows of (url, rejected)."""
-    return labelled.select("rejected", F.inline(steps(F.col("url")))).groupBy("rejected", "context", "symbol").agg(F.count("*").alias("n"))
+    return steps(labelled, ["rejected"]).groupBy("rejected", "context", "symbol").agg(F.count("*").alias("n"))
 
 
-def _arrays(found: DataFrame, order: int) -> DataFrame:
-    """c, reject, accept: for each context of ``order`` symbols the 32 counts under either model."""
-    of = lambda y, side: F.coalesce(F.sum(F.when((F.col("symbol") == y) & (F.col("rejected") == side), F.col("n"))), F.lit(0))
-    c = (F.col("context") % 32**order).cast("int").alias("c")
-    both = [F.array(*[of(y, side) for y in range(SYMBOLS)]).alias(name) for name, side in (("reject", True), ("accept", False))]
-    return found.groupBy(c).agg(*both)
+def _suffix(context: str, order: int) -> Column:
+    return F.substring(F.col(context), ORDER - order + 1, order) if order else F.lit("")
 
 
-def _blend(n: Column, lower: Column) -> Column:
+def _blend(seen: str, total: str, types: str, lower: str) -> Column:
     """Witten-Bell: (n + types * lower) / (total + types); a context never seen is its shorter suffix."""
-    total = F.aggregate(n, F.lit(0).cast("long"), lambda a, x: a + x)
-    types = F.size(F.filter(n, lambda x: x > 0))
-    return F.when(total > 0, F.zip_with(n, lower, lambda x, p: (x + types * p) / (total + types))).otherwise(lower)
+    n, total, types = (F.coalesce(F.col(c), F.lit(0)) for c in (seen, total, types))
+    return F.when(total > 0, (n + types * F.col(lower)) / (total + types)).otherwise(F.col(lower))
 
 
-def models(found: DataFrame, scratch: Scratch) -> list[DataFrame]:
-    """For each order: c, v: the 32 differences log p(rejected) - log p(accepted) of a context that was seen; at most 32^order rows."""
-    uniform = F.array_repeat(F.lit(1.0 / SYMBOLS), SYMBOLS)
-    lower, out = None, []
+def differences(found: DataFrame, asked: DataFrame, scratch: Scratch) -> DataFrame:
+    """context, symbol, diff = ln p(rejected) - ln p(accepted) for each (context, symbol) of ``asked``."""
+    alphabet = max(1, asked.select("symbol").distinct().count())
+    lower = None
     for order in range(ORDER + 1):
-        mine = _arrays(found, order)
+        need = asked.select(_suffix("context", order).alias("c"), "symbol").distinct()
+        side = lambda y: F.sum(F.when(F.col("rejected") == y, F.col("n")).otherwise(0))
+        seen = found.groupBy(_suffix("context", order).alias("c"), "symbol").agg(side(True).alias("r"), side(False).alias("a"))
+        seen = scratch.save(seen, f"seen{order}")
+        kinds = lambda c: F.count(F.when(F.col(c) > 0, 1))
+        total = seen.groupBy("c").agg(F.sum("r").alias("r_all"), F.sum("a").alias("a_all"), kinds("r").alias("r_types"), kinds("a").alias("a_types"))
+        rows = need.join(seen, ["c", "symbol"], "left").join(total, "c", "left")
         if lower is None:
-            p = mine.select("c", _blend(F.col("reject"), uniform).alias("r"), _blend(F.col("accept"), uniform).alias("a"))
+            rows = rows.withColumns({"pr": F.lit(1.0 / alphabet), "pa": F.lit(1.0 / alphabet)})
         else:
-            up = lower.select(F.col("c").alias("up"), F.col("r").alias("pr"), F.col("a").alias("pa"))
-            p = mine.join(F.broadcast(up), F.col("c") % 32 ** (order - 1) == F.col("up")).select("c", _blend(F.col("reject"), F.col("pr")).alias("r"), _blend(F.col("accept"), F.col("pa")).alias("a"))
-        lower = scratch.save(p, f"order{order}")
-        out.append(lower.select("c", F.zip_with("r", "a", lambda x, y: (F.log(x) - F.log(y)).cast("float")).alias("v")))
-    return out
+            up = lower.select(F.col("c").alias("up"), F.col("symbol").alias("s"), "pr", "pa")
+            rows = rows.join(up, (F.substring("c", 2, order) == F.col("up")) & (F.col("symbol") == F.col("s")))
+        blended = [_blend(x, f"{x}_all", f"{x}_types", f"p{x}").alias(f"p{x}") for x in ("r", "a")]
+        lower = scratch.save(rows.select("c", "symbol", *blended), f"order{order}")
+    return lower.select(F.col("c").alias("context"), "symbol", (F.ln("pr") - F.ln("pa")).alias("diff"))
 
 
-def scored(rows: DataFrame, by_order: list[DataFrame]) -> DataFrame:
-    """``rows`` (page_id, url) and score: the mean difference over a URL's symbols, each under the longest context that was seen.
+def scored(rows: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
+    """row, score (in ten-thousandths) for each of ``rows`` (row, url) with a character: the mean difference over its characters.
 
-    The models are broadcast: 32^3 contexts are the most there can be.  Sums meet per row, and are
-    formed before the shuffle, as a row's symbols lie together.
+    Only row numbers travel with the characters.
     """
-    long = rows.withColumn("row", F.monotonically_increasing_id()).select("row", "page_id", "url", F.inline_outer(steps(F.col("url"))))
-    picks = []
-    for order, model in reversed(list(enumerate(by_order))):
-        own = model.select(F.col("c").alias(f"c{order}"), F.col("v").alias(f"v{order}"))
-        long = long.join(F.broadcast(own), (F.col("context") % 32**order).cast("int") == F.col(f"c{order}"), "left")
-        picks.append(F.get(F.col(f"v{order}"), F.col("symbol")))
-    diff = F.coalesce(*picks).cast("double")
-    return long.groupBy("row", "page_id", "url").agg(F.coalesce(F.round(F.sum(diff) / F.count("symbol"), 6), F.lit(0.0)).alias("score")).drop("row")
+    long = steps(rows, ["row"])
+    asked = scratch.save(long.select("context", "symbol").distinct(), "asked")
+    known = differences(found, asked, scratch).withColumnsRenamed({"context": "c", "symbol": "s"})
+    joined = long.join(known, (F.col("context") == F.col("c")) & (F.col("symbol") == F.col("s")))
+    return joined.groupBy("row").agg(F.round(F.sum("diff") / F.count("*") * _UNIT).cast("long").alias("score"))
 
 
-def rejected_by_words(host: Column, words=REJECTED_WORDS) -> Column:
-    """Whether a host has one of the words between dots and hyphens: the labels that the models are trained on."""
-    return F.arrays_overlap(F.split(host, "[.-]"), F.array(*map(F.lit, words)))
+def calibrated(hist: list[dict], most: float = FALSE_REJECTS) -> int | None:
+    """From (rejected, bucket, n): the bucket above which URLs are rejected, with the least sum of error rates.
 
-
-def calibrated(hist: list, most: float = FALSE_REJECTS) -> float:
-    """From (rejected, bucket of a thousandth, n): the threshold with the least sum of error rates among those that reject at most ``most`` of the accepted."""
+    Of those that reject at most ``most`` of the accepted; ties go to the lower bucket.  None if one kind is missing.
+    """
     total = {side: sum(r["n"] for r in hist if r["rejected"] == side) for side in (True, False)}
     if not total[True] or not total[False]:
-        return float("inf")
-    above = dict(total)
-    best = (2.0, float("inf"))
+        return None
+    above, best = dict(total), None
     by: dict[int, dict] = {}
     for r in hist:
         by.setdefault(r["bucket"], {True: 0, False: 0})[r["rejected"]] += r["n"]
@@ -147,28 +135,47 @@ def calibrated(hist: list, most: float = FALSE_REJECTS) -> float:
         for side in (True, False):
             above[side] -= by[bucket][side]
         wrong, missed = above[False] / total[False], 1 - above[True] / total[True]
-        if wrong <= most:
-            best = min(best, (wrong + missed, (bucket + 1) / 1000))
-    return best[1]
+        if wrong <= most and (best is None or (wrong + missed, bucket) < best):
+            best = (wrong + missed, bucket)
+    return best and best[1]
+
+
+def bucket_of(score: Column) -> Column:
+    """Thousandths, at most 30 from 0 either way."""
+    return F.floor(F.least(F.greatest(score, F.lit(-30 * _UNIT)), F.lit(30 * _UNIT)) / 10).cast("int")
+
+
+def held_out(url: Column) -> Column:
+    return F.conv(F.substring(F.md5(F.encode(url, "UTF-8")), 1, 4), 16, 10).cast("int") % HELD_OUT == 0
 
 
-def filter_urls(pages: DataFrame, rules=RULES, rejected_words=REJECTED_WORDS, most: float = FALSE_REJECTS) -> DataFrame:
+def filter_urls(pages: DataFrame, rules=RULES, labelled: DataFrame | None = None, most: float = FALSE_REJECTS) -> DataFrame:
     """page_id, host, path, rule, verdict, score for every row of (page_id, url).
 
-    The rule's verdict stands where a rule fits; else block where the score is over the threshold.
-    A null or empty URL has empty host and path, fits no rule and scores 0.  If only one of the two
-    kinds of URL exists, no model can be fitted and the method allows.  Rows are judged one by one.
+    ``labelled``: url, rejected; without it the URLs that a rule fits are labelled by its verdict.  The rule's
+    verdict stands where a rule fits; else block where the score is over the threshold.  A null or empty URL
+    has empty host and path, fits no rule, scores 0 and is allowed.  Without both kinds of labelled URLs, held-out
+    ones included, nothing can be learned and the method allows.  Rows are judged one by one: null and repeated
+    ids stay, equal URLs get equal verdicts, a score at the threshold is allowed.  An empty table gives no rows;
+    other columns are not read.
     """
     scratch = Scratch(pages.sparkSession)
-    rows = pages.select("page_id", "url")
     host, path = host_path(F.col("url"))
-    labelled = rows.withColumn("host", host).where(F.col("host") != "").select("url", rejected_by_words(F.col("host"), rejected_words).alias("rejected"))
-    apart = F.crc32(F.encode("url", "UTF-8")) % 5 == 0
-    found = scratch.save(counts(labelled.where(~apart)), "counts")
-    judged = scratch.save(scored(rows, models(found, scratch)).select("*", host.alias("host"), path.alias("path")), "scored")
-    bucket = F.floor(F.least(F.greatest("score", F.lit(-30.0)), F.lit(30.0)) * 1000).cast("int")
-    sure = judged.where((F.col("host") != "") & apart).groupBy(rejected_by_words(F.col("host"), rejected_words).alias("rejected"), bucket.alias("bucket")).agg(F.count("*").alias("n"))
-    threshold = calibrated([r.asDict() for r in sure.collect()], most)
+    located = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    own = F.when(F.col("score") > threshold, "block").otherwise("allow")
-    return judged.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), "score")
+    rows = scratch.save(located.select(F.monotonically_increasing_id().alias("row"), "*", rule.alias("rule"), verdict.alias("ruled")), "rows")
+    if labelled is None:
+        labelled = rows.where("ruled is not null").select("url", (F.col("ruled") == "block").alias("rejected"))
+    labelled = labelled.where("url is not null and rejected is not null").select("url", "rejected")
+    found = scratch.save(counts(labelled.where(~held_out(F.col("url")))), "counts")
+    # Held-out URLs of a table of their own are scored along with the pages.
+    apart = labelled.where(held_out(F.col("url"))).select((-1 - F.monotonically_increasing_id()).alias("row"), "url", "rejected")
+    apart = scratch.save(apart, "apart")
+    scores = scratch.save(scored(rows.select("row", "url").unionByName(apart.select("row", "url")), found, scratch), "scores")
+    hist = apart.join(scores, "row").groupBy("rejected", bucket_of(F.col("score")).alias("bucket")).agg(F.count("*").alias("n")).collect()
+    cut = calibrated([r.asDict() for r in hist], most)
+    scratch.drop(*(scratch.names - {"rows", "scores"}))
+    judged = rows.join(scores, "row", "left").withColumn("score", F.coalesce("score", F.lit(0)))
+    own = F.when(bucket_of(F.col("score")) > F.lit(cut), "block").otherwise("allow") if cut is not None else F.lit("allow")
+    own = F.when(F.coalesce("url", F.lit("")) == "", "allow").otherwise(own)
+    return judged.select("page_id", "host", "path", "rule", F.coalesce("ruled", own).alias("verdict"), (F.col("score") / _UNIT).alias("score"))
