@@ -276,11 +276,11 @@ def resample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | N
     small_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession)
     classifier = fit_classifier(docs, labelled, list(targets))
-    member = membership(classifier, F.col("text"))
-    slim = scratch.save(docs.select(member.alias("m")).select("m.cell", "m.tokens", "m.posterior"), "members")
-    v = fit(slim, targets, scratch)
-    scratch.clear()
+    # Rows are written with their posteriors, so that Python sees each text once.
+    whole = scratch.save(docs.select(F.struct(*docs.columns).alias("row"), membership(classifier, F.col("text")).alias("m")), "members")
+    v = fit(whole.select("m.cell", "m.tokens", "m.posterior"), targets, scratch)
+    scratch.drop("cells")
     chance = F.pmod(F.xxhash64(F.lit("mix"), "row.doc_id", "row.text"), F.lit(1_000_000)) / 1_000_000
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.round(rate_of(member["posterior"], v), 9).alias("rate"))
+    rows = whole.select("row", F.round(rate_of(F.col("m.posterior"), v), 9).alias("rate"))
     times = (F.floor("rate") + F.when(chance < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int")
     return rows.where(times > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), times))).select("row.*")

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import worker
 from .components import components
 from .scratch import Scratch, small_batches
 from .words import blocks, mix, shingle_sets, utf8
@@ -93,6 +94,7 @@ def _survey(batches):
             pending, size, seen = [], 0, set()
     if pending:
         yield shared()
+    worker.leave()
 
 
 def _heat(survey: DataFrame, hot_level: int) -> np.ndarray:
@@ -156,6 +158,8 @@ def _prefixes(heat, hot_level: int, fragments: int, percent: int):
                     parts, size = [], 0
         if parts:
             yield from flush(parts)
+        del table, parts
+        worker.leave()
 
     return run
 
@@ -263,6 +267,8 @@ def _partial_counts(percent: int, hot: int):
                 yield from work.add(data.as_py())
         if work:
             yield from work.pairs()
+        work = None
+        worker.leave()
 
     return run
 

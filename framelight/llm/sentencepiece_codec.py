@@ -30,9 +30,9 @@ from .scratch import small_batches
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Distinct units a Python worker remembers between blocks; beyond them the less used half is forgotten.
-MEMORY = 300_000
+MEMORY = 200_000
 #: Units that are encoded in one call, at most: the library keeps a record of each token until the call ends.
-CHUNK = 8_192
+CHUNK = 4_096
 
 
 def _fields(data: bytes):

@@ -31,6 +31,10 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _drop() -> None:
+    _powers[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
         size = max(n, BLOCK + 1)
@@ -98,7 +102,7 @@ def shingle_sets(texts: list, k: int = 5) -> list[np.ndarray]:
 
 def blocks(texts: list, most: int = BLOCK):
     """Index ranges of consecutive texts of at most ``most`` bytes together (one text may be larger)."""
-    worker.enter("words")
+    worker.enter("words", _drop)
     at, size = 0, 0
     for i, t in enumerate(texts):
         n = len(t) if t else 0

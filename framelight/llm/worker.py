@@ -13,8 +13,8 @@ from collections.abc import Callable
 
 import pyarrow as pa
 
-#: glibc's M_MMAP_THRESHOLD: blocks from this size on return to the system when they are freed.
-_M_MMAP_THRESHOLD, _THRESHOLD = -3, 1 << 20
+#: glibc's M_MMAP_THRESHOLD (blocks from this size on return to the system when they are freed) and M_ARENA_MAX.
+_SETTINGS = {-3: 1 << 20, -8: 1}
 
 _held: dict[str, Callable[[], None]] = {}
 _last: list[str] = []
@@ -38,10 +38,20 @@ def enter(owner: str, clear: Callable[[], None] | None = None) -> None:
     """Starts a batch of ``owner``, whose tables ``clear`` drops; the tables of other owners go."""
     if _last != [owner]:
         if not _last:
-            _libc("mallopt")(_M_MMAP_THRESHOLD, _THRESHOLD)
+            for name, value in _SETTINGS.items():
+                _libc("mallopt")(name, value)
+            pa.set_memory_pool(pa.system_memory_pool())  # the other pools keep what is freed
         for other in [x for x in _held if x != owner]:
             _held.pop(other)()
         _last[:] = [owner]
         trim()
     if clear:
         _held[owner] = clear
+
+
+def leave() -> None:
+    """Ends a stream of batches: a worker that waits for work holds no tables."""
+    for other in list(_held):
+        _held.pop(other)()
+    _last[:] = [""]
+    trim()
