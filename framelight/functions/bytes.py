@@ -36,6 +36,27 @@ def ipv4(offset: int | str) -> str:
     return "concat(" + ", '.', ".join(f"conv(hex({cut(plus(offset, k), 1)}), 16, 10)" for k in range(4)) + ")"
 
 
+def six_groups(offset: int | str) -> str:
+    """Sixteen bytes as eight groups of four lower-case digits with colons."""
+    return f"substring(regexp_replace(lower(hex({cut(offset, 16)})), '(....)', ':$1'), 2)"
+
+
+def ipv6(groups: str) -> str:
+    """The text of an address from its ``six_groups``, as the C library prints it.
+
+    The longest run of two zero groups or more, the first of equals, becomes ``::``; leading zeros go; an
+    address whose first six groups are zero, or five zero and the sixth ffff, ends in a dotted quad.
+    """
+    slim = lambda x: f"regexp_replace({x}, '(^|:)0{{1,3}}', '$1')"
+    zeros = lambda n: ":".join(["0000"] * n)
+    quad = "concat_ws('.', " + ", ".join(f"conv(substring({groups}, {k}, 2), 16, 10)" for k in (31, 33, 36, 38)) + ")"
+    # A run starts at a group's first digit: four zeros and a colon, or four zeros at the end, are a whole group.
+    run = lambda n: f"when instr({groups}, '{zeros(n)}') > 0 then concat({slim(f"substring({groups}, 1, greatest(instr({groups}, '{zeros(n)}') - 2, 0))")}, '::', {slim(f"substring({groups}, instr({groups}, '{zeros(n)}') + {5 * n})")})"
+    whole = f"when {groups} = '{zeros(8)}' then '::' when startswith({groups}, '{zeros(7)}:') then concat('::', {slim(f'substring({groups}, 36)')})"
+    mapped = f"when startswith({groups}, '{zeros(6)}:') then concat('::', {quad}) when startswith({groups}, '{zeros(5)}:ffff:') then concat('::ffff:', {quad})"
+    return f"case {whole} {mapped} {' '.join(run(n) for n in range(7, 1, -1))} else {slim(groups)} end"
+
+
 def mac(offset: int | str) -> str:
     """Lower-case pairs with colons."""
     return f"lower(rtrim(':', regexp_replace(hex({cut(offset, 6)}), '(..)', '$1:')))"

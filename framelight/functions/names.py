@@ -1,4 +1,4 @@
-"""The two decoders that column expressions cannot state: IPv6 text and the DNS record loop (Arrow UDFs)."""
+"""The decoder that column expressions cannot state: the DNS record loop."""
 
 from __future__ import annotations
 
@@ -9,16 +9,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def ipv6_text(address: Column) -> Column:
-    """16 bytes as the C library prints them; NULL or another length gives NULL."""
-
-    @F.arrow_udf("string")
-    def text(rows: pa.Array) -> pa.Array:
-        return pa.array([socket.inet_ntop(socket.AF_INET6, b) if b is not None and len(b) == 16 else None for b in rows.to_pylist()], pa.string())
-
-    return text(address)
-
-
 def _name(data: bytes, at: int) -> tuple[str, int]:
     """A domain name and the offset after it; compression pointers are followed, each offset once."""
     labels, after, seen = [], None, set()
@@ -77,11 +67,33 @@ def dns_records(data: bytes) -> str:
     return "".join(out)
 
 
-def dns_text(message: Column) -> Column:
-    """``dns_records`` of a binary column; NULL for NULL."""
+def dns_of(raw: bytes | None) -> str | None:
+    """``dns_records`` of the message that a frame carries over UDP; None where it carries none or not its whole header.
+
+    A message ends where UDP says; a length under 8 wraps and lets everything through.
+    """
+    if raw is None or len(raw) < 42:
+        return None
+    kind = raw[12:14]
+    if kind == b"\x08\x00" and raw[23] == 17:
+        at = 14 + 4 * (raw[14] & 15)
+    elif kind == b"\x86\xdd" and len(raw) >= 54 and raw[20] == 17:
+        at = 54
+    else:
+        return None
+    if len(raw) < at + 20 or b"\x00\x35" not in (raw[at : at + 2], raw[at + 2 : at + 4]):
+        return None
+    size = int.from_bytes(raw[at + 4 : at + 6], "big")
+    if 8 <= size < 20:
+        return None
+    return dns_records(raw[at + 8 :] if size < 8 else raw[at + 8 : at + size])
+
+
+def dns_text(raw: Column) -> Column:
+    """``dns_of`` of a binary column (Arrow)."""
 
     @F.arrow_udf("string")
     def text(rows: pa.Array) -> pa.Array:
-        return pa.array([None if b is None else dns_records(b) for b in rows.to_pylist()], pa.string())
+        return pa.array([dns_of(b) for b in rows.to_pylist()], pa.string())
 
-    return text(message)
+    return text(raw)

@@ -1,8 +1,9 @@
 """Frames to packets: Ethernet, IPv4, IPv6, ARP and RARP, ICMP, TCP, UDP and the application protocols.
 
 Everything is SQL expressions in narrow stages, so pruning drops the headers that a query does not read.
-Two exceptions run in Arrow batches, on the rows concerned: IPv6 text and DNS records.  A header that
-does not wholly fit into its frame is not decoded; the frame is then ``truncated``.
+The one exception is the DNS record loop: the readers decode it as they parse (column ``dns``); for frames
+from elsewhere ``with_dns`` sends the DNS frames alone to Python.  A header that does not wholly fit into its
+frame is not decoded; the frame is then ``truncated``.
 """
 
 from __future__ import annotations
@@ -11,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framelight import schema as S
-from framelight.functions.bytes import U32, be, cut, hex_number, ipv4, mac, minus_u32, plus
-from framelight.functions.names import dns_text, ipv6_text
+from framelight.functions.bytes import U32, be, cut, hex_number, ipv4, ipv6, mac, minus_u32, plus, six_groups
+from framelight.functions.names import dns_text
 
 
 def _columns(df: DataFrame, exprs: dict[str, str]) -> DataFrame:
@@ -23,6 +24,23 @@ def _columns(df: DataFrame, exprs: dict[str, str]) -> DataFrame:
 IS_TCP = "coalesce((substring(raw, 13, 2) = X'0800' and length(raw) >= 34 and substring(raw, 24, 1) = X'06') or (substring(raw, 13, 2) = X'86DD' and length(raw) >= 54 and substring(raw, 21, 1) = X'06'), false)"
 
 
+def _ports_of(at: int | str, port: str) -> str:
+    return f"(substring(raw, {plus(at, 1)}, 2) = {port} or substring(raw, {plus(at, 3)}, 2) = {port})"
+
+
+#: Whether a frame has a DNS port over UDP, on the bytes alone.
+_BEHIND_IP4 = f"cast(14 + 4 * ({be(14, 1)} & 15) as int)"
+IS_DNS = f"coalesce(case when substring(raw, 13, 2) = X'0800' and length(raw) >= 42 and substring(raw, 24, 1) = X'11' then {_ports_of(_BEHIND_IP4, 'X' + chr(39) + '0035' + chr(39))} when substring(raw, 13, 2) = X'86DD' and length(raw) >= 62 and substring(raw, 21, 1) = X'11' then {_ports_of(54, 'X' + chr(39) + '0035' + chr(39))} end, false)"
+
+
+def with_dns(frames: DataFrame) -> DataFrame:
+    """Adds ``dns`` where a reader has not: only DNS frames go through Python, in a branch of their own."""
+    if "dns" in frames.columns:
+        return frames
+    plain = frames.where(f"not {IS_DNS}").withColumn("dns", F.lit(None).cast("string"))
+    return plain.unionByName(frames.where(IS_DNS).withColumn("dns", dns_text(F.col("raw"))))
+
+
 def offsets(frames: DataFrame) -> DataFrame:
     """Adds the layer tags, offsets and the numbers that later stages branch on."""
     kind = f"case when length(raw) >= 14 then {be(12, 2)} end"
@@ -111,22 +129,19 @@ _DNS_OK = "(udp_len < 8 or udp_len >= 20)"
 
 
 def with_packets(located: DataFrame) -> DataFrame:
-    """The display columns of ``offsets``.  TCP info comes in two parts, ``info`` and ``info_tail``: tracked numbers go between them."""
-    out = located.withColumns({side: ipv6_text(F.expr(f"case when l3 = 'ip6' then {cut(at, 16)} end")) for side, at in (("six_src", 22), ("six_dst", 38))})
-    # A DNS message ends where UDP says; a length under 8 wraps and lets everything through.
-    message = f"case when app = 'DNS' and {_DNS_OK} and size >= pay_off + 12 then substring(raw, pay_off + 1, cast(case when udp_len < 8 then size else udp_len - 8 end as int)) end"
-    out = out.withColumn("records", dns_text(F.expr(message)))
+    """The display columns of ``offsets``, with ``dns``.  TCP info comes in two parts, ``info`` and ``info_tail``: tracked numbers go between them."""
+    out = _columns(located, {side: f"case when l3 = 'ip6' then {six_groups(at)} end" for side, at in (("six_src", 22), ("six_dst", 38))})
     preset = f"case when l3 = 'ip6' then {ipv6_info()} else '' end"
     ports = "concat(sport, ' -> ', dport)"
     tcp_head = f"concat({ports}, ' [', {flags_text('flags')}, '] ')"
     window = "case when win > 0 then concat(' Win=', win) else '' end"
     kind = be("pay_off + 18", 1)
     bgp = f"case {kind} when 1 then 'OPEN' when 2 then 'UPDATE' when 3 then 'NOTIFICATION' when 4 then 'KEEPALIVE' else 'Unknown' end"
-    dns = f"concat(case when {be('pay_off + 2', 2)} & 32768 != 0 then 'Standard query response 0x' else 'Standard query 0x' end, {hex_number(be('pay_off', 2))}, records)"
+    dns = f"concat(case when {be('pay_off + 2', 2)} & 32768 != 0 then 'Standard query response 0x' else 'Standard query 0x' end, {hex_number(be('pay_off', 2))}, dns)"
     udp = f"case app when 'DNS' then case when {_DNS_OK} then {dns} else {preset} end when 'DHCP' then case when size >= pay_off + 44 then {dhcp_text('pay_off')} end when 'SNMP' then concat('SNMP message (length: ', {_LESS_8}, ')') else concat({ports}, ' Len=', {_LESS_8}) end"
     columns = {
-        "source": f"case l3 when 'ip4' then {ipv4(26)} when 'ip6' then six_src when 'arp' then {mac(22)} when 'rarp' then {mac(22)} else '' end",
-        "destination": f"case l3 when 'ip4' then {ipv4(30)} when 'ip6' then six_dst when 'arp' then case when {mac(32)} = '00:00:00:00:00:00' then 'Broadcast' else {mac(32)} end when 'rarp' then case when {mac(32)} = {mac(22)} then 'Broadcast' else {mac(32)} end else '' end",
+        "source": f"case l3 when 'ip4' then {ipv4(26)} when 'ip6' then {ipv6('six_src')} when 'arp' then {mac(22)} when 'rarp' then {mac(22)} else '' end",
+        "destination": f"case l3 when 'ip4' then {ipv4(30)} when 'ip6' then {ipv6('six_dst')} when 'arp' then case when {mac(32)} = '00:00:00:00:00:00' then 'Broadcast' else {mac(32)} end when 'rarp' then case when {mac(32)} = {mac(22)} then 'Broadcast' else {mac(32)} end else '' end",
         "protocol": "case when l4 = 'icmp' then 'ICMP' when l4 = 'icmp6' then 'ICMPv6' when l4 = 'tcp' then coalesce(app, 'TCP') when l4 = 'udp' then coalesce(app, 'UDP') when l4 = 'other' then 'Other' when l3 = 'arp' then 'ARP' when l3 = 'rarp' then 'RARP' else '' end",
         "length": "cast(case when l4 = 'tcp' then tcp_len when l4 = 'udp' then udp_len when l3 in ('ip4', 'ip6') then ip_len when l3 in ('arp', 'rarp') then 28 end as bigint)",
         "info": f"case when l4 in ('icmp', 'icmp6') then case when ip_len < 8 then {preset} when l4_fits then {icmp_text('l4_off')} end when l4 = 'tcp' then case when app = 'SMTP' then concat('SMTP data: ', {_PAYLOAD}, '...') else {tcp_head} end when l4 = 'udp' then {udp} when l3 in ('arp', 'rarp') then {arp_text()} else {preset} end",
@@ -162,4 +177,4 @@ def headers() -> dict[str, str]:
     }
 
 
-__all__ = ["IS_TCP", "U32", "headers", "ipv6_info", "offsets", "with_packets"]
+__all__ = ["IS_DNS", "IS_TCP", "U32", "headers", "ipv6_info", "offsets", "with_dns", "with_packets"]

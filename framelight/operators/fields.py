@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framelight.functions.bytes import be, ipv4, le, mac, plus
-from framelight.functions.names import ipv6_text
 from framelight.operators.dissect import ipv6_word
 
 #: Label, first and last byte within the layer, how the value is shown.
@@ -17,7 +16,7 @@ IPV4 = [
 ]
 IPV6 = [
     ("Version", 0, 3, "version"), ("Traffic Class", 0, 3, "traffic"), ("Flow Label", 0, 3, "flow"), ("Payload Length", 4, 5, "le"),
-    ("Next Header", 6, 6, "le"), ("Hop Limit", 7, 7, "le"), ("Source IP", 8, 23, "six"), ("Destination IP", 24, 39, "six"),
+    ("Next Header", 6, 6, "le"), ("Hop Limit", 7, 7, "le"), ("Source IP", 8, 23, "source"), ("Destination IP", 24, 39, "destination"),
 ]
 ARP = [("ARP Packet", 0, 27, None)]
 TCP = [
@@ -30,8 +29,10 @@ ICMP = [("ICMP Header", 0, 7, None)]
 
 def _value(at: int | str, size: int, kind: str | None) -> str:
     """SQL of a field's value.  Numbers keep the host's byte order, as the detail view prints them unconverted."""
-    if kind is None or kind == "six":
+    if kind is None:
         return "cast(null as string)"
+    if kind in ("source", "destination"):  # of IPv6: the packet table has their text
+        return kind
     if kind in ("mac", "ip"):
         return {"mac": mac, "ip": ipv4}[kind](at)
     version, traffic, flow = ipv6_word()
@@ -44,8 +45,13 @@ def _layer(name: str, base: int | str, fields: list) -> str:
     return f"array({', '.join(rows)})"
 
 
-def packet_fields(packets: DataFrame) -> DataFrame:
-    """file, number, layer, ord, label, lo, hi, value: one row for each field of each frame, absolute byte offsets.
+#: Bytes of the last layer's fields.
+_LAST = "case l4 when 'tcp' then 20 else 8 end"
+_BASE = "case l3 when 'ip4' then 34 when 'ip6' then 54 else 42 end"
+
+
+def field_arrays(packets: DataFrame) -> DataFrame:
+    """file, number, fields: all fields of each frame as one array of structs, absolute byte offsets.
 
     The third layer starts at byte 14; the fourth directly after the third layer's fixed header, so IPv4
     options are not counted.  A frame without a decoded third layer shows the ARP field, one without a
@@ -53,30 +59,35 @@ def packet_fields(packets: DataFrame) -> DataFrame:
     """
     third = f"case l3 when 'ip4' then {_layer('L3', 14, IPV4)} when 'ip6' then {_layer('L3', 14, IPV6)} else {_layer('L3', 14, ARP)} end"
     fourth = f"case l4 when 'tcp' then {_layer('L4', 'l4_base', TCP)} when 'udp' then {_layer('L4', 'l4_base', UDP)} else {_layer('L4', 'l4_base', ICMP)} end"
-    rows = packets.where("raw is not null").selectExpr("file", "number", "raw", "l3", "l4", "case l3 when 'ip4' then 34 when 'ip6' then 54 else 42 end as l4_base")
-    rows = rows.selectExpr("file", "number", "raw", f"explode(concat({_layer('L2', 0, ETHERNET)}, {third}, {fourth})) as f")
-    six = F.expr("case when f.value is null and f.label in ('Source IP', 'Destination IP') then substring(raw, f.lo + 1, 16) end")
-    return rows.select("file", "number", "f.layer", "f.ord", "f.label", "f.lo", "f.hi", F.coalesce(F.col("f.value"), ipv6_text(six)).alias("value"))
+    rows = packets.where("raw is not null").selectExpr("file", "number", "raw", "l3", "l4", "source", "destination", f"{_BASE} as l4_base")
+    return rows.selectExpr("file", "number", f"concat({_layer('L2', 0, ETHERNET)}, {third}, {fourth}) as fields")
+
+
+def packet_fields(packets: DataFrame) -> DataFrame:
+    """file, number, layer, ord, label, lo, hi, value: one row for each of ``field_arrays``."""
+    return field_arrays(packets).selectExpr("file", "number", "inline(fields)")
 
 
-def byte_to_fields(fields: DataFrame, bytes_: DataFrame) -> DataFrame:
-    """``bytes_``: file, number, byte.  All fields that hold the byte; overlapping fields all match."""
-    return bytes_.join(fields, ["file", "number"]).where(F.col("byte").between(F.col("lo"), F.col("hi"))).select("file", "number", "byte", "layer", "ord", "label")
+def byte_to_fields(packets: DataFrame, bytes_: DataFrame) -> DataFrame:
+    """``bytes_``: file, number, byte.  All fields that hold the byte; overlapping fields all match.  One row a frame is joined."""
+    found = bytes_.join(field_arrays(packets), ["file", "number"])
+    return found.selectExpr("file", "number", "byte", "inline(filter(fields, f -> byte between f.lo and f.hi))").select("file", "number", "byte", "layer", "ord", "label")
 
 
-def field_to_bytes(fields: DataFrame, label: str) -> DataFrame:
+def field_to_bytes(packets: DataFrame, label: str) -> DataFrame:
     """The byte range of a field wherever it occurs."""
-    return fields.where(F.col("label") == label).select("file", "number", "layer", "lo", "hi")
+    chosen = F.filter("fields", lambda f: f["label"] == label)
+    return field_arrays(packets).select("file", "number", F.inline(chosen)).select("file", "number", "layer", "lo", "hi")
 
 
-def same_start(fields: DataFrame, label: str) -> DataFrame:
-    """Fields marked together with ``label``: those of the same frame that start at the same byte."""
-    chosen = fields.where(F.col("label") == label).select("file", "number", F.col("lo").alias("start"), F.col("layer").alias("of_layer"))
-    return fields.join(chosen, ["file", "number"]).where("lo = start").select("file", "number", "of_layer", "layer", "label", "lo", "hi")
+def same_start(packets: DataFrame, label: str) -> DataFrame:
+    """Fields marked together with ``label``: those of the same frame that start at the same byte.  Nothing is joined."""
+    chosen = F.explode(F.filter("fields", lambda f: f["label"] == label))
+    rows = field_arrays(packets).select("file", "number", "fields", chosen.alias("of"))
+    return rows.selectExpr("file", "number", "of.layer as of_layer", "inline(filter(fields, f -> f.lo = of.lo))").select("file", "number", "of_layer", "layer", "label", "lo", "hi")
 
 
-def payload_range(packets: DataFrame, fields: DataFrame) -> DataFrame:
+def payload_range(packets: DataFrame) -> DataFrame:
     """file, number, lo, hi of the bytes after the last field; none where no byte is left."""
-    last = fields.groupBy("file", "number").agg(F.max("hi").alias("end"))
-    sizes = packets.where("raw is not null").select("file", "number", F.octet_length("raw").alias("size"))
-    return sizes.join(last, ["file", "number"]).where("size > end + 1").select("file", "number", (F.col("end") + 1).alias("lo"), (F.col("size") - 1).alias("hi"))
+    rows = packets.where("raw is not null").selectExpr("file", "number", f"cast({_BASE} + {_LAST} as int) as lo", "length(raw) - 1 as hi")
+    return rows.where("hi >= lo")

@@ -20,7 +20,14 @@ def hex_dump(frames: DataFrame) -> DataFrame:
 
 
 def hex_text(frames: DataFrame) -> DataFrame:
-    """file, number, text: the whole dump as one lower-case text, the last line padded to full width."""
-    rows = hex_dump(frames)
-    line = F.concat(F.rpad(F.lower("bytes"), WIDTH * 3 - 1, " "), F.lit("  "), F.col("ascii"))
-    return rows.groupBy("file", "number").agg(F.array_sort(F.collect_list(F.struct("line", line.alias("text")))).alias("lines")).select("file", "number", F.array_join(F.transform("lines", lambda x: x["text"]), "\n").alias("text"))
+    """file, number, hex, text: the whole dump as two texts of lines that each end in a line feed.
+
+    Bytes are lower case with a space after each, the last line padded with spaces to full width; what is not
+    32 to 126 shows as a dot.  An empty frame has two empty texts.
+    """
+    lines = f"cast((length(raw) + {WIDTH - 1}) div {WIDTH} as int)"
+    pairs = f"rpad(regexp_replace(lower(hex(raw)), '(..)', '$1 '), {lines} * {3 * WIDTH}, ' ')"
+    shown = "regexp_replace(decode(raw, 'ISO-8859-1'), '[^\\\\x20-\\\\x7E]', '.')"
+    cut = f"regexp_replace({shown}, '(.{{{WIDTH}}})', '$1\\n')"
+    end = f"case when length(raw) % {WIDTH} > 0 then '\\n' else '' end"
+    return frames.where("raw is not null").selectExpr("file", "number", f"regexp_replace({pairs}, '(.{{{3 * WIDTH}}})', '$1\\n') as hex", f"concat({cut}, {end}) as text")

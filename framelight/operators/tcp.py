@@ -1,7 +1,8 @@
 """Relative sequence and acknowledgement numbers of TCP connections.
 
 A connection is an unordered pair of endpoints within a file; its client sends the first packet.  All
-windows share one partitioning and order, hence one exchange and one sort.
+windows share one partitioning and order, hence one exchange and one sort.  State never leaves a file, so the
+largest group is the frames of one capture file, which a single task has read before; sorting it spills.
 """
 
 from __future__ import annotations
@@ -16,11 +17,13 @@ _OVER = "over (partition by file, conn_lo, conn_hi order by number rows between
 def track(segments: DataFrame) -> DataFrame:
     """Adds rel_seq and rel_ack to ``segments`` (file, number, source, destination, sport, dport, seq, ack, flags, ...).
 
-    NULL stands where the reference leaves a value undefined, -1 where it hides one.  Segments whose
-    header was not decoded have NULLs and take no part in any connection.
+    NULL stands where a value is undefined, -1 where it is hidden.  Rows without decoded TCP flags (frames of
+    other kinds, cut segments) have NULLs and take no part in any connection: each is a group of its own, so
+    they spread over all partitions.
     """
     out = segments.selectExpr("*", "concat(source, '|', sport) as src_ep", "concat(destination, '|', dport) as dst_ep", "flags & 2 != 0 as syn", "flags & 16 != 0 as acked")
-    out = out.selectExpr("*", "least(src_ep, dst_ep) as conn_lo", "greatest(src_ep, dst_ep) as conn_hi")
+    alone = "when flags is null then concat('#', number)"
+    out = out.selectExpr("*", f"case {alone} else least(src_ep, dst_ep) end as conn_lo", f"case {alone} else greatest(src_ep, dst_ep) end as conn_hi")
     out = out.selectExpr("*", f"src_ep = first(src_ep) {_OVER} as fwd", f"row_number() {_OVER} as rn")
     out = out.selectExpr("*", "rn = 1 or (fwd and syn and not acked) as opens", "syn and acked and (not fwd or src_ep = dst_ep) as answers")
     out = out.selectExpr("*", "answers or (not fwd and not syn) as cand")

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import re
+import tempfile
+import uuid
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,14 +49,20 @@ def udp(sport: Column | int, dport: Column | int, size: Column) -> Column:
     return join(h(sport, 2), h(dport, 2), h(size, 2), "0000")
 
 
-def frames(rows: DataFrame, number: Column, body: Column, micros: Column | None = None, file: Column | None = None) -> DataFrame:
-    """The frames table of hex bodies, as a classic capture's."""
+def frames(rows: DataFrame, number: Column, body: Column, micros: Column | None = None, file: Column | None = None, dns: bool = True) -> DataFrame:
+    """The frames table of hex bodies, as a classic capture's.  ``dns``: some may be DNS messages."""
     us = micros if micros is not None else F.lit(0).cast("bigint")
     raw = F.unhex(body)
-    return rows.select(
-        (file if file is not None else F.lit("mem")).alias("file"), F.lit("pcap").alias("format"), number.cast("int").alias("number"), F.lit(None).cast("bigint").alias("block_type"), F.lit(None).cast("bigint").alias("interface_id"),
-        F.lit(1).alias("link_type"), F.floor(us / 1_000_000).cast("bigint").alias("ts_hi"), F.pmod(us, F.lit(1_000_000)).cast("bigint").alias("ts_lo"), F.octet_length(raw).cast("bigint").alias("cap_len"), F.octet_length(raw).cast("bigint").alias("orig_len"), raw.alias("raw"), F.lit("ok").alias("status"),
-    )
+    none = F.lit(None).cast("bigint")
+    size = F.octet_length(raw).cast("bigint")
+    out = rows.select(
+        (file if file is not None else F.lit("mem")).alias("file"), F.lit("pcap").alias("format"), number.cast("int").alias("number"),
+        none.alias("block_type"), none.alias("interface_id"), F.lit(1).alias("link_type"),
+        F.floor(us / 1_000_000).cast("bigint").alias("ts_hi"), F.pmod(us, F.lit(1_000_000)).cast("bigint").alias("ts_lo"),
+        size.alias("cap_len"), size.alias("orig_len"), raw.alias("raw"), F.lit("ok").alias("status"),
+        F.lit(0).cast("bigint").alias("zero_sec"), F.lit(0).cast("bigint").alias("zero_us"),
+    )
+    return out if dns else out.withColumn("dns", F.lit(None).cast("string"))
 
 
 def micros(ts: str = "ts") -> Column:
@@ -70,7 +82,7 @@ def tcp_frames(events: DataFrame) -> DataFrame:
     e = event()
     flags = F.when(e % 10 == 0, 2).otherwise(24)
     body = join(ethernet(0x0800, user(), e), ip4(40 + e % 100, 6, client(), SERVER, e % 65536, e % 256), tcp(1024 + user() % 1000, 80, F.pmod(e * 7919, F.lit(1 << 32)), e * 3, flags, e % 65536))
-    return frames(events, e + 1, body, micros())
+    return frames(events, e + 1, body, micros(), dns=False)
 
 
 def flow_frames(events: DataFrame) -> DataFrame:
@@ -83,14 +95,21 @@ def flow_frames(events: DataFrame) -> DataFrame:
         ethernet(0x0800), ip4(F.lit(40), 6, F.when(back, F.lit(SERVER)).otherwise(client()), F.when(back, client()).otherwise(F.lit(SERVER))),
         tcp(F.when(back, 80).otherwise(port), F.when(back, port).otherwise(80), F.pmod(e * 7919, F.lit(1 << 32)), e * 3, flags, F.lit(512)),
     )
-    return frames(events, e + 1, body, micros())
+    return frames(events, e + 1, body, micros(), dns=False)
+
+
+#: The payload of a TCP segment whose IPv4 packet has the greatest length.
+SEGMENT = 65_535 - 40
 
 
 def text_frames(documents: DataFrame, port: Column | int) -> DataFrame:
-    """A TCP segment to ``port`` with the first 200 bytes of each text."""
-    data = F.substring(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 1, 200)
-    body = join(ethernet(0x0800), ip4(40 + F.octet_length(data), 6, "0A000001", SERVER), tcp(F.lit(40000), port, 1, 1), F.hex(data))
-    return frames(documents, F.col("doc_id") + 1, body)
+    """TCP segments to ``port`` with each whole text: SEGMENT bytes each, the k-th of a text in file ``segment<k>``, sequence numbers rising."""
+    data = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    parts = F.greatest(F.lit(0), F.floor((F.octet_length("data") - 1) / SEGMENT).cast("int"))
+    rows = documents.select("doc_id", data.alias("data")).select("*", F.explode(F.sequence(F.lit(0), parts)).alias("part"))
+    rows = rows.withColumn("data", F.substring("data", F.col("part") * SEGMENT + 1, F.lit(SEGMENT)))
+    body = join(ethernet(0x0800), ip4(40 + F.octet_length("data"), 6, "0A000001", SERVER), tcp(F.lit(40000), port, 1 + F.col("part") * SEGMENT, 1), F.hex("data"))
+    return frames(rows, F.col("doc_id") + 1, body, file=F.concat(F.lit("segment"), F.col("part").cast("string")), dns=False)
 
 
 def dns_name(host: Column) -> Column:
@@ -117,3 +136,60 @@ def captures_ng(events: DataFrame, files: int = 8) -> DataFrame:
     rows = e.join(ids, "number").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("number", record.alias("r")))).alias("rows"))
     head = "0A0D0D0A1C0000004D3C2B1A01000000FFFFFFFFFFFFFFFF1C000000" + "01000000140000000100000000000400" + "14000000"
     return rows.select("path", F.unhex(join(head, F.array_join(F.transform("rows", lambda x: x["r"]), ""))).alias("content"))
+
+
+def _le(x: Column | int, size: int) -> Column:
+    return le_hex(F.lit(x) if isinstance(x, int) else x, size)
+
+
+def _block(kind: int, body: Column, wrong: int = 0) -> Column:
+    """A pcapng block; its closing length is wrong by ``wrong``."""
+    total = 12 + F.length(body) / 2
+    return join(_le(kind, 4), _le(total, 4), body, _le(total + wrong, 4))
+
+
+def captures_mixed(events: DataFrame, files: int = 8) -> DataFrame:
+    """path, content: pcapng files of all kinds of blocks, by event modulo 7.
+
+    0, 1 enhanced packets, 2 a simple packet, 3 interface statistics, 4 an unknown block, 5 an enhanced packet
+    whose lengths disagree, 6 a name record; after a section and an interface.
+    """
+    e = event()
+    enhanced = join(_le(0, 4), _le(e % 1000, 4), _le(e, 4), _le(4, 4), _le(4, 4), h(e, 4))
+    kinds = [
+        _block(6, enhanced), _block(6, enhanced), _block(3, join(_le(4, 4), h(e, 4))), _block(5, join(_le(e % 3, 4), _le(1, 4), _le(e, 4))),
+        _block(0xBAD, h(e, 4)), _block(6, enhanced, 4), _block(4, join(_le(1, 2), _le(6, 2), client(), "6E00", "0000", "00000000")),
+    ]
+    rows = events.select(F.pmod(user(), F.lit(files)).alias("f"), e.alias("n"), F.get(F.array(*kinds), (e % 7).cast("int")).alias("r"))
+    rows = rows.groupBy("f").agg(F.array_sort(F.collect_list(F.struct("n", "r"))).alias("rows"))
+    head = "0A0D0D0A1C0000004D3C2B1A01000000FFFFFFFFFFFFFFFF1C000000" + "01000000140000000100000000000400" + "14000000"
+    content = F.unhex(join(head, F.array_join(F.transform("rows", lambda x: x["r"]), "")))
+    return rows.select(F.concat(F.lit("mixed"), F.col("f").cast("string"), F.lit(".pcapng")).alias("path"), content.alias("content"))
+
+
+def captures_cut(events: DataFrame, files: int = 8) -> DataFrame:
+    """path, content: ``captures`` whose last record lacks its last 10 bytes."""
+    return captures(events, files).select("path", F.expr("substring(content, 1, length(content) - 10)").alias("content"))
+
+
+def written(files: DataFrame) -> str:
+    """A new folder with ``files`` (path, content) and one file that is no capture.
+
+    It lies below ``spark.checkpoint.dir`` where that names a mounted folder; each task writes its files there.
+    """
+    spark = files.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="framelight-")
+    folder = os.path.join(re.sub("^file:/*", "/", shared), f"captures-{uuid.uuid4().hex}")
+    os.makedirs(folder)
+
+    def write(batches):
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                with open(os.path.join(folder, path), "wb") as f:
+                    f.write(content)
+                yield pa.RecordBatch.from_pydict({"path": [path]})
+
+    files.mapInArrow(write, "path string").count()
+    with open(os.path.join(folder, "notes.txt"), "w") as f:
+        f.write("not a capture")
+    return folder

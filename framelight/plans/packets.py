@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelight.operators.dissect import IS_TCP, offsets, with_packets
+from framelight.operators.dissect import IS_TCP, offsets, with_dns, with_packets
 from framelight.operators.tcp import track
 from framelight.operators.timebase import with_time
 
@@ -14,22 +14,29 @@ COLUMNS = ["file", "number", "time", "time_exact", "source", "destination", "pro
 
 def tcp_tracking(frames: DataFrame) -> DataFrame:
     """file, number, rel_seq, rel_ack of the TCP frames; raw bytes stay out of the shuffle."""
-    segments = with_packets(offsets(frames.where(IS_TCP)))
+    segments = with_packets(offsets(frames.where(IS_TCP).withColumn("dns", F.lit(None).cast("string"))))
     return track(segments.select("file", "number", "source", "destination", "sport", "dport", "seq", "ack", "flags")).select("file", "number", "rel_seq", "rel_ack")
 
 
 def packets(frames: DataFrame, tracked: bool = True) -> DataFrame:
-    """The packet table.
+    """The packet table: frames are parsed and dissected once, and meet one exchange, by connection.
 
-    Only TCP frames meet the tracker's shuffle, and of their columns only those that the query reads;
-    the others join them by a union.  ``tracked=False`` leaves rel_seq and rel_ack NULL.
+    Frames of other kinds travel along, spread evenly, as a second pass over the bytes costs more than
+    moving what a query reads.  If a query reads no tracked number, or with ``tracked=False`` (rel_seq and
+    rel_ack are NULL), there is no exchange.
     """
-    timed = with_time(frames)
-    none = [F.lit(None).cast("bigint").alias(c) for c in ("rel_seq", "rel_ack")]
+    table = with_packets(offsets(with_time(with_dns(frames))))
     if not tracked:
-        return _finish(with_packets(offsets(timed)).select("*", *none))
-    tcp, rest = with_packets(offsets(timed.where(IS_TCP))), with_packets(offsets(timed.where(f"not {IS_TCP}")))
-    return _finish(track(tcp)).unionByName(_finish(rest.select("*", *none)))
+        return _finish(table.select("*", *[F.lit(None).cast("bigint").alias(c) for c in ("rel_seq", "rel_ack")]))
+    return _finish(track(table))
+
+
+def packet_at(frames: DataFrame, file: str, number: int) -> DataFrame:
+    """The packet table's row of one frame.  Only that file's frames up to it are dissected and tracked, as later ones cannot matter.
+
+    For captures read ``frames`` from that file alone, as a filter does not reach into a file's parser.
+    """
+    return packets(frames.where((F.col("file") == file) & (F.col("number") <= number))).where(F.col("number") == number)
 
 
 def _finish(table: DataFrame) -> DataFrame:

@@ -14,8 +14,8 @@ from framelight.operators import fields as fields_
 from framelight.operators.hexdump import hex_dump, hex_text
 from framelight.operators.timebase import with_time
 from framelight.plans import fixtures as X
-from framelight.plans.packets import frame_details, packet_list, packets, tcp_tracking
-from framelight.sources.capture import parse_files
+from framelight.plans.packets import frame_details, packet_at, packet_list, packets, tcp_tracking
+from framelight.sources.capture import parse_files, read_captures, register
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -76,7 +76,7 @@ def tcp_fields(spark, sf_dir):
 def _udp(spark, sf_dir, sport, dport, size, data=None):
     events = _table(spark, sf_dir, "events")
     body = X.join(X.ethernet(0x0800), X.ip4(20 + size, 17, X.client(), X.SERVER), X.udp(sport, dport, size), data if data is not None else "")
-    return X.frames(events, X.event() + 1, body, X.micros())
+    return X.frames(events, X.event() + 1, body, X.micros(), dns=False)
 
 
 @query(_E + "SELECT n::INTEGER AS number, port::BIGINT AS src_port, 9999::BIGINT AS dst_port, (event_id % 300)::BIGINT AS length, 0::BIGINT AS checksum FROM e")
@@ -113,7 +113,7 @@ def protocol_dispatch(spark, sf_dir):
 def tcp_flags(spark, sf_dir):
     events = _table(spark, sf_dir, "events")
     body = X.join(X.ethernet(0x0800), X.ip4(F.lit(40), 6, X.client(), X.SERVER), X.tcp(1024, 80, 0, 0, X.event() % 256))
-    return packets(X.frames(events, X.event() + 1, body), tracked=False).select("number", F.col("tcp.flags").cast("bigint").alias("flags"), "info")
+    return packets(X.frames(events, X.event() + 1, body, dns=False), tracked=False).select("number", F.col("tcp.flags").cast("bigint").alias("flags"), "info")
 
 
 @query(_E + """, p AS (SELECT *, event_id % 2 = 1 AS back, event_id % 10 = 1 AS synack FROM e),
@@ -143,7 +143,7 @@ _ICMP_SQL = """CASE WHEN k = 8 THEN 'ICMP Echo Request, Identifier=' || (event_i
 def icmp_info(spark, sf_dir):
     events, e = _table(spark, sf_dir, "events"), X.event()
     body = X.join(X.ethernet(0x0800), X.ip4(20 + e % 12, 1, X.client(), X.SERVER), _icmp_body(e % 13, X.user() % 7))
-    return packets(X.frames(events, e + 1, body), tracked=False).select("number", "protocol", "length", "info")
+    return packets(X.frames(events, e + 1, body, dns=False), tracked=False).select("number", "protocol", "length", "info")
 
 
 def _six(x):
@@ -154,7 +154,7 @@ def _six(x):
 def icmpv6_info(spark, sf_dir):
     events, e = _table(spark, sf_dir, "events"), X.event()
     body = X.join(X.ethernet(0x86DD), X.ip6("60000000", 8, 58, _six(e % 65535 + 1), _six(X.user() % 65535 + 1)), _icmp_body(128 + e % 8, X.user() % 7))
-    return packets(X.frames(events, e + 1, body), tracked=False).select("number", "protocol", "source", "destination", "length", "info")
+    return packets(X.frames(events, e + 1, body, dns=False), tracked=False).select("number", "protocol", "source", "destination", "length", "info")
 
 
 @query("""WITH e AS (SELECT *, event_id % 256 AS tc, (event_id * 31) % 1048576 AS fl FROM events), b AS (SELECT *, 96 | (tc >> 4) AS b0, ((tc & 15) << 4) | (fl >> 16) AS b1, (fl >> 8) & 255 AS b2, fl & 255 AS b3 FROM e)
@@ -164,14 +164,14 @@ def ipv6_info(spark, sf_dir):
     events, e = _table(spark, sf_dir, "events"), X.event()
     word = X.h(F.lit(6 << 28) + (e % 256) * (1 << 20) + (e * 31) % 1048576, 4)
     body = X.join(X.ethernet(0x86DD), X.ip6(word, e % 1000, 59, _six(e % 65535 + 1), _six(X.user() % 65535 + 1)))
-    return packets(X.frames(events, e + 1, body), tracked=False).select("number", "protocol", "length", "info")
+    return packets(X.frames(events, e + 1, body, dns=False), tracked=False).select("number", "protocol", "length", "info")
 
 
 def _arp(spark, sf_dir, kind):
     rows, k = _table(spark, sf_dir, "customer"), F.col("c_custkey")
     target = F.when(k % 4 == 0, F.lit("000000000000")).when(k % 4 == 1, X.join("0200", X.h(k, 4))).otherwise(F.lit("0200000000FF"))
     body = X.join(X.ethernet(kind), "000108000604", X.h(k % 6, 2), "0200", X.h(k, 4), "0A00", X.h(k % 65536, 2), target, "0A0000FE")
-    return packets(X.frames(rows, k + 1, body), tracked=False).select("number", "source", "destination", "protocol", "length", "info")
+    return packets(X.frames(rows, k + 1, body, dns=False), tracked=False).select("number", "source", "destination", "protocol", "length", "info")
 
 
 def _arp_sql(name: str) -> str:
@@ -231,26 +231,32 @@ def snmp_info(spark, sf_dir):
 
 
 _FIFTY = "(SELECT coalesce(string_agg(chr(('0x' || substr(hx, 2 * i + 1, 2))::INT), '' ORDER BY i), '') FROM range(least(50, length(hx) // 2)) r(i))"
-_TEXT = "WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS hx FROM documents) SELECT (doc_id + 1)::INTEGER AS number, "
+#: Segments of whole texts: number, file, hx.
+_TEXT = f"""WITH w AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS hx FROM documents),
+k AS (SELECT *, unnest(range(greatest(1, (length(hx) // 2 + {X.SEGMENT - 1}) // {X.SEGMENT}))) AS part FROM w),
+d AS (SELECT doc_id, part, 'segment' || part::VARCHAR AS file, substr(hx, part * {2 * X.SEGMENT} + 1, {2 * X.SEGMENT}) AS hx FROM k)
+"""
 
 
-@query(_TEXT + f"'Telnet' AS protocol, least(200, length(hx) // 2)::BIGINT AS length, '40000 -> 23 [PSH, ACK]  Seq=0 Ack=1[ Telnet data: ' || {_FIFTY} || '... ]' AS info FROM d")
+@query(_TEXT + f"""SELECT (doc_id + 1)::INTEGER AS number, file || ' ' || (doc_id + 1)::VARCHAR AS file, 'Telnet' AS protocol, (length(hx) // 2)::BIGINT AS length,
+  '40000 -> 23 [PSH, ACK]  Seq=0 Ack=1[ Telnet data: ' || {_FIFTY} || '... ]' AS info FROM d""")
 def telnet_info(spark, sf_dir):
     # Each frame is a file of its own here, hence the first packet of its connection.
-    frames = X.text_frames(_table(spark, sf_dir, "documents"), 23).withColumn("file", F.col("number").cast("string"))
-    return packets(frames).select("number", "protocol", "length", "info")
+    frames = X.text_frames(_table(spark, sf_dir, "documents"), 23).withColumn("file", F.concat_ws(" ", "file", F.col("number").cast("string")))
+    return packets(frames).select("number", "file", "protocol", "length", "info")
 
 
-@query(_TEXT + f"'SMTP' AS protocol, least(200, length(hx) // 2)::BIGINT AS length, 'SMTP data: ' || {_FIFTY} || '...' AS info FROM d")
+@query(_TEXT + f"""SELECT (doc_id + 1)::INTEGER AS number, file, 'SMTP' AS protocol, (length(hx) // 2)::BIGINT AS length,
+  'SMTP data: ' || {_FIFTY} || '...' AS info FROM d""")
 def smtp_info(spark, sf_dir):
-    return packets(X.text_frames(_table(spark, sf_dir, "documents"), 25), tracked=False).select("number", "protocol", "length", "info")
+    return packets(X.text_frames(_table(spark, sf_dir, "documents"), 25), tracked=False).select("number", "file", "protocol", "length", "info")
 
 
 @query("SELECT (event_id + 1)::INTEGER AS number, 'BGP' AS protocol, '179 -> 5000 [PSH, ACK]  [ BGP: ' || CASE event_id % 6 WHEN 1 THEN 'OPEN' WHEN 2 THEN 'UPDATE' WHEN 3 THEN 'NOTIFICATION' WHEN 4 THEN 'KEEPALIVE' ELSE 'Unknown' END || ' ]' AS info FROM events")
 def bgp_info(spark, sf_dir):
     events, e = _table(spark, sf_dir, "events"), X.event()
     body = X.join(X.ethernet(0x0800), X.ip4(F.lit(59), 6, X.client(), X.SERVER), X.tcp(179, 5000), "FF" * 16, "0013", X.h(e % 6, 1))
-    return packets(X.frames(events, e + 1, body), tracked=False).select("number", "protocol", "info")
+    return packets(X.frames(events, e + 1, body, dns=False), tracked=False).select("number", "protocol", "info")
 
 
 @query(_E + "SELECT n::INTEGER AS number, printf('%.6f', (us // 1000000)::DOUBLE + 10e-7::DOUBLE * (us % 1000000)::DOUBLE) AS time, us AS time_exact FROM e")
@@ -266,7 +272,7 @@ def pcapng_time(spark, sf_dir):
     events = _table(spark, sf_dir, "events")
     ns = X.micros() * 1000 + X.event() % 1000
     f = X.tcp_frames(events).join(events.select((X.event() + 1).cast("int").alias("number"), ns.alias("ns"), F.pmod(X.user(), F.lit(8)).cast("string").alias("f")), "number")
-    f = f.withColumns({"format": F.lit("pcapng"), "file": F.col("f"), "ts_hi": F.shiftright("ns", 32), "ts_lo": F.pmod("ns", F.lit(1 << 32))})
+    f = f.drop("zero_sec", "zero_us").withColumns({"format": F.lit("pcapng"), "file": F.col("f"), "ts_hi": F.shiftright("ns", 32), "ts_lo": F.pmod("ns", F.lit(1 << 32))})
     return with_time(f).select("number", F.format_string("%.6f", "time").alias("time"))
 
 
@@ -277,9 +283,8 @@ _DETAIL = _E + """, f AS (SELECT * FROM (VALUES ('L2', 0, 'Destination MAC', 0,
 """
 
 
-def _fields(spark, sf_dir):
-    p = packets(X.tcp_frames(_table(spark, sf_dir, "events")), tracked=False)
-    return p, fields_.packet_fields(p)
+def _tcp(spark, sf_dir):
+    return packets(X.tcp_frames(_table(spark, sf_dir, "events")), tracked=False)
 
 
 _VALUES = f"""CASE layer || label WHEN 'L2Destination MAC' THEN {_MAC.format('event_id').replace('{{', '{').replace('}}', '}')} WHEN 'L2Source MAC' THEN {_MAC.format('user_id').replace('{{', '{').replace('}}', '}')} WHEN 'L2Type' THEN '8'
@@ -291,30 +296,87 @@ _VALUES = f"""CASE layer || label WHEN 'L2Destination MAC' THEN {_MAC.format('ev
 
 @query(_DETAIL + f"SELECT n::INTEGER AS number, layer, ord::INTEGER AS ord, label, lo::INTEGER AS lo, hi::INTEGER AS hi, {_VALUES} AS value FROM e, f")
 def packet_detail(spark, sf_dir):
-    return _fields(spark, sf_dir)[1].select("number", "layer", "ord", "label", "lo", "hi", "value")
+    return fields_.packet_fields(_tcp(spark, sf_dir)).select("number", "layer", "ord", "label", "lo", "hi", "value")
+
+
+def _details(rows: str, cte: str) -> str:
+    """The SQL of a detail query: (layer, ord, label, lo, hi, value as SQL) for each field of each row of ``e``."""
+    return f"{cte} SELECT (k + 1)::INTEGER AS number, u.* FROM e, LATERAL (VALUES {rows}) u(layer, ord, label, lo, hi, value)"
+
+
+def _shown(layer: str, base: int, fields: list, values: dict[str, str]) -> str:
+    return ", ".join(f"('{layer}', {k}, '{label}', {base + lo}, {base + hi}, {values.get(label, 'NULL')}::VARCHAR)" for k, (label, lo, hi, _) in enumerate(fields))
+
+
+_L2 = {"Destination MAC": "'02:00:00:00:00:01'", "Source MAC": "'02:00:00:00:00:02'"}
+_V6 = {
+    "Version": "0", "Traffic Class": "6", "Flow Label": "0", "Payload Length": _SWAP2.format("8 + k % 300"), "Next Header": "17", "Hop Limit": "64",
+    "Source IP": "'2001:db8::' || format('{:x}', k % 65535 + 1)", "Destination IP": "'2001:db8::' || format('{:x}', v % 65535 + 1)",
+}
+_UDP = {"Source Port": _SWAP2.format("1024 + v % 1000"), "Destination Port": "3879", "Length": _SWAP2.format("8 + k % 300"), "Checksum": "0"}
+_KV = "WITH e AS (SELECT event_id AS k, user_id AS v FROM events)"
+
+
+@query(_details(f"{_shown('L2', 0, fields_.ETHERNET, _L2 | {'Type': '56710'})}, {_shown('L3', 14, fields_.IPV6, _V6)}, {_shown('L4', 54, fields_.UDP, _UDP)}", _KV))
+def detail_ipv6_udp(spark, sf_dir):
+    events, e = _table(spark, sf_dir, "events"), X.event()
+    body = X.join(X.ethernet(0x86DD), X.ip6("60000000", 8 + e % 300, 17, _six(e % 65535 + 1), _six(X.user() % 65535 + 1)), X.udp(1024 + X.user() % 1000, 9999, 8 + e % 300))
+    p = packets(X.frames(events, e + 1, body, dns=False), tracked=False)
+    return fields_.packet_fields(p).select("number", "layer", "ord", "label", "lo", "hi", "value")
+
+
+@query(_details(f"{_shown('L2', 0, fields_.ETHERNET, _L2 | {'Type': '1544'})}, {_shown('L3', 14, fields_.ARP, {})}, {_shown('L4', 42, fields_.ICMP, {})}", "WITH e AS (SELECT c_custkey AS k FROM customer)"))
+def detail_arp(spark, sf_dir):
+    rows, k = _table(spark, sf_dir, "customer"), F.col("c_custkey")
+    body = X.join(X.ethernet(0x0806), "000108000604", "0001", "0200", X.h(k, 4), "0A000001", "000000000000", "0A0000FE")
+    p = packets(X.frames(rows, k + 1, body, dns=False), tracked=False)
+    return fields_.packet_fields(p).select("number", "layer", "ord", "label", "lo", "hi", "value")
+
+
+_V4 = {
+    "Version": "4", "IHL": "5", "Type of Service": "0", "Total Length": "7168", "Identification": "256", "Flags": "64", "Fragment Offset": "0", "TTL": "64", "Protocol": "1",
+    "Header Checksum": "0", "Source IP": "'10.0.' || ((v % 65536) // 256)::VARCHAR || '.' || (v % 256)::VARCHAR", "Destination IP": "'192.168.0.10'",
+}
+
+
+@query(_details(f"{_shown('L2', 0, fields_.ETHERNET, _L2 | {'Type': '8'})}, {_shown('L3', 14, fields_.IPV4, _V4)}, {_shown('L4', 34, fields_.ICMP, {})}", _KV))
+def detail_icmp(spark, sf_dir):
+    events, e = _table(spark, sf_dir, "events"), X.event()
+    body = X.join(X.ethernet(0x0800), X.ip4(F.lit(28), 1, X.client(), X.SERVER), _icmp_body(e % 13, X.user() % 7))
+    p = packets(X.frames(events, e + 1, body, dns=False), tracked=False)
+    return fields_.packet_fields(p).select("number", "layer", "ord", "label", "lo", "hi", "value")
+
+
+_PACKET = 42
+
+
+@query(ORACLE["packet_list_tcp"] + f" WHERE n = {_PACKET}")
+def packet_lookup(spark, sf_dir):
+    """One frame by file and number (a report on a single packet is the feature)."""
+    return packet_list(packet_at(X.tcp_frames(_table(spark, sf_dir, "events")), "mem", _PACKET))
 
 
 @query(_DETAIL + "SELECT n::INTEGER AS number, (event_id % 54)::INTEGER AS byte, layer, ord::INTEGER AS ord, label FROM e JOIN f ON event_id % 54 BETWEEN lo AND hi")
 def byte_to_field(spark, sf_dir):
-    p, f = _fields(spark, sf_dir)
+    p = _tcp(spark, sf_dir)
     chosen = p.select("file", "number", ((F.col("number") - 1) % 54).cast("int").alias("byte"))
-    return fields_.byte_to_fields(f, chosen).select("number", "byte", "layer", "ord", "label")
+    return fields_.byte_to_fields(p, chosen).select("number", "byte", "layer", "ord", "label")
 
 
 @query(_DETAIL + "SELECT n::INTEGER AS number, layer, lo::INTEGER AS lo, hi::INTEGER AS hi FROM e, f WHERE label = 'Flags'")
 def field_to_bytes(spark, sf_dir):
-    return fields_.field_to_bytes(_fields(spark, sf_dir)[1], "Flags").select("number", "layer", "lo", "hi")
+    return fields_.field_to_bytes(_tcp(spark, sf_dir), "Flags").select("number", "layer", "lo", "hi")
 
 
 @query(_DETAIL + "SELECT n::INTEGER AS number, label, lo::INTEGER AS lo, hi::INTEGER AS hi FROM e, f WHERE lo = 14")
 def same_start(spark, sf_dir):
-    return fields_.same_start(_fields(spark, sf_dir)[1], "Version").select("number", "label", "lo", "hi")
+    return fields_.same_start(_tcp(spark, sf_dir), "Version").select("number", "label", "lo", "hi")
 
 
-@query("SELECT (doc_id + 1)::INTEGER AS number, 54::INTEGER AS lo, (53 + least(200, octet_length(encode(text))))::INTEGER AS hi FROM documents WHERE length(text) > 0")
+@query(_TEXT + "SELECT (doc_id + 1)::INTEGER AS number, file, 54::INTEGER AS lo, (53 + length(hx) // 2)::INTEGER AS hi FROM d WHERE length(hx) > 0")
 def payload_range(spark, sf_dir):
     p = packets(X.text_frames(_table(spark, sf_dir, "documents"), 25), tracked=False)
-    return fields_.payload_range(p, fields_.packet_fields(p)).select("number", "lo", "hi")
+    return fields_.payload_range(p).select("number", "file", "lo", "hi")
 
 
 @query("SELECT (event_id + 1)::INTEGER AS number, 'Frame Number: ' || (event_id + 1)::VARCHAR AS frame_line, 'Packet Info: SNMP message (length: ' || (event_id % 500)::VARCHAR || ')' AS info_line FROM events")
@@ -322,19 +384,36 @@ def frame_lines(spark, sf_dir):
     return frame_details(packets(_udp(spark, sf_dir, 40000, 161, 8 + X.event() % 500), tracked=False)).select("number", "frame_line", "info_line")
 
 
-_HEX = """WITH d AS (SELECT doc_id + 1 AS n, '020000000001020000000002' || '0800' || '4500' || format('{:04X}', 40 + least(200, length(hx) // 2)) || '000140004006' || '0000' || '0A000001' || 'C0A8000A' || '9C400019' || '00000001' || '00000001' || '5018' || '0000' || '00000000' || substr(hx, 1, 400) AS raw
-  FROM (SELECT doc_id, hex(encode(coalesce(text, ''))) AS hx FROM documents)), l AS (SELECT n, unnest(range((length(raw) // 2 - 1) // 16 + 1)) AS line, raw FROM d), p AS (SELECT n, line, substr(raw, line * 32 + 1, 32) AS part FROM l)
+_HEX = _TEXT + f""", r AS (SELECT doc_id + 1 AS n, file, '0200000000010200000000020800' || '4500' || format('{{:04X}}', 40 + length(hx) // 2) || '000140004006' || '0000'
+  || '0A000001' || 'C0A8000A' || '9C400019' || format('{{:08X}}', 1 + part * {X.SEGMENT}) || '00000001' || '5018' || '0000' || '00000000' || hx AS raw FROM d),
+l AS (SELECT n, file, unnest(range((length(raw) // 2 - 1) // 16 + 1)) AS line, raw FROM r), p AS (SELECT n, file, line, substr(raw, line * 32 + 1, 32) AS part FROM l),
+q AS (SELECT *, regexp_replace(decode_ascii, '[^ -~]', '.', 'g') AS ascii FROM
+  (SELECT *, array_to_string(list_transform(range(length(part) // 2), lambda i: CASE WHEN ('0x' || substr(part, 2 * i + 1, 2))::INT BETWEEN 32 AND 126 THEN chr(('0x' || substr(part, 2 * i + 1, 2))::INT) ELSE '.' END), '') AS decode_ascii FROM p))
 """
 
 
-@query(_HEX + "SELECT n::INTEGER AS number, line::INTEGER AS line, format('{:08X}: ', line * 16) AS address, rtrim(regexp_replace(part, '(..)', '\\1 ', 'g')) AS bytes, (SELECT string_agg(CASE WHEN b BETWEEN 32 AND 126 THEN chr(b) ELSE '.' END, '' ORDER BY i) FROM (SELECT i, ('0x' || substr(part, 2 * i + 1, 2))::INT AS b FROM range(length(part) // 2) r(i))) AS ascii FROM p")
+@query(_HEX + """SELECT n::INTEGER AS number, file, line::INTEGER AS line, format('{:08X}: ', line * 16) AS address,
+  rtrim(regexp_replace(part, '(..)', '\\1 ', 'g')) AS bytes, ascii FROM q""")
 def hex_dump_lines(spark, sf_dir):
-    return hex_dump(X.text_frames(_table(spark, sf_dir, "documents"), 25)).select("number", "line", "address", "bytes", "ascii")
+    return hex_dump(X.text_frames(_table(spark, sf_dir, "documents"), 25)).select("number", "file", "line", "address", "bytes", "ascii")
 
 
-@query()
+@query(_HEX + """SELECT n::INTEGER AS number, file, string_agg(rpad(regexp_replace(lower(part), '(..)', '\\1 ', 'g'), 48, ' ') || chr(10), '' ORDER BY line) AS hex,
+  string_agg(ascii || chr(10), '' ORDER BY line) AS text FROM q GROUP BY n, file""")
 def hex_texts(spark, sf_dir):
-    return hex_text(X.text_frames(_table(spark, sf_dir, "documents"), 25)).select("number", "text")
+    return hex_text(X.text_frames(_table(spark, sf_dir, "documents"), 25)).select("number", "file", "hex", "text")
+
+
+@query("""SELECT (event_id + 1)::INTEGER AS number, (event_id % 3)::INTEGER AS op, 1::INTEGER AS htype, 6::INTEGER AS hlen, 0::INTEGER AS hops, (event_id * 65537)::BIGINT AS xid, 7::BIGINT AS secs, 32768::BIGINT AS flags,
+  '0.0.0.0' AS ciaddr, '10.0.' || ((user_id % 65536) // 256)::VARCHAR || '.' || (user_id % 256)::VARCHAR AS yiaddr, '192.168.0.10' AS siaddr, '10.0.0.254' AS giaddr,
+  '0200' || format('{:08X}', user_id) || repeat('00', 10) AS chaddr, repeat('41', 64) AS sname, repeat('42', 128) AS file FROM events""")
+def dhcp_header(spark, sf_dir):
+    e = X.event()
+    data = X.join(X.h(e % 3, 1), "010600", X.h(e * 65537, 4), "0007", "8000", "00000000", X.client(), X.SERVER, "0A0000FE", "0200", X.h(X.user(), 4), "00" * 10, "41" * 64, "42" * 128)
+    p = packets(_udp(spark, sf_dir, 68, 67, F.lit(244), data), tracked=False).select("number", "dhcp.*")
+    wide = lambda c: F.col(c).cast("bigint").alias(c)
+    small = lambda c: F.col(c).cast("int").alias(c)
+    return p.select("number", *map(small, ("op", "htype", "hlen", "hops")), *map(wide, ("xid", "secs", "flags")), "ciaddr", "yiaddr", "siaddr", "giaddr", *[F.hex(c).alias(c) for c in ("chaddr", "sname", "file")])
 
 
 @query(_E + """SELECT 'cap' || (user_id % 8)::VARCHAR || '.pcap' AS file, row_number() OVER (PARTITION BY user_id % 8 ORDER BY n)::INTEGER AS number, (us // 1000000)::BIGINT AS ts_hi, (us % 1000000)::BIGINT AS ts_lo, 54::BIGINT AS cap_len, 'ok' AS status FROM e""")
@@ -350,3 +429,76 @@ def capture_scan_pcapng(spark, sf_dir):
 @query("SELECT 'cap' || f::VARCHAR || '.pcapng' AS file, 2::INTEGER AS block_ordinal, 1::INTEGER AS link_type, 262144::BIGINT AS snap_len FROM (SELECT DISTINCT user_id % 8 AS f FROM events)")
 def capture_interfaces(spark, sf_dir):
     return parse_files(X.captures_ng(_table(spark, sf_dir, "events")), "interfaces").select("file", "block_ordinal", "link_type", "snap_len")
+
+
+#: All kinds of blocks, by event; frames are the packet blocks.
+_MIXED = """WITH b AS (SELECT event_id AS e, user_id AS u, event_id % 7 AS kind, 'mixed' || (user_id % 8)::VARCHAR || '.pcapng' AS file,
+  2 + row_number() OVER (PARTITION BY user_id % 8 ORDER BY event_id) AS ordinal FROM events),
+f AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY e) AS n FROM b WHERE kind IN (0, 1, 2, 5))
+"""
+
+
+def _mixed(spark, sf_dir, table):
+    return parse_files(X.captures_mixed(_table(spark, sf_dir, "events")), table)
+
+
+@query(_MIXED + """SELECT file, n::INTEGER AS number, (CASE kind WHEN 2 THEN 3 ELSE 6 END)::BIGINT AS block_type, CASE kind WHEN 2 THEN 'undecoded' WHEN 5 THEN 'length_mismatch' ELSE 'ok' END AS status,
+  CASE WHEN kind < 2 THEN e % 1000 END::BIGINT AS ts_hi, CASE WHEN kind < 2 THEN e END::BIGINT AS ts_lo, CASE WHEN kind <> 5 THEN 4 END::BIGINT AS orig_len, CASE WHEN kind < 2 THEN format('{:08X}', e) END AS raw FROM f""")
+def capture_packet_blocks(spark, sf_dir):
+    """Enhanced and simple packets, and packets whose lengths disagree."""
+    return _mixed(spark, sf_dir, "frames").select("file", "number", "block_type", "status", "ts_hi", "ts_lo", "orig_len", F.hex("raw").alias("raw"))
+
+
+@query(_MIXED + """SELECT file, ordinal::INTEGER AS block_ordinal, (CASE kind WHEN 2 THEN 3 WHEN 3 THEN 5 WHEN 4 THEN 2989 WHEN 6 THEN 4 ELSE 6 END)::BIGINT AS block_type,
+  (CASE kind WHEN 2 THEN 20 WHEN 3 THEN 24 WHEN 4 THEN 16 WHEN 6 THEN 28 ELSE 36 END)::BIGINT AS total_length, CASE kind WHEN 5 THEN 'length_mismatch' ELSE 'ok' END AS status FROM b
+UNION ALL SELECT DISTINCT file, 1, 168627466, 28, 'ok' FROM b UNION ALL SELECT DISTINCT file, 2, 1, 20, 'ok' FROM b""")
+def capture_blocks(spark, sf_dir):
+    """Sections, interfaces, packets, statistics, names and unknown blocks."""
+    return _mixed(spark, sf_dir, "blocks").select("file", "block_ordinal", "block_type", "total_length", "status")
+
+
+@query(_MIXED + "SELECT file, ordinal::INTEGER AS block_ordinal, (e % 3)::BIGINT AS interface_id, 1::BIGINT AS ts_hi, e::BIGINT AS ts_lo, 'ok' AS status FROM b WHERE kind = 3")
+def capture_statistics(spark, sf_dir):
+    return _mixed(spark, sf_dir, "statistics").select("file", "block_ordinal", "interface_id", "ts_hi", "ts_lo", "status")
+
+
+@query(_MIXED + """SELECT file, ordinal::INTEGER AS block_ordinal, 1::INTEGER AS record_type, '10.0.' || ((u % 65536) // 256)::VARCHAR || '.' || (u % 256)::VARCHAR AS address, 'n' AS names FROM b WHERE kind = 6""")
+def capture_names(spark, sf_dir):
+    return _mixed(spark, sf_dir, "names").select("file", "block_ordinal", "record_type", "address", F.array_join("names", ",").alias("names"))
+
+
+_FILED = _E + """, c AS (SELECT *, 'cap' || (user_id % 8)::VARCHAR AS f, row_number() OVER (PARTITION BY user_id % 8 ORDER BY n) AS k, row_number() OVER (PARTITION BY user_id % 8 ORDER BY n DESC) AS last FROM e)
+"""
+_LISTED = "SELECT {source} AS source, f || '.{kind}' AS file, k::INTEGER AS number, 54::BIGINT AS cap_len, 'ok' AS status, ip AS address FROM c"
+
+
+@query(_FILED + "SELECT f || '.pcap' AS file, k::INTEGER AS number, 54::BIGINT AS cap_len, 54::BIGINT AS size, CASE WHEN last = 1 THEN 'truncated' ELSE 'ok' END AS status, CASE WHEN last = 1 THEN 20 ELSE 0 END::INTEGER AS zeros FROM c")
+def capture_cut_tail(spark, sf_dir):
+    """A record that the file's end cuts off is filled up with zeros."""
+    found = parse_files(X.captures_cut(_table(spark, sf_dir, "events")))
+    # The window, checksum and urgent fields of these frames end in six zeros or, cut, in ten: bytes 44 to 53.
+    zeros = F.when((F.col("status") == "truncated") & (F.expr("hex(substring(raw, 45, 10))") == "00" * 10), 20).otherwise(0).cast("int")
+    return found.select("file", "number", "cap_len", F.octet_length("raw").cast("bigint").alias("size"), "status", zeros.alias("zeros"))
+
+
+def _listed(found: DataFrame, source: str) -> DataFrame:
+    name = F.regexp_extract("file", "[^/]+$", 0)
+    return packets(found, tracked=False).select(F.lit(source).alias("source"), name.alias("file"), "number", F.octet_length("payload").cast("bigint").alias("cap_len"), "status", F.col("source").alias("address"))
+
+
+@query(_FILED + " UNION ALL ".join(_LISTED.format(source=f"'{x}'", kind="pcap") for x in ("store", "capture", "pcap")))
+def sources_pcap(spark, sf_dir):
+    """Files of a folder by any store, by content and as classic captures; the file that is no capture is left out."""
+    folder = X.written(X.captures(_table(spark, sf_dir, "events")))
+    register(spark)
+    by = {kind: spark.read.format(kind).option("pathGlobFilter", "*.pcap*").load(folder) for kind in ("capture", "pcap")}
+    return _listed(read_captures(spark, folder), "store").unionByName(_listed(by["capture"], "capture")).unionByName(_listed(by["pcap"], "pcap"))
+
+
+@query(_FILED + " UNION ALL ".join(_LISTED.format(source=f"'{x}'", kind="pcapng") for x in ("store", "capture", "pcapng")))
+def sources_pcapng(spark, sf_dir):
+    """The same of pcapng files."""
+    folder = X.written(X.captures_ng(_table(spark, sf_dir, "events")))
+    register(spark)
+    by = {kind: spark.read.format(kind).option("pathGlobFilter", "*.pcap*").load(folder) for kind in ("capture", "pcapng")}
+    return _listed(read_captures(spark, folder), "store").unionByName(_listed(by["capture"], "capture")).unionByName(_listed(by["pcapng"], "pcapng"))

@@ -23,11 +23,14 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from framelight import schema as S
+from framelight.functions.names import dns_of
 
 #: Block types and magics.
 SHB, IDB, SPB, NRB, ISB, EPB = 0x0A0D0D0A, 1, 3, 4, 5, 6
 PCAP_MAGIC = 0xA1B2C3D4
-TABLES = {"frames": S.FRAMES, "blocks": S.BLOCKS, "interfaces": S.INTERFACES, "statistics": S.STATISTICS, "names": S.NAMES}
+#: A cut record is filled up with zeros to the length that it claims; a value of this size or more cannot be held.
+MOST_FILLED = 1 << 30
+TABLES = {"frames": S.PARSED, "blocks": S.BLOCKS, "interfaces": S.INTERFACES, "statistics": S.STATISTICS, "names": S.NAMES}
 
 
 def is_pcapng(head: bytes) -> bool:
@@ -35,8 +38,8 @@ def is_pcapng(head: bytes) -> bool:
     return head[:4] == b"\x0a\x0d\x0d\x0a"
 
 
-def _frame(file, kind, number, block, interface, link, hi, lo, cap, orig, raw, status):
-    return "frames", (file, kind, number, block, interface, link, hi, lo, cap, orig, raw, status)
+def _frame(file, kind, number, block, interface, link, hi, lo, cap, orig, raw, status, zero=(None, None)):
+    return "frames", (file, kind, number, block, interface, link, hi, lo, cap, orig, raw, status, *zero, dns_of(raw))
 
 
 def parse_pcap(file: str, f: io.BufferedIOBase) -> Iterator[tuple[str, tuple]]:
@@ -55,9 +58,9 @@ def parse_pcap(file: str, f: io.BufferedIOBase) -> Iterator[tuple[str, tuple]]:
         raw = f.read(cap)
         number += 1
         cut = len(part) < 16 or len(raw) < cap
-        # What is missing is not made up beyond the file's own claim of 256 KB, the usual limit of a record.
-        raw = raw.ljust(min(cap, max(len(raw), 262_144)), b"\0")
-        yield _frame(file, "pcap", number, None, None, link, sec, usec, cap, orig, raw, "truncated" if cut else "ok")
+        if cap < MOST_FILLED:
+            raw = raw.ljust(cap, b"\0")
+        yield _frame(file, "pcap", number, None, None, link, sec, usec, cap, orig, raw, "truncated" if cut else "ok", (0, 0))
 
 
 def _names(body: bytes) -> Iterator[tuple[int, str, list[str]]]:
@@ -83,6 +86,7 @@ def parse_pcapng(file: str, f: io.BufferedIOBase) -> Iterator[tuple[str, tuple]]
     """
     ordinal = number = 0
     links: list[int] = []
+    zero = [0, 0]
     while len(head := f.read(8)) == 8:
         kind, total = struct.unpack("<II", head)
         ordinal += 1
@@ -112,7 +116,10 @@ def parse_pcapng(file: str, f: io.BufferedIOBase) -> Iterator[tuple[str, tuple]]
             if status == "length_mismatch":
                 yield _frame(file, "pcapng", number, kind, None, None, None, None, None, None, None, status)
             else:
-                yield _frame(file, "pcapng", number, kind, interface, link, hi, lo, cap, orig, body[20:], status)
+                # Nanoseconds, scaled in doubles and cut; either part's first that is not 0 is an anchor from here on.
+                stamp = int((float(hi) * 4294967296.0 + float(lo)) * 0.001)
+                zero = [old or new for old, new in zip(zero, divmod(stamp, 1_000_000), strict=True)]
+                yield _frame(file, "pcapng", number, kind, interface, link, hi, lo, cap, orig, body[20:], status, (zero[0] % (1 << 32), zero[1]))
         elif kind == SPB:
             number += 1
             orig = struct.unpack("<I", body[:4].ljust(4, b"\0"))[0]

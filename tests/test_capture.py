@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from framelight import schema as S
 from framelight.functions.names import dns_records
 from framelight.operators.fields import byte_to_fields, packet_fields, payload_range
-from framelight.operators.hexdump import hex_dump
+from framelight.operators.hexdump import hex_dump, hex_text
 from framelight.operators.tcp import track
-from framelight.plans.packets import packet_list, packets
+from framelight.plans.packets import packet_at, packet_list, packets
 from framelight.sources import capture as C
 
 ETH = bytes.fromhex("020000000001" "020000000002")
@@ -173,13 +173,13 @@ def test_pcapng_blocks():
     isb = block(C.ISB, struct.pack("<III", 0, 1, 2))
     data = SHB + IDB + epb(5, b"abcd") + spb + block(0xBAD, b"zzzz") + epb(6, b"efgh", tail=9) + isb + names + SHB + IDB + epb(7, b"ijkl")
     got = rows_of(data)
-    assert [(r[2], r[-1]) for r in got] == [(1, "ok"), (2, "undecoded"), (3, "length_mismatch"), (4, "ok")]
+    assert [(r[2], r[11]) for r in got] == [(1, "ok"), (2, "undecoded"), (3, "length_mismatch"), (4, "ok")]
     assert got[0][10] == b"abcd" and got[2][10] is None
     assert [r[2:] for r in rows_of(data, "names")] == [(1, "10.0.0.1", ["ab"]), (2, "::1", ["x"])]
     assert rows_of(data, "statistics")[0][2:5] == (0, 1, 2)
     assert len(rows_of(data, "interfaces")) == 2 and len(rows_of(data, "blocks")) == 11
     assert [r[2] for r in rows_of(SHB + block(C.IDB, b"\0" * 8, tail=3) + epb(1, b"abcd"))] == []
-    assert rows_of(SHB + IDB + epb(1, b"abcd")[:-6])[0][-1] == "truncated"
+    assert rows_of(SHB + IDB + epb(1, b"abcd")[:-6])[0][11] == "truncated"
     assert rows_of(SHB + struct.pack("<II", 7, 0) * 3, "blocks")[-1][-1] == "bad_length"
 
 
@@ -187,8 +187,9 @@ def test_pcap_records():
     head = struct.pack("<IHHiIII", C.PCAP_MAGIC, 2, 4, 0, 0, 65535, 1)
     rec = lambda data, n=None: struct.pack("<IIII", 3, 4, len(data) if n is None else n, len(data)) + data
     got = rows_of(head + rec(b"abc") + rec(b"de", 5))
-    assert [(r[2], r[10], r[-1]) for r in got] == [(1, b"abc", "ok"), (2, b"de\0\0\0", "truncated")]
-    assert rows_of(head + rec(b"abc") + b"\1\2")[-1][-1] == "truncated"
+    assert [(r[2], r[10], r[11]) for r in got] == [(1, b"abc", "ok"), (2, b"de\0\0\0", "truncated")]
+    assert rows_of(head + rec(b"abc") + b"\1\2")[-1][11] == "truncated"
+    assert rows_of(head + rec(b"x", 1_000_000))[0][10] == b"x" + bytes(999_999)  # filled as far as the record claims
     assert rows_of(b"\xa1\xb2\xc3\xd4" + head[4:] + rec(b"abc")) == []
     assert rows_of(b"") == []
 
@@ -240,8 +241,70 @@ def test_fields_and_bytes(spark):
     second = {r.label: (r.lo, r.hi) for r in f.where("number = 2").collect()}
     assert second["ARP Packet"] == (14, 41) and second["ICMP Header"] == (42, 49)
     at = p.where("number = 1").select("file", "number", F.lit(14).alias("byte"))
-    assert {r.label for r in byte_to_fields(f, at).collect()} == {"Version", "IHL"}
-    assert [(r.number, r.lo, r.hi) for r in payload_range(p, f).collect()] == [(2, 50, 63)]
+    assert {r.label for r in byte_to_fields(p, at).collect()} == {"Version", "IHL"}
+    assert [(r.number, r.lo, r.hi) for r in payload_range(p).collect()] == [(2, 50, 63)]
+
+
+def test_details_of_all_golden_frames(spark):
+    """Values of every layer are read at their places, IPv6 addresses as text."""
+    p = packets(frames(spark, [g[1] for g in GOLDEN])).cache()
+    got = {(r.number, r.layer, r.label): r for r in packet_fields(p).collect()}
+    for k, (name, raw, want) in enumerate(GOLDEN):
+        if name.startswith("ipv6") or name == "icmpv6":
+            assert (got[k + 1, "L3", "Source IP"].value, got[k + 1, "L3", "Destination IP"].value) == want[:2]
+            assert got[k + 1, "L3", "Hop Limit"].value == "64" and (got[k + 1, "L3", "Destination IP"].lo, got[k + 1, "L3", "Destination IP"].hi) == (38, 53)
+        if name == "udp":
+            assert got[k + 1, "L4", "Length"].value == str(int.from_bytes(raw[38:40], "little"))
+    assert (got[len(GOLDEN), "L3", "ARP Packet"].lo, got[len(GOLDEN), "L3", "ARP Packet"].hi) == (14, 41)
+
+
+def test_ipv6_text(spark):
+    """Built-in functions print addresses as the C library does."""
+    rng = random.Random(4)
+    words = lambda: b"".join(rng.choice([b"\0\0", b"\0\0", b"\0\1", b"\xff\xff", bytes([rng.randrange(256), 0]), rng.randbytes(2)]) for _ in range(8))
+    some = [words() for _ in range(3000)]
+    some += [bytes(16), bytes(15) + b"\1", bytes(12) + b"\1\2\3\4", bytes(10) + b"\xff\xff" + b"\1\2\3\4", bytes(12) + b"\0\0\1\0", b"\1" + bytes(15), b"\1" * 16, bytes(14) + b"\1\0"]
+    raws = [ETH + b"\x86\xdd" + b"\x60\0\0\0\0\0\x3b\x40" + a + b for a, b in zip(some, some[1:] + some[:1], strict=True)]
+    got = {r.number: (r.source, r.destination) for r in packets(frames(spark, raws), tracked=False).select("number", "source", "destination").collect()}
+    text = [socket.inet_ntop(socket.AF_INET6, x) for x in some]
+    assert got == {k + 1: (text[k], text[(k + 1) % len(text)]) for k in range(len(text))}
+
+
+def test_hex_texts(spark):
+    raws = [bytes(range(256))[: n] for n in (0, 1, 15, 16, 17, 32, 200)]
+    for r in hex_text(frames(spark, raws)).collect():
+        raw = raws[r.number - 1]
+        lines = [raw[k : k + 16] for k in range(0, len(raw), 16)]
+        assert r.hex == "".join("".join(f"{b:02x} " for b in x).ljust(48) + "\n" for x in lines)
+        assert r.text == "".join("".join(chr(b) if 32 <= b < 127 else "." for b in x) + "\n" for x in lines)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_captures_are_parsed_and_moved_once(spark, folder):
+    """One scan, one Python stage (the parser), one exchange, by connection and not by file alone."""
+    plan = plan_of(packet_list(packets(C.read_captures(spark, str(folder)))))
+    assert plan.count("Scan binaryFile") == 1 and plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan
+    exchanges = [x for x in plan.split("\n") if "Exchange" in x]
+    assert len(exchanges) == 1 and "conn_lo" in exchanges[0] and "BroadcastExchange" not in exchanges[0]
+    assert "Join" not in plan
+    assert "Exchange" not in plan_of(packets(C.read_captures(spark, str(folder))).select("number", "time", "source", "protocol"))
+
+
+def test_python_sees_dns_frames_only(spark):
+    plan = plan_of(packets(frames(spark, [GOLDEN[10][1]]).drop("file").withColumn("file", F.lit("f")), tracked=False).select("number", "info"))
+    assert plan.count("ArrowEvalPython") == 1 and "Union" in plan
+    both = packets(frames(spark, [g[1] for g in GOLDEN])).select("number", "info").collect()
+    assert len(both) == len(GOLDEN)
+
+
+def test_one_frame(spark):
+    raws = [ip4(6, tcp(1000, 80, 2, seq=5)), ip4(17, udp(1, 2)), ip4(6, tcp(1000, 80, 16, seq=9))]
+    table = frames(spark, raws, file="f").unionByName(frames(spark, raws, file="g"))
+    assert [(r.file, r.number, r.rel_seq) for r in packet_at(table, "f", 3).collect()] == [("f", 3, 4)]
+    assert packet_at(table, "f", 9).count() == packet_at(table, "h", 1).count() == 0
 
 
 def test_hex_dump_holds_the_bytes(spark):
