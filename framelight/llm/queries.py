@@ -192,5 +192,20 @@ SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN coalesce(url, '') <>
 """
 
 
+#: The checksum byte by byte; the order (hash, id) cut where the bytes before a record pass a shard's share.
+_OP5_SQL = f"""
+WITH t AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS c FROM range(256) r(i))),
+d AS (SELECT doc_id, coalesce(text, '') AS text, hex(encode(coalesce(text, ''))) AS hx FROM documents),
+r AS (SELECT doc_id, (length(hx) // 2 + 1)::BIGINT AS size, ('0x' || substr(md5(text), 1, 15))::BIGINT AS key,
+  xor(list_reduce(list_transform(range(length(hx) // 2), lambda i: ('0x' || substr(hx, 2 * i + 1, 2))::BIGINT), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]), 4294967295), 4294967295)::BIGINT AS text_crc32 FROM d, t),
+w AS (SELECT *, sum(size) OVER o - size AS before, sum(size) OVER () AS total, row_number() OVER o AS rank FROM r WINDOW o AS (ORDER BY key, doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING)),
+s AS (SELECT *, least({sharding.SHARDS} - 1, (before * {sharding.SHARDS}) // total)::INTEGER AS shard FROM w)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, (rank - min(rank) OVER (PARTITION BY shard))::BIGINT AS slot, NULL::INTEGER AS grown_shard FROM s
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": _op1_sql(), "op4_ngram_jaccard_join": _OP4_SQL, "op6_quality_rules": _op6_sql(), "op7_exact_top_k": _OP7_SQL}
+    return {
+        "op1_url_filters": _op1_sql(), "op4_ngram_jaccard_join": _OP4_SQL, "op5_sharding": _OP5_SQL, "op6_quality_rules": _op6_sql(),
+        "op7_exact_top_k": _OP7_SQL,
+    }

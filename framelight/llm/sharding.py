@@ -1,11 +1,11 @@
 """Sharding by sampled splitters.
 
-Records are ordered by (hash of the text, id), so equal texts lie together.  A sample in which a record
-occurs with a chance in proportion to its size gives quantile splitters; the splitters cut the order into
-many ranges, each sorted by one task.  Exact sizes of the ranges then place the shard boundaries: a range
-that a boundary falls into is overfull for its shard and is subdivided at the record where the running
-size passes the boundary.  So shards have equal bytes up to one record, whatever the sample; a hot text
-spans as many ranges as its bytes need.
+Records are ordered by (hash of the text, id, row), so equal texts lie together and no two records are equal.
+A sample in which a record occurs with a chance in proportion to its size gives quantile splitters; they cut
+the order into ranges.  A range that holds more than twice its share is overfull: it is sampled again, more
+finely, and subdivided, until every range has its share or a single record; so a hot text, or one id that
+repeats, spans as many ranges as its bytes need.  Each range is sorted by one task, and exact sizes of the
+ranges place the shard boundaries.  Shards have equal bytes up to one record, whatever the samples.
 """
 
 from __future__ import annotations
@@ -19,61 +19,104 @@ from pyspark.sql.window import Window
 from .scratch import Scratch
 
 SHARDS = 8
-#: Ranges at least; above RANGE_BYTES each, more, up to MAX_RANGES (their totals go to the driver).
+#: Ranges at least; above RANGE_BYTES each, more, up to MAX_RANGES (their splitters and totals go to the driver).
 RANGES, MAX_RANGES, RANGE_BYTES = 1024, 65_536, 64 << 20
 #: Expected sample records for each range.
 OVERSAMPLE = 8
+#: A range of more than so many times the mean is subdivided.
+OVERFULL = 2
 
 
 def records(docs: DataFrame) -> DataFrame:
-    """doc_id, size (UTF-8 bytes plus 1), text_crc32, key; a null text has size 1 and the checksum of nothing."""
+    """doc_id, size (UTF-8 bytes plus 1), text_crc32, key (60 bits of a hash); a null text has size 1 and the checksum of nothing."""
     data = F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")
-    return docs.select("doc_id", (F.octet_length(data) + 1).cast("long").alias("size"), F.crc32(data).alias("text_crc32"), F.xxhash64(data).alias("key"))
+    key = F.conv(F.substring(F.md5(data), 1, 15), 16, 10).cast("long")
+    return docs.select("doc_id", (F.octet_length(data) + 1).cast("long").alias("size"), F.crc32(data).alias("text_crc32"), key.alias("key"))
 
 
-def splitters(slim: DataFrame, ranges: int, total: int) -> list[tuple[int, int]]:
-    """Boundaries (key, id) at the quantiles of a size-weighted sample of about ``OVERSAMPLE * ranges`` records."""
+class Cuts:
+    """Boundaries between ranges, rising: a record belongs to the range of the last boundary at or below it."""
+
+    def __init__(self, points: list[tuple[int, int, int]]):
+        self.points = sorted(set(points))
+        self.columns = [np.array([p[k] for p in self.points], np.int64) for k in range(3)]
+
+    def place(self, *record: np.ndarray) -> np.ndarray:
+        lo, hi = np.zeros(len(record[0]), np.int64), np.full(len(record[0]), len(self.points), np.int64)
+        for column, value in zip(self.columns, record, strict=True):
+            # Within the stretch of boundaries that agree so far: below, equal, above.
+            below, equal = lo.copy(), hi.copy()
+            open_ = lo < hi
+            for a, b in np.unique(np.stack([lo[open_], hi[open_]], 1), axis=0):
+                mine = open_ & (lo == a) & (hi == b)
+                below[mine] = a + np.searchsorted(column[a:b], value[mine], "left")
+                equal[mine] = a + np.searchsorted(column[a:b], value[mine], "right")
+            lo, hi = below, equal
+        return hi.astype(np.int32)
+
+
+def splitters(slim: DataFrame, ranges: int, total: int, salt: int = 0) -> list[tuple[int, int, int]]:
+    """Boundaries (key, id, row) at the quantiles of a size-weighted sample of about ``OVERSAMPLE * ranges`` records."""
     want = OVERSAMPLE * ranges
-    chance = (F.xxhash64(F.lit("shard"), "key", "id") / F.lit(2.0**64)) + 0.5
-    sample = slim.where(chance < F.col("size") * (want / max(total, 1))).select("key", "id", "size").collect()
-    points = sorted((r["key"], r["id"], max(r["size"], total / want)) for r in sample)
+    chance = (F.xxhash64(F.lit(f"shard {salt}"), "row") / F.lit(2.0**64)) + 0.5
+    sample = slim.where(chance < F.col("size") * (want / max(total, 1))).select("key", "id", "row", "size").collect()
+    points = sorted((r["key"], r["id"], r["row"], max(r["size"], total / want)) for r in sample)
     if not points:
         return []
     # A record larger than the sampling step stands for its whole size, the others for one step.
-    weight = np.cumsum([p[2] for p in points])
+    weight = np.cumsum([p[3] for p in points])
     at = np.searchsorted(weight, weight[-1] * np.arange(1, ranges) / ranges)
-    return sorted({points[i][:2] for i in at})
+    return [points[i][:3] for i in at]
 
 
-def _ranged(slim: DataFrame, cuts: list[tuple[int, int]]) -> DataFrame:
-    keys, ids = np.array([c[0] for c in cuts], np.int64), np.array([c[1] for c in cuts], np.int64)
+def _ranged(slim: DataFrame, cuts: Cuts) -> DataFrame:
+    shared = slim.sparkSession.sparkContext.broadcast(cuts)
 
     @F.arrow_udf("int")
-    def place(key: pa.Array, ident: pa.Array) -> pa.Array:
-        k, i = key.to_numpy(zero_copy_only=False), ident.to_numpy(zero_copy_only=False)
-        lo, hi = np.searchsorted(keys, k, "left"), np.searchsorted(keys, k, "right")
-        out = lo.copy()
-        for j in np.flatnonzero(hi > lo):  # the key is a splitter's: the id decides
-            out[j] += np.searchsorted(ids[lo[j] : hi[j]], i[j], "right")
-        return pa.array(out.astype(np.int32))
-
-    return slim.withColumn("range", place(F.col("key"), F.col("id")))
+    def place(key: pa.Array, ident: pa.Array, row: pa.Array) -> pa.Array:
+        return pa.array(shared.value.place(*(x.to_numpy(zero_copy_only=False) for x in (key, ident, row))))
+
+    return slim.withColumn("range", place(F.col("key"), F.col("id"), F.col("row")))
+
+
+def ranged(slim: DataFrame, ranges: int, total: int, scratch: Scratch) -> tuple[DataFrame, Cuts]:
+    """``slim`` with its range, none overfull; and the boundaries."""
+    cuts = Cuts(splitters(slim, ranges, total))
+    most = OVERFULL * max(1, total // ranges)
+    k = 0
+    while True:
+        placed = _ranged(slim, cuts)
+        sums = placed.groupBy("range").agg(F.sum("size").alias("b"), F.count("*").alias("n"))
+        full = {r["range"]: r["b"] for r in sums.where((F.col("b") > most) & (F.col("n") > 1)).collect()}
+        if not full:
+            return placed, cuts
+        k += 1
+        # All overfull ranges in one sample, in proportion to their bytes; two pieces each at least.
+        inside = scratch.save(placed.where(F.col("range").isin(list(full))), f"overfull{k}")
+        bytes_in = sum(full.values())
+        new = splitters(inside, max(2 * len(full), 2 * bytes_in // most), bytes_in, k)
+        # Where sampling finds no further boundary, the last record of each range is one.
+        ends = inside.groupBy("range").agg(F.max(F.struct("key", "id", "row")).alias("p")).collect()
+        cuts = Cuts([*cuts.points, *new, *[(r["p"]["key"], r["p"]["id"], r["p"]["row"]) for r in ends]])
+        scratch.drop(f"overfull{k}")
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, ranges: int = RANGES) -> DataFrame:
     """doc_id, size, text_crc32, law (``bytes``), shard, slot, grown_shard (null) for every row.
 
-    Null ids come first among equal texts; rows that repeat id and text share a key, are told apart by
-    the row numbers of their range and get slots of their own.  Empty input gives no rows.
+    Null texts count as empty.  Null ids come first among equal texts; rows that repeat id and text are told
+    apart by their place in the input and get slots of their own.  An empty table gives no rows; other columns
+    are not read.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    slim = scratch.save(records(docs).withColumn("id", F.coalesce("doc_id", F.lit(-(2**63)))), "records")
+    numbered = records(docs).withColumns({"id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "row": F.monotonically_increasing_id()})
+    slim = scratch.save(numbered, "records")
     total = slim.agg(F.sum("size").alias("t")).first().t or 0
     ranges = min(MAX_RANGES, max(ranges, total // RANGE_BYTES))
-    placed = _ranged(slim, splitters(slim, ranges, total))
+    placed, _ = ranged(slim, ranges, total, scratch)
     # Within a range: bytes and rows before each record.
-    w = Window.partitionBy("range").orderBy("key", "id", "text_crc32")
+    w = Window.partitionBy("range").orderBy("key", "id", "row")
     run = placed.withColumns({"bytes": F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"), "rows": F.row_number().over(w) - 1})
     run = scratch.save(run.select("doc_id", "size", "text_crc32", "range", "bytes", "rows"), "ranges")
     sums = {r["range"]: (r["b"], r["n"]) for r in run.groupBy("range").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect()}
@@ -88,4 +131,5 @@ def shard(docs: DataFrame, shards: int = SHARDS, ranges: int = RANGES) -> DataFr
     at = at.select("doc_id", "size", "text_crc32", F.least(home.cast("int"), F.lit(shards - 1)).alias("shard"), (F.col("rows") + F.col("n")).alias("rank"))
     first = [(r["shard"], r["f"]) for r in at.groupBy("shard").agg(F.min("rank").alias("f")).collect()]
     out = at.join(F.broadcast(spark.createDataFrame(first, "shard int, f long")), "shard")
+    scratch.drop("records")
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("rank") - F.col("f")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

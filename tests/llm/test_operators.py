@@ -369,6 +369,40 @@ def test_shards(spark):
     assert len({(r.shard, r.slot) for r in sharding.shard(twice).collect()}) == 3
 
 
+def test_shards_against_a_running_sum(spark):
+    """Every record's shard and slot as one sorted list gives them."""
+    import hashlib
+
+    texts = AWKWARD + [f"text {k} " * (k % 40) for k in range(300)] + ["hot " * 30] * 200
+    rows = {r.doc_id: (r.shard, r.slot) for r in sharding.shard(docs(spark, texts)).collect()}
+    data = [(t or "").encode() for t in texts]
+    order = sorted(range(len(texts)), key=lambda k: (int(hashlib.md5(data[k]).hexdigest()[:15], 16), k))
+    total, before, want, slots = sum(len(d) + 1 for d in data), 0, {}, Counter()
+    for k in order:
+        shard = min(7, before * 8 // total)
+        want[k] = (shard, slots[shard])
+        slots[shard] += 1
+        before += len(data[k]) + 1
+    assert rows == want
+
+
+def test_overfull_ranges_are_subdivided(spark):
+    """Rows that share text and id, a third of all, and one huge record: no range of several records keeps twice its share."""
+    rows = [(7, "the same text and id " * 5)] * 1500 + [(k, f"other text {k}") for k in range(2500)] + [(None, "x" * 200_000)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    scratch = Scratch(spark)
+    slim = sharding.records(table).withColumns({"id": F.coalesce("doc_id", F.lit(-1)), "row": F.monotonically_increasing_id()})
+    slim = scratch.save(slim, "slim")
+    total = slim.agg(F.sum("size")).first()[0]
+    placed, cuts = sharding.ranged(slim, 64, total, scratch)
+    got = placed.groupBy("range").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect()
+    assert all(r.b <= 2 * (total // 64) or r.n == 1 for r in got) and sum(r.n for r in got) == len(rows)
+    assert len({r.range for r in placed.where("id = 7").select("range").distinct().collect()}) > 10
+    # Ranges follow the order of the records.
+    flat = sorted((r.key, r.id, r.row, r.range) for r in placed.collect())
+    assert [x[3] for x in flat] == sorted(x[3] for x in flat)
+
+
 # -- 6 ------------------------------------------------------------------------------------------------
 
 
