@@ -1,30 +1,40 @@
 """Token counts without ids.
 
-A text is cut before every space that a non-space character follows.  No pre-token of a byte-level
-vocabulary crosses such a cut, so each unit is pre-tokenised on its own.  For a block of documents
-the per-document unit frequencies are joined to a table (unit, pieces) in which every distinct
-pre-token's pieces are counted once, and summed; ids are never kept.  A global join would shuffle
-(document, pre-token) rows, several times the corpus; the block join shuffles nothing.
+1.  Every block of documents (an Arrow batch) is cut into units: before each space that a non-space follows, and
+    at each line feed between non-spaces.  No pre-token of a byte-level vocabulary crosses such a cut, so a unit
+    is a run of whole pre-tokens.  The block keeps its distinct units, and for each document which of them it
+    has how often (packed, about two bytes each).
+2.  The distinct units of all blocks meet by hash: in each bucket every distinct unit of the corpus is
+    pre-tokenised once and every distinct pre-token's pieces are counted once.
+3.  The counts go back to the blocks that asked, are joined to the documents' frequencies and summed.
+
+So the corpus-wide join moves a block's distinct units once and a byte or two for each back, instead of a row
+for each document and pre-token.  Ids are never kept.  Texts that hold one of the tokenizer's special strings,
+and vocabularies of another kind than byte-level, are counted text by text by the library.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+import zlib
+from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import worker
+from .scratch import Scratch, small_batches
 
-#: Distinct units a Python worker remembers between blocks; the table is emptied when it is full.
-MEMORY = 500_000
+#: Hash buckets for so many rows each, within these bounds; a bucket's distinct units are one task's table.
+ROWS_A_BUCKET, BUCKETS = 1000, (256, 65_536)
 
-_CUT = re.compile(r" (?=\S)")
-#: A space before white space or the end: then the plain split on spaces would cut too often.
+#: A space before white space or the end, or a line feed beside white space or an end: then plain splits would cut too often.
 _LOOSE = re.compile(r" (?=\s|\Z)")
+_LOOSE_LINE = re.compile(r"\A\n|\s\n|\n(?=\s|\Z)")
+_CUT = re.compile(r" (?=\S)")
 #: The byte-level pre-token pattern over ASCII, where every library agrees about classes.
 _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
 #: Letters of Latin-1 and Latin Extended-A, with a space before them: one pre-token.
@@ -41,15 +51,13 @@ def byte_chars() -> dict[int, str]:
 _BYTES = byte_chars()
 
 
-class PieceTable(dict):
-    """unit (as it follows a space) -> number of pieces, filled on demand; pieces are counted once per distinct pre-token."""
+class Pieces:
+    """A tokenizer file: units of texts, and numbers of pieces."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.pretokens: dict[str, int] = {}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         pre = str(self.tokenizer.pre_tokenizer or "")
         #: Units are exact for a byte-level pre-tokeniser without normaliser or prefix space.
@@ -58,43 +66,34 @@ class PieceTable(dict):
     def whole(self, text: str) -> int:
         return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def of_unit(self, unit: str) -> int:
+    def cut(self, text: str) -> list[str] | None:
+        """Keys of a text's units, the first after a line feed that the text does not have; None where only the library can count.
+
+        A key is what stands after a space, or begins with the line feed that stands before it.
+        """
+        if not self.units or any(x in text for x in self.special) or text[0].isspace():
+            return None
+        if _LOOSE.search(text):
+            return _CUT.split("\n" + text)
+        if "\n" in text and not _LOOSE_LINE.search(text):
+            text = text.replace("\n", " \n")
+        return ("\n" + text).split(" ")
+
+    def pretokens(self, key: str) -> list[str]:
+        unit = key if key[:1] == "\n" else " " + key
         if unit.isascii():
-            pieces = [p.translate(_BYTES) for p in _ASCII.findall(unit)]
-        elif _LATIN.fullmatch(unit):
-            pieces = [unit.encode().decode("latin-1").translate(_BYTES)]
-        else:
-            pieces = [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(unit)]
-        total = 0
-        for piece in pieces:
-            n = self.pretokens.get(piece)
-            if n is None:
-                n = self.pretokens[piece] = len(self.tokenizer.model.tokenize(piece))
-            total += n
-        return total
-
-    def __missing__(self, unit: str) -> int:
-        n = self[unit] = self.of_unit(" " + unit)
-        return n
-
-    def count(self, text: str | None) -> int:
-        if not text:
-            return 0
-        if not self.units or any(s in text for s in self.special):
-            return self.whole(text)
-        units = _CUT.split(text) if _LOOSE.search(text) else text.split(" ")
-        total = self.of_unit(units[0]) if units[0] else 0
-        for unit, freq in Counter(units[1:]).items():
-            total += freq * self[unit]
-        if len(self) > MEMORY:
-            self.clear()
-            self.pretokens.clear()
-        return total
+            return [p.translate(_BYTES) for p in _ASCII.findall(unit)]
+        if _LATIN.fullmatch(unit):
+            return [unit.encode().decode("latin-1").translate(_BYTES)]
+        return [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(unit)]
+
+    def pieces(self, pretoken: str) -> int:
+        return len(self.tokenizer.model.tokenize(pretoken))
 
 
 @lru_cache(maxsize=4)
-def piece_table(path: str) -> PieceTable:
-    return PieceTable(path)
+def pieces_of(path: str) -> Pieces:
+    return Pieces(path)
 
 
 @lru_cache(maxsize=4)
@@ -105,12 +104,147 @@ def _sentencepiece(path: str):
 
 
 def _drop() -> None:
-    piece_table.cache_clear()
+    pieces_of.cache_clear()
     _sentencepiece.cache_clear()
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """32-bit numbers by bytes of equal weight, which compress well where the numbers are small."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _unplanes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
+def _bucket(keys: list[str], buckets: int) -> np.ndarray:
+    return np.fromiter((zlib.crc32(k.encode("utf-8", "surrogatepass")) % buckets for k in keys), np.int64, len(keys))
+
+
+def pack(texts: list[str | None], pieces: Pieces, buckets: int) -> tuple[list[str], np.ndarray, bytes, bytes, bytes, np.ndarray]:
+    """(distinct units by bucket, their buckets, units of each document: how many, steps between them, frequencies; tokens known already)."""
+    known = np.zeros(len(texts), np.int64)
+    split: list[list[str]] = []
+    for i, t in enumerate(texts):
+        keys = pieces.cut(t) if t else []
+        if keys is None:
+            known[i], keys = pieces.whole(t), []
+        elif keys:
+            known[i] = -1  # the line feed before the first unit is not the text's
+        split.append(keys)
+    index: dict[str, int] = {}
+    n = np.fromiter(map(len, split), np.int64, len(split))
+    at = np.fromiter((index.setdefault(u, len(index)) for keys in split for u in keys), np.int64, int(n.sum()))
+    names = list(index)
+    bucket = _bucket(names, buckets)
+    order = np.argsort(bucket, kind="stable")
+    place = np.empty(len(names), np.int64)
+    place[order] = np.arange(len(names))
+    owner = np.repeat(np.arange(len(split)), n)
+    code, freq = np.unique(owner * max(1, len(names)) + place[at], return_counts=True)
+    doc, unit = code // max(1, len(names)), code % max(1, len(names))
+    sizes = np.bincount(doc, minlength=len(split))
+    step = np.diff(unit, prepend=0)
+    starts = np.cumsum(sizes)[:-1]
+    starts = np.concatenate(([0], starts[starts < len(unit)])).astype(np.int64)
+    step[starts] = unit[starts] if len(unit) else 0
+    return [names[k] for k in order], bucket[order], _planes(sizes), _planes(step), _planes(freq), known
+
+
+def sums(sizes: bytes, steps: bytes, freqs: bytes, known: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Tokens of each document from the pieces of the block's units."""
+    sizes, step, freq = _unplanes(sizes), _unplanes(steps), _unplanes(freqs)
+    out = known.copy()
+    if not len(step):
+        return out
+    ends = np.cumsum(sizes)
+    run = np.cumsum(step)
+    full = np.flatnonzero(sizes)
+    before = np.zeros(len(sizes), np.int64)
+    first = (ends - sizes)[full]
+    before[full] = run[first] - step[first]
+    unit = run - np.repeat(before, sizes)
+    out[full] += np.add.reduceat(count[unit] * freq, first)
+    return out
+
+
+_BLOCKS = "block bigint, {ids} n_bytes array<bigint>, known array<bigint>, sizes binary, steps binary, freqs binary, bucket array<int>, units array<array<string>>"
+
+
+def _blocks(path: str, buckets: int, kind: pa.DataType | None = None):
+    def run(batches: Iterator[pa.RecordBatch]):
+        from pyspark import TaskContext
+
+        worker.enter("tokens", _drop)
+        pieces, base = pieces_of(path), TaskContext.get().partitionId() << 33
+        for k, batch in enumerate(batches):
+            texts = batch.column("text").to_pylist()
+            names, bucket, sizes, steps, freqs, known = pack(texts, pieces, buckets)
+            some, start = np.unique(bucket, return_index=True)
+            units = [names[a:b] for a, b in zip(start, [*start[1:], len(names)], strict=True)]
+            one = pa.array([0, batch.num_rows], pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([base + k]),
+                    pa.ListArray.from_arrays(one, batch.column("doc_id")),
+                    pa.ListArray.from_arrays(one, batch.column("n_bytes")),
+                    pa.array([known.tolist()], pa.list_(pa.int64())),
+                    *[pa.array([x], pa.binary()) for x in (sizes, steps, freqs)],
+                    pa.array([some.tolist()], pa.list_(pa.int32())),
+                    pa.array([units], pa.list_(pa.list_(pa.string()))),
+                ],
+                ["block", "ids", "n_bytes", "known", "sizes", "steps", "freqs", "bucket", "units"],
+            )
+        worker.leave()
+
+    return run
+
+
+def _counted(path: str):
+    """Over rows (bucket, block, units) sorted by bucket: each distinct unit and pre-token is looked at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        worker.enter("tokens", _drop)
+        pieces, at, table, pretokens = pieces_of(path), None, {}, {}
+        for batch in batches:
+            out = []
+            for bucket, units in zip(batch.column("bucket").to_pylist(), batch.column("units").to_pylist(), strict=True):
+                if bucket != at:
+                    at, table, pretokens = bucket, {}, {}
+                for u in units:
+                    if u not in table:
+                        n = 0
+                        for p in pieces.pretokens(u):
+                            m = pretokens.get(p)
+                            if m is None:
+                                m = pretokens[p] = pieces.pieces(p)
+                            n += m
+                        table[u] = n
+                out.append(_planes(np.fromiter(map(table.__getitem__, units), np.int64, len(units))))
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("bucket"), pa.array(out, pa.binary())], ["block", "bucket", "counts"])
+        table.clear()
+        worker.leave()
+
+    return run
+
+
+def _summed(left: pa.Table, right: pa.Table) -> pa.Table:
+    """One block with the counts of its units, which come by bucket."""
+    ids, n_bytes, out = [], [], []
+    by = sorted(zip(right.column("bucket").to_pylist(), right.column("counts").to_pylist(), strict=True))
+    count = np.concatenate([np.zeros(0, np.int64), *[_unplanes(c) for _, c in by]])
+    for k in range(left.num_rows):
+        ids.append(left.column("ids")[k].values)
+        n_bytes.append(left.column("n_bytes")[k].values)
+        known = np.array(left.column("known")[k].as_py(), np.int64)
+        out.append(sums(*[left.column(c)[k].as_py() for c in ("sizes", "steps", "freqs")], known, count))
+    kind = left.schema.field("ids").type.value_type
+    flat = lambda parts, of: pa.concat_arrays([pa.array([], of), *[x.cast(of) for x in parts]])
+    return pa.table([flat(ids, kind), flat(n_bytes, pa.int64()), pa.array(np.concatenate([np.zeros(0, np.int64), *out]))], ["doc_id", "n_bytes", "n_tokens"])
+
+
 def n_tokens(text: Column, path: str) -> Column:
-    """The number of tokens of every text under the vocabulary file ``path`` (.json or .model)."""
+    """The number of tokens of every text under the vocabulary file ``path`` (.json or .model), text by text."""
 
     @F.arrow_udf("long")
     def counted(texts: pa.Array) -> pa.Array:
@@ -118,8 +252,8 @@ def n_tokens(text: Column, path: str) -> Column:
         if path.endswith(".model"):
             sp = _sentencepiece(path)
             return pa.array([len(sp.encode(t)) if t else 0 for t in texts.to_pylist()], pa.int64())
-        table = piece_table(path)
-        return pa.array([table.count(t) for t in texts.to_pylist()], pa.int64())
+        pieces = pieces_of(path)
+        return pa.array([pieces.whole(t) if t else 0 for t in texts.to_pylist()], pa.int64())
 
     return counted(text)
 
@@ -127,9 +261,22 @@ def n_tokens(text: Column, path: str) -> Column:
 def count_tokens(docs: DataFrame, path: str, limit: int = 512, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every row.
 
-    A null text counts as empty (0 bytes, 0 tokens).  Rows are independent: null or repeated ids are
-    kept as they are.  Special strings inside texts count as the library's default treats them.
+    A null text counts as empty (0 bytes, 0 tokens).  Rows are independent: null or repeated ids and repeated
+    rows are kept as they are.  Special strings inside texts count as the library's default treats them.  An
+    empty table gives no rows; other columns are not read.
     """
-    slim = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    out = slim.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), n_tokens(F.col("text"), path).alias("n_tokens"))
+    small_batches(docs.sparkSession)
+    whole = F.coalesce(F.col(text), F.lit("")).alias("text")
+    slim = docs.select(F.col(doc_id).alias("doc_id"), whole).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "text")
+    if path.endswith(".model") or not pieces_of(path).units:
+        out = slim.select("doc_id", "n_bytes", n_tokens(F.col("text"), path).alias("n_tokens"))
+        return out.withColumn("over_limit", F.col("n_tokens") > limit)
+    scratch = Scratch(docs.sparkSession)
+    buckets = max(BUCKETS[0], min(BUCKETS[1], docs.count() // ROWS_A_BUCKET))
+    kind = slim.schema["doc_id"].dataType.simpleString()
+    blocks = scratch.save(slim.mapInArrow(_blocks(path, buckets), _BLOCKS.format(ids=f"ids array<{kind}>,")), "blocks")
+    asked = blocks.select("block", F.explode(F.arrays_zip("bucket", "units")).alias("u")).select("u.bucket", "block", "u.units")
+    counted = asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_counted(path), "block bigint, bucket int, counts binary")
+    kept = blocks.drop("bucket", "units")
+    out = kept.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(_summed, f"doc_id {kind}, n_bytes bigint, n_tokens bigint")
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
