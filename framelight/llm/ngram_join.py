@@ -504,7 +504,9 @@ def one_row_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         roots = scratch.save(components(links, scratch), "roots")
         homes = homes.join(roots, F.col("home") == F.col("node"), "left").withColumn("home", F.coalesce("root", "home"))
     homes = scratch.save(homes.select("doc_id", "home", F.col("unnamed").isNotNull().alias("unnamed")), "homes")
+    # Written before it is joined, so that AQE splits the group of a text with very many copies.
     least = homes.groupBy("home").agg(F.min(F.struct("unnamed", "doc_id")).alias("least")).select("home", F.col("least.doc_id").alias("kept"))
+    least = scratch.save(least, "least")
     gone = scratch.save(homes.join(least, "home").where("doc_id <> kept").select("doc_id"), "gone")
     often = docs.select(node).groupBy("doc_id").count().where("count > 1").join(homes.select("doc_id"), "doc_id", "left_semi")
     often = scratch.save(often.join(gone, "doc_id", "left_anti").select("doc_id"), "often")
