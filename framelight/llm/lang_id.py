@@ -28,6 +28,8 @@ HASHES = 3
 SHARE = 0.5
 #: Slots for each n-gram of each language.
 PER_GRAM = 8
+#: Characters of a text whose n-grams are made at once.
+PIECE = 1 << 20
 #: Bytes of the filter at most, as it is broadcast.
 FILTER_BYTES = 1 << 26
 
@@ -71,6 +73,34 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return mix(key[same], 7), owner[:n][same], has
 
 
+def gram_blocks(texts: list[str | None]):
+    """(first, last) of a block of texts with its ``grams``; a text longer than PIECE comes in pieces, each of its n-grams once."""
+    for a, b in blocks(texts):
+        if b - a > 1 or len(texts[a] or "") <= PIECE:
+            yield a, b, *grams(texts[a:b])
+        else:
+            for found in _long_grams(texts[a]):
+                yield a, b, *found
+
+
+def _long_grams(text: str):
+    tail, after_letter = np.zeros(0, np.uint64), False
+    for at in range(0, len(text), PIECE):
+        piece = text[at : at + PIECE] + ("\x00" if at + PIECE >= len(text) else "")
+        folded = _fold()[np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        letter = folded != 32
+        keep = letter.copy()
+        keep[1:] |= letter[:-1]
+        keep[0] |= after_letter
+        after_letter = bool(letter[-1])
+        kept = np.concatenate([tail, folded[keep].astype(np.uint64)])
+        n, tail = max(0, len(kept) - GRAM + 1), kept[-(GRAM - 1) :]
+        key = np.zeros(n, np.uint64)
+        for j in range(GRAM):
+            key = key * np.uint64(0x100000001B3) + kept[j : j + n]
+        yield mix(key, 7), np.zeros(n, np.int32), np.array([letter.any()])
+
+
 def gram_counts(labelled: DataFrame) -> DataFrame:
     """lang, gram, n: occurrences over all rows of (text, lang), summed within blocks before the shuffle."""
 
@@ -79,8 +109,7 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
             texts, langs = batch.column("text").to_pylist(), batch.column("lang").to_pylist()
             names = sorted(set(langs))
             code = np.fromiter((names.index(x) for x in langs), np.int64, len(langs))
-            for a, b in blocks(texts):
-                key, owner, _ = grams(texts[a:b])
+            for a, b, key, owner, _ in gram_blocks(texts):
                 lang = code[a:b][owner]
                 for i, name in enumerate(names):
                     found, n = np.unique(key[lang == i], return_counts=True)
@@ -113,27 +142,28 @@ class Filters:
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Languages, their shares of all languages' hits, and their hits for each n-gram of the text."""
         names, scores, evidence = [], np.zeros(len(texts)), np.zeros(len(texts))
-        for a, b in blocks(texts):
-            key, owner, has = grams(texts[a:b])
+        n, has = np.zeros(len(texts)), np.zeros(len(texts), bool)
+        hits = np.zeros((len(texts), len(self.languages)))
+        for a, b, key, owner, letters in gram_blocks(texts):
             m = b - a
+            has[a:b] |= letters
+            n[a:b] += np.bincount(owner, minlength=m)
             mask = self.masks(key)
-            n = np.bincount(owner, minlength=m)
-            true = np.zeros((m, len(self.languages)))
             for i in range(len(self.languages)):
                 bit = (mask[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)
-                hits = np.bincount(owner, weights=bit.astype(float), minlength=m)
-                true[:, i] = np.clip((hits - n * self.false[i]) / (1 - self.false[i]), 0, None)
-            best = true.argmax(1) if len(self.languages) else np.zeros(m, int)
-            total = true.sum(1)
-            for j in range(m):
-                if not has[j] or not len(self.languages):
-                    names.append("und")
-                elif total[j]:
-                    names.append(self.languages[best[j]])
-                    scores[a + j] = true[j, best[j]] / total[j]
-                    evidence[a + j] = true[j, best[j]] / n[j]
-                else:
-                    names.append(self.usual)
+                hits[a:b, i] += np.bincount(owner, weights=bit.astype(float), minlength=m)
+        true = np.clip((hits - n[:, None] * self.false) / (1 - self.false), 0, None)
+        best = true.argmax(1) if len(self.languages) else np.zeros(len(texts), int)
+        total = true.sum(1)
+        for j in range(len(texts)):
+            if not has[j] or not len(self.languages):
+                names.append("und")
+            elif total[j]:
+                names.append(self.languages[best[j]])
+                scores[j] = true[j, best[j]] / total[j]
+                evidence[j] = true[j, best[j]] / n[j]
+            else:
+                names.append(self.usual)
         return names, scores, evidence
 
 

@@ -14,6 +14,7 @@ the fence follows the group even where nine tenths have none.  Word length fails
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 
 import numpy as np
@@ -24,6 +25,7 @@ from pyspark.sql.window import Window
 
 from . import worker
 from .scratch import Scratch, small_batches
+from .words import mix, word_hashes
 
 #: metric -> (count, size, grace): per mille of the size that the count, less the grace, makes.
 UPPER = {"sym_pm": ("n_symbols", "n_words", 2), "dup_pm": ("n_dup_lines", "n_lines", 1), "rep_pm": ("n_repeat_words", "n_words", 20)}
@@ -33,8 +35,8 @@ LENGTH_SLACK = 80
 REACH = 3
 MIN_GROUP = 100
 MIN_WORDS = 50
-#: Texts of more words are counted in arrays.
-LONG = 200_000
+#: Texts of more bytes are counted in arrays.
+LONG = 4 << 20
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _MEASURED = (*COUNTS, "n_lines")
@@ -45,8 +47,6 @@ def repeat_words(words: list) -> int:
     """Words inside a 3-word window that occurs twice or more."""
     if len(words) < 4:
         return 0
-    if len(words) > LONG:
-        return _repeat_words_of_long(words)
     windows = list(zip(words, words[1:], words[2:], strict=False))
     seen = Counter(windows)
     if len(seen) == len(windows):
@@ -59,17 +59,29 @@ def repeat_words(words: list) -> int:
     return total
 
 
-def _repeat_words_of_long(words: list) -> int:
-    """The same with numbers for words, 50 bytes a word whatever the text."""
-    known: dict = {}
-    code = np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words))
-    _, pair = np.unique(code[:-1] * len(known) + code[1:], return_inverse=True)
-    _, window, n = np.unique(pair[:-1].astype(np.int64) * len(known) + code[2:], return_inverse=True, return_counts=True)
-    many = n[window] > 1
-    inside = np.zeros(len(words), bool)
-    for k in range(3):
-        inside[k : k + len(many)] |= many
-    return int(inside.sum())
+def _measure_long(text: str, data: bytes) -> tuple[int, int, int, int, int, int]:
+    """The same with 64-bit hashes for words and lines, in blocks; some 50 bytes a word however long the text."""
+    code, _ = word_hashes([data], lower=False)
+    repeated = 0
+    if len(code) > 3:
+        rolling = mix(code[:-2]) + mix(code[1:-1], 1) + mix(code[2:], 2)
+        _, window, n = np.unique(rolling, return_inverse=True, return_counts=True)
+        many = n[window] > 1
+        inside = np.zeros(len(code), bool)
+        for k in range(3):
+            inside[k : k + len(many)] |= many
+        repeated = int(inside.sum())
+    chars = len(text) - sum(map(text.count, " \t\n\x0b\x0c\r"))
+    seen, lines, at = set(), 0, 0
+    while at < len(data):
+        end = data.find(b"\n", at)
+        end = len(data) if end < 0 else end
+        line = data[at:end]
+        if line.strip():
+            lines += 1
+            seen.add(hashlib.blake2b(line, digest_size=12).digest())
+        at = end + 1
+    return len(code), chars, sum(map(text.count, "#*$%&|<>")), lines - len(seen), repeated, lines
 
 
 def measure(text: str | None) -> tuple[int, int, int, int, int, int]:
@@ -77,6 +89,8 @@ def measure(text: str | None) -> tuple[int, int, int, int, int, int]:
     if not text:
         return 0, 0, 0, 0, 0, 0
     data = text.encode()
+    if len(data) > LONG:
+        return _measure_long(text, data)
     words = data.split()
     chars = len(text) - sum(map(text.count, " \t\n\x0b\x0c\r"))
     symbols = sum(map(text.count, "#*$%&|<>"))

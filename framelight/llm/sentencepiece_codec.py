@@ -76,17 +76,18 @@ class Model:
         self.pieces: list[tuple[str, float, int]] = []
         self.kind, self.byte_fallback, self.unk_id = 1, False, 0
         self.charsmap, self.dummy_prefix, self.squeeze, self.escape = b"", True, True, True
+        trainer, normal = {}, {}  # a message that comes in parts is merged
         for field, value in _fields(data):
             if field == 1:
                 piece = dict(_fields(value))
                 self.pieces.append((piece.get(1, b"").decode(), piece.get(2, 0.0), piece.get(3, NORMAL)))
             elif field == 2:
-                trainer = dict(_fields(value))
+                trainer |= dict(_fields(value))
                 self.kind = trainer.get(3, 1)
                 self.byte_fallback = bool(trainer.get(35, 0))
                 self.unk_id = trainer.get(40, 0)
             elif field == 3:
-                normal = dict(_fields(value))
+                normal |= dict(_fields(value))
                 self.charsmap = normal.get(2, b"")
                 self.dummy_prefix = bool(normal.get(3, 1))
                 self.squeeze = bool(normal.get(4, 1))
@@ -132,6 +133,9 @@ class Model:
 #: A unit is a run of spaces, or a line feed, with what follows up to the next of either.
 _UNIT = re.compile(" +[^ \n]*|\n[^ \n]*")
 _PLAIN_UNIT = re.compile(" +[^ ]*")
+_BETWEEN = re.compile(f"(?<=[^ {MARK}]) (?=[^ {MARK}])")
+#: Characters of a text that are cut into units at once.
+PIECE = 1 << 20
 
 
 class Codec:
@@ -207,9 +211,10 @@ class Codec:
                 for unit in group:
                     self._learn([unit])
                 continue
-            else:  # the marker that the text begins with is not the unit's
-                sizes, good, back = np.array([len(ids) - own]), np.array([ids == theirs]), np.array([decoded == one])
-                ids = ids[own:]
+            else:  # the library's ids stand; the marker that the text begins with is not the unit's
+                good, back = np.array([ids == theirs]), np.array([decoded == one])
+                ids = theirs[own:]
+                sizes = np.array([len(ids)])
             for unit in group:
                 self.known[unit] = len(self.known)
             self.pool.append(np.array(ids, np.int32))
@@ -233,7 +238,10 @@ class Codec:
             got = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
             want = self.library.encode(texts, num_threads=self.threads)
             back, theirs = self.tokenizer.decode_batch(got, skip_special_tokens=False), self.library.decode(want)
-            return [np.array(x, np.int32) for x in got], [x == y for x, y in zip(got, want, strict=True)], [x == y for x, y in zip(back, theirs, strict=True)]
+            return [np.array(x, np.int32) for x in want], [x == y for x, y in zip(got, want, strict=True)], [x == y for x, y in zip(back, theirs, strict=True)]
+        return self._encode_long(texts) if any(len(t) > PIECE for t in texts) else self._encode_short(texts)
+
+    def _encode_short(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool], list[bool]]:
         if len(self.known) > MEMORY:
             self._forget(MEMORY // 2)
         split = [self._units(t.replace(MARK, " ")) for t in texts]  # to the model the marker is a space
@@ -258,6 +266,23 @@ class Codec:
         good, back = ((x[1:] == x[:-1]).tolist() for x in bad)
         return [flat[a:b] for a, b in zip(total[:-1], total[1:], strict=True)], good, [ok and MARK not in t for ok, t in zip(back, texts, strict=True)]
 
+    def _encode_long(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool], list[bool]]:
+        """Text by text, in pieces cut at a space between non-spaces: the marker that a piece begins with stands for that space."""
+        out = []
+        for t in texts:
+            at, got = 0, []
+            while True:
+                space = _BETWEEN.search(t, at + PIECE - 1) if len(t) - at > PIECE else None
+                stop = space.start() if space else len(t)
+                ids, good, back = self._encode_short([t[at:stop]])
+                got.append((ids[0], good[0], back[0]))
+                if not space:
+                    break
+                at = space.end()
+            out.append((np.concatenate([x[0] for x in got]), all(x[1] for x in got), all(x[2] for x in got)))
+        ids, good, back = zip(*out, strict=True)
+        return list(ids), list(good), list(back)
+
     def decode(self, ids: list) -> list[str]:
         return self.tokenizer.decode_batch([list(x) for x in ids], skip_special_tokens=False)
 
@@ -305,6 +330,12 @@ def decoded(ids: Column, path: str) -> Column:
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, ids, parity, round_trip for every row; null and empty texts have no ids, equal rows equal results."""
+    """doc_id, ids, parity, round_trip for every row.
+
+    ``parity``: the rebuilt backend gives the library's ids for every part of the text; where it does not (two
+    segmentations of one score, as in long runs of one character), ids are the library's.  Null and empty texts
+    have no ids and true for both; repeated rows and null ids stay, equal rows get equal results; an empty table
+    gives no rows; other columns are not read.
+    """
     small_batches(docs.sparkSession, 1 << 20)
     return docs.select("doc_id", encoded(F.col("text"), path).alias("e")).select("doc_id", "e.*")

@@ -33,8 +33,11 @@ ROWS_A_BUCKET, BUCKETS = 1000, (256, 65_536)
 
 #: A space before white space or the end, or a line feed beside white space or an end: then plain splits would cut too often.
 _LOOSE = re.compile(r" (?=\s|\Z)")
-_LOOSE_LINE = re.compile(r"\A\n|\s\n|\n(?=\s|\Z)")
+_LOOSE_LINE = re.compile(r"\s\n|\n(?=\s|\Z)")
 _CUT = re.compile(r" (?=\S)")
+_BETWEEN = re.compile(r"(?<=\S) (?=\S)")
+#: Characters of a text that are cut into units at once.
+PIECE = 1 << 20
 #: The byte-level pre-token pattern over ASCII, where every library agrees about classes.
 _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
 #: Letters of Latin-1 and Latin Extended-A, with a space before them: one pre-token.
@@ -66,18 +69,18 @@ class Pieces:
     def whole(self, text: str) -> int:
         return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def cut(self, text: str) -> list[str] | None:
-        """Keys of a text's units, the first after a line feed that the text does not have; None where only the library can count.
+    def by_units(self, text: str) -> bool:
+        """Whether units say all; else only the library can count."""
+        return self.units and not text[0].isspace() and not any(x in text for x in self.special)
 
-        A key is what stands after a space, or begins with the line feed that stands before it.
-        """
-        if not self.units or any(x in text for x in self.special) or text[0].isspace():
-            return None
+    @staticmethod
+    def cut(text: str) -> list[str]:
+        """Keys of a text's or piece's units: what stands after a space, or begins with the line feed that stands before it."""
         if _LOOSE.search(text):
-            return _CUT.split("\n" + text)
-        if "\n" in text and not _LOOSE_LINE.search(text):
-            text = text.replace("\n", " \n")
-        return ("\n" + text).split(" ")
+            return _CUT.split(text)
+        if "\n" in text and not _LOOSE_LINE.search(text, 1):
+            text = text[0] + text[1:].replace("\n", " \n")
+        return text.split(" ")
 
     def pretokens(self, key: str) -> list[str]:
         unit = key if key[:1] == "\n" else " " + key
@@ -108,6 +111,18 @@ def _drop() -> None:
     _sentencepiece.cache_clear()
 
 
+def _pieces(text: str):
+    """The text in pieces of about PIECE characters, cut at a space between non-spaces, which falls away."""
+    at = 0
+    while len(text) - at > PIECE:
+        space = _BETWEEN.search(text, at + PIECE)
+        if not space:
+            break
+        yield text[at : space.start()]
+        at = space.end()
+    yield text[at:]
+
+
 def _planes(x: np.ndarray) -> bytes:
     """32-bit numbers by bytes of equal weight, which compress well where the numbers are small."""
     return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
@@ -123,31 +138,33 @@ def _bucket(keys: list[str], buckets: int) -> np.ndarray:
 
 def pack(texts: list[str | None], pieces: Pieces, buckets: int) -> tuple[list[str], np.ndarray, bytes, bytes, bytes, np.ndarray]:
     """(distinct units by bucket, their buckets, units of each document: how many, steps between them, frequencies; tokens known already)."""
-    known = np.zeros(len(texts), np.int64)
-    split: list[list[str]] = []
-    for i, t in enumerate(texts):
-        keys = pieces.cut(t) if t else []
-        if keys is None:
-            known[i], keys = pieces.whole(t), []
-        elif keys:
-            known[i] = -1  # the line feed before the first unit is not the text's
-        split.append(keys)
+    known, n = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
     index: dict[str, int] = {}
-    n = np.fromiter(map(len, split), np.int64, len(split))
-    at = np.fromiter((index.setdefault(u, len(index)) for keys in split for u in keys), np.int64, int(n.sum()))
+    parts = [np.zeros(0, np.int64)]
+    for i, t in enumerate(texts):
+        if not t:
+            continue
+        if not pieces.by_units(t):
+            known[i] = pieces.whole(t)
+            continue
+        known[i] = -1  # the line feed before the first unit is not the text's
+        for piece in _pieces("\n" + t):
+            keys = pieces.cut(piece)
+            n[i] += len(keys)
+            parts.append(np.fromiter((index.setdefault(u, len(index)) for u in keys), np.int64, len(keys)))
+    at = np.concatenate(parts)
     names = list(index)
     bucket = _bucket(names, buckets)
     order = np.argsort(bucket, kind="stable")
     place = np.empty(len(names), np.int64)
     place[order] = np.arange(len(names))
-    owner = np.repeat(np.arange(len(split)), n)
+    owner = np.repeat(np.arange(len(texts)), n)
     code, freq = np.unique(owner * max(1, len(names)) + place[at], return_counts=True)
     doc, unit = code // max(1, len(names)), code % max(1, len(names))
-    sizes = np.bincount(doc, minlength=len(split))
+    sizes = np.bincount(doc, minlength=len(texts))
     step = np.diff(unit, prepend=0)
-    starts = np.cumsum(sizes)[:-1]
-    starts = np.concatenate(([0], starts[starts < len(unit)])).astype(np.int64)
-    step[starts] = unit[starts] if len(unit) else 0
+    first = (np.cumsum(sizes) - sizes)[sizes > 0]  # each document's steps begin anew
+    step[first] = unit[first]
     return [names[k] for k in order], bucket[order], _planes(sizes), _planes(step), _planes(freq), known
 
 

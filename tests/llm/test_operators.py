@@ -140,6 +140,8 @@ def test_token_counts(spark):
         n = len(lib.encode(t or "", add_special_tokens=False).ids)
         assert (got[k].n_bytes, got[k].n_tokens, got[k].over_limit) == (len((t or "").encode()), n, n > 512), repr(t)
     assert token_count.count_tokens(docs(spark, ["a"]).limit(0), path).count() == 0
+    without = token_count.count_tokens(docs(spark, [None, "", " a", "<|endoftext|>"]), path).collect()  # no unit at all
+    assert {r.doc_id: r.n_tokens for r in without} == {0: 0, 1: 0, 2: 1, 3: len(lib.encode("<|endoftext|>", add_special_tokens=False).ids)}
 
 
 def test_token_counts_of_a_sentencepiece_model(spark):
@@ -415,7 +417,7 @@ def slow_measure(text):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(inside), len(lines)
 
 
-@pytest.mark.parametrize("long", [200_000, 3])
+@pytest.mark.parametrize("long", [4 << 20, 3])
 def test_measures(monkeypatch, long):
     monkeypatch.setattr(quality, "LONG", long)
     rng = random.Random(3)
@@ -583,6 +585,45 @@ def test_protobuf_and_unigram_rebuild():
     assert tok.encode("ab a").tokens == ["\u2581ab", "\u2581", "a"] and tok.decode(tok.encode("ab a").ids) == "ab a"
 
 
+def test_unigram_model_of_real_size(tmp_path):
+    """The pieces of a public model as a unigram model, with scores of their own: ids as the library gives them, and round trips."""
+    import sentencepiece
+
+    field = lambda n, data: bytes([n << 3 | 2]) + varint(len(data)) + data
+
+    def varint(x):
+        out = b""
+        while x > 127:
+            out, x = out + bytes([x & 127 | 128]), x >> 7
+        return out + bytes([x])
+
+    with open(tokenizer("piece_bpe_32k.model"), "rb") as f:
+        data = f.read()
+    rest, k = b"", 0
+    for n, value in sentencepiece_codec._fields(data):
+        if n == 1:
+            parts = dict(sentencepiece_codec._fields(value))
+            score = np.float32(-np.log(k + 10) if parts.get(3, 1) == 1 else 0).tobytes()
+            value = field(1, parts[1]) + bytes([2 << 3 | 5]) + score + (bytes([3 << 3, parts[3]]) if 3 in parts else b"")
+            k += 1
+        rest += field(n, value)
+    # The type of the model is unigram: a later part of the trainer's message wins.
+    rest += field(2, bytes([3 << 3, 1]))
+    path = str(tmp_path / "unigram.model")
+    with open(path, "wb") as f:
+        f.write(rest)
+    lib, codec = sentencepiece.SentencePieceProcessor(model_file=path), sentencepiece_codec.Codec(path)
+    assert codec.model.kind == 1 and codec.by_unit and len(codec.model.pieces) == 32_000
+    rng = random.Random(6)
+    some = "the of tion ing re un able ness 12 3.5 é 中文 😀 \t \n don't ABC-def".split(" ")
+    texts = [t for t in AWKWARD if t] + [" ".join("".join(rng.choices(some, k=rng.randrange(1, 4))) for _ in range(30)) for _ in range(200)]
+    ids, same, back = codec.encode(texts)
+    assert [list(x) for x in ids] == lib.encode(texts) and codec.decode(ids) == texts
+    # Segmentations of one score, as of a run of one letter, may differ between the libraries.
+    assert {t for t, ok in zip(texts, same, strict=True) if not ok} <= {"x" * 5000}
+    assert all(ok for t, ok in zip(texts, back, strict=True) if t != "x" * 5000)
+
+
 # -- 9 ------------------------------------------------------------------------------------------------
 
 
@@ -797,3 +838,39 @@ def test_mixing_awkward(spark):
     assert mixing.mix(docs(spark, ["a"]).limit(0), none).count() == 0
     kept = mixing.resample(docs(spark, AWKWARD), none)
     assert kept.columns == docs(spark, ["a"]).columns
+
+
+# -- texts longer than a piece ------------------------------------------------------------------------
+
+
+LONG = [" ".join(f"w{k * k % 97}é, {'x' * (k % 7)}" for k in range(90)), "a  b\n\n c\nd " * 20, "no-space" * 30, "ab\ncd ef\n" * 25 + "Über 中文", " lead" * 30, "1 2 3 . ! ? " * 12 + "x"]
+
+
+def test_long_texts_in_pieces(spark, monkeypatch):
+    """Pieces of a few characters give what whole texts give, in every operator that cuts long texts."""
+    sp, bpe = tokenizer("piece_bpe_32k.model"), tokenizer("byte_bpe_50k.json")
+    filters = lang_id.learn(spark.createDataFrame([(t, f"l{k}") for k, t in enumerate(LONG)], "text string, lang string"))
+    pieces = token_count.pieces_of(bpe)
+
+    def everything():
+        names, scores, evidence = filters.predict(LONG)
+        grams = Counter()
+        for a, _, key, owner, _ in lang_id.gram_blocks(LONG):
+            grams.update(zip((owner + a).tolist(), key.tolist(), strict=True))
+        ids, same, back = sentencepiece_codec.Codec(sp).encode(LONG)
+        counts = []
+        for t in LONG:
+            units, _, sizes, steps, freqs, known = token_count.pack([t], pieces, 4)
+            count = np.array([sum(map(pieces.pieces, pieces.pretokens(u))) for u in units], np.int64)
+            counts.append(int(token_count.sums(sizes, steps, freqs, known, count)[0]))
+        return names, scores.tolist(), evidence.tolist(), grams, [x.tolist() for x in ids], same, back, counts, [quality.measure(t) for t in LONG]
+
+    whole = everything()
+    assert whole[7] == [pieces.whole(t) for t in LONG] and whole[8] == [slow_measure(t) for t in LONG]
+    for size in (5, 64):
+        for module in (lang_id, sentencepiece_codec, token_count):
+            monkeypatch.setattr(module, "PIECE", size)
+        monkeypatch.setattr(words, "BLOCK", size)
+        monkeypatch.setattr(lang_id, "blocks", lambda texts: words.blocks(texts, 1))
+        monkeypatch.setattr(quality, "LONG", size)
+        assert everything() == whole
