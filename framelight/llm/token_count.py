@@ -19,6 +19,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -124,12 +125,25 @@ def _pieces(text: str):
 
 
 def _planes(x: np.ndarray) -> bytes:
-    """32-bit numbers by bytes of equal weight, which compress well where the numbers are small."""
-    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+    """32-bit numbers by bytes of equal weight, compressed: small numbers take little."""
+    return zlib.compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
 
 
 def _unplanes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
+def _strings(units: list[str]) -> bytes:
+    data = [u.encode() for u in units]
+    sizes = np.fromiter(map(len, data), "<u4", len(data))
+    return zlib.compress(sizes.tobytes() + b"".join(data) + np.uint32(len(data)).tobytes(), 1)
+
+
+def _unstrings(packed: bytes) -> list[str]:
+    data = zlib.decompress(packed)
+    n = int(np.frombuffer(data[-4:], "<u4")[0])
+    ends = (4 * n + np.cumsum(np.frombuffer(data, "<u4", n).astype(np.int64))).tolist()
+    return [data[a:b].decode() for a, b in pairwise([4 * n, *ends])]
 
 
 def _bucket(keys: list[str], buckets: int) -> np.ndarray:
@@ -137,7 +151,7 @@ def _bucket(keys: list[str], buckets: int) -> np.ndarray:
 
 
 def pack(texts: list[str | None], pieces: Pieces, buckets: int) -> tuple[list[str], np.ndarray, bytes, bytes, bytes, np.ndarray]:
-    """(distinct units by bucket, their buckets, units of each document: how many, steps between them, frequencies; tokens known already)."""
+    """(distinct units as they first occur, their buckets, units of each document: how many, steps between them, frequencies; tokens known already)."""
     known, n = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
     index: dict[str, int] = {}
     parts = [np.zeros(0, np.int64)]
@@ -155,17 +169,14 @@ def pack(texts: list[str | None], pieces: Pieces, buckets: int) -> tuple[list[st
     at = np.concatenate(parts)
     names = list(index)
     bucket = _bucket(names, buckets)
-    order = np.argsort(bucket, kind="stable")
-    place = np.empty(len(names), np.int64)
-    place[order] = np.arange(len(names))
     owner = np.repeat(np.arange(len(texts)), n)
-    code, freq = np.unique(owner * max(1, len(names)) + place[at], return_counts=True)
+    code, freq = np.unique(owner * max(1, len(names)) + at, return_counts=True)
     doc, unit = code // max(1, len(names)), code % max(1, len(names))
     sizes = np.bincount(doc, minlength=len(texts))
     step = np.diff(unit, prepend=0)
     first = (np.cumsum(sizes) - sizes)[sizes > 0]  # each document's steps begin anew
     step[first] = unit[first]
-    return [names[k] for k in order], bucket[order], _planes(sizes), _planes(step), _planes(freq), known
+    return names, bucket, _planes(sizes), _planes(step), _planes(freq), known
 
 
 def sums(sizes: bytes, steps: bytes, freqs: bytes, known: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -185,7 +196,7 @@ def sums(sizes: bytes, steps: bytes, freqs: bytes, known: np.ndarray, count: np.
     return out
 
 
-_BLOCKS = "block bigint, {ids} n_bytes array<bigint>, known array<bigint>, sizes binary, steps binary, freqs binary, bucket array<int>, units array<array<string>>"
+_BLOCKS = "block bigint, {ids} n_bytes array<bigint>, known array<bigint>, sizes binary, steps binary, freqs binary, buckets binary, asked array<struct<bucket:int,units:binary>>"
 
 
 def _blocks(path: str, buckets: int, kind: pa.DataType | None = None):
@@ -197,8 +208,10 @@ def _blocks(path: str, buckets: int, kind: pa.DataType | None = None):
         for k, batch in enumerate(batches):
             texts = batch.column("text").to_pylist()
             names, bucket, sizes, steps, freqs, known = pack(texts, pieces, buckets)
-            some, start = np.unique(bucket, return_index=True)
-            units = [names[a:b] for a, b in zip(start, [*start[1:], len(names)], strict=True)]
+            order = np.argsort(bucket, kind="stable")
+            some, start = np.unique(bucket[order], return_index=True)
+            units = [_strings([names[i] for i in order[a:b]]) for a, b in pairwise([*start, len(names)])]
+            asked = [{"bucket": int(x), "units": u} for x, u in zip(some, units, strict=True)]
             one = pa.array([0, batch.num_rows], pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [
@@ -206,11 +219,10 @@ def _blocks(path: str, buckets: int, kind: pa.DataType | None = None):
                     pa.ListArray.from_arrays(one, batch.column("doc_id")),
                     pa.ListArray.from_arrays(one, batch.column("n_bytes")),
                     pa.array([known.tolist()], pa.list_(pa.int64())),
-                    *[pa.array([x], pa.binary()) for x in (sizes, steps, freqs)],
-                    pa.array([some.tolist()], pa.list_(pa.int32())),
-                    pa.array([units], pa.list_(pa.list_(pa.string()))),
+                    *[pa.array([x], pa.binary()) for x in (sizes, steps, freqs, _planes(bucket))],
+                    pa.array([asked], pa.list_(pa.struct([("bucket", pa.int32()), ("units", pa.binary())]))),
                 ],
-                ["block", "ids", "n_bytes", "known", "sizes", "steps", "freqs", "bucket", "units"],
+                ["block", "ids", "n_bytes", "known", "sizes", "steps", "freqs", "buckets", "asked"],
             )
         worker.leave()
 
@@ -225,9 +237,10 @@ def _counted(path: str):
         pieces, at, table, pretokens = pieces_of(path), None, {}, {}
         for batch in batches:
             out = []
-            for bucket, units in zip(batch.column("bucket").to_pylist(), batch.column("units").to_pylist(), strict=True):
+            for bucket, packed in zip(batch.column("bucket").to_pylist(), batch.column("units").to_pylist(), strict=True):
                 if bucket != at:
                     at, table, pretokens = bucket, {}, {}
+                units = _unstrings(packed)
                 for u in units:
                     if u not in table:
                         n = 0
@@ -254,7 +267,10 @@ def _summed(left: pa.Table, right: pa.Table) -> pa.Table:
         ids.append(left.column("ids")[k].values)
         n_bytes.append(left.column("n_bytes")[k].values)
         known = np.array(left.column("known")[k].as_py(), np.int64)
-        out.append(sums(*[left.column(c)[k].as_py() for c in ("sizes", "steps", "freqs")], known, count))
+        # Counts come in the order of buckets, and within a bucket as the units first occur.
+        of_unit = np.empty(len(count), np.int64)
+        of_unit[np.argsort(_unplanes(left.column("buckets")[k].as_py()), kind="stable")] = count
+        out.append(sums(*[left.column(c)[k].as_py() for c in ("sizes", "steps", "freqs")], known, of_unit))
     kind = left.schema.field("ids").type.value_type
     flat = lambda parts, of: pa.concat_arrays([pa.array([], of), *[x.cast(of) for x in parts]])
     return pa.table([flat(ids, kind), flat(n_bytes, pa.int64()), pa.array(np.concatenate([np.zeros(0, np.int64), *out]))], ["doc_id", "n_bytes", "n_tokens"])
@@ -292,8 +308,8 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512, doc_id: str = "do
     buckets = max(BUCKETS[0], min(BUCKETS[1], docs.count() // ROWS_A_BUCKET))
     kind = slim.schema["doc_id"].dataType.simpleString()
     blocks = scratch.save(slim.mapInArrow(_blocks(path, buckets), _BLOCKS.format(ids=f"ids array<{kind}>,")), "blocks")
-    asked = blocks.select("block", F.explode(F.arrays_zip("bucket", "units")).alias("u")).select("u.bucket", "block", "u.units")
+    asked = blocks.select("block", F.inline("asked")).select("bucket", "block", "units")
     counted = asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_counted(path), "block bigint, bucket int, counts binary")
-    kept = blocks.drop("bucket", "units")
+    kept = blocks.drop("asked")
     out = kept.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(_summed, f"doc_id {kind}, n_bytes bigint, n_tokens bigint")
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
