@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framelight import schema as S
 from framelight.operators.dissect import IS_TCP, offsets, with_dns, with_packets
 from framelight.operators.tcp import track
 from framelight.operators.timebase import with_time
@@ -52,3 +53,25 @@ def packet_list(table: DataFrame) -> DataFrame:
 def frame_details(table: DataFrame) -> DataFrame:
     """The two header lines of a packet's details."""
     return table.select("file", "number", F.concat(F.lit("Frame Number: "), F.col("number").cast("string")).alias("frame_line"), F.concat(F.lit("Packet Info: "), F.col("info")).alias("info_line"))
+
+
+def diagnostics(table: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
+    """file, number, message: what a reader of the captures is told, in the words of the viewer.
+
+    ``table``: the packet table; too short DNS and ICMP packets, the Telnet and BGP packets met, and packet
+    blocks whose lengths disagree.  ``blocks``, if given, adds files and other blocks that cannot be read, with
+    the block's place for the number.
+    """
+    said = (
+        "case when status = 'length_mismatch' then 'Mismatched block length at end of block' "
+        "when protocol = 'DNS' and length >= 8 and length < 20 then 'Invalid DNS packet' "
+        "when protocol in ('ICMP', 'ICMPv6') and length < 8 then 'Invalid ICMP packet' when protocol in ('Telnet', 'BGP') then protocol end"
+    )
+    out = table.selectExpr("file", "number", f"{said} as message")
+    if blocks is not None:
+        ends = (
+            "case when status = 'bad_magic' then 'Incompatible PCAP file format' "
+            f"when status = 'length_mismatch' and block_type != {S.ENHANCED} then 'Mismatched block length at end of block' end"
+        )
+        out = out.unionByName(blocks.selectExpr("file", "block_ordinal as number", f"{ends} as message"))
+    return out.where("message is not null")

@@ -14,7 +14,7 @@ from framelight.operators import fields as fields_
 from framelight.operators.hexdump import hex_dump, hex_text
 from framelight.operators.timebase import with_time
 from framelight.plans import fixtures as X
-from framelight.plans.packets import frame_details, packet_at, packet_list, packets, tcp_tracking
+from framelight.plans.packets import diagnostics, frame_details, packet_at, packet_list, packets, tcp_tracking
 from framelight.sources.capture import parse_files, read_captures, register
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -502,3 +502,21 @@ def sources_pcapng(spark, sf_dir):
     register(spark)
     by = {kind: spark.read.format(kind).option("pathGlobFilter", "*.pcap*").load(folder) for kind in ("capture", "pcapng")}
     return _listed(read_captures(spark, folder), "store").unionByName(_listed(by["capture"], "capture")).unionByName(_listed(by["pcapng"], "pcapng"))
+
+
+@query("""WITH e AS (SELECT event_id + 1 AS n, event_id % 4 AS kind, event_id // 4 AS k FROM events)
+SELECT 'mem' AS file, n::INTEGER AS number, CASE kind WHEN 0 THEN 'Invalid DNS packet' WHEN 1 THEN 'Invalid ICMP packet' WHEN 2 THEN 'Telnet' ELSE 'BGP' END AS message FROM e
+WHERE kind > 1 OR (kind = 0 AND k % 40 >= 8 AND k % 40 < 20) OR (kind = 1 AND k % 12 < 8)
+UNION ALL SELECT 'bad' || (event_id % 3)::VARCHAR, 0, 'Incompatible PCAP file format' FROM events WHERE event_id < 3""")
+def capture_diagnostics(spark, sf_dir):
+    """DNS, ICMP, Telnet and BGP packets by event, and three files of another magic."""
+    events, e = _table(spark, sf_dir, "events"), X.event()
+    k = F.floor(e / 4)
+    ip = lambda size, proto: X.ip4(20 + size, proto, X.client(), X.SERVER)
+    filled = "00" * 60
+    body = F.get(F.array(
+        X.join(X.ethernet(0x0800), ip(k % 40, 17), X.udp(53, 5353, k % 40), filled), X.join(X.ethernet(0x0800), ip(k % 12, 1), _icmp_body(k % 13, k % 7), filled),
+        X.join(X.ethernet(0x0800), ip(F.lit(20), 6), X.tcp(23, 5000), filled), X.join(X.ethernet(0x0800), ip(F.lit(39), 6), X.tcp(179, 5000), filled),
+    ), (e % 4).cast("int"))
+    bad = events.where("event_id < 3").select(F.concat(F.lit("bad"), (e % 3).cast("string")).alias("path"), F.unhex(F.lit("A1B2C3D4" + "00" * 20)).alias("content"))
+    return diagnostics(packets(X.frames(events, e + 1, body), tracked=False), parse_files(bad, "blocks"))

@@ -10,6 +10,8 @@ INTERFACES = "file string, block_ordinal int, link_type int, reserved int, snap_
 STATISTICS = "file string, block_ordinal int, interface_id bigint, ts_hi bigint, ts_lo bigint, status string"
 NAMES = "file string, block_ordinal int, record_type int, address string, names array<string>"
 
+#: Fixed value: the type of an enhanced packet block.
+ENHANCED = 6
 #: EtherTypes, IP protocols, ports.
 IPV4, IPV6, ARP, RARP = 0x0800, 0x86DD, 0x0806, 0x8035
 ICMP, TCP, UDP, ICMPV6 = 1, 6, 17, 58
