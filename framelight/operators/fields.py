@@ -64,8 +64,12 @@ def field_arrays(packets: DataFrame) -> DataFrame:
 
 
 def packet_fields(packets: DataFrame) -> DataFrame:
-    """file, number, layer, ord, label, lo, hi, value: one row for each of ``field_arrays``."""
-    return field_arrays(packets).selectExpr("file", "number", "inline(fields)")
+    """file, number, layer, ord, label, lo, hi, value: one row for each of ``field_arrays``.
+
+    No frame is without fields, so the outer form gives the same rows; the planner then does not derive, and
+    evaluate twice, a condition on the arrays' size.
+    """
+    return field_arrays(packets).selectExpr("file", "number", "inline_outer(fields)")
 
 
 def byte_to_fields(packets: DataFrame, bytes_: DataFrame) -> DataFrame:
