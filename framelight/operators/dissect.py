@@ -72,10 +72,13 @@ def offsets(frames: DataFrame) -> DataFrame:
         f"case when sport is null then null when l4 = 'tcp' then case when {either(S.TELNET)} then 'Telnet' when {either(S.SMTP)} then 'SMTP' when {either(S.BGP)} then 'BGP' else 'TCP' end "
         f"else case when {either(*S.DNS)} then 'DNS' when {either(*S.DHCP)} then 'DHCP' when {either(*S.SNMP)} then 'SNMP' else 'UDP' end end"
     )
-    return _columns(out, {
+    out = _columns(out, {
         "app": app, "pay_off": "cast(case when l4 = 'tcp' then l4_off + 4 * doff when l4 = 'udp' and l4_fits then l4_off + 8 end as int)",
         "tcp_len": minus_u32("ip_len", "4 * doff"),
     })
+    # Each of these is made of the ones before.  The generator (of one row) makes them once: a condition on
+    # what is derived from them stops here, instead of being rewritten in terms of the bytes over and over.
+    return out.select(*frames.columns, F.inline_outer(F.array(F.struct(*[c for c in out.columns if c not in frames.columns]))))
 
 
 def _in(ports: tuple) -> str:

@@ -312,3 +312,10 @@ def test_hex_dump_holds_the_bytes(spark):
     lines = hex_dump(frames(spark, [raw, b""])).orderBy("line").collect()
     assert bytes.fromhex("".join(r.bytes for r in lines)) == raw
     assert lines[1].address == "00000010: " and lines[2].ascii == ' !"#$%&\'()*+,-./' and lines[0].ascii == "." * 16
+
+
+def test_conditions_on_derived_columns_plan_small(spark, folder):
+    """A condition on the protocol or a port is not rewritten in terms of the bytes."""
+    table = packets(C.read_captures(spark, str(folder)), tracked=False)
+    chosen = table.where("protocol = 'TCP' and length < 99 and info like '%80%' and source != destination")
+    assert len(plan_of(chosen.select("number"))) < 60_000 and chosen.count() == 4
