@@ -46,9 +46,11 @@ _MAC = "format('02:00:{{:02x}}:{{:02x}}:{{:02x}}:{{:02x}}', ({0} >> 24) & 255, (
 
 @query(_E + """, t AS (SELECT *, last_value(CASE WHEN rn = 1 OR syn THEN seq END IGNORE NULLS) OVER (PARTITION BY ip, port ORDER BY n ROWS UNBOUNDED PRECEDING) AS isn
   FROM (SELECT *, row_number() OVER (PARTITION BY ip, port ORDER BY n) AS rn FROM e))
-SELECT n::INTEGER AS number, printf('%.6f', (us // 1000000)::DOUBLE + 10e-7::DOUBLE * (us % 1000000)::DOUBLE) AS time, ip AS source, '192.168.0.10' AS destination,
+SELECT n::INTEGER AS number, printf('%.6f', (us // 1000000)::DOUBLE + 10e-7::DOUBLE * (us % 1000000)::DOUBLE) AS time,
+  ip AS source, '192.168.0.10' AS destination,
   'TCP' AS protocol, (event_id % 100)::BIGINT AS length,
-  port::VARCHAR || ' -> 80 [' || CASE WHEN syn THEN 'SYN' ELSE 'PSH, ACK' END || '] ' || CASE WHEN syn THEN ' Seq=0' ELSE ' Seq=' || ((seq - isn + 4294967296) % 4294967296)::VARCHAR || ' Ack=' || (ack % 4294967296)::VARCHAR END
+  port::VARCHAR || ' -> 80 [' || CASE WHEN syn THEN 'SYN' ELSE 'PSH, ACK' END || '] ' || CASE WHEN syn THEN ' Seq=0'
+  ELSE ' Seq=' || ((seq - isn + 4294967296) % 4294967296)::VARCHAR || ' Ack=' || (ack % 4294967296)::VARCHAR END
   || CASE WHEN win > 0 THEN ' Win=' || win::VARCHAR ELSE '' END AS info
 FROM t""")
 def packet_list_tcp(spark, sf_dir):
@@ -98,7 +100,8 @@ _PROTOS = (1, 6, 17, 58, 99, 6, 17)
 @query("""WITH e AS (SELECT event_id, [1,6,17,58,99,6,17][(event_id % 7 + 1)::INT] AS p, [23,25,179,53,67,161,80,68,162][(event_id % 9 + 1)::INT] AS s, [23,25,179,53,67,161,80,68,162][((event_id // 9) % 9 + 1)::INT] AS d FROM events)
 SELECT (event_id + 1)::INTEGER AS number, CASE WHEN p = 1 THEN 'ICMP' WHEN p = 58 THEN 'ICMPv6' WHEN p = 99 THEN 'Other'
   WHEN p = 6 THEN CASE WHEN 23 IN (s, d) THEN 'Telnet' WHEN 25 IN (s, d) THEN 'SMTP' WHEN 179 IN (s, d) THEN 'BGP' ELSE 'TCP' END
-  ELSE CASE WHEN 53 IN (s, d) THEN 'DNS' WHEN s IN (67, 68) OR d IN (67, 68) THEN 'DHCP' WHEN s IN (161, 162) OR d IN (161, 162) THEN 'SNMP' ELSE 'UDP' END END AS protocol FROM e""")
+  ELSE CASE WHEN 53 IN (s, d) THEN 'DNS' WHEN s IN (67, 68) OR d IN (67, 68) THEN 'DHCP' WHEN s IN (161, 162) OR d IN (161, 162) THEN 'SNMP'
+  ELSE 'UDP' END END AS protocol FROM e""")
 def protocol_dispatch(spark, sf_dir):
     events = _table(spark, sf_dir, "events")
     pick = lambda xs, k: F.get(F.array(*map(F.lit, xs)), k.cast("int"))
@@ -109,7 +112,8 @@ def protocol_dispatch(spark, sf_dir):
 
 
 @query("""SELECT (event_id + 1)::INTEGER AS number, (event_id % 256)::BIGINT AS flags, '1024 -> 80 [' || concat_ws(', ', CASE WHEN event_id & 1 > 0 THEN 'FIN' END, CASE WHEN event_id & 2 > 0 THEN 'SYN' END, CASE WHEN event_id & 4 > 0 THEN 'RST' END,
-  CASE WHEN event_id & 8 > 0 THEN 'PSH' END, CASE WHEN event_id & 16 > 0 THEN 'ACK' END, CASE WHEN event_id & 32 > 0 THEN 'URG' END) || '] ' AS info FROM events""")
+  CASE WHEN event_id & 8 > 0 THEN 'PSH' END, CASE WHEN event_id & 16 > 0 THEN 'ACK' END, CASE WHEN event_id & 32 > 0 THEN 'URG' END) || '] ' AS info
+  FROM events""")
 def tcp_flags(spark, sf_dir):
     events = _table(spark, sf_dir, "events")
     body = X.join(X.ethernet(0x0800), X.ip4(F.lit(40), 6, X.client(), X.SERVER), X.tcp(1024, 80, 0, 0, X.event() % 256))
@@ -117,13 +121,18 @@ def tcp_flags(spark, sf_dir):
 
 
 @query(_E + """, p AS (SELECT *, event_id % 2 = 1 AS back, event_id % 10 = 1 AS synack FROM e),
-f AS (SELECT *, back = first_value(back) OVER w AS fwd, row_number() OVER w AS rn FROM p WINDOW w AS (PARTITION BY ip, port ORDER BY n ROWS UNBOUNDED PRECEDING)),
+f AS (SELECT *, back = first_value(back) OVER w AS fwd, row_number() OVER w AS rn FROM p WINDOW w AS (PARTITION BY ip, port
+  ORDER BY n ROWS UNBOUNDED PRECEDING)),
 c AS (SELECT *, synack AND NOT fwd AS answers, NOT fwd AND NOT syn AS cand FROM f),
-d AS (SELECT *, sum(cand::INT) OVER w AS cn, last_value(CASE WHEN rn = 1 OR (fwd AND syn) THEN seq END IGNORE NULLS) OVER w AS client FROM c WINDOW w AS (PARTITION BY ip, port ORDER BY n ROWS UNBOUNDED PRECEDING)),
-g AS (SELECT *, coalesce(last_value(CASE WHEN answers OR (cand AND cn = 1) THEN seq END IGNORE NULLS) OVER (PARTITION BY ip, port ORDER BY n ROWS UNBOUNDED PRECEDING), 0) AS server FROM d)
+d AS (SELECT *, sum(cand::INT) OVER w AS cn, last_value(CASE WHEN rn = 1 OR (fwd AND syn) THEN seq END IGNORE NULLS) OVER w AS client
+  FROM c WINDOW w AS (PARTITION BY ip, port ORDER BY n ROWS UNBOUNDED PRECEDING)),
+g AS (SELECT *, coalesce(last_value(CASE WHEN answers OR (cand AND cn = 1) THEN seq END IGNORE NULLS) OVER (PARTITION BY ip, port
+  ORDER BY n ROWS UNBOUNDED PRECEDING), 0) AS server FROM d)
 SELECT n::INTEGER AS number,
-  (CASE WHEN syn THEN CASE WHEN fwd THEN 0 END WHEN synack THEN CASE WHEN answers THEN 0 END ELSE (seq - CASE WHEN fwd THEN client ELSE server END + 4294967296) % 4294967296 END)::BIGINT AS rel_seq,
-  (CASE WHEN syn THEN CASE WHEN fwd THEN -1 END WHEN synack THEN CASE WHEN answers THEN 1 END ELSE (ack - CASE WHEN fwd THEN server ELSE client END + 4294967296) % 4294967296 END)::BIGINT AS rel_ack
+  (CASE WHEN syn THEN CASE WHEN fwd THEN 0 END WHEN synack THEN CASE WHEN answers THEN 0 END ELSE (seq - CASE WHEN fwd THEN client
+  ELSE server END + 4294967296) % 4294967296 END)::BIGINT AS rel_seq,
+  (CASE WHEN syn THEN CASE WHEN fwd THEN -1 END WHEN synack THEN CASE WHEN answers THEN 1 END ELSE (ack - CASE WHEN fwd THEN server
+  ELSE client END + 4294967296) % 4294967296 END)::BIGINT AS rel_ack
 FROM g""")
 def tcp_relative_seq(spark, sf_dir):
     return tcp_tracking(X.flow_frames(_table(spark, sf_dir, "events"))).select("number", "rel_seq", "rel_ack")
@@ -136,7 +145,8 @@ def _icmp_body(kind, code):
 
 _ICMP_SQL = """CASE WHEN k = 8 THEN 'ICMP Echo Request, Identifier=' || (event_id % 65536)::VARCHAR || ', Sequence=' || (user_id % 65536)::VARCHAR
   WHEN k = 0 THEN 'ICMP Echo Reply, Identifier=' || (event_id % 65536)::VARCHAR || ', Sequence=' || (user_id % 65536)::VARCHAR
-  WHEN k = 3 THEN 'ICMP Destination Unreachable, Code=' || c::VARCHAR WHEN k = 11 THEN 'ICMP Time Exceeded, Code=' || c::VARCHAR ELSE 'ICMP Type=' || k::VARCHAR || ', Code=' || c::VARCHAR END"""
+  WHEN k = 3 THEN 'ICMP Destination Unreachable, Code=' || c::VARCHAR WHEN k = 11 THEN 'ICMP Time Exceeded, Code=' || c::VARCHAR
+  ELSE 'ICMP Type=' || k::VARCHAR || ', Code=' || c::VARCHAR END"""
 
 
 @query(f"WITH e AS (SELECT *, event_id % 13 AS k, user_id % 7 AS c FROM events) SELECT (event_id + 1)::INTEGER AS number, 'ICMP' AS protocol, (event_id % 12)::BIGINT AS length, CASE WHEN event_id % 12 < 8 THEN '' ELSE {_ICMP_SQL} END AS info FROM e")
@@ -179,7 +189,8 @@ def _arp_sql(name: str) -> str:
     cast = f"CASE WHEN k % 4 = 0 THEN {'$B' if name == 'ARP' else '$Z'} WHEN k % 4 = 1 THEN {'own' if name == 'ARP' else '$B'} {'' if name == 'ARP' else "WHEN own = '02:00:00:00:00:ff' THEN $B "}ELSE '02:00:00:00:00:ff' END".replace("$B", "'Broadcast'").replace("$Z", "'00:00:00:00:00:00'")
     return f"""WITH c AS (SELECT c_custkey AS k, {own} AS own, '10.0.' || ((c_custkey % 65536) // 256)::VARCHAR || '.' || (c_custkey % 256)::VARCHAR AS ip FROM (SELECT c_custkey, c_custkey AS k FROM customer))
 SELECT (k + 1)::INTEGER AS number, own AS source, {cast} AS destination, '{name}' AS protocol, 28::BIGINT AS length,
-  CASE k % 6 WHEN 1 THEN 'ARP Request: Who has 10.0.0.254? Tell ' || ip WHEN 2 THEN 'ARP Reply: ' || ip || ' is at ' || own WHEN 3 THEN 'ARP Announce: My IP is associated with MAC ' || own ELSE 'ARP Unknown operation' END AS info FROM c"""
+  CASE k % 6 WHEN 1 THEN 'ARP Request: Who has 10.0.0.254? Tell ' || ip WHEN 2 THEN 'ARP Reply: ' || ip || ' is at ' || own
+  WHEN 3 THEN 'ARP Announce: My IP is associated with MAC ' || own ELSE 'ARP Unknown operation' END AS info FROM c"""
 
 
 @query(_arp_sql("ARP"))
@@ -266,7 +277,8 @@ def pcap_time(spark, sf_dir):
 
 @query("""WITH e AS (SELECT event_id + 1 AS n, user_id % 8 AS f, floor((epoch_us(ts) * 1000 + event_id % 1000)::DOUBLE * 0.001::DOUBLE)::BIGINT AS v FROM events),
 w AS (SELECT *, v // 1000000 AS s, v % 1000000 AS u FROM e),
-a AS (SELECT *, coalesce(first_value(nullif(s, 0) IGNORE NULLS) OVER w, 0) AS s0, coalesce(first_value(nullif(u, 0) IGNORE NULLS) OVER w, 0) AS u0 FROM w WINDOW w AS (PARTITION BY f ORDER BY n ROWS UNBOUNDED PRECEDING))
+a AS (SELECT *, coalesce(first_value(nullif(s, 0) IGNORE NULLS) OVER w, 0) AS s0, coalesce(first_value(nullif(u, 0) IGNORE NULLS) OVER w, 0) AS u0
+  FROM w WINDOW w AS (PARTITION BY f ORDER BY n ROWS UNBOUNDED PRECEDING))
 SELECT n::INTEGER AS number, printf('%.6f', (s::DOUBLE + 10e-7::DOUBLE * u::DOUBLE) - (s0::DOUBLE + 10e-7::DOUBLE * u0::DOUBLE)) AS time FROM a""")
 def pcapng_time(spark, sf_dir):
     events = _table(spark, sf_dir, "events")
@@ -278,8 +290,12 @@ def pcapng_time(spark, sf_dir):
 
 _SWAP2 = "(({0}) % 256 * 256 + ({0}) // 256)"
 _DETAIL = _E + """, f AS (SELECT * FROM (VALUES ('L2', 0, 'Destination MAC', 0, 5), ('L2', 1, 'Source MAC', 6, 11), ('L2', 2, 'Type', 12, 13),
- ('L3', 0, 'Version', 14, 14), ('L3', 1, 'IHL', 14, 14), ('L3', 2, 'Type of Service', 15, 15), ('L3', 3, 'Total Length', 16, 17), ('L3', 4, 'Identification', 18, 19), ('L3', 5, 'Flags', 20, 20), ('L3', 6, 'Fragment Offset', 21, 21), ('L3', 7, 'TTL', 22, 22), ('L3', 8, 'Protocol', 23, 23), ('L3', 9, 'Header Checksum', 24, 25), ('L3', 10, 'Source IP', 26, 29), ('L3', 11, 'Destination IP', 30, 33),
- ('L4', 0, 'Source Port', 34, 35), ('L4', 1, 'Destination Port', 36, 37), ('L4', 2, 'Sequence Number', 38, 41), ('L4', 3, 'Acknowledgement Number', 42, 45), ('L4', 4, 'Data Offset', 46, 46), ('L4', 5, 'Flags', 47, 47), ('L4', 6, 'Window Size', 48, 49), ('L4', 7, 'Checksum', 50, 51), ('L4', 8, 'Urgent Pointer', 52, 53)) t(layer, ord, label, lo, hi))
+ ('L3', 0, 'Version', 14, 14), ('L3', 1, 'IHL', 14, 14), ('L3', 2, 'Type of Service', 15, 15), ('L3', 3, 'Total Length', 16, 17),
+  ('L3', 4, 'Identification', 18, 19), ('L3', 5, 'Flags', 20, 20), ('L3', 6, 'Fragment Offset', 21, 21), ('L3', 7, 'TTL', 22, 22),
+  ('L3', 8, 'Protocol', 23, 23), ('L3', 9, 'Header Checksum', 24, 25), ('L3', 10, 'Source IP', 26, 29), ('L3', 11, 'Destination IP', 30, 33),
+ ('L4', 0, 'Source Port', 34, 35), ('L4', 1, 'Destination Port', 36, 37), ('L4', 2, 'Sequence Number', 38, 41), ('L4', 3, 'Acknowledgement Number', 42, 45),
+  ('L4', 4, 'Data Offset', 46, 46), ('L4', 5, 'Flags', 47, 47), ('L4', 6, 'Window Size', 48, 49), ('L4', 7, 'Checksum', 50, 51),
+  ('L4', 8, 'Urgent Pointer', 52, 53)) t(layer, ord, label, lo, hi))
 """
 
 
@@ -288,10 +304,15 @@ def _tcp(spark, sf_dir):
 
 
 _VALUES = f"""CASE layer || label WHEN 'L2Destination MAC' THEN {_MAC.format('event_id').replace('{{', '{').replace('}}', '}')} WHEN 'L2Source MAC' THEN {_MAC.format('user_id').replace('{{', '{').replace('}}', '}')} WHEN 'L2Type' THEN '8'
- WHEN 'L3Version' THEN '4' WHEN 'L3IHL' THEN '5' WHEN 'L3Type of Service' THEN '0' WHEN 'L3Total Length' THEN {_SWAP2.format('40 + event_id % 100')}::VARCHAR WHEN 'L3Identification' THEN {_SWAP2.format('event_id % 65536')}::VARCHAR WHEN 'L3Flags' THEN '64' WHEN 'L3Fragment Offset' THEN '0'
- WHEN 'L3TTL' THEN (event_id % 256)::VARCHAR WHEN 'L3Protocol' THEN '6' WHEN 'L3Header Checksum' THEN '0' WHEN 'L3Source IP' THEN ip WHEN 'L3Destination IP' THEN '192.168.0.10'
- WHEN 'L4Source Port' THEN {_SWAP2.format('port')}::VARCHAR WHEN 'L4Destination Port' THEN '20480' WHEN 'L4Sequence Number' THEN ((seq % 256) * 16777216 + ((seq >> 8) % 256) * 65536 + ((seq >> 16) % 256) * 256 + (seq >> 24))::VARCHAR
- WHEN 'L4Acknowledgement Number' THEN ((ack % 256) * 16777216 + ((ack >> 8) % 256) * 65536 + ((ack >> 16) % 256) * 256 + (ack >> 24))::VARCHAR WHEN 'L4Data Offset' THEN '80' WHEN 'L4Flags' THEN CASE WHEN syn THEN '2' ELSE '24' END WHEN 'L4Window Size' THEN {_SWAP2.format('win')}::VARCHAR ELSE '0' END"""
+ WHEN 'L3Version' THEN '4' WHEN 'L3IHL' THEN '5' WHEN 'L3Type of Service' THEN '0' WHEN 'L3Total Length' THEN {_SWAP2.format('40 + event_id % 100')}::VARCHAR
+  WHEN 'L3Identification' THEN {_SWAP2.format('event_id % 65536')}::VARCHAR WHEN 'L3Flags' THEN '64' WHEN 'L3Fragment Offset' THEN '0'
+ WHEN 'L3TTL' THEN (event_id % 256)::VARCHAR WHEN 'L3Protocol' THEN '6' WHEN 'L3Header Checksum' THEN '0' WHEN 'L3Source IP' THEN ip
+  WHEN 'L3Destination IP' THEN '192.168.0.10'
+ WHEN 'L4Source Port' THEN {_SWAP2.format('port')}::VARCHAR WHEN 'L4Destination Port' THEN '20480'
+  WHEN 'L4Sequence Number' THEN ((seq % 256) * 16777216 + ((seq >> 8) % 256) * 65536 + ((seq >> 16) % 256) * 256 + (seq >> 24))::VARCHAR
+ WHEN 'L4Acknowledgement Number' THEN ((ack % 256) * 16777216 + ((ack >> 8) % 256) * 65536 + ((ack >> 16) % 256) * 256 + (ack >> 24))::VARCHAR
+  WHEN 'L4Data Offset' THEN '80' WHEN 'L4Flags' THEN CASE WHEN syn THEN '2' ELSE '24' END WHEN 'L4Window Size' THEN {_SWAP2.format('win')}::VARCHAR
+  ELSE '0' END"""
 
 
 @query(_DETAIL + f"SELECT n::INTEGER AS number, layer, ord::INTEGER AS ord, label, lo::INTEGER AS lo, hi::INTEGER AS hi, {_VALUES} AS value FROM e, f")
@@ -386,9 +407,12 @@ def frame_lines(spark, sf_dir):
 
 _HEX = _TEXT + f""", r AS (SELECT doc_id + 1 AS n, file, '0200000000010200000000020800' || '4500' || format('{{:04X}}', 40 + length(hx) // 2) || '000140004006' || '0000'
   || '0A000001' || 'C0A8000A' || '9C400019' || format('{{:08X}}', 1 + part * {X.SEGMENT}) || '00000001' || '5018' || '0000' || '00000000' || hx AS raw FROM d),
-l AS (SELECT n, file, unnest(range((length(raw) // 2 - 1) // 16 + 1)) AS line, raw FROM r), p AS (SELECT n, file, line, substr(raw, line * 32 + 1, 32) AS part FROM l),
+l AS (SELECT n, file, unnest(range((length(raw) // 2 - 1) // 16 + 1)) AS line, raw FROM r), p AS (SELECT n, file, line, substr(raw, line * 32 + 1, 32) AS part
+  FROM l),
 q AS (SELECT *, regexp_replace(decode_ascii, '[^ -~]', '.', 'g') AS ascii FROM
-  (SELECT *, array_to_string(list_transform(range(length(part) // 2), lambda i: CASE WHEN ('0x' || substr(part, 2 * i + 1, 2))::INT BETWEEN 32 AND 126 THEN chr(('0x' || substr(part, 2 * i + 1, 2))::INT) ELSE '.' END), '') AS decode_ascii FROM p))
+  (SELECT *, array_to_string(list_transform(range(length(part) // 2), lambda i: CASE
+  WHEN ('0x' || substr(part, 2 * i + 1, 2))::INT BETWEEN 32 AND 126 THEN chr(('0x' || substr(part, 2 * i + 1, 2))::INT) ELSE '.' END), '') AS decode_ascii
+  FROM p))
 """
 
 
@@ -416,12 +440,14 @@ def dhcp_header(spark, sf_dir):
     return p.select("number", *map(small, ("op", "htype", "hlen", "hops")), *map(wide, ("xid", "secs", "flags")), "ciaddr", "yiaddr", "siaddr", "giaddr", *[F.hex(c).alias(c) for c in ("chaddr", "sname", "file")])
 
 
-@query(_E + """SELECT 'cap' || (user_id % 8)::VARCHAR || '.pcap' AS file, row_number() OVER (PARTITION BY user_id % 8 ORDER BY n)::INTEGER AS number, (us // 1000000)::BIGINT AS ts_hi, (us % 1000000)::BIGINT AS ts_lo, 54::BIGINT AS cap_len, 'ok' AS status FROM e""")
+@query(_E + """SELECT 'cap' || (user_id % 8)::VARCHAR || '.pcap' AS file, row_number() OVER (PARTITION BY user_id % 8 ORDER BY n)::INTEGER AS number,
+  (us // 1000000)::BIGINT AS ts_hi, (us % 1000000)::BIGINT AS ts_lo, 54::BIGINT AS cap_len, 'ok' AS status FROM e""")
 def capture_scan_pcap(spark, sf_dir):
     return parse_files(X.captures(_table(spark, sf_dir, "events"))).select("file", "number", "ts_hi", "ts_lo", "cap_len", "status")
 
 
-@query(_E + """SELECT 'cap' || (user_id % 8)::VARCHAR || '.pcapng' AS file, row_number() OVER (PARTITION BY user_id % 8 ORDER BY n)::INTEGER AS number, ((us * 1000) >> 32)::BIGINT AS ts_hi, ((us * 1000) % 4294967296)::BIGINT AS ts_lo, 54::BIGINT AS cap_len, 1::INTEGER AS link_type, 'ok' AS status FROM e""")
+@query(_E + """SELECT 'cap' || (user_id % 8)::VARCHAR || '.pcapng' AS file, row_number() OVER (PARTITION BY user_id % 8 ORDER BY n)::INTEGER AS number,
+  ((us * 1000) >> 32)::BIGINT AS ts_hi, ((us * 1000) % 4294967296)::BIGINT AS ts_lo, 54::BIGINT AS cap_len, 1::INTEGER AS link_type, 'ok' AS status FROM e""")
 def capture_scan_pcapng(spark, sf_dir):
     return parse_files(X.captures_ng(_table(spark, sf_dir, "events"))).select("file", "number", "ts_hi", "ts_lo", "cap_len", "link_type", "status")
 
@@ -443,14 +469,16 @@ def _mixed(spark, sf_dir, table):
 
 
 @query(_MIXED + """SELECT file, n::INTEGER AS number, (CASE kind WHEN 2 THEN 3 ELSE 6 END)::BIGINT AS block_type, CASE kind WHEN 2 THEN 'undecoded' WHEN 5 THEN 'length_mismatch' ELSE 'ok' END AS status,
-  CASE WHEN kind < 2 THEN e % 1000 END::BIGINT AS ts_hi, CASE WHEN kind < 2 THEN e END::BIGINT AS ts_lo, CASE WHEN kind <> 5 THEN 4 END::BIGINT AS orig_len, CASE WHEN kind < 2 THEN format('{:08X}', e) END AS raw FROM f""")
+  CASE WHEN kind < 2 THEN e % 1000 END::BIGINT AS ts_hi, CASE WHEN kind < 2 THEN e END::BIGINT AS ts_lo, CASE WHEN kind <> 5 THEN 4 END::BIGINT AS orig_len,
+  CASE WHEN kind < 2 THEN format('{:08X}', e) END AS raw FROM f""")
 def capture_packet_blocks(spark, sf_dir):
     """Enhanced and simple packets, and packets whose lengths disagree."""
     return _mixed(spark, sf_dir, "frames").select("file", "number", "block_type", "status", "ts_hi", "ts_lo", "orig_len", F.hex("raw").alias("raw"))
 
 
 @query(_MIXED + """SELECT file, ordinal::INTEGER AS block_ordinal, (CASE kind WHEN 2 THEN 3 WHEN 3 THEN 5 WHEN 4 THEN 2989 WHEN 6 THEN 4 ELSE 6 END)::BIGINT AS block_type,
-  (CASE kind WHEN 2 THEN 20 WHEN 3 THEN 24 WHEN 4 THEN 16 WHEN 6 THEN 28 ELSE 36 END)::BIGINT AS total_length, CASE kind WHEN 5 THEN 'length_mismatch' ELSE 'ok' END AS status FROM b
+  (CASE kind WHEN 2 THEN 20 WHEN 3 THEN 24 WHEN 4 THEN 16 WHEN 6 THEN 28 ELSE 36 END)::BIGINT AS total_length, CASE kind WHEN 5 THEN 'length_mismatch'
+  ELSE 'ok' END AS status FROM b
 UNION ALL SELECT DISTINCT file, 1, 168627466, 28, 'ok' FROM b UNION ALL SELECT DISTINCT file, 2, 1, 20, 'ok' FROM b""")
 def capture_blocks(spark, sf_dir):
     """Sections, interfaces, packets, statistics, names and unknown blocks."""
@@ -462,7 +490,9 @@ def capture_statistics(spark, sf_dir):
     return _mixed(spark, sf_dir, "statistics").select("file", "block_ordinal", "interface_id", "ts_hi", "ts_lo", "status")
 
 
-@query(_MIXED + """SELECT file, ordinal::INTEGER AS block_ordinal, 1::INTEGER AS record_type, '10.0.' || ((u % 65536) // 256)::VARCHAR || '.' || (u % 256)::VARCHAR AS address, 'n' AS names FROM b WHERE kind = 6""")
+@query(_MIXED + """SELECT file,
+  ordinal::INTEGER AS block_ordinal, 1::INTEGER AS record_type, '10.0.' || ((u % 65536) // 256)::VARCHAR || '.' || (u % 256)::VARCHAR AS address, 'n' AS names
+  FROM b WHERE kind = 6""")
 def capture_names(spark, sf_dir):
     return _mixed(spark, sf_dir, "names").select("file", "block_ordinal", "record_type", "address", F.array_join("names", ",").alias("names"))
 
@@ -505,7 +535,8 @@ def sources_pcapng(spark, sf_dir):
 
 
 @query("""WITH e AS (SELECT event_id + 1 AS n, event_id % 4 AS kind, event_id // 4 AS k FROM events)
-SELECT 'mem' AS file, n::INTEGER AS number, CASE kind WHEN 0 THEN 'Invalid DNS packet' WHEN 1 THEN 'Invalid ICMP packet' WHEN 2 THEN 'Telnet' ELSE 'BGP' END AS message FROM e
+SELECT 'mem' AS file, n::INTEGER AS number, CASE kind WHEN 0 THEN 'Invalid DNS packet' WHEN 1 THEN 'Invalid ICMP packet' WHEN 2 THEN 'Telnet'
+  ELSE 'BGP' END AS message FROM e
 WHERE kind > 1 OR (kind = 0 AND k % 40 >= 8 AND k % 40 < 20) OR (kind = 1 AND k % 12 < 8)
 UNION ALL SELECT 'bad' || (event_id % 3)::VARCHAR, 0, 'Incompatible PCAP file format' FROM events WHERE event_id < 3""")
 def capture_diagnostics(spark, sf_dir):
