@@ -16,6 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from framelight.ship import ship
 
+#: On a mounted folder Hadoop starts processes (chmod) for each file and its checksum file, and each start copies
+#: the executor's page tables.  Parquet files of a run need no second file, so the plain file system writes them.
+_PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -42,7 +46,7 @@ class Scratch:
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").options(**_PLAIN_FILES).parquet(path)
         self.names.add(name)
         return self.spark.read.schema(df.schema).parquet(path)
 
