@@ -178,12 +178,13 @@ WITH b AS (SELECT row_number() OVER () AS rid, page_id, url, CASE WHEN instr(url
   translate(CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE coalesce(url, '') END, '{upper}', '{lower}') AS chars FROM pages),
 h AS (SELECT rid, page_id, url, chars, translate(regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1), '{upper}', '{lower}') AS host,
   regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM b),
-r AS (SELECT *, {rule} AS rule, {verdict} AS ruled, ('0x' || substr(md5(url), 1, 4))::INTEGER % {url_filter.HELD_OUT} = 0 AS apart FROM h),
-f AS (SELECT rid, ruled, apart, substr(p, i, {top}) AS context, substr(p, i + {top}, 1) AS symbol
+r AS (SELECT *, {rule} AS rule, {verdict} AS ruled, ('0x' || substr(md5(url), 1, 4))::INTEGER % {url_filter.HELD_OUT} = 0 AS apart,
+  CASE WHEN host <> '' THEN coalesce({verdict} = 'block', false) END AS rejected FROM h),
+f AS (SELECT rid, rejected, apart, substr(p, i, {top}) AS context, substr(p, i + {top}, 1) AS symbol
   FROM (SELECT *, unnest(range(1, length(p) - {top - 1})) AS i FROM (SELECT *, repeat(chr(1), {top}) || chars AS p FROM r))),
-n AS (SELECT ruled = 'block' AS rejected, context, symbol, count(*) AS n FROM f WHERE ruled IS NOT NULL AND NOT apart GROUP BY ALL),{levels}
+n AS (SELECT rejected, context, symbol, count(*) AS n FROM f WHERE rejected IS NOT NULL AND NOT apart GROUP BY ALL),{levels}
 e AS (SELECT rid, round(sum(ln(pr) - ln(pa)) / count(*) * {url_filter._UNIT})::BIGINT AS score FROM f JOIN o{top} o ON o.c = f.context AND o.symbol = f.symbol GROUP BY rid),
-y AS (SELECT {bucket} AS bucket, count(*) FILTER (ruled = 'block') AS rj, count(*) FILTER (ruled = 'allow') AS ac FROM r JOIN e ON r.rid = e.rid WHERE ruled IS NOT NULL AND apart GROUP BY 1),
+y AS (SELECT {bucket} AS bucket, count(*) FILTER (rejected) AS rj, count(*) FILTER (NOT rejected) AS ac FROM r JOIN e ON r.rid = e.rid WHERE rejected IS NOT NULL AND apart GROUP BY 1),
 x AS (SELECT bucket, (sum(ac) OVER () - sum(ac) OVER (ORDER BY bucket))::DOUBLE / sum(ac) OVER () AS wrong,
   1 - (sum(rj) OVER () - sum(rj) OVER (ORDER BY bucket))::DOUBLE / sum(rj) OVER () AS missed, sum(ac) OVER () AS acs, sum(rj) OVER () AS rjs FROM y),
 z AS (SELECT bucket AS cut FROM x WHERE wrong <= {url_filter.FALSE_REJECTS}::DOUBLE AND acs > 0 AND rjs > 0 ORDER BY wrong + missed, bucket LIMIT 1)

@@ -1,7 +1,8 @@
 """URL filtering: a rule list first, then the ratio of two character models.
 
-One variable-order Markov model is counted over accepted and one over rejected URLs (by default those that a
-rule allows or blocks; a table of labelled URLs may take their place): the probability of a character after
+One variable-order Markov model is counted over rejected URLs and one over accepted URLs (by default those that
+a rule blocks, and all others, of which a rule may yet come to block some; a table of labelled URLs may take
+their place): the probability of a character after
 the ORDER characters before it mixes the orders ORDER, ..., 1, 0 with Witten-Bell weights, so a context seen
 seldom falls back to its shorter suffix.  A URL's score is the log-likelihood difference (rejected minus
 accepted) divided by its length; the threshold is calibrated on labelled URLs that took no part in the counts.
@@ -152,8 +153,8 @@ def held_out(url: Column) -> Column:
 def filter_urls(pages: DataFrame, rules=RULES, labelled: DataFrame | None = None, most: float = FALSE_REJECTS) -> DataFrame:
     """page_id, host, path, rule, verdict, score for every row of (page_id, url).
 
-    ``labelled``: url, rejected; without it the URLs that a rule fits are labelled by its verdict.  The rule's
-    verdict stands where a rule fits; else block where the score is over the threshold.  A null or empty URL
+    ``labelled``: url, rejected; without it the URLs with a host count as rejected where a rule blocks them, else
+    as accepted.  The rule's verdict stands where a rule fits; else block where the score is over the threshold.  A null or empty URL
     has empty host and path, fits no rule, scores 0 and is allowed.  Without both kinds of labelled URLs, held-out
     ones included, nothing can be learned and the method allows.  Rows are judged one by one: null and repeated
     ids stay, equal URLs get equal verdicts, a score at the threshold is allowed.  An empty table gives no rows;
@@ -165,7 +166,7 @@ def filter_urls(pages: DataFrame, rules=RULES, labelled: DataFrame | None = None
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     rows = scratch.save(located.select(F.monotonically_increasing_id().alias("row"), "*", rule.alias("rule"), verdict.alias("ruled")), "rows")
     if labelled is None:
-        labelled = rows.where("ruled is not null").select("url", (F.col("ruled") == "block").alias("rejected"))
+        labelled = rows.where("host != ''").select("url", F.coalesce(F.col("ruled") == "block", F.lit(False)).alias("rejected"))
     labelled = labelled.where("url is not null and rejected is not null").select("url", "rejected")
     found = scratch.save(counts(labelled.where(~held_out(F.col("url")))), "counts")
     # Held-out URLs of a table of their own are scored along with the pages.
