@@ -272,7 +272,8 @@ def languages(docs: DataFrame) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     filters = learn(docs.where(~held_out()).select("text", "lang"))
-    return docs.select("doc_id", held_out().alias("held_out"), predicted(filters, F.col("text")).alias("p")).select("doc_id", "held_out", "p.lang_pred", "p.score")
+    return docs.select("doc_id", held_out().alias("held_out"), predicted(filters, F.col("text")).alias("p")).select("doc_id", "held_out",
+        "p.lang_pred", "p.score")
 
 
 #: A text is of no learned language if its best one has fewer of its n-grams.

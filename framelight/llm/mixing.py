@@ -123,7 +123,8 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, domains: list[str], mos
 
     out = Classifier(domains)
     counts = np.zeros(FEATURES * len(domains))
-    for r in train.where("half = 0").select("text", "domain").mapInArrow(count, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).toLocalIterator():
+    for r in train.where("half = 0").select("text", "domain").mapInArrow(count,
+        "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).toLocalIterator():
         counts[r.key] = r.n
     out.set_counts(counts.reshape(FEATURES, len(domains)))
     shared = spark.sparkContext.broadcast(out)
@@ -153,7 +154,8 @@ def membership(classifier: Classifier, text: Column) -> Column:
         short = GRID - cell.sum(1)
         rank = np.argsort(np.argsort(-(p * GRID - cell), 1, kind="stable"), 1, kind="stable")
         cell += rank < short[:, None]
-        return pa.StructArray.from_arrays([pa.array(sizes), pa.array(list(p), pa.list_(pa.float64())), pa.array(list(cell), pa.list_(pa.int32()))], ["tokens", "posterior", "cell"])
+        return pa.StructArray.from_arrays([pa.array(sizes), pa.array(list(p), pa.list_(pa.float64())), pa.array(list(cell), pa.list_(pa.int32()))],
+            ["tokens", "posterior", "cell"])
 
     return member(text)
 
@@ -231,7 +233,8 @@ def fit_documents(members: DataFrame, targets: list[float], start: np.ndarray, s
     def at(v: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
         w, p = F.col("tokens") / F.lit(float(total)), [F.col("posterior")[k] for k in range(d)]
         r = F.col("r")
-        sums = [F.sum(w * r * r / 2), *[F.sum(w * r * x) for x in p], *[F.sum(F.when(r > 0, w * p[i] * p[j]).otherwise(0.0)) for i in range(d) for j in range(i, d)]]
+        sums = [F.sum(w * r * r / 2), *[F.sum(w * r * x) for x in p], *[F.sum(F.when(r > 0,
+            w * p[i] * p[j]).otherwise(0.0)) for i in range(d) for j in range(i, d)]]
         got = np.array(members.withColumn("r", rate_of(F.col("posterior"), v)).agg(*sums).first(), float)
         bend = np.zeros((d, d))
         bend[np.triu_indices(d)] = got[1 + d :]

@@ -469,8 +469,10 @@ def _rest_of_hot(hot: DataFrame, classes: DataFrame, roots: DataFrame, percent:
     width = math.log(100 / percent) * 1.000001 if percent < 100 else 1.0
     size = F.floor(F.log("n") / width).cast("int")
     at = scratch.save(at.join(mixed, "gram").withColumn("range", size), "apart")
-    left = at.select("gram", F.col("key").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("root").alias("rx"), "range", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("part"))
-    right = at.select("gram", F.col("key").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("root").alias("ry"), F.explode(F.sequence(F.col("range") - 1, F.col("range") + 1)).alias("range"), "parts")
+    left = at.select("gram", F.col("key").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("root").alias("rx"), "range",
+        F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("part"))
+    right = at.select("gram", F.col("key").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("root").alias("ry"),
+        F.explode(F.sequence(F.col("range") - 1, F.col("range") + 1)).alias("range"), "parts")
     right = right.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     goal = _reach(percent, F.col("nx"), F.col("ny"))
     fits = (F.col("x") < F.col("y")) & (F.col("rx") != F.col("ry")) & (F.col("nx") - F.col("px") >= goal) & (F.col("ny") - F.col("py") >= goal)

@@ -124,7 +124,8 @@ def _base_failed() -> Column:
 def sketches(measured: DataFrame) -> DataFrame:
     """lang, source, metric, bucket, n over documents that pass the base rules."""
     ratios = _ratios() | {k: F.col(k) for k in SIZES}
-    long = measured.where(~_base_failed()).select("lang", "source", F.inline(F.array(*[F.struct(F.lit(k).alias("metric"), v.alias("v")) for k, v in ratios.items()])))
+    long = measured.where(~_base_failed()).select("lang", "source", F.inline(F.array(*[F.struct(F.lit(k).alias("metric"), v.alias("v")) for k,
+        v in ratios.items()])))
     shift = "greatest(0, length(bin(v)) - 6)"
     bucket = F.expr(f"cast(shiftleft(shiftright(v, {shift}), {shift}) as bigint)")
     return long.select("lang", "source", "metric", bucket.alias("bucket")).groupBy("lang", "source", "metric", "bucket").agg(F.count("*").alias("n"))

@@ -74,7 +74,8 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filters, op2_token_counts, op3_language_id, op4_ngram_jaccard_join, op5_sharding, op6_quality_rules, op7_exact_top_k, op8_sentencepiece, op9_license_scans, op10_source_mixing)}
+    return {f.__name__: f for f in (op1_url_filters, op2_token_counts, op3_language_id, op4_ngram_jaccard_join, op5_sharding, op6_quality_rules,
+        op7_exact_top_k, op8_sentencepiece, op9_license_scans, op10_source_mixing)}
 
 
 _OP7_SQL = """
@@ -114,7 +115,8 @@ def _op6_sql() -> str:
         high, middle = one(k, "q90"), one(k, "q50")
         fences.append(f"{high} + ({high} - {middle}) * {reach} + {1000 * grace} // greatest({one(size, 'q50')}, 1) AS {k}_hi")
     low, high = one("len_c", "q25"), one("len_c", "q75")
-    fences.append(f"{high} + ({high} - {low}) * {reach} + {quality.LENGTH_SLACK} AS len_c_hi, {low} - ({high} - {low}) * {reach} - {quality.LENGTH_SLACK} AS len_c_lo")
+    fences.append(f"{high} + ({high} - {low}) * {reach} + {quality.LENGTH_SLACK} AS len_c_hi, {low} - ({high} - {low}) * {reach} - "
+        f"{quality.LENGTH_SLACK} AS len_c_lo")
     good = " AND ".join([f"coalesce({metrics[k]} <= {k}_hi, true)" for k in (*quality.UPPER, "len_c")] + [f"coalesce({metrics['len_c']} >= len_c_lo, true)"])
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS text FROM documents),

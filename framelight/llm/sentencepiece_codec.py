@@ -310,7 +310,8 @@ def encoded(text: Column, path: str) -> Column:
         ids, good, back = codec(path, threads).encode(texts.to_pylist())
         ends = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
         flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32())
-        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(ends), flat), pa.array(good, pa.bool_()), pa.array(back, pa.bool_())], ["ids", "parity", "round_trip"])
+        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(ends), flat), pa.array(good, pa.bool_()), pa.array(back, pa.bool_())],
+            ["ids", "parity", "round_trip"])
 
     return encode(text)
 

@@ -132,4 +132,5 @@ def shard(docs: DataFrame, shards: int = SHARDS, ranges: int = RANGES) -> DataFr
     first = [(r["shard"], r["f"]) for r in at.groupBy("shard").agg(F.min("rank").alias("f")).collect()]
     out = at.join(F.broadcast(spark.createDataFrame(first, "shard int, f long")), "shard")
     scratch.drop("records")
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("rank") - F.col("f")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("rank") - F.col("f")).cast("long").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"))

@@ -196,7 +196,10 @@ def sums(sizes: bytes, steps: bytes, freqs: bytes, known: np.ndarray, count: np.
     return out
 
 
-_BLOCKS = "block bigint, {ids} n_bytes array<bigint>, known array<bigint>, sizes binary, steps binary, freqs binary, buckets binary, asked array<struct<bucket:int,units:binary>>"
+_BLOCKS = (
+    "block bigint, {ids} n_bytes array<bigint>, known array<bigint>, sizes binary, steps binary, freqs binary, buckets binary, asked "
+    "array<struct<bucket:int,units:binary>>"
+)
 
 
 def _blocks(path: str, buckets: int, kind: pa.DataType | None = None):

@@ -52,7 +52,8 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
         return ((host == name) | F.endswith(host, F.lit("." + name))) & F.startswith(path, F.lit("/" + tail))
 
     ordered = sorted(rules, key=lambda r: (-len(r[0]), r[0]))
-    pick = lambda k: reduce(lambda c, r: c.when(fits(r[0]), r[k]), ordered[1:], F.when(fits(ordered[0][0]), ordered[0][k])) if ordered else F.lit(None).cast("string")
+    pick = lambda k: reduce(lambda c, r: c.when(fits(r[0]), r[k]), ordered[1:],
+        F.when(fits(ordered[0][0]), ordered[0][k])) if ordered else F.lit(None).cast("string")
     return pick(0), pick(1)
 
 

@@ -55,7 +55,8 @@ def vectors(table: DataFrame) -> DataFrame:
     @F.arrow_udf("struct<v:binary,dim:int,norm:double>")
     def packed(rows: pa.Array) -> pa.Array:
         vs = [np.array(r, np.float64) for r in rows.to_pylist()]
-        return pa.StructArray.from_arrays([pa.array([pack(v) for v in vs], pa.binary()), pa.array([len(v) for v in vs], pa.int32()), pa.array([float(v @ v) for v in vs], pa.float64())], ["v", "dim", "norm"])
+        return pa.StructArray.from_arrays([pa.array([pack(v) for v in vs], pa.binary()), pa.array([len(v) for v in vs], pa.int32()),
+            pa.array([float(v @ v) for v in vs], pa.float64())], ["v", "dim", "norm"])
 
     good = table.where(F.col("vec_id").isNotNull() & x.isNotNull() & ~F.coalesce(bad, F.lit(True)))
     return good.select("vec_id", packed(whole).alias("p")).select("vec_id", "p.*").dropDuplicates(["vec_id", "v"])
@@ -189,7 +190,8 @@ def search(table: DataFrame, k: int = TOP, every: int = 50, report: dict | None
             at = batch.column("group").to_numpy()
             for g in np.unique(at):
                 low = bound[at == g].min(0)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(low), g, np.int32)), pa.array(np.arange(len(low), dtype=np.int32)), pa.array(low)], ["group", "cell", "from"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(low), g, np.int32)), pa.array(np.arange(len(low), dtype=np.int32)),
+                    pa.array(low)], ["group", "cell", "from"])
 
     reach = queries.select("q", "group").mapInArrow(least, "group int, cell int, from double").groupBy("cell", "group").agg(F.min("from").alias("from"))
     reach = scratch.save(reach.groupBy("cell").agg(F.collect_list(F.struct("group", "from")).alias("groups")), "reach")
@@ -207,10 +209,13 @@ def search(table: DataFrame, k: int = TOP, every: int = 50, report: dict | None
         report.update(candidates=top.n, groups=len(set(group.values())), plain=plain, replicas=total)
 
     ours = replicas.groupBy("group").agg(F.count("*").alias("x")).join(queries.groupBy("group").agg(F.count("*").alias("y")), "group")
-    plan = scratch.save(ours.select("group", F.ceil(F.col("x") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("y") / QUERY_BLOCK).cast("int").alias("parts")), "plan")
+    plan = scratch.save(ours.select("group", F.ceil(F.col("x") / BLOCK).cast("int").alias("blocks"),
+        F.ceil(F.col("y") / QUERY_BLOCK).cast("int").alias("parts")), "plan")
     spot = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
-    ours = replicas.join(plan, "group").select("vec_id", "v", "group", spot("vec_id", "blocks").alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    theirs = queries.join(plan, "group").select("query_id", "q", "group", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), spot("query_id", "parts").alias("part"))
+    ours = replicas.join(plan, "group").select("vec_id", "v", "group", spot("vec_id", "blocks").alias("block"),
+        F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    theirs = queries.join(plan, "group").select("query_id", "q", "group", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
+        spot("query_id", "parts").alias("part"))
 
     def local(left: pa.Table, right: pa.Table) -> pa.Table:
         q_ids, ids = left.column("query_id").to_numpy(), right.column("vec_id").to_numpy()
@@ -219,7 +224,8 @@ def search(table: DataFrame, k: int = TOP, every: int = 50, report: dict | None
             raw = left.column("q").to_pylist()
             found = [(int(q_ids[i]), raw[i], j, s) for i, j, s in solve(q_ids, unpack(raw, dim), ids, unpack(right.column("v").to_pylist(), dim), k + own - 1)]
         columns = list(zip(*found, strict=True)) or [[], [], [], []]
-        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.int64(), pa.int64()), strict=True)], ["query_id", "q", "vec_id", "score"])
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.int64(), pa.int64()), strict=True)],
+            ["query_id", "q", "vec_id", "score"])
 
     keys = ["group", "block", "part"]
     hits = theirs.groupBy(*keys).cogroup(ours.groupBy(*keys)).applyInArrow(local, "query_id bigint, q binary, vec_id bigint, score bigint")

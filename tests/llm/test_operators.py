@@ -27,7 +27,8 @@ def docs(spark, texts, **extra):
     return spark.createDataFrame(rows, DOCS + ", shard int, kept string")
 
 
-AWKWARD = [None, "", " ", "\n\n", "a", "a b c d e", "A B c D e", "x" * 5000, "word " * 3000, "é ü ñ 中文 😀", "a\x00b <|endoftext|> c", "1 2 3", "... !!! ???", "  two  spaces \t tab\r\n", "a b c d e"]
+AWKWARD = [None, "", " ", "\n\n", "a", "a b c d e", "A B c D e", "x" * 5000, "word " * 3000, "é ü ñ 中文 😀", "a\x00b <|endoftext|> c", "1 2 3",
+    "... !!! ???", "  two  spaces \t tab\r\n", "a b c d e"]
 
 
 # -- 1 ------------------------------------------------------------------------------------------------
@@ -58,10 +59,12 @@ def test_urls(spark):
     good = lambda: f"http://{name()}.example.{rng.choice(['com', 'org'])}/en/{rng.randrange(999)}"
     poor = lambda: f"https://{rng.choice(['wixyk-zqq', 'zqqip-kyx', 'kyxw-zqiq'])}.example.org/en/{rng.randrange(999)}"
     urls, bad = [good() for _ in range(300)], [poor() for _ in range(60)]
-    odd = [None, "", "no scheme", "http://", "HTTP://A.NET", "http://a.NET/", "http://net/x", "http://fornet/x", "http://x.example.net/en/1?q", "http://example.net/en", "a://b://c/d#e", "http://é.org/fr/ü?x", "http://a.org/fr/\nz", "http://x.example.com/de/1", "http://a.net/?" + "y" * 20000]
+    odd = [None, "", "no scheme", "http://", "HTTP://A.NET", "http://a.NET/", "http://net/x", "http://fornet/x", "http://x.example.net/en/1?q",
+        "http://example.net/en", "a://b://c/d#e", "http://é.org/fr/ü?x", "http://a.org/fr/\nz", "http://x.example.com/de/1", "http://a.net/?" + "y" * 20000]
     all_urls = urls + bad + odd + odd
     df = spark.createDataFrame([(k, u, "h", 1, 0.5) for k, u in enumerate(all_urls)], "page_id bigint, url string, host string, row int, score double")
-    labelled = spark.createDataFrame([(good(), False) for _ in range(400)] + [(poor(), True) for _ in range(100)] + [(None, True), ("x", None)], "url string, rejected boolean")
+    labelled = spark.createDataFrame([(good(), False) for _ in range(400)] + [(poor(), True) for _ in range(100)] + [(None, True), ("x", None)],
+        "url string, rejected boolean")
     got = {r.page_id: r for r in url_filter.filter_urls(df, labelled=labelled).collect()}
     assert len(got) == len(all_urls)
     for k, u in enumerate(all_urls):
@@ -117,7 +120,8 @@ def test_url_scores_and_verdicts_against_recursion(spark):
     total = [sum(n for (side, _), n in hist.items() if side == s) for s in (False, True)]
     rates = lambda cut: [sum(n for (side, b), n in hist.items() if side == s and b > cut) / total[s] for s in (False, True)]
     cut = min((wrong + 1 - hit, b) for b in {b for _, b in hist} for wrong, hit in [rates(b)] if wrong <= url_filter.FALSE_REJECTS)[1]
-    got = {r.url: r for r in url_filter.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")).join(spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string"), "page_id").collect()}
+    got = {r.url: r for r in url_filter.filter_urls(spark.createDataFrame(list(enumerate(urls)),
+        "page_id bigint, url string")).join(spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string"), "page_id").collect()}
     for u in urls:
         assert got[u].score * 10_000 == pytest.approx(scores[u], abs=0.51)
         assert got[u].verdict == (ruled[u] or ("block" if round(scores[u]) // 10 > cut else "allow"))
@@ -133,7 +137,8 @@ def test_token_counts(spark):
     path = tokenizer("byte_bpe_50k.json")
     lib = Tokenizer.from_file(path)
     rng = random.Random(2)
-    parts = ["a", "The", " ", "  ", "\n", "'s", "12", "é", "!", "\t", "\r\n", "\u00a0", "\u3000", "中", "<|endoftext|>", "\x1c", "\u0085", "😀", "'", "\u2028", "Ω"]
+    parts = ["a", "The", " ", "  ", "\n", "'s", "12", "é", "!", "\t", "\r\n", "\u00a0", "\u3000", "中", "<|endoftext|>", "\x1c", "\u0085", "😀", "'",
+        "\u2028", "Ω"]
     texts = AWKWARD + ["".join(rng.choice(parts) for _ in range(rng.randrange(14))) for _ in range(600)]
     got = {r.doc_id: r for r in token_count.count_tokens(docs(spark, texts), path).collect()}
     for k, t in enumerate(texts):
@@ -316,9 +321,12 @@ def test_one_row_of_each_group(spark):
 
     base = [f"w{k}" for k in range(40)]
     near = " ".join([*base[:39], "other"])
-    rows = [(None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (7, "a b c d e f"), (None, "words with no id at all"), (None, "words with no id at all"), (9, None), (9, None), (None, ""), (None, None), (None, None)]
-    rows += [(None, near), (None, near), (20, " ".join(base)), (20, "second text of this same id"), (21, "second text of this same id"), (30, None), (30, "thirty has one text and one null"), (31, "alone it stands, this one text")]
-    want = sorted([(3, "a b c d e f"), (None, "words with no id at all"), (9, None), (None, ""), (None, None), (None, None), (30, rows[-2][1]), (31, rows[-1][1])], key=repr)
+    rows = [(None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (7, "a b c d e f"), (None, "words with no id at all"),
+        (None, "words with no id at all"), (9, None), (9, None), (None, ""), (None, None), (None, None)]
+    rows += [(None, near), (None, near), (20, " ".join(base)), (20, "second text of this same id"), (21, "second text of this same id"), (30, None),
+        (30, "thirty has one text and one null"), (31, "alone it stands, this one text")]
+    want = sorted([(3, "a b c d e f"), (None, "words with no id at all"), (9, None), (None, ""), (None, None), (None, None), (30, rows[-2][1]),
+        (31, rows[-1][1])], key=repr)
     for seed in range(2):
         random.Random(seed).shuffle(rows)
         df = spark.createDataFrame([(*r, "en") for r in rows], "doc_id bigint, text string, lang string")
@@ -435,7 +443,8 @@ def slow_kept(rows, min_group):
     """rows: id -> (lang, source, counts)."""
     base = lambda c: c[0] < 50 or 100 * c[4] > 50 * c[0]
     share = lambda n, grace, size: max(0, n - grace) * 1000 // max(1, size)
-    ratio = lambda c: {"sym_pm": share(c[2], 2, c[0]), "dup_pm": share(c[3], 1, c[5]), "rep_pm": share(c[4], 20, c[0]), "len_c": c[1] * 100 // max(1, c[0]), "n_words": c[0], "n_lines": c[5]}
+    ratio = lambda c: {"sym_pm": share(c[2], 2, c[0]), "dup_pm": share(c[3], 1, c[5]), "rep_pm": share(c[4], 20, c[0]),
+        "len_c": c[1] * 100 // max(1, c[0]), "n_words": c[0], "n_lines": c[5]}
     out = {}
     for k, (lang, source, c) in rows.items():
         if base(c):
@@ -468,7 +477,8 @@ def test_each_quality_rule_fires(spark):
     texts = ["\n".join(lines()) for _ in range(150)]
     bad = lines()
     passage = " ".join(word() for _ in range(20))
-    texts += ["\n".join(bad + bad[:5]), " ".join([passage, *lines(), passage, *lines()[:2], passage]), "\n".join(lines()).replace(" ", "# "), " ".join(word(14) for _ in range(80))]
+    texts += ["\n".join(bad + bad[:5]), " ".join([passage, *lines(), passage, *lines()[:2], passage]), "\n".join(lines()).replace(" ", "# "),
+        " ".join(word(14) for _ in range(80))]
     texts += ["\n".join([*bad, bad[0]])]
     df = spark.createDataFrame([(k, t, "en", "s") for k, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string")
     gone = {r.doc_id for r in quality.quality(df).collect() if not r.kept}
@@ -499,12 +509,15 @@ def test_quality_of_awkward_texts(spark):
 
 def test_top_k(spark):
     rng = np.random.default_rng(7)
-    vs = [[float(x) for x in rng.normal(size=6)] for _ in range(400)] + [[0.5] * 6] * 60 + [[0.1, 0.2], [], [1e9] * 6, [None] + [0.0] * 5, [float("nan")] * 6, [float("inf")] * 6, None]
+    vs = [[float(x) for x in rng.normal(size=6)] for _ in range(400)] + [[0.5] * 6] * 60 + [[0.1, 0.2], [], [1e9] * 6, [None] + [0.0] * 5,
+        [float("nan")] * 6, [float("inf")] * 6, None]
     ids = list(range(len(vs)))
     rows = list(zip(ids, vs, strict=True)) + [(None, [0.0] * 6), (50, vs[50])]
-    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in vector_search.search(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")).collect())
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in vector_search.search(spark.createDataFrame(rows, "vec_id bigint, embedding "
+        "array<float>")).collect())
     f32 = lambda v: [float(np.float32(x)) for x in v]
-    whole = {i: [int(np.floor(256 * x)) for x in f32(v)] for i, v in zip(ids, vs, strict=True) if v is not None and all(x is not None and np.isfinite(x) for x in v)}
+    whole = {i: [int(np.floor(256 * x)) for x in f32(v)] for i, v in zip(ids, vs,
+        strict=True) if v is not None and all(x is not None and np.isfinite(x) for x in v)}
     want = []
     for q in whole:
         if q % 50 == 0:
@@ -578,7 +591,8 @@ def test_protobuf_and_unigram_rebuild():
     number = lambda n, v: bytes([n << 3 & 127 | (128 if n > 15 else 0), *([n >> 4] if n > 15 else []), v])
     real = lambda v: bytes([2 << 3 | 5]) + np.float32(v).tobytes()
     pieces = [("<unk>", 0, 2), ("\u2581", -2, 1), ("\u2581ab", -1, 1), ("a", -3, 1), ("b", -3, 1), *[(f"<0x{k:02X}>", -9, 6) for k in range(3)]]
-    data = b"".join(field(1, field(1, p.encode()) + real(s) + number(3, k)) for p, s, k in pieces) + field(2, number(3, 1) + number(35, 1)) + field(3, number(3, 1) + number(4, 0) + number(5, 1))
+    data = b"".join(field(1, field(1, p.encode()) + real(s) + number(3, k)) for p, s, k in pieces) + field(2, number(3, 1) + number(35, 1)) + field(3,
+        number(3, 1) + number(4, 0) + number(5, 1))
     model = sentencepiece_codec.Model(data)
     assert (model.kind, model.byte_fallback, model.dummy_prefix, model.squeeze, model.units) == (1, True, True, False, True)
     tok = model.tokenizer()
@@ -843,7 +857,8 @@ def test_mixing_awkward(spark):
 # -- texts longer than a piece ------------------------------------------------------------------------
 
 
-LONG = [" ".join(f"w{k * k % 97}é, {'x' * (k % 7)}" for k in range(90)), "a  b\n\n c\nd " * 20, "no-space" * 30, "ab\ncd ef\n" * 25 + "Über 中文", " lead" * 30, "1 2 3 . ! ? " * 12 + "x"]
+LONG = [" ".join(f"w{k * k % 97}é, "
+    f"{'x' * (k % 7)}" for k in range(90)), "a  b\n\n c\nd " * 20, "no-space" * 30, "ab\ncd ef\n" * 25 + "Über 中文", " lead" * 30, "1 2 3 . ! ? " * 12 + "x"]
 
 
 def test_long_texts_in_pieces(spark, monkeypatch):

@@ -34,7 +34,8 @@ def test_run_against_brute_force(spark):
     kept = spark.createDataFrame(rows, spark.read.parquet(f"{SF}/documents.parquet").schema)
     labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", mixing.domain_of_labels().alias("domain"))
     rate = {r.doc_id: r.rate for r in mixing.mix(kept, labels).collect()}
-    chance = {r.doc_id: r.c / 1_000_000 for r in kept.select("doc_id", F.pmod(F.xxhash64(F.lit("mix"), "doc_id", "text"), F.lit(1_000_000)).alias("c")).collect()}
+    chance = {r.doc_id: r.c / 1_000_000 for r in kept.select("doc_id",
+        F.pmod(F.xxhash64(F.lit("mix"), "doc_id", "text"), F.lit(1_000_000)).alias("c")).collect()}
     times = {k: int(x) + (chance[k] < x - int(x)) for k, x in rate.items()}
     lib = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     want = Counter({(r.doc_id, tuple(lib.encode(r.text))): times[r.doc_id] for r in rows if times[r.doc_id]})
@@ -71,7 +72,8 @@ def test_awkward_rows(spark, stage):
 def test_encoding_awkward_rows(spark):
     df = spark.createDataFrame([(None, None, 1), (1, "", 2), (1, "", 2), (2, "a\nb", 3)], "doc_id bigint, text string, ids int")
     got = corpus_pipeline.sentencepiece(spark, df, SF)
-    assert sorted((r.doc_id or 0, len(r.ids), r.parity, r.round_trip) for r in got.collect())[:3] == [(0, 0, True, True), (1, 0, True, True), (1, 0, True, True)]
+    assert sorted((r.doc_id or 0, len(r.ids), r.parity, r.round_trip) for r in got.collect())[:3] == [(0, 0, True, True), (1, 0, True, True),
+        (1, 0, True, True)]
     assert corpus_pipeline.sentencepiece(spark, df.limit(0), SF).count() == 0
 
 
