@@ -11,8 +11,10 @@ from framelight.operators.dissect import ipv6_word
 #: Label, first and last byte within the layer, how the value is shown.
 ETHERNET = [("Destination MAC", 0, 5, "mac"), ("Source MAC", 6, 11, "mac"), ("Type", 12, 13, "le")]
 IPV4 = [
-    ("Version", 0, 0, "high"), ("IHL", 0, 0, "low"), ("Type of Service", 1, 1, "le"), ("Total Length", 2, 3, "le"), ("Identification", 4, 5, "le"), ("Flags", 6, 6, "le"),
-    ("Fragment Offset", 7, 7, "le"), ("TTL", 8, 8, "le"), ("Protocol", 9, 9, "le"), ("Header Checksum", 10, 11, "le"), ("Source IP", 12, 15, "ip"), ("Destination IP", 16, 19, "ip"),
+    ("Version", 0, 0, "high"), ("IHL", 0, 0, "low"), ("Type of Service", 1, 1, "le"), ("Total Length", 2, 3, "le"), ("Identification", 4, 5, "le"),
+        ("Flags", 6, 6, "le"),
+    ("Fragment Offset", 7, 7, "le"), ("TTL", 8, 8, "le"), ("Protocol", 9, 9, "le"), ("Header Checksum", 10, 11, "le"), ("Source IP", 12, 15, "ip"),
+        ("Destination IP", 16, 19, "ip"),
 ]
 IPV6 = [
     ("Version", 0, 3, "version"), ("Traffic Class", 0, 3, "traffic"), ("Flow Label", 0, 3, "flow"), ("Payload Length", 4, 5, "le"),
@@ -20,7 +22,8 @@ IPV6 = [
 ]
 ARP = [("ARP Packet", 0, 27, None)]
 TCP = [
-    ("Source Port", 0, 1, "le"), ("Destination Port", 2, 3, "le"), ("Sequence Number", 4, 7, "le"), ("Acknowledgement Number", 8, 11, "le"), ("Data Offset", 12, 12, "le"),
+    ("Source Port", 0, 1, "le"), ("Destination Port", 2, 3, "le"), ("Sequence Number", 4, 7, "le"), ("Acknowledgement Number", 8, 11, "le"),
+        ("Data Offset", 12, 12, "le"),
     ("Flags", 13, 13, "le"), ("Window Size", 14, 15, "le"), ("Checksum", 16, 17, "le"), ("Urgent Pointer", 18, 19, "le"),
 ]
 UDP = [("Source Port", 0, 1, "le"), ("Destination Port", 2, 3, "le"), ("Length", 4, 5, "le"), ("Checksum", 6, 7, "le")]
@@ -36,12 +39,14 @@ def _value(at: int | str, size: int, kind: str | None) -> str:
     if kind in ("mac", "ip"):
         return {"mac": mac, "ip": ipv4}[kind](at)
     version, traffic, flow = ipv6_word()
-    number = {"le": lambda: le(at, size), "high": lambda: f"shiftright({be(at, 1)}, 4)", "low": lambda: f"({be(at, 1)} & 15)", "version": lambda: version, "traffic": lambda: traffic, "flow": lambda: flow}[kind]()
+    number = {"le": lambda: le(at, size), "high": lambda: f"shiftright({be(at, 1)}, 4)", "low": lambda: f"({be(at, 1)} & 15)",
+        "version": lambda: version, "traffic": lambda: traffic, "flow": lambda: flow}[kind]()
     return f"cast({number} as string)"
 
 
 def _layer(name: str, base: int | str, fields: list) -> str:
-    rows = [f"named_struct('layer', '{name}', 'ord', {k}, 'label', '{label}', 'lo', cast({plus(base, lo)} as int), 'hi', cast({plus(base, hi)} as int), 'value', {_value(plus(base, lo), hi - lo + 1, kind)})" for k, (label, lo, hi, kind) in enumerate(fields)]
+    rows = [f"named_struct('layer', '{name}', 'ord', {k}, 'label', '{label}', 'lo', cast({plus(base, lo)} as int), 'hi', cast({plus(base, hi)} as "
+        f"int), 'value', {_value(plus(base, lo), hi - lo + 1, kind)})" for k, (label, lo, hi, kind) in enumerate(fields)]
     return f"array({', '.join(rows)})"
 
 
@@ -75,7 +80,8 @@ def packet_fields(packets: DataFrame) -> DataFrame:
 def byte_to_fields(packets: DataFrame, bytes_: DataFrame) -> DataFrame:
     """``bytes_``: file, number, byte.  All fields that hold the byte; overlapping fields all match.  One row a frame is joined."""
     found = bytes_.join(field_arrays(packets), ["file", "number"])
-    return found.selectExpr("file", "number", "byte", "inline(filter(fields, f -> byte between f.lo and f.hi))").select("file", "number", "byte", "layer", "ord", "label")
+    return found.selectExpr("file", "number", "byte", "inline(filter(fields, f -> byte between f.lo "
+        "and f.hi))").select("file", "number", "byte", "layer", "ord", "label")
 
 
 def field_to_bytes(packets: DataFrame, label: str) -> DataFrame:
@@ -88,7 +94,8 @@ def same_start(packets: DataFrame, label: str) -> DataFrame:
     """Fields marked together with ``label``: those of the same frame that start at the same byte.  Nothing is joined."""
     chosen = F.explode(F.filter("fields", lambda f: f["label"] == label))
     rows = field_arrays(packets).select("file", "number", "fields", chosen.alias("of"))
-    return rows.selectExpr("file", "number", "of.layer as of_layer", "inline(filter(fields, f -> f.lo = of.lo))").select("file", "number", "of_layer", "layer", "label", "lo", "hi")
+    return rows.selectExpr("file", "number", "of.layer as of_layer", "inline(filter(fields, f -> f.lo "
+        "= of.lo))").select("file", "number", "of_layer", "layer", "label", "lo", "hi")
 
 
 def payload_range(packets: DataFrame) -> DataFrame:

@@ -21,7 +21,8 @@ def track(segments: DataFrame) -> DataFrame:
     other kinds, cut segments) have NULLs and take no part in any connection: each is a group of its own, so
     they spread over all partitions.
     """
-    out = segments.selectExpr("*", "concat(source, '|', sport) as src_ep", "concat(destination, '|', dport) as dst_ep", "flags & 2 != 0 as syn", "flags & 16 != 0 as acked")
+    out = segments.selectExpr("*", "concat(source, '|', sport) as src_ep", "concat(destination, '|', dport) "
+        "as dst_ep", "flags & 2 != 0 as syn", "flags & 16 != 0 as acked")
     alone = "when flags is null then concat('#', number)"
     out = out.selectExpr("*", f"case {alone} else least(src_ep, dst_ep) end as conn_lo", f"case {alone} else greatest(src_ep, dst_ep) end as conn_hi")
     out = out.selectExpr("*", f"src_ep = first(src_ep) {_OVER} as fwd", f"row_number() {_OVER} as rn")

@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 #: Files whose anchors are broadcast, at most (some 60 bytes each).
 MOST_FILES = 1_000_000
 
-_STAMP = "case when format = 'pcapng' and status in ('ok', 'truncated') then cast((cast(ts_hi as double) * 4294967296D + cast(ts_lo as double)) * 0.001D as bigint) end"
+_STAMP = (
+    "case when format = 'pcapng' and status in ('ok', 'truncated') then cast((cast(ts_hi as double) * 4294967296D + cast(ts_lo as double)) * "
+    "0.001D as bigint) end"
+)
 
 
 def with_anchors(frames: DataFrame) -> DataFrame:

@@ -34,7 +34,8 @@ def ethernet(kind: int, src: Column | None = None, dst: Column | None = None) ->
 
 
 def ip4(total: Column, proto: int | Column, src: Column | str, dst: Column | str, ident: Column | None = None, ttl: Column | None = None) -> Column:
-    return join("4500", h(total, 2), h(ident, 2) if ident is not None else "0001", "4000", h(ttl, 1) if ttl is not None else "40", h(proto, 1), "0000", src, dst)
+    return join("4500", h(total, 2), h(ident, 2) if ident is not None else "0001", "4000", h(ttl, 1) if ttl is not None else "40", h(proto, 1),
+        "0000", src, dst)
 
 
 def ip6(word: Column | str, size: Column | int, proto: int | Column, src: Column, dst: Column) -> Column:
@@ -81,7 +82,8 @@ def tcp_frames(events: DataFrame) -> DataFrame:
     """One client segment for each event."""
     e = event()
     flags = F.when(e % 10 == 0, 2).otherwise(24)
-    body = join(ethernet(0x0800, user(), e), ip4(40 + e % 100, 6, client(), SERVER, e % 65536, e % 256), tcp(1024 + user() % 1000, 80, F.pmod(e * 7919, F.lit(1 << 32)), e * 3, flags, e % 65536))
+    body = join(ethernet(0x0800, user(), e), ip4(40 + e % 100, 6, client(), SERVER, e % 65536, e % 256),
+        tcp(1024 + user() % 1000, 80, F.pmod(e * 7919, F.lit(1 << 32)), e * 3, flags, e % 65536))
     return frames(events, e + 1, body, micros(), dns=False)
 
 
@@ -108,7 +110,8 @@ def text_frames(documents: DataFrame, port: Column | int) -> DataFrame:
     parts = F.greatest(F.lit(0), F.floor((F.octet_length("data") - 1) / SEGMENT).cast("int"))
     rows = documents.select("doc_id", data.alias("data")).select("*", F.explode(F.sequence(F.lit(0), parts)).alias("part"))
     rows = rows.withColumn("data", F.substring("data", F.col("part") * SEGMENT + 1, F.lit(SEGMENT)))
-    body = join(ethernet(0x0800), ip4(40 + F.octet_length("data"), 6, "0A000001", SERVER), tcp(F.lit(40000), port, 1 + F.col("part") * SEGMENT, 1), F.hex("data"))
+    body = join(ethernet(0x0800), ip4(40 + F.octet_length("data"), 6, "0A000001", SERVER), tcp(F.lit(40000), port, 1 + F.col("part") * SEGMENT, 1),
+        F.hex("data"))
     return frames(rows, F.col("doc_id") + 1, body, file=F.concat(F.lit("segment"), F.col("part").cast("string")), dns=False)
 
 
@@ -119,7 +122,8 @@ def dns_name(host: Column) -> Column:
 def captures(events: DataFrame, files: int = 8) -> DataFrame:
     """path, content: classic captures of ``tcp_frames``, dealt to ``files`` files by user, frames in order of event."""
     e = tcp_frames(events)
-    ids = events.select((event() + 1).cast("int").alias("number"), F.concat(F.lit("cap"), F.pmod(user(), F.lit(files)).cast("string"), F.lit(".pcap")).alias("path"))
+    ids = events.select((event() + 1).cast("int").alias("number"), F.concat(F.lit("cap"), F.pmod(user(), F.lit(files)).cast("string"),
+        F.lit(".pcap")).alias("path"))
     record = join(le_hex(F.col("ts_hi"), 4), le_hex(F.col("ts_lo"), 4), le_hex(F.col("cap_len"), 4), le_hex(F.col("orig_len"), 4), F.hex("raw"))
     rows = e.join(ids, "number").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("number", record.alias("r")))).alias("rows"))
     head = "D4C3B2A1020004000000000000000000FFFF000001000000"
@@ -129,10 +133,12 @@ def captures(events: DataFrame, files: int = 8) -> DataFrame:
 def captures_ng(events: DataFrame, files: int = 8) -> DataFrame:
     """The same as pcapng: section, interface, one enhanced packet block a frame, timestamps in nanoseconds."""
     e = tcp_frames(events)
-    ids = events.select((event() + 1).cast("int").alias("number"), F.concat(F.lit("cap"), F.pmod(user(), F.lit(files)).cast("string"), F.lit(".pcapng")).alias("path"), (micros() * 1000).alias("ns"))
+    ids = events.select((event() + 1).cast("int").alias("number"), F.concat(F.lit("cap"), F.pmod(user(), F.lit(files)).cast("string"),
+        F.lit(".pcapng")).alias("path"), (micros() * 1000).alias("ns"))
     padded = F.pmod(-F.col("cap_len"), F.lit(4))
     total = le_hex(32 + F.col("cap_len") + padded, 4)
-    record = join("06000000", total, "00000000", le_hex(F.shiftright("ns", 32), 4), le_hex(F.pmod("ns", F.lit(1 << 32)), 4), le_hex(F.col("cap_len"), 4), le_hex(F.col("orig_len"), 4), F.hex("raw"), F.expr("repeat('00', cast(pmod(-cap_len, 4) as int))"), total)
+    record = join("06000000", total, "00000000", le_hex(F.shiftright("ns", 32), 4), le_hex(F.pmod("ns", F.lit(1 << 32)), 4),
+        le_hex(F.col("cap_len"), 4), le_hex(F.col("orig_len"), 4), F.hex("raw"), F.expr("repeat('00', cast(pmod(-cap_len, 4) as int))"), total)
     rows = e.join(ids, "number").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("number", record.alias("r")))).alias("rows"))
     head = "0A0D0D0A1C0000004D3C2B1A01000000FFFFFFFFFFFFFFFF1C000000" + "01000000140000000100000000000400" + "14000000"
     return rows.select("path", F.unhex(join(head, F.array_join(F.transform("rows", lambda x: x["r"]), ""))).alias("content"))

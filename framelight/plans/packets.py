@@ -10,13 +10,15 @@ from framelight.operators.dissect import IS_TCP, offsets, with_dns, with_packets
 from framelight.operators.tcp import track
 from framelight.operators.timebase import with_time
 
-COLUMNS = ["file", "number", "time", "time_exact", "source", "destination", "protocol", "length", "info", "eth", "ip4", "ip6", "arp", "icmp", "tcp", "udp", "dhcp", "l3", "l4", "raw", "payload", "status", "rel_seq", "rel_ack"]
+COLUMNS = ["file", "number", "time", "time_exact", "source", "destination", "protocol", "length", "info", "eth", "ip4", "ip6", "arp", "icmp", "tcp",
+    "udp", "dhcp", "l3", "l4", "raw", "payload", "status", "rel_seq", "rel_ack"]
 
 
 def tcp_tracking(frames: DataFrame) -> DataFrame:
     """file, number, rel_seq, rel_ack of the TCP frames; raw bytes stay out of the shuffle."""
     segments = with_packets(offsets(frames.where(IS_TCP).withColumn("dns", F.lit(None).cast("string"))))
-    return track(segments.select("file", "number", "source", "destination", "sport", "dport", "seq", "ack", "flags")).select("file", "number", "rel_seq", "rel_ack")
+    return track(segments.select("file", "number", "source", "destination", "sport", "dport", "seq", "ack", "flags")).select("file", "number",
+        "rel_seq", "rel_ack")
 
 
 def packets(frames: DataFrame, tracked: bool = True) -> DataFrame:
@@ -41,7 +43,10 @@ def packet_at(frames: DataFrame, file: str, number: int) -> DataFrame:
 
 
 def _finish(table: DataFrame) -> DataFrame:
-    shown = "case when l4 = 'tcp' and protocol != 'SMTP' then concat(info, case when rel_seq >= 0 then concat(' Seq=', rel_seq) else '' end, case when rel_ack >= 0 then concat(' Ack=', rel_ack) else '' end, info_tail) else info end"
+    shown = (
+        "case when l4 = 'tcp' and protocol != 'SMTP' then concat(info, case when rel_seq >= 0 then concat(' Seq=', rel_seq) else '' end, case "
+        "when rel_ack >= 0 then concat(' Ack=', rel_ack) else '' end, info_tail) else info end"
+    )
     return table.withColumn("info", F.expr(shown)).select(*COLUMNS)
 
 
@@ -52,7 +57,8 @@ def packet_list(table: DataFrame) -> DataFrame:
 
 def frame_details(table: DataFrame) -> DataFrame:
     """The two header lines of a packet's details."""
-    return table.select("file", "number", F.concat(F.lit("Frame Number: "), F.col("number").cast("string")).alias("frame_line"), F.concat(F.lit("Packet Info: "), F.col("info")).alias("info_line"))
+    return table.select("file", "number", F.concat(F.lit("Frame Number: "), F.col("number").cast("string")).alias("frame_line"),
+        F.concat(F.lit("Packet Info: "), F.col("info")).alias("info_line"))
 
 
 def diagnostics(table: DataFrame, blocks: DataFrame | None = None) -> DataFrame:

@@ -57,19 +57,23 @@ def packet_list_tcp(spark, sf_dir):
     return packet_list(packets(X.tcp_frames(_table(spark, sf_dir, "events"))))
 
 
-@query(_E + f"SELECT n::INTEGER AS number, {_MAC.format('event_id').replace('{{', '{').replace('}}', '}')} AS dst, {_MAC.format('user_id').replace('{{', '{').replace('}}', '}')} AS src, 2048::BIGINT AS type FROM e")
+@query(_E + f"SELECT n::INTEGER AS number, {_MAC.format('event_id').replace('{{', '{').replace('}}', '}')} AS dst, "
+    f"{_MAC.format('user_id').replace('{{', '{').replace('}}', '}')} AS src, 2048::BIGINT AS type FROM e")
 def ethernet_fields(spark, sf_dir):
     p = packets(X.tcp_frames(_table(spark, sf_dir, "events")), tracked=False)
     return p.select("number", "eth.dst", "eth.src", F.col("eth.type").cast("bigint").alias("type"))
 
 
-@query(_E + "SELECT n::INTEGER AS number, 69::BIGINT AS version_ihl, (40 + event_id % 100)::BIGINT AS total_length, (event_id % 65536)::BIGINT AS id, 64::BIGINT AS flags, (event_id % 256)::BIGINT AS ttl, 6::BIGINT AS protocol, ip AS src, '192.168.0.10' AS dst FROM e")
+@query(_E + "SELECT n::INTEGER AS number, 69::BIGINT AS version_ihl, (40 + event_id % 100)::BIGINT AS total_length, (event_id % 65536)::BIGINT AS id, "
+    "64::BIGINT AS flags, (event_id % 256)::BIGINT AS ttl, 6::BIGINT AS protocol, ip AS src, '192.168.0.10' AS dst FROM e")
 def ipv4_fields(spark, sf_dir):
     p = packets(X.tcp_frames(_table(spark, sf_dir, "events")), tracked=False)
-    return p.select("number", *[F.col(f"ip4.{c}").cast("bigint").alias(c) for c in ("version_ihl", "total_length", "id", "flags", "ttl", "protocol")], "ip4.src", "ip4.dst")
+    return p.select("number", *[F.col(f"ip4.{c}").cast("bigint").alias(c) for c in ("version_ihl", "total_length", "id", "flags", "ttl", "protocol")],
+        "ip4.src", "ip4.dst")
 
 
-@query(_E + "SELECT n::INTEGER AS number, port::BIGINT AS src_port, 80::BIGINT AS dst_port, seq::BIGINT AS seq, (ack % 4294967296)::BIGINT AS ack, 80::BIGINT AS \"offset\", (CASE WHEN syn THEN 2 ELSE 24 END)::BIGINT AS flags, win::BIGINT AS \"window\" FROM e")
+@query(_E + "SELECT n::INTEGER AS number, port::BIGINT AS src_port, 80::BIGINT AS dst_port, seq::BIGINT AS seq, (ack % 4294967296)::BIGINT AS ack, "
+    "80::BIGINT AS \"offset\", (CASE WHEN syn THEN 2 ELSE 24 END)::BIGINT AS flags, win::BIGINT AS \"window\" FROM e")
 def tcp_fields(spark, sf_dir):
     p = packets(X.tcp_frames(_table(spark, sf_dir, "events")), tracked=False)
     return p.select("number", *[F.col(f"tcp.{c}").cast("bigint").alias(c) for c in ("src_port", "dst_port", "seq", "ack", "offset", "flags", "window")])
@@ -87,7 +91,8 @@ def udp_fields(spark, sf_dir):
     return p.select("number", *[F.col(f"udp.{c}").cast("bigint").alias(c) for c in ("src_port", "dst_port", "length", "checksum")])
 
 
-@query(_E + "SELECT n::INTEGER AS number, 'UDP' AS protocol, (event_id % 300)::BIGINT AS length, port::VARCHAR || ' -> 9999 Len=' || CASE WHEN event_id % 300 < 8 THEN (18446744073709551616::HUGEINT + event_id % 300 - 8)::VARCHAR ELSE (event_id % 300 - 8)::VARCHAR END AS info FROM e")
+@query(_E + "SELECT n::INTEGER AS number, 'UDP' AS protocol, (event_id % 300)::BIGINT AS length, port::VARCHAR || ' -> 9999 Len=' || CASE WHEN "
+    "event_id % 300 < 8 THEN (18446744073709551616::HUGEINT + event_id % 300 - 8)::VARCHAR ELSE (event_id % 300 - 8)::VARCHAR END AS info FROM e")
 def udp_info(spark, sf_dir):
     p = packets(_udp(spark, sf_dir, 1024 + X.user() % 1000, 9999, X.event() % 300), tracked=False)
     return p.select("number", "protocol", "length", "info")
@@ -149,7 +154,8 @@ _ICMP_SQL = """CASE WHEN k = 8 THEN 'ICMP Echo Request, Identifier=' || (event_i
   ELSE 'ICMP Type=' || k::VARCHAR || ', Code=' || c::VARCHAR END"""
 
 
-@query(f"WITH e AS (SELECT *, event_id % 13 AS k, user_id % 7 AS c FROM events) SELECT (event_id + 1)::INTEGER AS number, 'ICMP' AS protocol, (event_id % 12)::BIGINT AS length, CASE WHEN event_id % 12 < 8 THEN '' ELSE {_ICMP_SQL} END AS info FROM e")
+@query(f"WITH e AS (SELECT *, event_id % 13 AS k, user_id % 7 AS c FROM events) SELECT (event_id + 1)::INTEGER AS number, 'ICMP' AS protocol, "
+    f"(event_id % 12)::BIGINT AS length, CASE WHEN event_id % 12 < 8 THEN '' ELSE {_ICMP_SQL} END AS info FROM e")
 def icmp_info(spark, sf_dir):
     events, e = _table(spark, sf_dir, "events"), X.event()
     body = X.join(X.ethernet(0x0800), X.ip4(20 + e % 12, 1, X.client(), X.SERVER), _icmp_body(e % 13, X.user() % 7))
@@ -160,7 +166,9 @@ def _six(x):
     return X.join("20010DB8" + "00" * 10, X.h(x, 2))
 
 
-@query(f"WITH e AS (SELECT *, 128 + event_id % 8 AS k, user_id % 7 AS c FROM events) SELECT (event_id + 1)::INTEGER AS number, 'ICMPv6' AS protocol, '2001:db8::' || format('{{:x}}', event_id % 65535 + 1) AS source, '2001:db8::' || format('{{:x}}', user_id % 65535 + 1) AS destination, 8::BIGINT AS length, {_ICMP_SQL} AS info FROM e")
+@query(f"WITH e AS (SELECT *, 128 + event_id % 8 AS k, user_id % 7 AS c FROM events) SELECT (event_id + 1)::INTEGER AS number, 'ICMPv6' AS protocol, "
+    f"'2001:db8::' || format('{{:x}}', event_id % 65535 + 1) AS source, '2001:db8::' || format('{{:x}}', user_id % 65535 + 1) AS destination, "
+        f"8::BIGINT AS length, {_ICMP_SQL} AS info FROM e")
 def icmpv6_info(spark, sf_dir):
     events, e = _table(spark, sf_dir, "events"), X.event()
     body = X.join(X.ethernet(0x86DD), X.ip6("60000000", 8, 58, _six(e % 65535 + 1), _six(X.user() % 65535 + 1)), _icmp_body(128 + e % 8, X.user() % 7))
@@ -208,14 +216,18 @@ def _dns(spark, sf_dir, answer: bool):
     host = F.regexp_extract("url", r"://([^/?#]*)", 1)
     kind = F.when(k % 3 == 0, 1).when(k % 3 == 1, 28).otherwise(15)
     name = X.dns_name(host)
-    more = X.join("C00C00010001", "0000003C0004", "0A00", X.h(k % 65536, 2), "C00C001C0001", "0000003C0010", _six(k % 65535 + 1), "C00C00060001", "0000003C0002", "C00C") if answer else F.lit("")
+    more = X.join("C00C00010001", "0000003C0004", "0A00", X.h(k % 65536, 2), "C00C001C0001", "0000003C0010", _six(k % 65535 + 1), "C00C00060001",
+        "0000003C0002", "C00C") if answer else F.lit("")
     message = X.join(X.h(k % 65536, 2), "8180" if answer else "0100", "0001", "0003" if answer else "0000", "00000000", name, X.h(kind, 2), "0001", more)
     size = 8 + F.length(message) / 2
     body = X.join(X.ethernet(0x0800), X.ip4(20 + size, 17, "0A000001", X.SERVER), X.udp(53 if answer else 5353, 5353 if answer else 53, size), message)
     return packets(X.frames(pages.where("url is not null"), k + 1, body), tracked=False).select("number", "protocol", "info")
 
 
-_DNS = "WITH p AS (SELECT page_id AS k, regexp_extract(url, '://([^/?#]*)', 1) AS host FROM pages WHERE url IS NOT NULL) SELECT (k + 1)::INTEGER AS number, 'DNS' AS protocol, "
+_DNS = (
+    "WITH p AS (SELECT page_id AS k, regexp_extract(url, '://([^/?#]*)', 1) AS host FROM pages WHERE url IS NOT NULL) SELECT (k + 1)::INTEGER AS "
+    "number, 'DNS' AS protocol, "
+)
 
 
 @query(_DNS + "'Standard query 0x' || format('{:x}', k % 65536) || CASE k % 3 WHEN 0 THEN ' A ' WHEN 1 THEN ' AAAA ' ELSE ' 15 ' END || host AS info FROM p")
@@ -223,20 +235,24 @@ def dns_query_info(spark, sf_dir):
     return _dns(spark, sf_dir, False)
 
 
-@query(_DNS + "'Standard query response 0x' || format('{:x}', k % 65536) || CASE k % 3 WHEN 0 THEN ' A ' WHEN 1 THEN ' AAAA ' ELSE ' 15 ' END || host || ' ' || host || ' A 10.0.' || ((k % 65536) // 256)::VARCHAR || '.' || (k % 256)::VARCHAR || ' ' || host || ' AAAA 2001:db8::' || format('{:x}', k % 65535 + 1) || ' ' || host || ' SOA' AS info FROM p")
+@query(_DNS + "'Standard query response 0x' || format('{:x}', k % 65536) || CASE k % 3 WHEN 0 THEN ' A ' WHEN 1 THEN ' AAAA ' ELSE ' 15 ' END || host "
+    "|| ' ' || host || ' A 10.0.' || ((k % 65536) // 256)::VARCHAR || '.' || (k % 256)::VARCHAR || ' ' || host || ' AAAA 2001:db8::' || "
+        "format('{:x}', k % 65535 + 1) || ' ' || host || ' SOA' AS info FROM p")
 def dns_answer_info(spark, sf_dir):
     return _dns(spark, sf_dir, True)
 
 
 @query("""SELECT (event_id + 1)::INTEGER AS number, 'DHCP' AS protocol, 'DHCP ' || CASE event_id % 3 WHEN 1 THEN 'Request' WHEN 2 THEN 'Reply' ELSE '' END || ', XID: 0x' || format('{:x}', event_id * 65537) || ', Client IP: 0.0.0.0, Your IP: 10.0.' || ((user_id % 65536) // 256)::VARCHAR || '.' || (user_id % 256)::VARCHAR
-  || ', Server IP: 192.168.0.10, Gateway IP: 0.0.0.0, Client MAC: ' || """ + _MAC.format("user_id").replace("{{", "{").replace("}}", "}") + " AS info FROM events")
+  || ', Server IP: 192.168.0.10, Gateway IP: 0.0.0.0, Client MAC: ' || """ + _MAC.format("user_id").replace("{{", "{").replace("}}",
+      "}") + " AS info FROM events")
 def dhcp_info(spark, sf_dir):
     e = X.event()
     data = X.join(X.h(e % 3, 1), "010600", X.h(e * 65537, 4), "00000000", "00000000", X.client(), X.SERVER, "00000000", "0200", X.h(X.user(), 4), "00" * 202)
     return packets(_udp(spark, sf_dir, 68, 67, F.lit(244), data), tracked=False).select("number", "protocol", "info")
 
 
-@query("SELECT (event_id + 1)::INTEGER AS number, 'SNMP' AS protocol, (8 + event_id % 500)::BIGINT AS length, 'SNMP message (length: ' || (event_id % 500)::VARCHAR || ')' AS info FROM events")
+@query("SELECT (event_id + 1)::INTEGER AS number, 'SNMP' AS protocol, (8 + event_id % 500)::BIGINT AS length, 'SNMP message (length: ' || (event_id % "
+    "500)::VARCHAR || ')' AS info FROM events")
 def snmp_info(spark, sf_dir):
     return packets(_udp(spark, sf_dir, 40000, 161, 8 + X.event() % 500), tracked=False).select("number", "protocol", "length", "info")
 
@@ -263,7 +279,8 @@ def smtp_info(spark, sf_dir):
     return packets(X.text_frames(_table(spark, sf_dir, "documents"), 25), tracked=False).select("number", "file", "protocol", "length", "info")
 
 
-@query("SELECT (event_id + 1)::INTEGER AS number, 'BGP' AS protocol, '179 -> 5000 [PSH, ACK]  [ BGP: ' || CASE event_id % 6 WHEN 1 THEN 'OPEN' WHEN 2 THEN 'UPDATE' WHEN 3 THEN 'NOTIFICATION' WHEN 4 THEN 'KEEPALIVE' ELSE 'Unknown' END || ' ]' AS info FROM events")
+@query("SELECT (event_id + 1)::INTEGER AS number, 'BGP' AS protocol, '179 -> 5000 [PSH, ACK]  [ BGP: ' || CASE event_id % 6 WHEN 1 THEN 'OPEN' WHEN 2 "
+    "THEN 'UPDATE' WHEN 3 THEN 'NOTIFICATION' WHEN 4 THEN 'KEEPALIVE' ELSE 'Unknown' END || ' ]' AS info FROM events")
 def bgp_info(spark, sf_dir):
     events, e = _table(spark, sf_dir, "events"), X.event()
     body = X.join(X.ethernet(0x0800), X.ip4(F.lit(59), 6, X.client(), X.SERVER), X.tcp(179, 5000), "FF" * 16, "0013", X.h(e % 6, 1))
@@ -283,8 +300,10 @@ SELECT n::INTEGER AS number, printf('%.6f', (s::DOUBLE + 10e-7::DOUBLE * u::DOUB
 def pcapng_time(spark, sf_dir):
     events = _table(spark, sf_dir, "events")
     ns = X.micros() * 1000 + X.event() % 1000
-    f = X.tcp_frames(events).join(events.select((X.event() + 1).cast("int").alias("number"), ns.alias("ns"), F.pmod(X.user(), F.lit(8)).cast("string").alias("f")), "number")
-    f = f.drop("zero_sec", "zero_us").withColumns({"format": F.lit("pcapng"), "file": F.col("f"), "ts_hi": F.shiftright("ns", 32), "ts_lo": F.pmod("ns", F.lit(1 << 32))})
+    f = X.tcp_frames(events).join(events.select((X.event() + 1).cast("int").alias("number"), ns.alias("ns"),
+        F.pmod(X.user(), F.lit(8)).cast("string").alias("f")), "number")
+    f = f.drop("zero_sec", "zero_us").withColumns({"format": F.lit("pcapng"), "file": F.col("f"), "ts_hi": F.shiftright("ns", 32),
+        "ts_lo": F.pmod("ns", F.lit(1 << 32))})
     return with_time(f).select("number", F.format_string("%.6f", "time").alias("time"))
 
 
@@ -326,7 +345,8 @@ def _details(rows: str, cte: str) -> str:
 
 
 def _shown(layer: str, base: int, fields: list, values: dict[str, str]) -> str:
-    return ", ".join(f"('{layer}', {k}, '{label}', {base + lo}, {base + hi}, {values.get(label, 'NULL')}::VARCHAR)" for k, (label, lo, hi, _) in enumerate(fields))
+    return ", ".join(f"('{layer}', {k}, '{label}', {base + lo}, {base + hi}, "
+        f"{values.get(label, 'NULL')}::VARCHAR)" for k, (label, lo, hi, _) in enumerate(fields))
 
 
 _L2 = {"Destination MAC": "'02:00:00:00:00:01'", "Source MAC": "'02:00:00:00:00:02'"}
@@ -338,15 +358,18 @@ _UDP = {"Source Port": _SWAP2.format("1024 + v % 1000"), "Destination Port": "38
 _KV = "WITH e AS (SELECT event_id AS k, user_id AS v FROM events)"
 
 
-@query(_details(f"{_shown('L2', 0, fields_.ETHERNET, _L2 | {'Type': '56710'})}, {_shown('L3', 14, fields_.IPV6, _V6)}, {_shown('L4', 54, fields_.UDP, _UDP)}", _KV))
+@query(_details(f"{_shown('L2', 0, fields_.ETHERNET, _L2 | {'Type': '56710'})}, {_shown('L3', 14, fields_.IPV6, _V6)}, "
+    f"{_shown('L4', 54, fields_.UDP, _UDP)}", _KV))
 def detail_ipv6_udp(spark, sf_dir):
     events, e = _table(spark, sf_dir, "events"), X.event()
-    body = X.join(X.ethernet(0x86DD), X.ip6("60000000", 8 + e % 300, 17, _six(e % 65535 + 1), _six(X.user() % 65535 + 1)), X.udp(1024 + X.user() % 1000, 9999, 8 + e % 300))
+    body = X.join(X.ethernet(0x86DD), X.ip6("60000000", 8 + e % 300, 17, _six(e % 65535 + 1), _six(X.user() % 65535 + 1)),
+        X.udp(1024 + X.user() % 1000, 9999, 8 + e % 300))
     p = packets(X.frames(events, e + 1, body, dns=False), tracked=False)
     return fields_.packet_fields(p).select("number", "layer", "ord", "label", "lo", "hi", "value")
 
 
-@query(_details(f"{_shown('L2', 0, fields_.ETHERNET, _L2 | {'Type': '1544'})}, {_shown('L3', 14, fields_.ARP, {})}, {_shown('L4', 42, fields_.ICMP, {})}", "WITH e AS (SELECT c_custkey AS k FROM customer)"))
+@query(_details(f"{_shown('L2', 0, fields_.ETHERNET, _L2 | {'Type': '1544'})}, {_shown('L3', 14, fields_.ARP, {})}, "
+    f"{_shown('L4', 42, fields_.ICMP, {})}", "WITH e AS (SELECT c_custkey AS k FROM customer)"))
 def detail_arp(spark, sf_dir):
     rows, k = _table(spark, sf_dir, "customer"), F.col("c_custkey")
     body = X.join(X.ethernet(0x0806), "000108000604", "0001", "0200", X.h(k, 4), "0A000001", "000000000000", "0A0000FE")
@@ -355,7 +378,8 @@ def detail_arp(spark, sf_dir):
 
 
 _V4 = {
-    "Version": "4", "IHL": "5", "Type of Service": "0", "Total Length": "7168", "Identification": "256", "Flags": "64", "Fragment Offset": "0", "TTL": "64", "Protocol": "1",
+    "Version": "4", "IHL": "5", "Type of Service": "0", "Total Length": "7168", "Identification": "256", "Flags": "64", "Fragment Offset": "0",
+        "TTL": "64", "Protocol": "1",
     "Header Checksum": "0", "Source IP": "'10.0.' || ((v % 65536) // 256)::VARCHAR || '.' || (v % 256)::VARCHAR", "Destination IP": "'192.168.0.10'",
 }
 
@@ -377,7 +401,8 @@ def packet_lookup(spark, sf_dir):
     return packet_list(packet_at(X.tcp_frames(_table(spark, sf_dir, "events")), "mem", _PACKET))
 
 
-@query(_DETAIL + "SELECT n::INTEGER AS number, (event_id % 54)::INTEGER AS byte, layer, ord::INTEGER AS ord, label FROM e JOIN f ON event_id % 54 BETWEEN lo AND hi")
+@query(_DETAIL + "SELECT n::INTEGER AS number, (event_id % 54)::INTEGER AS byte, layer, ord::INTEGER AS ord, label FROM e JOIN f ON event_id % 54 "
+    "BETWEEN lo AND hi")
 def byte_to_field(spark, sf_dir):
     p = _tcp(spark, sf_dir)
     chosen = p.select("file", "number", ((F.col("number") - 1) % 54).cast("int").alias("byte"))
@@ -400,7 +425,8 @@ def payload_range(spark, sf_dir):
     return fields_.payload_range(p).select("number", "file", "lo", "hi")
 
 
-@query("SELECT (event_id + 1)::INTEGER AS number, 'Frame Number: ' || (event_id + 1)::VARCHAR AS frame_line, 'Packet Info: SNMP message (length: ' || (event_id % 500)::VARCHAR || ')' AS info_line FROM events")
+@query("SELECT (event_id + 1)::INTEGER AS number, 'Frame Number: ' || (event_id + 1)::VARCHAR AS frame_line, 'Packet Info: SNMP message (length: ' || "
+    "(event_id % 500)::VARCHAR || ')' AS info_line FROM events")
 def frame_lines(spark, sf_dir):
     return frame_details(packets(_udp(spark, sf_dir, 40000, 161, 8 + X.event() % 500), tracked=False)).select("number", "frame_line", "info_line")
 
@@ -433,11 +459,13 @@ def hex_texts(spark, sf_dir):
   '0200' || format('{:08X}', user_id) || repeat('00', 10) AS chaddr, repeat('41', 64) AS sname, repeat('42', 128) AS file FROM events""")
 def dhcp_header(spark, sf_dir):
     e = X.event()
-    data = X.join(X.h(e % 3, 1), "010600", X.h(e * 65537, 4), "0007", "8000", "00000000", X.client(), X.SERVER, "0A0000FE", "0200", X.h(X.user(), 4), "00" * 10, "41" * 64, "42" * 128)
+    data = X.join(X.h(e % 3, 1), "010600", X.h(e * 65537, 4), "0007", "8000", "00000000", X.client(), X.SERVER, "0A0000FE", "0200", X.h(X.user(), 4),
+        "00" * 10, "41" * 64, "42" * 128)
     p = packets(_udp(spark, sf_dir, 68, 67, F.lit(244), data), tracked=False).select("number", "dhcp.*")
     wide = lambda c: F.col(c).cast("bigint").alias(c)
     small = lambda c: F.col(c).cast("int").alias(c)
-    return p.select("number", *map(small, ("op", "htype", "hlen", "hops")), *map(wide, ("xid", "secs", "flags")), "ciaddr", "yiaddr", "siaddr", "giaddr", *[F.hex(c).alias(c) for c in ("chaddr", "sname", "file")])
+    return p.select("number", *map(small, ("op", "htype", "hlen", "hops")), *map(wide, ("xid", "secs", "flags")), "ciaddr", "yiaddr", "siaddr",
+        "giaddr", *[F.hex(c).alias(c) for c in ("chaddr", "sname", "file")])
 
 
 @query(_E + """SELECT 'cap' || (user_id % 8)::VARCHAR || '.pcap' AS file, row_number() OVER (PARTITION BY user_id % 8 ORDER BY n)::INTEGER AS number,
@@ -452,7 +480,8 @@ def capture_scan_pcapng(spark, sf_dir):
     return parse_files(X.captures_ng(_table(spark, sf_dir, "events"))).select("file", "number", "ts_hi", "ts_lo", "cap_len", "link_type", "status")
 
 
-@query("SELECT 'cap' || f::VARCHAR || '.pcapng' AS file, 2::INTEGER AS block_ordinal, 1::INTEGER AS link_type, 262144::BIGINT AS snap_len FROM (SELECT DISTINCT user_id % 8 AS f FROM events)")
+@query("SELECT 'cap' || f::VARCHAR || '.pcapng' AS file, 2::INTEGER AS block_ordinal, 1::INTEGER AS link_type, 262144::BIGINT AS snap_len FROM "
+    "(SELECT DISTINCT user_id % 8 AS f FROM events)")
 def capture_interfaces(spark, sf_dir):
     return parse_files(X.captures_ng(_table(spark, sf_dir, "events")), "interfaces").select("file", "block_ordinal", "link_type", "snap_len")
 
@@ -485,7 +514,8 @@ def capture_blocks(spark, sf_dir):
     return _mixed(spark, sf_dir, "blocks").select("file", "block_ordinal", "block_type", "total_length", "status")
 
 
-@query(_MIXED + "SELECT file, ordinal::INTEGER AS block_ordinal, (e % 3)::BIGINT AS interface_id, 1::BIGINT AS ts_hi, e::BIGINT AS ts_lo, 'ok' AS status FROM b WHERE kind = 3")
+@query(_MIXED + "SELECT file, ordinal::INTEGER AS block_ordinal, (e % 3)::BIGINT AS interface_id, 1::BIGINT AS ts_hi, e::BIGINT AS ts_lo, 'ok' AS "
+    "status FROM b WHERE kind = 3")
 def capture_statistics(spark, sf_dir):
     return _mixed(spark, sf_dir, "statistics").select("file", "block_ordinal", "interface_id", "ts_hi", "ts_lo", "status")
 
@@ -502,7 +532,8 @@ _FILED = _E + """, c AS (SELECT *, 'cap' || (user_id % 8)::VARCHAR AS f, row_num
 _LISTED = "SELECT {source} AS source, f || '.{kind}' AS file, k::INTEGER AS number, 54::BIGINT AS cap_len, 'ok' AS status, ip AS address FROM c"
 
 
-@query(_FILED + "SELECT f || '.pcap' AS file, k::INTEGER AS number, 54::BIGINT AS cap_len, 54::BIGINT AS size, CASE WHEN last = 1 THEN 'truncated' ELSE 'ok' END AS status, CASE WHEN last = 1 THEN 20 ELSE 0 END::INTEGER AS zeros FROM c")
+@query(_FILED + "SELECT f || '.pcap' AS file, k::INTEGER AS number, 54::BIGINT AS cap_len, 54::BIGINT AS size, CASE WHEN last = 1 THEN 'truncated' "
+    "ELSE 'ok' END AS status, CASE WHEN last = 1 THEN 20 ELSE 0 END::INTEGER AS zeros FROM c")
 def capture_cut_tail(spark, sf_dir):
     """A record that the file's end cuts off is filled up with zeros."""
     found = parse_files(X.captures_cut(_table(spark, sf_dir, "events")))
@@ -513,7 +544,8 @@ def capture_cut_tail(spark, sf_dir):
 
 def _listed(found: DataFrame, source: str) -> DataFrame:
     name = F.regexp_extract("file", "[^/]+$", 0)
-    return packets(found, tracked=False).select(F.lit(source).alias("source"), name.alias("file"), "number", F.octet_length("payload").cast("bigint").alias("cap_len"), "status", F.col("source").alias("address"))
+    return packets(found, tracked=False).select(F.lit(source).alias("source"), name.alias("file"), "number",
+        F.octet_length("payload").cast("bigint").alias("cap_len"), "status", F.col("source").alias("address"))
 
 
 @query(_FILED + " UNION ALL ".join(_LISTED.format(source=f"'{x}'", kind="pcap") for x in ("store", "capture", "pcap")))
@@ -546,8 +578,10 @@ def capture_diagnostics(spark, sf_dir):
     ip = lambda size, proto: X.ip4(20 + size, proto, X.client(), X.SERVER)
     filled = "00" * 60
     body = F.get(F.array(
-        X.join(X.ethernet(0x0800), ip(k % 40, 17), X.udp(53, 5353, k % 40), filled), X.join(X.ethernet(0x0800), ip(k % 12, 1), _icmp_body(k % 13, k % 7), filled),
+        X.join(X.ethernet(0x0800), ip(k % 40, 17), X.udp(53, 5353, k % 40), filled),
+            X.join(X.ethernet(0x0800), ip(k % 12, 1), _icmp_body(k % 13, k % 7), filled),
         X.join(X.ethernet(0x0800), ip(F.lit(20), 6), X.tcp(23, 5000), filled), X.join(X.ethernet(0x0800), ip(F.lit(39), 6), X.tcp(179, 5000), filled),
     ), (e % 4).cast("int"))
-    bad = events.where("event_id < 3").select(F.concat(F.lit("bad"), (e % 3).cast("string")).alias("path"), F.unhex(F.lit("A1B2C3D4" + "00" * 20)).alias("content"))
+    bad = events.where("event_id < 3").select(F.concat(F.lit("bad"), (e % 3).cast("string")).alias("path"),
+        F.unhex(F.lit("A1B2C3D4" + "00" * 20)).alias("content"))
     return diagnostics(packets(X.frames(events, e + 1, body), tracked=False), parse_files(bad, "blocks"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-FRAMES = "file string, format string, number int, block_type bigint, interface_id bigint, link_type int, ts_hi bigint, ts_lo bigint, cap_len bigint, orig_len bigint, raw binary, status string"
+FRAMES = (
+    "file string, format string, number int, block_type bigint, interface_id bigint, link_type int, ts_hi bigint, ts_lo bigint, cap_len bigint, "
+    "orig_len bigint, raw binary, status string"
+)
 #: What the readers add, as they meet a file's frames in order: the anchors of pcapng times as they hold at a frame, and a DNS message's records.
 PARSED = FRAMES + ", zero_sec bigint, zero_us bigint, dns string"
 BLOCKS = "file string, block_ordinal int, block_type bigint, total_length bigint, status string"

@@ -13,7 +13,8 @@ from framelight.sources.capture import parse_files
 FILES = "path string, modificationTime timestamp, length bigint, content binary"
 
 
-def stream_packets(spark: SparkSession, folder: str, sink: Callable[[DataFrame, int], None], checkpoint: str, files_per_batch: int = 64, pattern: str = "*.pcap*") -> StreamingQuery:
+def stream_packets(spark: SparkSession, folder: str, sink: Callable[[DataFrame, int], None], checkpoint: str, files_per_batch: int = 64,
+    pattern: str = "*.pcap*") -> StreamingQuery:
     """Dissects each new file once and hands every batch's packet table to ``sink(df, batch_id)``.
 
     Numbering, anchors and connections live within a file, so a batch of whole files gives the rows that

@@ -21,11 +21,13 @@ A, B = socket.inet_aton("10.0.0.1"), socket.inet_aton("10.0.0.2")
 
 
 def ip4(proto, body, total=None, ihl=5):
-    return ETH + b"\x08\x00" + bytes([0x40 | ihl, 0]) + struct.pack(">H", 4 * ihl + len(body) if total is None else total) + b"\0\1\x40\0\x40" + bytes([proto]) + b"\0\0" + A + B + b"\0" * (4 * ihl - 20) + body
+    return ETH + b"\x08\x00" + bytes([0x40 | ihl, 0]) + struct.pack(">H",
+        4 * ihl + len(body) if total is None else total) + b"\0\1\x40\0\x40" + bytes([proto]) + b"\0\0" + A + B + b"\0" * (4 * ihl - 20) + body
 
 
 def ip6(proto, body, word=b"\x60\0\0\0"):
-    return ETH + b"\x86\xdd" + word + struct.pack(">H", len(body)) + bytes([proto, 64]) + socket.inet_pton(socket.AF_INET6, "::1") + socket.inet_pton(socket.AF_INET6, "::ffff:1.2.3.4") + body
+    return ETH + b"\x86\xdd" + word + struct.pack(">H", len(body)) + bytes([proto, 64]) + socket.inet_pton(socket.AF_INET6,
+        "::1") + socket.inet_pton(socket.AF_INET6, "::ffff:1.2.3.4") + body
 
 
 def tcp(sport, dport, flags=0, window=0, data=b"", seq=1, ack=0, off=5):
@@ -60,23 +62,28 @@ GOLDEN = [
     ("tcp offset", ip4(6, tcp(1000, 80, 2, off=8, data=b"abc")), ("10.0.0.1", "10.0.0.2", "TCP", 3, "1000 -> 80 [SYN]  Seq=0")),
     ("syn ack first", ip4(6, tcp(1000, 80, 18)), ("10.0.0.1", "10.0.0.2", "TCP", 0, "1000 -> 80 [SYN, ACK] ")),
     ("telnet", ip4(6, tcp(1000, 23, 2, data=b"hi\xff")), ("10.0.0.1", "10.0.0.2", "Telnet", 3, "1000 -> 23 [SYN]  Seq=0[ Telnet data: hi\xff... ]")),
-    ("telnet over smtp", ip4(6, tcp(25, 23, 2, data=b"x" * 60)), ("10.0.0.1", "10.0.0.2", "Telnet", 60, "25 -> 23 [SYN]  Seq=0[ Telnet data: " + "x" * 50 + "... ]")),
+    ("telnet over smtp", ip4(6, tcp(25, 23, 2, data=b"x" * 60)), ("10.0.0.1", "10.0.0.2", "Telnet", 60, "25 -> 23 [SYN]  Seq=0[ "
+        "Telnet data: " + "x" * 50 + "... ]")),
     ("smtp", ip4(6, tcp(25, 1000, 2, data=b"HELO")), ("10.0.0.1", "10.0.0.2", "SMTP", 4, "SMTP data: HELO...")),
     ("bgp", ip4(6, tcp(179, 1000, 2, data=b"\xff" * 16 + b"\0\x13\x04")), ("10.0.0.1", "10.0.0.2", "BGP", 19, "179 -> 1000 [SYN]  Seq=0 [ BGP: KEEPALIVE ]")),
     ("bgp short", ip4(6, tcp(179, 1000, 2, data=b"\xff")), ("10.0.0.1", "10.0.0.2", "BGP", 1, "179 -> 1000 [SYN]  Seq=0 [ BGP: Unknown ]")),
     ("udp", ip4(17, udp(1, 2, b"abc")), ("10.0.0.1", "10.0.0.2", "UDP", 11, "1 -> 2 Len=3")),
     ("udp wrap", ip4(17, udp(1, 2, size=3)), ("10.0.0.1", "10.0.0.2", "UDP", 3, f"1 -> 2 Len={2**64 - 5}")),
     ("dns query", ip4(17, udp(5000, 53, DNS_Q)), ("10.0.0.1", "10.0.0.2", "DNS", 8 + len(DNS_Q), "Standard query 0xab A www.example.com")),
-    ("dns answer", ip4(17, udp(53, 5000, DNS_A)), ("10.0.0.1", "10.0.0.2", "DNS", 8 + len(DNS_A), "Standard query response 0xa A www.example.com www.example.com A 10.0.0.1 example.com")),
+    ("dns answer", ip4(17, udp(53, 5000, DNS_A)), ("10.0.0.1", "10.0.0.2", "DNS", 8 + len(DNS_A), "Standard query response 0xa A www.example.com "
+        "www.example.com A 10.0.0.1 example.com")),
     ("dns short", ip4(17, udp(53, 5000, b"abc")), ("10.0.0.1", "10.0.0.2", "DNS", 11, "")),
-    ("dhcp", ip4(17, udp(68, 67, DHCP)), ("10.0.0.1", "10.0.0.2", "DHCP", 244, "DHCP Request, XID: 0xabc, Client IP: 0.0.0.0, Your IP: 10.0.0.1, Server IP: 10.0.0.2, Gateway IP: 0.0.0.0, Client MAC: 02:00:00:00:00:05")),
+    ("dhcp", ip4(17, udp(68, 67, DHCP)), ("10.0.0.1", "10.0.0.2", "DHCP", 244, "DHCP Request, XID: 0xabc, Client IP: 0.0.0.0, Your IP: 10.0.0.1, "
+        "Server IP: 10.0.0.2, Gateway IP: 0.0.0.0, Client MAC: 02:00:00:00:00:05")),
     ("snmp", ip4(17, udp(9, 162, b"abcd")), ("10.0.0.1", "10.0.0.2", "SNMP", 12, "SNMP message (length: 4)")),
     ("ipv6 other", ip6(59, b""), ("::1", "::ffff:1.2.3.4", "Other", 0, "IPv6 Version: 0, Traffic Class: 6, Flow Label: 0, Hop Limit: 64")),
-    ("ipv6 word", ip6(59, b"", b"\x6a\xbc\xde\xf1"), ("::1", "::ffff:1.2.3.4", "Other", 0, f"IPv6 Version: 10, Traffic Class: {6 | 0xC << 4}, Flow Label: {0xB | 0xDE << 4 | 0xF1 << 12}, Hop Limit: 64")),
+    ("ipv6 word", ip6(59, b"", b"\x6a\xbc\xde\xf1"), ("::1", "::ffff:1.2.3.4", "Other", 0, f"IPv6 Version: 10, Traffic Class: {6 | 0xC << 4}, Flow "
+        f"Label: {0xB | 0xDE << 4 | 0xF1 << 12}, Hop Limit: 64")),
     ("icmpv6", ip6(58, bytes([128, 0] + [0] * 6)), ("::1", "::ffff:1.2.3.4", "ICMPv6", 8, "ICMP Type=128, Code=0")),
     ("arp request", arp(b"\x08\x06", 1, b"\0" * 6), ("02:00:00:00:00:02", "Broadcast", "ARP", 28, "ARP Request: Who has 10.0.0.2? Tell 10.0.0.1")),
     ("arp reply", arp(b"\x08\x06", 2, b"\1" * 6), ("02:00:00:00:00:02", "01:01:01:01:01:01", "ARP", 28, "ARP Reply: 10.0.0.1 is at 02:00:00:00:00:02")),
-    ("rarp same", arp(b"\x80\x35", 3, bytes.fromhex("020000000002")), ("02:00:00:00:00:02", "Broadcast", "RARP", 28, "ARP Announce: My IP is associated with MAC 02:00:00:00:00:02")),
+    ("rarp same", arp(b"\x80\x35", 3, bytes.fromhex("020000000002")), ("02:00:00:00:00:02", "Broadcast", "RARP", 28, "ARP Announce: My IP is "
+        "associated with MAC 02:00:00:00:00:02")),
     ("rarp zero", arp(b"\x80\x35", 4, b"\0" * 6), ("02:00:00:00:00:02", "00:00:00:00:00:00", "RARP", 28, "ARP Unknown operation")),
 ]
 
@@ -95,7 +102,8 @@ def test_golden_frames(spark):
 
 
 def test_every_prefix_decodes_without_an_error(spark):
-    raws = [raw[:n] for raw in (ip4(6, tcp(1, 23, 2, data=b"abc")), ip6(17, udp(53, 1, DNS_A)), ip4(17, udp(67, 68, DHCP[:60])), arp(b"\x08\x06", 1, b"\0" * 6)) for n in range(0, len(raw) + 1, 3)]
+    raws = [raw[:n] for raw in (ip4(6, tcp(1, 23, 2, data=b"abc")), ip6(17, udp(53, 1, DNS_A)), ip4(17, udp(67, 68, DHCP[:60])),
+        arp(b"\x08\x06", 1, b"\0" * 6)) for n in range(0, len(raw) + 1, 3)]
     got = packets(frames(spark, [*raws, None])).collect()
     assert len(got) == len(raws) + 1
     assert {r.status for r in got} == {"ok", "truncated"}
@@ -103,7 +111,8 @@ def test_every_prefix_decodes_without_an_error(spark):
 
 def test_packet_list_columns(spark):
     row = packet_list(packets(frames(spark, [GOLDEN[1][1]]))).first()
-    assert row.asDict() == {"number": 1, "time": "10.000005", "source": "10.0.0.1", "destination": "10.0.0.2", "protocol": "ICMP", "length": 8, "info": GOLDEN[1][2][4]}
+    assert row.asDict() == {"number": 1, "time": "10.000005", "source": "10.0.0.1", "destination": "10.0.0.2", "protocol": "ICMP", "length": 8,
+        "info": GOLDEN[1][2][4]}
 
 
 def model(rows):
@@ -144,8 +153,10 @@ def test_tracker_against_the_model(spark):
     for f in range(25):
         for n in range(1, 40):
             ends = [(rng.choice(["1.1.1.1", "2.2.2.2"]), rng.choice([1, 2])) for _ in range(2)]
-            rows.append((str(f), n, *ends[0], *ends[1], rng.choice([0, 5, 2**32 - 1, rng.randrange(2**32)]), rng.randrange(2**32), rng.choice([0, 2, 16, 18, 24])))
-    df = spark.createDataFrame(rows, "file string, number int, source string, sport bigint, destination string, dport bigint, seq bigint, ack bigint, flags bigint")
+            rows.append((str(f), n, *ends[0], *ends[1], rng.choice([0, 5, 2**32 - 1, rng.randrange(2**32)]), rng.randrange(2**32),
+                rng.choice([0, 2, 16, 18, 24])))
+    df = spark.createDataFrame(rows, "file string, number int, source string, sport bigint, destination string, dport bigint, seq bigint, ack bigint, "
+        "flags bigint")
     got = {(r.file, r.number): (r.rel_seq, r.rel_ack) for r in track(df).collect()}
     assert got == model(rows)
 
@@ -261,9 +272,11 @@ def test_details_of_all_golden_frames(spark):
 def test_ipv6_text(spark):
     """Built-in functions print addresses as the C library does."""
     rng = random.Random(4)
-    words = lambda: b"".join(rng.choice([b"\0\0", b"\0\0", b"\0\1", b"\xff\xff", bytes([rng.randrange(256), 0]), rng.randbytes(2)]) for _ in range(8))
+    words = lambda: b"".join(rng.choice([b"\0\0", b"\0\0", b"\0\1", b"\xff\xff", bytes([rng.randrange(256), 0]),
+        rng.randbytes(2)]) for _ in range(8))
     some = [words() for _ in range(3000)]
-    some += [bytes(16), bytes(15) + b"\1", bytes(12) + b"\1\2\3\4", bytes(10) + b"\xff\xff" + b"\1\2\3\4", bytes(12) + b"\0\0\1\0", b"\1" + bytes(15), b"\1" * 16, bytes(14) + b"\1\0"]
+    some += [bytes(16), bytes(15) + b"\1", bytes(12) + b"\1\2\3\4", bytes(10) + b"\xff\xff" + b"\1\2\3\4", bytes(12) + b"\0\0\1\0", b"\1" + bytes(15),
+        b"\1" * 16, bytes(14) + b"\1\0"]
     raws = [ETH + b"\x86\xdd" + b"\x60\0\0\0\0\0\x3b\x40" + a + b for a, b in zip(some, some[1:] + some[:1], strict=True)]
     got = {r.number: (r.source, r.destination) for r in packets(frames(spark, raws), tracked=False).select("number", "source", "destination").collect()}
     text = [socket.inet_ntop(socket.AF_INET6, x) for x in some]
