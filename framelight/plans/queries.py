@@ -570,9 +570,9 @@ def sources_pcapng(spark, sf_dir):
 SELECT 'mem' AS file, n::INTEGER AS number, CASE kind WHEN 0 THEN 'Invalid DNS packet' WHEN 1 THEN 'Invalid ICMP packet' WHEN 2 THEN 'Telnet'
   ELSE 'BGP' END AS message FROM e
 WHERE kind > 1 OR (kind = 0 AND k % 40 >= 8 AND k % 40 < 20) OR (kind = 1 AND k % 12 < 8)
-UNION ALL SELECT 'bad' || (event_id % 3)::VARCHAR, 0, 'Incompatible PCAP file format' FROM events WHERE event_id < 3""")
+UNION ALL SELECT 'bad' || r_regionkey::VARCHAR, 0, 'Incompatible PCAP file format' FROM region""")
 def capture_diagnostics(spark, sf_dir):
-    """DNS, ICMP, Telnet and BGP packets by event, and three files of another magic."""
+    """DNS, ICMP, Telnet and BGP packets by event, and a file of another magic for each region."""
     events, e = _table(spark, sf_dir, "events"), X.event()
     k = F.floor(e / 4)
     ip = lambda size, proto: X.ip4(20 + size, proto, X.client(), X.SERVER)
@@ -582,6 +582,6 @@ def capture_diagnostics(spark, sf_dir):
             X.join(X.ethernet(0x0800), ip(k % 12, 1), _icmp_body(k % 13, k % 7), filled),
         X.join(X.ethernet(0x0800), ip(F.lit(20), 6), X.tcp(23, 5000), filled), X.join(X.ethernet(0x0800), ip(F.lit(39), 6), X.tcp(179, 5000), filled),
     ), (e % 4).cast("int"))
-    bad = events.where("event_id < 3").select(F.concat(F.lit("bad"), (e % 3).cast("string")).alias("path"),
-        F.unhex(F.lit("A1B2C3D4" + "00" * 20)).alias("content"))
+    region = _table(spark, sf_dir, "region")
+    bad = region.select(F.concat(F.lit("bad"), F.col("r_regionkey").cast("string")).alias("path"), F.unhex(F.lit("A1B2C3D4" + "00" * 20)).alias("content"))
     return diagnostics(packets(X.frames(events, e + 1, body), tracked=False), parse_files(bad, "blocks"))
