@@ -70,28 +70,30 @@ def offsets(frames: DataFrame) -> DataFrame:
     )
     # An ICMP text is made only where the declared length covers its header; the bytes must be there too.
     out = _columns(out, {"l4": l4, "l4_fits": "coalesce(size >= l4_off + l4_size, true)"})
-    tcp, udp = "l4 = 'tcp' and l4_fits", "l4 = 'udp' and l4_fits"
     at = "l4_off"
+    ported = "l4 in ('tcp', 'udp') and l4_fits"
+    out = _columns(out, {"sport": f"case when {ported} then {be(at, 2)} end", "dport": f"case when {ported} then {be(plus(at, 2), 2)} end"})
+    either = lambda *ports: f"(sport in {_in(ports)} or dport in {_in(ports)})"
+    app = (
+        "case when sport is null then null when l4 = 'tcp' then "
+        f"case when {either(S.TELNET)} then 'Telnet' when {either(S.SMTP)} then 'SMTP' when {either(S.BGP)} then 'BGP' else 'TCP' end else "
+        f"case when {either(*S.DNS)} then 'DNS' when {either(*S.DHCP)} then 'DHCP' when {either(*S.SNMP)} then 'SNMP' else 'UDP' end end"
+    )
+    out = _columns(out, {"app": app})
+    # Each of these is made of the ones before.  The generator (of one row) makes them once: a condition on
+    # what is derived from them stops here, instead of being rewritten in terms of the bytes over and over.
+    once = ("size", "l3", "l3_fits", "l4_off", "ip_len", "l4", "l4_fits", "sport", "dport", "app")
+    out = out.select(*frames.columns, F.inline_outer(F.array(F.struct(*once))))
+    tcp, udp = "l4 = 'tcp' and l4_fits", "l4 = 'udp' and l4_fits"
     out = _columns(out, {
-        "sport": f"case when l4 in ('tcp', 'udp') and l4_fits then {be(at, 2)} end", "dport": f"case when l4 in ('tcp', 'udp') and l4_fits then "
-            f"{be(plus(at, 2), 2)} end",
         "seq": f"case when {tcp} then {be(plus(at, 4), 4)} end", "ack": f"case when {tcp} then {be(plus(at, 8), 4)} end",
         "doff": f"case when {tcp} then shiftright({be(plus(at, 12), 1)}, 4) end", "flags": f"case when {tcp} then {be(plus(at, 13), 1)} end",
         "win": f"case when {tcp} then {be(plus(at, 14), 2)} end", "udp_len": f"case when {udp} then {be(plus(at, 4), 2)} end",
     })
-    either = lambda *ports: f"(sport in {_in(ports)} or dport in {_in(ports)})"
-    app = (
-        f"case when sport is null then null when l4 = 'tcp' then case when {either(S.TELNET)} then 'Telnet' when {either(S.SMTP)} then 'SMTP' when "
-            f"{either(S.BGP)} then 'BGP' else 'TCP' end "
-        f"else case when {either(*S.DNS)} then 'DNS' when {either(*S.DHCP)} then 'DHCP' when {either(*S.SNMP)} then 'SNMP' else 'UDP' end end"
-    )
-    out = _columns(out, {
-        "app": app, "pay_off": "cast(case when l4 = 'tcp' then l4_off + 4 * doff when l4 = 'udp' and l4_fits then l4_off + 8 end as int)",
+    return _columns(out, {
+        "pay_off": "cast(case when l4 = 'tcp' then l4_off + 4 * doff when l4 = 'udp' and l4_fits then l4_off + 8 end as int)",
         "tcp_len": minus_u32("ip_len", "4 * doff"),
     })
-    # Each of these is made of the ones before.  The generator (of one row) makes them once: a condition on
-    # what is derived from them stops here, instead of being rewritten in terms of the bytes over and over.
-    return out.select(*frames.columns, F.inline_outer(F.array(F.struct(*[c for c in out.columns if c not in frames.columns]))))
 
 
 def _in(ports: tuple) -> str:
