@@ -19,8 +19,9 @@ from pyspark.sql.window import Window
 from .scratch import Scratch
 
 SHARDS = 8
-#: Ranges at least; above RANGE_BYTES each, more, up to MAX_RANGES (their splitters and totals go to the driver).
-RANGES, MAX_RANGES, RANGE_BYTES = 1024, 65_536, 64 << 20
+#: Ranges, unless they held fewer than RANGE_ROWS rows each; above RANGE_BYTES each, more, up to MAX_RANGES (their splitters
+#: and totals go to the driver).
+RANGES, MAX_RANGES, RANGE_BYTES, RANGE_ROWS = 1024, 65_536, 64 << 20, 64
 #: Expected sample records for each range.
 OVERSAMPLE = 8
 #: A range of more than so many times the mean is subdivided.
@@ -112,8 +113,9 @@ def shard(docs: DataFrame, shards: int = SHARDS, ranges: int = RANGES) -> DataFr
     scratch = Scratch(spark)
     numbered = records(docs).withColumns({"id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "row": F.monotonically_increasing_id()})
     slim = scratch.save(numbered, "records")
-    total = slim.agg(F.sum("size").alias("t")).first().t or 0
-    ranges = min(MAX_RANGES, max(ranges, total // RANGE_BYTES))
+    size = slim.agg(F.sum("size").alias("t"), F.count("*").alias("n")).first()
+    total = size.t or 0
+    ranges = min(MAX_RANGES, max(shards, min(ranges, size.n // RANGE_ROWS), total // RANGE_BYTES))
     placed, _ = ranged(slim, ranges, total, scratch)
     # Within a range: bytes and rows before each record.
     w = Window.partitionBy("range").orderBy("key", "id", "row")
