@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lang_id, license_scan, mixing, ngram_join, quality, sentencepiece_codec, sharding, token_count, url_filter, vector_search
+from . import hard_negatives, lang_id, license_scan, mixing, ngram_join, quality, sentencepiece_codec, sharding, token_count, url_filter, vector_search
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,9 +73,14 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "tokens", *[F.col("posterior")[k].alias(f"p_{name}") for k, name in enumerate(mixing.TARGETS)], "rate")
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(_table(spark, sf_dir, "embeddings").withColumn("label", moved))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_url_filters, op2_token_counts, op3_language_id, op4_ngram_jaccard_join, op5_sharding, op6_quality_rules,
-        op7_exact_top_k, op8_sentencepiece, op9_license_scans, op10_source_mixing)}
+        op7_exact_top_k, op8_sentencepiece, op9_license_scans, op10_source_mixing, op12_hard_negatives)}
 
 
 _OP7_SQL = """
@@ -94,6 +99,29 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+_OP12_SQL = """
+WITH v AS (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_inner_product(a.v, c.v)::BIGINT AS score
+  FROM v a JOIN v c ON a.vec_id <> c.vec_id WHERE a.vec_id % 50 = 0
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+), n AS (
+  SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM p JOIN s ON p.anchor_id = s.anchor_id
+  WHERE NOT same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
+
+
 def _op6_sql() -> str:
     """The base counts from words and windows, sketches as bucket counts, fences, verdicts."""
     space, least, reach = r"\x20\x09-\x0D", quality.MIN_GROUP, quality.REACH
@@ -210,5 +238,5 @@ SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, (rank - min(rank) OVER (
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_url_filters": _op1_sql(), "op4_ngram_jaccard_join": _OP4_SQL, "op5_sharding": _OP5_SQL, "op6_quality_rules": _op6_sql(),
-        "op7_exact_top_k": _OP7_SQL,
+        "op7_exact_top_k": _OP7_SQL, "op12_hard_negatives": _OP12_SQL,
     }
