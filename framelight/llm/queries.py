@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hard_negatives, lang_id, license_scan, mixing, ngram_join, quality, sentencepiece_codec, sharding, token_count, url_filter, vector_search
+from . import hard_negatives, lang_id, license_scan, mixing, ngram_join, quality, sentencepiece_codec, sharding, token_alignment, token_count, url_filter, vector_search
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,9 +78,14 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(_table(spark, sf_dir, "embeddings").withColumn("label", moved))
 
 
+def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), _tokenizer("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_url_filters, op2_token_counts, op3_language_id, op4_ngram_jaccard_join, op5_sharding, op6_quality_rules,
-        op7_exact_top_k, op8_sentencepiece, op9_license_scans, op10_source_mixing, op12_hard_negatives)}
+        op7_exact_top_k, op8_sentencepiece, op9_license_scans, op10_source_mixing, op12_hard_negatives,
+        op13_cross_tokenizer_alignment)}
 
 
 _OP7_SQL = """
