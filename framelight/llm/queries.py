@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hard_negatives, lang_id, license_scan, mixing, ngram_join, quality, sentencepiece_codec, sharding, token_alignment, token_count, url_filter, vector_search
+from . import bpe_chunks, hard_negatives, lang_id, license_scan, mixing, ngram_join, quality, sentencepiece_codec, sharding, token_alignment, token_count, url_filter, vector_search
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +73,15 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "tokens", *[F.col("posterior")[k].alias(f"p_{name}") for k, name in enumerate(mixing.TARGETS)], "rate")
 
 
+def op11_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of each text's ids and decoded text, taken before document ids are joined: copies of a text share one row."""
+    docs = _table(spark, sf_dir, "documents")
+    said = bpe_chunks.encode_texts(docs, _tokenizer("byte_bpe_50k.json"))
+    digests = said.select("key", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+    return docs.select("doc_id", bpe_chunks.text_key(F.col("text")).alias("key")).join(digests, "key").drop("key")
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.mine(_table(spark, sf_dir, "embeddings").withColumn("label", moved))
@@ -84,7 +93,8 @@ def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFram
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_url_filters, op2_token_counts, op3_language_id, op4_ngram_jaccard_join, op5_sharding, op6_quality_rules,
-        op7_exact_top_k, op8_sentencepiece, op9_license_scans, op10_source_mixing, op12_hard_negatives,
+        op7_exact_top_k, op8_sentencepiece, op9_license_scans, op10_source_mixing, op11_bpe_chunk_reuse,
+        op12_hard_negatives,
         op13_cross_tokenizer_alignment)}
 
 
