@@ -42,6 +42,34 @@ _LOOSE = re.compile(r"\s[ \n]|\A[ \n]")
 _SPACED = "\ud800"
 
 
+def _flat(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(length of each row, all values, the row of each value)"""
+    n = np.fromiter(map(len, rows), np.int64, len(rows))
+    return n, np.fromiter(chain.from_iterable(rows), np.int64, int(n.sum())), np.repeat(np.arange(len(rows)), n)
+
+
+class _Pool:
+    """Bytes of a vocabulary's tokens."""
+
+    def __init__(self, tokens: list[bytes]):
+        self.size = np.array(list(map(len, tokens)), np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.data = np.frombuffer(b"".join(tokens), np.uint8)
+
+    def agrees(self, ids: list[list[int]], texts: list[bytes]) -> np.ndarray:
+        """Whether the tokens' bytes together are the text, for each."""
+        want = np.fromiter(map(len, texts), np.int64, len(texts))
+        _, flat, owner = _flat(ids)
+        out = np.bincount(owner, self.size[flat], len(texts)).astype(np.int64) == want
+        flat, owner = flat[out[owner]], np.flatnonzero(out)
+        size = self.size[flat]
+        ends = np.cumsum(size)
+        got = self.data[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[flat] - ends + size, size)]
+        wrong = got != np.frombuffer(b"".join(texts[k] for k in owner.tolist()), np.uint8)
+        out[np.repeat(owner, want[owner])[wrong]] = False
+        return out
+
+
 class Aligner:
     """Two tokenizer files (A of tokenizers, B of sentencepiece) and the units met so far."""
 
@@ -59,7 +87,10 @@ class Aligner:
         names = [self.a.id_to_token(i) or "" for i in range(self.a.get_vocab_size(with_added_tokens=True))]
         self.bytes_a = [bytes(map(of_char.__getitem__, n)) if all(c in of_char for c in n) else n.encode() for n in names]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() for p, _, kind in model.pieces]
-        self.size_a, self.size_b = (np.array(list(map(len, x)), np.int64) for x in (self.bytes_a, self.bytes_b))
+        self.pool_a, self.pool_b = _Pool(self.bytes_a), _Pool(self.bytes_b)
+        # Ids as they are shown, with what may follow them.
+        shown = lambda n, ends: [np.array([f"{i}{e}" for i in range(n)], object) for e in ends]
+        self.text_a, self.text_b = shown(len(self.bytes_a), ",|"), shown(len(self.bytes_b), (",", ";", ""))
         pre = str(self.a.pre_tokenizer or "")
         own = [p for p, _, kind in model.pieces if kind in (NORMAL, USER, UNUSED)]
         byte_level = self.a.normalizer is None and pre.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in pre
@@ -71,10 +102,8 @@ class Aligner:
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.shown: list[str] = []
-        self.pair_of: dict[int, int] = {}
-        self.pairs: list[int] = []
-        #: By unit: tokens of A and B, groups, links, whether all bytes agree; then the links' pairs.
-        self.figures, self.links = [np.zeros((0, 5), np.int64)], [np.zeros(0, np.int32)]
+        #: By unit: tokens of A and B, groups, links, whether all bytes agree; then the links' pairs, A's id before B's.
+        self.figures, self.links = [np.zeros((0, 5), np.int64)], [np.zeros(0, np.int64)]
 
     def keys(self, text: str) -> list[str]:
         """A unit's key is its text without the space before it, or with the line feed that it begins with."""
@@ -93,41 +122,74 @@ class Aligner:
         bare = [k[:1] == "\n" and self.cuts and self.lines for k in keys]
         texts = [k[1:] if k[:1] == _SPACED else k for k in keys]
         units = [k if no else " " + k for k, no in zip(texts, bare, strict=True)]
-        got_a = [e.ids for e in self.a.encode_batch(units, add_special_tokens=False)]
-        got_b = self.b.encode([u if no or not self.prefix else u[1:] for u, no in zip(units, bare, strict=True)], num_threads=1)
-        figures, links = [], []
-        for key, unit, no, a, b in zip(keys, units, bare, got_a, got_b, strict=True):
-            if no:  # the marker that the library puts before every text is not the unit's
-                b = b[1:] if self.bytes_b[b[0]] == b" " else [0] * (len(unit) + 1)
-            elif unit == " " and not b:  # nor does it put one before nothing
-                b = [self.b.piece_to_id(MARK)]
-            whole = unit.encode()
-            good = b"".join(map(self.bytes_a.__getitem__, a)) == whole == b"".join(map(self.bytes_b.__getitem__, b))
-            self.known[key] = len(self.known)
-            if not good:
-                figures.append((0, 0, 0, 0, 0))
-                self.shown.append("")
-                continue
-            ends_a, ends_b = self.size_a[a].cumsum(), self.size_b[b].cumsum()
-            ends = np.union1d(ends_a, ends_b)
-            at_a, at_b = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
-            both = np.flatnonzero((ends_a[at_a] == ends) & (ends_b[at_b] == ends)).tolist()
-            groups, i, j = [], 0, 0
-            for k in both:
-                x, y = int(at_a[k]) + 1, int(at_b[k]) + 1
-                groups.append(",".join(map(str, a[i:x])) + "|" + ",".join(map(str, b[j:y])))
-                i, j = x, y
-            self.shown.append(";".join(groups))
-            for p, q in zip(at_a.tolist(), at_b.tolist(), strict=True):
-                code = a[p] << 32 | b[q]
-                n = self.pair_of.get(code)
-                if n is None:
-                    n = self.pair_of[code] = len(self.pairs)
-                    self.pairs.append(code)
-                links.append(n)
-            figures.append((len(a), len(b), len(both), len(ends), 1))
-        self.figures.append(np.array(figures, np.int64).reshape(-1, 5))
-        self.links.append(np.array(links, np.int32))
+        whole = [u.encode() for u in units]
+        parts = [self._together(units, whole, bare)] if self.cuts else []
+        done = set(parts[0][0].tolist()) if parts else set()
+        parts.append(self._apart([k for k in range(len(units)) if k not in done], units, whole, bare))
+        good, n_a, a, n_b, b = (np.concatenate(x) for x in zip(*parts, strict=True))
+        figures, owner = np.zeros((len(keys), 5), np.int64), np.repeat(np.arange(len(good)), n_a)
+        bad = sorted(set(range(len(keys))) - set(good.tolist()))
+        # Over the good units' bytes one after another: the units' ends are ends of both.
+        ends_a, ends_b = self.pool_a.size[a].cumsum(), self.pool_b.size[b].cumsum()
+        ends = np.union1d(ends_a, ends_b)
+        at_a, at_b = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
+        both = np.flatnonzero((ends_a[at_a] == ends) & (ends_b[at_b] == ends))
+        per = lambda at: np.bincount(owner[at_a[at]], minlength=len(good))
+        figures[: len(good)] = np.stack([n_a, n_b, per(both), per(slice(None)), np.ones(len(good), np.int64)], 1)
+        # Tokens in the order in which groups show them, each with what follows it there.
+        last_a, last_b = np.zeros(len(a), np.int8), np.zeros(len(b), np.int8)
+        last_a[at_a[both]], last_b[at_b[both]] = 1, 1
+        last_b[np.cumsum(n_b) - 1] = 2
+        group_a, group_b = (np.cumsum(x > 0) - (x > 0) for x in (last_a, last_b))
+        text = np.concatenate([np.where(last_a == 1, self.text_a[1][a], self.text_a[0][a]),
+            np.choose(last_b, [t[b] for t in self.text_b]) if len(b) else np.zeros(0, object)])
+        text = text[np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")].tolist()
+        upto = np.concatenate(([0], np.cumsum(n_a + n_b))).tolist()
+        self.shown += ["".join(text[i:j]) for i, j in zip(upto[:-1], upto[1:], strict=True)] + [""] * len(bad)
+        self.known.update(zip(map(keys.__getitem__, [*good.tolist(), *bad]), range(len(self.known), len(self.known) + len(keys)), strict=True))
+        self.figures.append(figures)
+        self.links.append(a[at_a] << 32 | b[at_b])
+
+    def _together(self, units: list[str], whole: list[bytes], bare: list[bool], most: int = 256) -> tuple[np.ndarray, ...]:
+        """(units, tokens of each, A's ids, tokens of each, B's ids) of units that end in no white space, encoded many in one text."""
+        some = [k for k, u in enumerate(units) if not u[-1].isspace()]
+        some = [k for k in some if not bare[k]] + [k for k in some if bare[k]]
+        n = -(-len(some) // most)
+        groups = [some[k::n] for k in range(n)]
+        groups = [g for g in groups if not bare[g[0]]]  # the marker before a text is that of its first unit's space
+        texts = ["".join(map(units.__getitem__, g)) for g in groups]
+        got_a = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+        got_b = self.b.encode([t[1:] for t in texts], num_threads=1) if texts else []
+        joined = [t.encode() for t in texts]
+        fine = np.flatnonzero(self.pool_a.agrees(got_a, joined) & self.pool_b.agrees(got_b, joined)).tolist()
+        out = []
+        for pool, got in ((self.pool_a, got_a), (self.pool_b, got_b)):
+            _, flat, _ = _flat([got[k] for k in fine])
+            out.append((flat, pool.size[flat].cumsum()))
+        at = np.array([k for g in fine for k in groups[g]], np.int64)
+        ends = np.cumsum([len(whole[k]) for k in at.tolist()])
+        counts = []
+        for flat, upto in out:
+            stop = np.searchsorted(upto, ends)
+            if len(ends) and (upto[np.minimum(stop, len(upto) - 1)] != ends).any():  # a token reaches over a unit's end
+                return (np.zeros(0, np.int64),) * 5
+            counts.append(np.diff(stop, prepend=-1))
+        return at, counts[0], out[0][0], counts[1], out[1][0]
+
+    def _apart(self, some: list[int], units: list[str], whole: list[bytes], bare: list[bool]) -> tuple[np.ndarray, ...]:
+        """The same of units that are encoded one by one and whose bytes agree."""
+        got_a = [e.ids for e in self.a.encode_batch_fast([units[k] for k in some], add_special_tokens=False)]
+        got_b = self.b.encode([units[k] if bare[k] or not self.prefix else units[k][1:] for k in some], num_threads=1) if some else []
+        for i, k in enumerate(some):
+            if bare[k]:  # the marker that the library puts before every text is not the unit's
+                got_b[i] = got_b[i][1:] if self.bytes_b[got_b[i][0]] == b" " else []
+            elif units[k] == " " and not got_b[i]:  # nor does it put one before nothing
+                got_b[i] = [self.b.piece_to_id(MARK)]
+        texts = [whole[k] for k in some]
+        good = np.flatnonzero(self.pool_a.agrees(got_a, texts) & self.pool_b.agrees(got_b, texts)).tolist()
+        n_a, a, _ = _flat([got_a[i] for i in good])
+        n_b, b, _ = _flat([got_b[i] for i in good])
+        return np.array([some[i] for i in good], np.int64), n_a, a, n_b, b
 
     def look(self, texts: list[str]) -> tuple[np.ndarray, list[list[str]], np.ndarray, np.ndarray, np.ndarray]:
         """Of each text: figures (the last: units whose bytes disagree), groups by unit; then all (pair, text, multiplicity)."""
@@ -226,7 +288,7 @@ def align_block(texts: list[str | None], aligner: Aligner, buckets: int) -> tupl
             digests.setdefault(i, hashlib.sha256()).update(";".join(parts).encode())
         code, at = np.unique(pair, return_inverse=True)
         key, times = _added(at * n + place[text], times)
-        triples.append((np.array(aligner.pairs, np.int64)[code][key // n] if len(key) else key, key % n, times))
+        triples.append((code[key // n], key % n, times))
     bad = figures[:, 4] > 0
     figures[bad] = 0
     shown = [digests[i].hexdigest() if figures[i, 0] else "" for i in range(n)]
