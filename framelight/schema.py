@@ -6,12 +6,17 @@ FRAMES = (
     "file string, format string, number int, block_type bigint, interface_id bigint, link_type int, ts_hi bigint, ts_lo bigint, cap_len bigint, "
     "orig_len bigint, raw binary, status string"
 )
-#: What the readers add, as they meet a file's frames in order: the anchors of pcapng times as they hold at a frame, and a DNS message's records.
-PARSED = FRAMES + ", zero_sec bigint, zero_us bigint, dns string"
+#: What the readers add, as they meet a file's frames in order: the anchors of pcapng times as they hold at a frame, a DNS message's records, and
+#: the section and the place among the file's blocks (pcapng).
+PARSED = FRAMES + ", zero_sec bigint, zero_us bigint, dns string, section int, block_ordinal int"
 BLOCKS = "file string, block_ordinal int, block_type bigint, total_length bigint, status string"
-INTERFACES = "file string, block_ordinal int, link_type int, reserved int, snap_len bigint, status string"
+#: ts_resol and ts_offset as the options give them (6 and 0 without): decimal digits of a timestamp's unit, or from 128 on binary ones, and seconds.
+INTERFACES = (
+    "file string, section int, interface_id bigint, block_ordinal int, link_type int, reserved int, snap_len bigint, ts_resol int, ts_offset bigint, "
+    "name string, description string, status string"
+)
 STATISTICS = "file string, block_ordinal int, interface_id bigint, ts_hi bigint, ts_lo bigint, status string"
-NAMES = "file string, block_ordinal int, record_type int, address string, names array<string>"
+NAMES = "file string, section int, block_ordinal int, record_type int, address string, names array<string>"
 
 #: Fixed value: the type of an enhanced packet block.
 ENHANCED = 6

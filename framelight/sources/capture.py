@@ -1,11 +1,12 @@
-"""Capture files as a Spark data source.
+"""Capture files as a Spark data source, and from any store.
 
 ``capture`` reads classic pcap and pcapng, told apart by the first four bytes; ``pcap`` and ``pcapng``
 read one kind.  Option ``table``: frames (default), blocks, interfaces, statistics or names.
 
-Where the files lie in any store, ``read_captures`` lists and reads them with Spark's binaryFile source
-and parses each file in one Arrow batch call; the data source itself opens paths that Python can open
-(a mounted or local folder), one partition for each file, streaming through it in bounded batches.
+``read_captures`` lists files with Spark's binaryFile source.  Files of up to ``split`` bytes are read by it too, in
+Arrow batches of whole files; where larger ones lie in a store that workers can open, all are read by ranges
+(``framelight.sources.ranges``).  The data source opens paths that Python can open (a mounted or local folder), one
+partition for each file, streaming through it in bounded batches.
 """
 
 from __future__ import annotations
@@ -13,154 +14,14 @@ from __future__ import annotations
 import glob
 import io
 import os
-import socket
-import struct
-from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
-from framelight import schema as S
-from framelight.functions.names import dns_of
-
-#: Block types and magics.
-SHB, IDB, SPB, NRB, ISB, EPB = 0x0A0D0D0A, 1, 3, 4, 5, 6
-PCAP_MAGIC = 0xA1B2C3D4
-#: A cut record is filled up with zeros to the length that it claims; a value of this size or more cannot be held.
-MOST_FILLED = 1 << 30
-TABLES = {"frames": S.PARSED, "blocks": S.BLOCKS, "interfaces": S.INTERFACES, "statistics": S.STATISTICS, "names": S.NAMES}
-
-
-def is_pcapng(head: bytes) -> bool:
-    """Whether the first four bytes are a section header; anything else counts as classic pcap."""
-    return head[:4] == b"\x0a\x0d\x0d\x0a"
-
-
-def _frame(file, kind, number, block, interface, link, hi, lo, cap, orig, raw, status, zero=(None, None)):
-    return "frames", (file, kind, number, block, interface, link, hi, lo, cap, orig, raw, status, *zero, dns_of(raw))
-
-
-def parse_pcap(file: str, f: io.BufferedIOBase) -> Iterator[tuple[str, tuple]]:
-    """Records of a classic capture in host (little-endian) order; another magic gives none.
-
-    A record whose header or body is cut off is filled with zeros and ``truncated``.
-    """
-    head = f.read(24)
-    if len(head) < 4 or struct.unpack("<I", head[:4])[0] != PCAP_MAGIC:
-        yield "blocks", (file, 0, None, None, "bad_magic")
-        return
-    link = struct.unpack("<I", head.ljust(24, b"\0")[20:])[0] & 0x7FFFFFFF
-    number = 0
-    while part := f.read(16):
-        sec, usec, cap, orig = struct.unpack("<IIII", part.ljust(16, b"\0"))
-        raw = f.read(cap)
-        number += 1
-        cut = len(part) < 16 or len(raw) < cap
-        if cap < MOST_FILLED:
-            raw = raw.ljust(cap, b"\0")
-        yield _frame(file, "pcap", number, None, None, link, sec, usec, cap, orig, raw, "truncated" if cut else "ok", (0, 0))
-
-
-def _names(body: bytes) -> Iterator[tuple[int, str, list[str]]]:
-    at = 0
-    while at + 4 <= len(body):
-        kind, size = struct.unpack_from("<HH", body, at)
-        if kind == 0:
-            return
-        value = body[at + 4 : at + 4 + size]
-        at += 4 + (size + 3) // 4 * 4
-        n = {1: 4, 2: 16}.get(kind)
-        if n is None or len(value) < n:
-            continue
-        address = socket.inet_ntoa(value[:4]) if kind == 1 else socket.inet_ntop(socket.AF_INET6, value[:16])
-        yield kind, address, [x.decode("latin-1") for x in value[n:].split(b"\0") if x]
-
-
-def parse_pcapng(file: str, f: io.BufferedIOBase) -> Iterator[tuple[str, tuple]]:
-    """Blocks of a pcapng file.  Packets are numbered through the whole file.
-
-    A section or interface block whose lengths disagree ends the scan; rows before it stay.  Packet and
-    statistics blocks with such lengths are told by their status.  Unknown blocks are skipped.
-    """
-    ordinal = number = 0
-    links: list[int] = []
-    zero = [0, 0]
-    while len(head := f.read(8)) == 8:
-        kind, total = struct.unpack("<II", head)
-        ordinal += 1
-        if total < 12:
-            yield "blocks", (file, ordinal, kind, total, "bad_length")
-            return
-        body = f.read(total - 12)
-        tail = f.read(4)
-        whole = len(body) == total - 12 and len(tail) == 4
-        same = whole and struct.unpack("<I", tail)[0] == total
-        status = "ok" if same else "length_mismatch" if whole else "truncated"
-        yield "blocks", (file, ordinal, kind, total, status)
-        if kind == SHB:
-            links = []
-            if not same:
-                return
-        elif kind == IDB:
-            link, reserved, snap = struct.unpack("<HHI", body[:8].ljust(8, b"\0"))
-            links.append(link)
-            yield "interfaces", (file, ordinal, link, reserved, snap, status)
-            if not same:
-                return
-        elif kind == EPB:
-            number += 1
-            interface, hi, lo, cap, orig = struct.unpack("<IIIII", body[:20].ljust(20, b"\0"))
-            link = links[interface] if interface < len(links) else None
-            if status == "length_mismatch":
-                yield _frame(file, "pcapng", number, kind, None, None, None, None, None, None, None, status)
-            else:
-                # Nanoseconds, scaled in doubles and cut; either part's first that is not 0 is an anchor from here on.
-                stamp = int((float(hi) * 4294967296.0 + float(lo)) * 0.001)
-                zero = [old or new for old, new in zip(zero, divmod(stamp, 1_000_000), strict=True)]
-                yield _frame(file, "pcapng", number, kind, interface, link, hi, lo, cap, orig, body[20:], status, (zero[0] % (1 << 32), zero[1]))
-        elif kind == SPB:
-            number += 1
-            orig = struct.unpack("<I", body[:4].ljust(4, b"\0"))[0]
-            yield _frame(file, "pcapng", number, kind, None, links[0] if links else None, None, None, None, orig, None, "undecoded" if same else status)
-        elif kind == ISB:
-            yield "statistics", (file, ordinal, *struct.unpack("<III", body[:12].ljust(12, b"\0")), status)
-        elif kind == NRB:
-            for record in _names(body):
-                yield "names", (file, ordinal, *record)
-
-
-def parse(file: str, f: io.BufferedIOBase, kind: str = "capture") -> Iterator[tuple[str, tuple]]:
-    if kind == "capture":
-        head = f.read(4)
-        f.seek(0)
-        kind = "pcapng" if is_pcapng(head) else "pcap"
-    return parse_pcapng(file, f) if kind == "pcapng" else parse_pcap(file, f)
-
-
-def _arrow_schema(ddl: str) -> pa.Schema:
-    """The Arrow schema of one of the engine's DDL strings; no session is needed, so workers can ask."""
-    kinds = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary(), "array<string>": pa.list_(pa.string())}
-    return pa.schema([(name, kinds[kind]) for name, kind in (x.split() for x in ddl.split(", "))])
-
-
-def batches(rows: Iterator[tuple], schema: pa.Schema, most: int = 4096, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Record batches of bounded rows and bytes."""
-    held, weight = [], 0
-
-    def flush():
-        columns = list(zip(*held, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, schema, strict=True)], schema=schema)
-
-    for row in rows:
-        held.append(row)
-        weight += sum(len(x) for x in row if isinstance(x, bytes))
-        if len(held) >= most or weight >= size:
-            yield flush()
-            held, weight = [], 0
-    if held:
-        yield flush()
+from framelight.sources.ranges import SPLIT, can_open, read_ranges
+from framelight.sources.scan import TABLES, scan
 
 
 class _File(InputPartition):
@@ -177,8 +38,7 @@ class _Reader(DataSourceReader):
 
     def read(self, partition):
         with open(partition.path, "rb") as f:
-            rows = (row for table, row in parse(partition.path, f, self.kind) if table == self.table)
-            yield from batches(rows, _arrow_schema(TABLES[self.table]))
+            yield from scan(partition.path, f, os.path.getsize(partition.path), self.table, self.kind)
 
 
 def _files(options) -> list[str]:
@@ -233,17 +93,23 @@ def register(spark: SparkSession) -> None:
 
 def parse_files(files: DataFrame, table: str = "frames", kind: str = "capture") -> DataFrame:
     """``files``: path, content (of binaryFile, batch or stream) to one of the tables."""
-    schema = _arrow_schema(TABLES[table])
 
     def run(parts):
         for part in parts:
             for path, content in zip(part.column("path").to_pylist(), part.column("content").to_pylist(), strict=True):
-                yield from batches((row for name, row in parse(path, io.BytesIO(content or b""), kind) if name == table), schema)
+                yield from scan(path, io.BytesIO(content or b""), len(content or b""), table, kind)
 
     return files.select("path", "content").mapInArrow(run, TABLES[table])
 
 
-def read_captures(spark: SparkSession, path: str, table: str = "frames", kind: str = "capture", pattern: str = "*.pcap*") -> DataFrame:
-    """Captures in any store that Spark reads; a task takes files in Arrow batches of bounded bytes, a larger file alone."""
+def read_captures(spark: SparkSession, path: str, table: str = "frames", kind: str = "capture", pattern: str = "*.pcap*", split: int = SPLIT) -> DataFrame:
+    """Captures in any store that Spark reads, each record once, with the numbers and anchors that it has in its file.
+
+    Where a file is larger than ``split`` bytes, tasks read ranges of about that size.  In a store that only Spark can
+    open a task reads whole files (at most 2 GB each).
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
+    largest = files.agg(F.max("length").alias("n"), F.first("path").alias("path")).first()
+    if (largest.n or 0) > split and can_open(largest.path):
+        return read_ranges(files, table, kind, split)
     return parse_files(files, table, kind)

@@ -15,6 +15,7 @@ from framelight.operators.hexdump import hex_dump, hex_text
 from framelight.operators.tcp import track
 from framelight.plans.packets import packet_at, packet_list, packets
 from framelight.sources import capture as C
+from framelight.sources import scan
 
 ETH = bytes.fromhex("020000000001" "020000000002")
 A, B = socket.inet_aton("10.0.0.1"), socket.inet_aton("10.0.0.2")
@@ -166,36 +167,36 @@ def block(kind, body, total=None, tail=None):
     return struct.pack("<II", kind, n) + body + struct.pack("<I", n if tail is None else tail)
 
 
-SHB = block(C.SHB, struct.pack("<IHHq", 0x1A2B3C4D, 1, 0, -1))
-IDB = block(C.IDB, struct.pack("<HHI", 1, 0, 65535))
+SHB = block(scan.SHB, struct.pack("<IHHq", 0x1A2B3C4D, 1, 0, -1))
+IDB = block(scan.IDB, struct.pack("<HHI", 1, 0, 65535))
 
 
 def epb(ts, data, tail=None):
-    return block(C.EPB, struct.pack("<IIIII", 0, ts >> 32, ts & 0xFFFFFFFF, len(data), len(data)) + data, tail=tail)
+    return block(scan.EPB, struct.pack("<IIIII", 0, ts >> 32, ts & 0xFFFFFFFF, len(data), len(data)) + data, tail=tail)
 
 
 def rows_of(data, table="frames"):
-    return [r for name, r in C.parse("f", io.BytesIO(data)) if name == table]
+    return [tuple(r.values()) for batch in scan.scan("f", io.BytesIO(data), len(data), table) for r in batch.to_pylist()]
 
 
 def test_pcapng_blocks():
-    spb = block(C.SPB, struct.pack("<I", 4) + b"abcd")
-    names = block(C.NRB, struct.pack("<HH", 1, 7) + A + b"ab\0\0" + struct.pack("<HH", 2, 18) + b"\0" * 15 + b"\1" + b"x\0\0\0" + struct.pack("<HH", 0, 0))
-    isb = block(C.ISB, struct.pack("<III", 0, 1, 2))
+    spb = block(scan.SPB, struct.pack("<I", 4) + b"abcd")
+    names = block(scan.NRB, struct.pack("<HH", 1, 7) + A + b"ab\0\0" + struct.pack("<HH", 2, 18) + b"\0" * 15 + b"\1" + b"x\0\0\0" + struct.pack("<HH", 0, 0))
+    isb = block(scan.ISB, struct.pack("<III", 0, 1, 2))
     data = SHB + IDB + epb(5, b"abcd") + spb + block(0xBAD, b"zzzz") + epb(6, b"efgh", tail=9) + isb + names + SHB + IDB + epb(7, b"ijkl")
     got = rows_of(data)
     assert [(r[2], r[11]) for r in got] == [(1, "ok"), (2, "undecoded"), (3, "length_mismatch"), (4, "ok")]
     assert got[0][10] == b"abcd" and got[2][10] is None
-    assert [r[2:] for r in rows_of(data, "names")] == [(1, "10.0.0.1", ["ab"]), (2, "::1", ["x"])]
+    assert [r[3:] for r in rows_of(data, "names")] == [(1, "10.0.0.1", ["ab"]), (2, "::1", ["x"])]
     assert rows_of(data, "statistics")[0][2:5] == (0, 1, 2)
     assert len(rows_of(data, "interfaces")) == 2 and len(rows_of(data, "blocks")) == 11
-    assert [r[2] for r in rows_of(SHB + block(C.IDB, b"\0" * 8, tail=3) + epb(1, b"abcd"))] == []
+    assert [r[2] for r in rows_of(SHB + block(scan.IDB, b"\0" * 8, tail=3) + epb(1, b"abcd"))] == []
     assert rows_of(SHB + IDB + epb(1, b"abcd")[:-6])[0][11] == "truncated"
     assert rows_of(SHB + struct.pack("<II", 7, 0) * 3, "blocks")[-1][-1] == "bad_length"
 
 
 def test_pcap_records():
-    head = struct.pack("<IHHiIII", C.PCAP_MAGIC, 2, 4, 0, 0, 65535, 1)
+    head = struct.pack("<IHHiIII", scan.PCAP_MAGIC, 2, 4, 0, 0, 65535, 1)
     rec = lambda data, n=None: struct.pack("<IIII", 3, 4, len(data) if n is None else n, len(data)) + data
     got = rows_of(head + rec(b"abc") + rec(b"de", 5))
     assert [(r[2], r[10], r[11]) for r in got] == [(1, b"abc", "ok"), (2, b"de\0\0\0", "truncated")]
@@ -207,7 +208,7 @@ def test_pcap_records():
 
 @pytest.fixture
 def folder(tmp_path):
-    head = struct.pack("<IHHiIII", C.PCAP_MAGIC, 2, 4, 0, 0, 65535, 1)
+    head = struct.pack("<IHHiIII", scan.PCAP_MAGIC, 2, 4, 0, 0, 65535, 1)
     raw = ip4(6, tcp(1000, 80, 2))
     (tmp_path / "a.pcap").write_bytes(head + struct.pack("<IIII", 3, 4, len(raw), len(raw)) + raw)
     (tmp_path / "b.pcapng").write_bytes(SHB + IDB + epb(0, raw) + epb(5_000_000_007_000, raw) + epb(9_000_002_000_000, raw))
