@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import re
 import tempfile
 import uuid
@@ -11,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framelight.sources.ranges import put
+
 SERVER = "C0A8000A"  # 192.168.0.10
 
 
@@ -119,9 +120,17 @@ def dns_name(host: Column) -> Column:
     return F.concat(F.array_join(F.transform(F.split(host, "[.]"), lambda x: F.concat(h(F.octet_length(x), 1), F.hex(x))), ""), F.lit("00"))
 
 
-def captures(events: DataFrame, files: int = 8) -> DataFrame:
-    """path, content: classic captures of ``tcp_frames``, dealt to ``files`` files by user, frames in order of event."""
-    e = tcp_frames(events)
+#: Events of a capture file, about: files grow in number with the rows.
+EVENTS_A_FILE = 50_000
+
+
+def files_of(events: DataFrame) -> int:
+    return max(8, -(-events.count() // EVENTS_A_FILE))
+
+
+def captures(events: DataFrame) -> DataFrame:
+    """path, content: classic captures of ``tcp_frames``, dealt to ``files_of`` files by user, frames in order of event."""
+    e, files = tcp_frames(events), files_of(events)
     ids = events.select((event() + 1).cast("int").alias("number"), F.concat(F.lit("cap"), F.pmod(user(), F.lit(files)).cast("string"),
         F.lit(".pcap")).alias("path"))
     record = join(le_hex(F.col("ts_hi"), 4), le_hex(F.col("ts_lo"), 4), le_hex(F.col("cap_len"), 4), le_hex(F.col("orig_len"), 4), F.hex("raw"))
@@ -130,9 +139,9 @@ def captures(events: DataFrame, files: int = 8) -> DataFrame:
     return rows.select("path", F.unhex(join(head, F.array_join(F.transform("rows", lambda x: x["r"]), ""))).alias("content"))
 
 
-def captures_ng(events: DataFrame, files: int = 8) -> DataFrame:
+def captures_ng(events: DataFrame) -> DataFrame:
     """The same as pcapng: section, interface, one enhanced packet block a frame, timestamps in nanoseconds."""
-    e = tcp_frames(events)
+    e, files = tcp_frames(events), files_of(events)
     ids = events.select((event() + 1).cast("int").alias("number"), F.concat(F.lit("cap"), F.pmod(user(), F.lit(files)).cast("string"),
         F.lit(".pcapng")).alias("path"), (micros() * 1000).alias("ns"))
     padded = F.pmod(-F.col("cap_len"), F.lit(4))
@@ -148,13 +157,13 @@ def _le(x: Column | int, size: int) -> Column:
     return le_hex(F.lit(x) if isinstance(x, int) else x, size)
 
 
-def _block(kind: int, body: Column, wrong: int = 0) -> Column:
-    """A pcapng block; its closing length is wrong by ``wrong``."""
-    total = 12 + F.length(body) / 2
+def _block(kind: int, body: Column, wrong: int = 0, size: Column | None = None) -> Column:
+    """A pcapng block; its closing length is wrong by ``wrong``.  ``size``: bytes of the body, where they are known."""
+    total = 12 + (F.length(body) / 2 if size is None else size)
     return join(_le(kind, 4), _le(total, 4), body, _le(total + wrong, 4))
 
 
-def captures_mixed(events: DataFrame, files: int = 8) -> DataFrame:
+def captures_mixed(events: DataFrame) -> DataFrame:
     """path, content: pcapng files of all kinds of blocks, by event modulo 7.
 
     0, 1 enhanced packets, 2 a simple packet, 3 interface statistics, 4 an unknown block, 5 an enhanced packet
@@ -166,36 +175,81 @@ def captures_mixed(events: DataFrame, files: int = 8) -> DataFrame:
         _block(6, enhanced), _block(6, enhanced), _block(3, join(_le(4, 4), h(e, 4))), _block(5, join(_le(e % 3, 4), _le(1, 4), _le(e, 4))),
         _block(0xBAD, h(e, 4)), _block(6, enhanced, 4), _block(4, join(_le(1, 2), _le(6, 2), client(), "6E00", "0000", "00000000")),
     ]
-    rows = events.select(F.pmod(user(), F.lit(files)).alias("f"), e.alias("n"), F.get(F.array(*kinds), (e % 7).cast("int")).alias("r"))
+    return _filed(events, "mixed", F.get(F.array(*kinds), (e % 7).cast("int")), _SECTION + "01000000140000000100000000000400" + "14000000")
+
+
+_SECTION = "0A0D0D0A1C0000004D3C2B1A01000000FFFFFFFFFFFFFFFF1C000000"
+
+
+def _filed(events: DataFrame, name: str, record: Column, head: str) -> DataFrame:
+    """path, content: pcapng files of one record for each event, by user."""
+    rows = events.select(F.pmod(user(), F.lit(files_of(events))).alias("f"), event().alias("n"), record.alias("r"))
     rows = rows.groupBy("f").agg(F.array_sort(F.collect_list(F.struct("n", "r"))).alias("rows"))
-    head = "0A0D0D0A1C0000004D3C2B1A01000000FFFFFFFFFFFFFFFF1C000000" + "01000000140000000100000000000400" + "14000000"
     content = F.unhex(join(head, F.array_join(F.transform("rows", lambda x: x["r"]), "")))
-    return rows.select(F.concat(F.lit("mixed"), F.col("f").cast("string"), F.lit(".pcapng")).alias("path"), content.alias("content"))
+    return rows.select(F.concat(F.lit(name), F.col("f").cast("string"), F.lit(".pcapng")).alias("path"), content.alias("content"))
+
+
+#: Events between two sections of ``captures_named``.
+SECTION = 50
+
 
+def captures_named(events: DataFrame) -> DataFrame:
+    """path, content: pcapng files of sections, interfaces of three clocks, names and packets.
 
-def captures_cut(events: DataFrame, files: int = 8) -> DataFrame:
+    Each event of a number divisible by SECTION opens a section.  Every fifth event names its user's address; the
+    others are TCP frames of the interface event modulo 3: microseconds; nanoseconds, 7 seconds late; 1,024ths of a second.
+    """
+    option = lambda code, size, value: f"{code:02X}00{size:02X}00" + value.ljust(2 * (size + -size % 4), "0")
+    plain = "01000000140000000100000000000400" + "14000000"
+    nano = "010000002C0000000100000000000400" + option(9, 1, "09") + option(14, 8, "0700000000000000") + option(0, 0, "") + "2C000000"
+    binary = "01000000200000000100000000000400" + option(9, 1, "8A") + option(0, 0, "") + "20000000"
+    head = _SECTION + plain + nano + binary
+    e, us = event(), micros()
+    ticks = F.when(e % 3 == 0, us).when(e % 3 == 1, us * 1000).otherwise(F.floor(us / 1000))
+    body = join(ethernet(0x0800), ip4(F.lit(40), 6, client(), SERVER), tcp(1024 + user() % 1000, 80, e, 0, 24, 0), "0000")
+    packet = _block(6, join(_le(e % 3, 4), _le(F.shiftright(ticks, 32), 4), _le(F.pmod(ticks, F.lit(1 << 32)), 4), _le(54, 4), _le(54, 4), body), size=F.lit(76))
+    label = F.hex(F.concat(F.lit("n"), e.cast("string")))
+    size = 1 + F.length(e.cast("string"))
+    named = join(_le(1, 2), _le(5 + size, 2), client(), label, "00", F.expr("repeat('00', cast(pmod(-5 - length(concat('n', event_id)), 4) as int))"), "00000000")
+    record = F.concat(F.when(e % SECTION == 0, F.lit(head)).otherwise(F.lit("")), F.when(e % 5 == 2, _block(4, named, size=8 + 4 * F.ceil((5 + size) / 4))).otherwise(packet))
+    return _filed(events, "named", record, head)
+
+
+def captures_cut(events: DataFrame) -> DataFrame:
     """path, content: ``captures`` whose last record lacks its last 10 bytes."""
-    return captures(events, files).select("path", F.expr("substring(content, 1, length(content) - 10)").alias("content"))
+    return captures(events).select("path", F.expr("substring(content, 1, length(content) - 10)").alias("content"))
+
+
+def hot_frames(events: DataFrame) -> DataFrame:
+    """Every event a segment of one connection, odd ones from the server."""
+    e = event()
+    back, flags = e % 2 == 1, F.when(e % 1000 == 0, 2).when(e % 1000 == 1, 18).otherwise(24)
+    ends = ip4(F.lit(40), 6, F.when(back, F.lit(SERVER)).otherwise(F.lit("0A000001")), F.when(back, F.lit("0A000001")).otherwise(F.lit(SERVER)))
+    ports = tcp(F.when(back, 80).otherwise(5000), F.when(back, 5000).otherwise(80), F.pmod(e * 7919, F.lit(1 << 32)), e * 3, flags, 512)
+    return frames(events, e + 1, join(ethernet(0x0800), ends, ports), micros(), dns=False)
 
 
 def written(files: DataFrame) -> str:
     """A new folder with ``files`` (path, content) and one file that is no capture.
 
-    It lies below ``spark.checkpoint.dir`` where that names a mounted folder; each task writes its files there.
+    It lies below ``spark.checkpoint.dir``, a mounted folder or one of a store that Arrow knows; each task writes its
+    files there.  Only a one-process session without that setting gets a folder of its own.
     """
     spark = files.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="framelight-")
-    folder = os.path.join(re.sub("^file:/*", "/", shared), f"captures-{uuid.uuid4().hex}")
-    os.makedirs(folder)
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="framelight-")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    folder = f"{shared.rstrip('/')}/captures-{uuid.uuid4().hex}"
+    put(f"{folder}/notes.txt", b"not a capture")
 
     def write(batches):
         for batch in batches:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                with open(os.path.join(folder, path), "wb") as f:
-                    f.write(content)
+                put(f"{folder}/{path}", content)
                 yield pa.RecordBatch.from_pydict({"path": [path]})
 
     files.mapInArrow(write, "path string").count()
-    with open(os.path.join(folder, "notes.txt"), "w") as f:
-        f.write("not a capture")
-    return folder
+    return re.sub("^file:/*", "/", folder)

@@ -7,31 +7,32 @@ from pyspark.sql import functions as F
 
 from framelight import schema as S
 from framelight.operators.dissect import IS_TCP, offsets, with_dns, with_packets
-from framelight.operators.tcp import track
+from framelight.operators.tcp import track, track_in_parts
 from framelight.operators.timebase import with_time
 
 COLUMNS = ["file", "number", "time", "time_exact", "source", "destination", "protocol", "length", "info", "eth", "ip4", "ip6", "arp", "icmp", "tcp",
     "udp", "dhcp", "l3", "l4", "raw", "payload", "status", "rel_seq", "rel_ack"]
 
 
-def tcp_tracking(frames: DataFrame) -> DataFrame:
-    """file, number, rel_seq, rel_ack of the TCP frames; raw bytes stay out of the shuffle."""
+def tcp_tracking(frames: DataFrame, part: int | None = None) -> DataFrame:
+    """file, number, rel_seq, rel_ack of the TCP frames; raw bytes stay out of the shuffle.  ``part``: as in ``packets``."""
     segments = with_packets(offsets(frames.where(IS_TCP).withColumn("dns", F.lit(None).cast("string"))))
-    return track(segments.select("file", "number", "source", "destination", "sport", "dport", "seq", "ack", "flags")).select("file", "number",
-        "rel_seq", "rel_ack")
+    segments = segments.select("file", "number", "source", "destination", "sport", "dport", "seq", "ack", "flags")
+    return (track_in_parts(segments, part) if part else track(segments)).select("file", "number", "rel_seq", "rel_ack")
 
 
-def packets(frames: DataFrame, tracked: bool = True) -> DataFrame:
+def packets(frames: DataFrame, tracked: bool = True, part: int | None = None) -> DataFrame:
     """The packet table: frames are parsed and dissected once, and meet one exchange, by connection.
 
     Frames of other kinds travel along, spread evenly, as a second pass over the bytes costs more than
     moving what a query reads.  If a query reads no tracked number, or with ``tracked=False`` (rel_seq and
-    rel_ack are NULL), there is no exchange.
+    rel_ack are NULL), there is no exchange.  With ``part`` a connection's frames are tracked in groups of that many
+    frame numbers, so that one connection of most frames spreads over tasks; frames are then read twice.
     """
     table = with_packets(offsets(with_time(with_dns(frames))))
     if not tracked:
         return _finish(table.select("*", *[F.lit(None).cast("bigint").alias(c) for c in ("rel_seq", "rel_ack")]))
-    return _finish(track(table))
+    return _finish(track_in_parts(table, part) if part else track(table))
 
 
 def packet_at(frames: DataFrame, file: str, number: int) -> DataFrame:
@@ -47,7 +48,7 @@ def _finish(table: DataFrame) -> DataFrame:
         "case when l4 = 'tcp' and protocol != 'SMTP' then concat(info, case when rel_seq >= 0 then concat(' Seq=', rel_seq) else '' end, case "
         "when rel_ack >= 0 then concat(' Ack=', rel_ack) else '' end, info_tail) else info end"
     )
-    return table.withColumn("info", F.expr(shown)).select(*COLUMNS)
+    return table.withColumn("info", F.expr(shown)).select(*COLUMNS, *[c for c in ("section", "block_ordinal") if c in table.columns])
 
 
 def packet_list(table: DataFrame) -> DataFrame:

@@ -9,9 +9,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from framelight.operators import fields as fields_
+from framelight.operators import statistics
 from framelight.operators.hexdump import hex_dump, hex_text
+from framelight.operators.merge import difference, merged
+from framelight.operators.resolve import with_interface_time, with_names
 from framelight.operators.timebase import with_time
 from framelight.plans import fixtures as X
 from framelight.plans.packets import diagnostics, frame_details, packet_at, packet_list, packets, tcp_tracking
@@ -38,7 +42,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _E = """WITH e AS (
   SELECT event_id, user_id, event_type, event_id + 1 AS n, epoch_us(ts) AS us,
     '10.0.' || ((user_id % 65536) // 256)::VARCHAR || '.' || (user_id % 256)::VARCHAR AS ip, 1024 + user_id % 1000 AS port,
-    (event_id * 7919) % 4294967296 AS seq, event_id * 3 AS ack, event_id % 65536 AS win, event_id % 10 = 0 AS syn
+    (event_id * 7919) % 4294967296 AS seq, event_id * 3 AS ack, event_id % 65536 AS win, event_id % 10 = 0 AS syn,
+    user_id % (SELECT greatest(8, (count(*) + 49999) // 50000) FROM events) AS fileno
   FROM events)
 """
 _MAC = "format('02:00:{{:02x}}:{{:02x}}:{{:02x}}:{{:02x}}', ({0} >> 24) & 255, ({0} >> 16) & 255, ({0} >> 8) & 255, {0} & 255)"
@@ -468,27 +473,27 @@ def dhcp_header(spark, sf_dir):
         "giaddr", *[F.hex(c).alias(c) for c in ("chaddr", "sname", "file")])
 
 
-@query(_E + """SELECT 'cap' || (user_id % 8)::VARCHAR || '.pcap' AS file, row_number() OVER (PARTITION BY user_id % 8 ORDER BY n)::INTEGER AS number,
+@query(_E + """SELECT 'cap' || fileno::VARCHAR || '.pcap' AS file, row_number() OVER (PARTITION BY fileno ORDER BY n)::INTEGER AS number,
   (us // 1000000)::BIGINT AS ts_hi, (us % 1000000)::BIGINT AS ts_lo, 54::BIGINT AS cap_len, 'ok' AS status FROM e""")
 def capture_scan_pcap(spark, sf_dir):
     return parse_files(X.captures(_table(spark, sf_dir, "events"))).select("file", "number", "ts_hi", "ts_lo", "cap_len", "status")
 
 
-@query(_E + """SELECT 'cap' || (user_id % 8)::VARCHAR || '.pcapng' AS file, row_number() OVER (PARTITION BY user_id % 8 ORDER BY n)::INTEGER AS number,
+@query(_E + """SELECT 'cap' || fileno::VARCHAR || '.pcapng' AS file, row_number() OVER (PARTITION BY fileno ORDER BY n)::INTEGER AS number,
   ((us * 1000) >> 32)::BIGINT AS ts_hi, ((us * 1000) % 4294967296)::BIGINT AS ts_lo, 54::BIGINT AS cap_len, 1::INTEGER AS link_type, 'ok' AS status FROM e""")
 def capture_scan_pcapng(spark, sf_dir):
     return parse_files(X.captures_ng(_table(spark, sf_dir, "events"))).select("file", "number", "ts_hi", "ts_lo", "cap_len", "link_type", "status")
 
 
-@query("SELECT 'cap' || f::VARCHAR || '.pcapng' AS file, 2::INTEGER AS block_ordinal, 1::INTEGER AS link_type, 262144::BIGINT AS snap_len FROM "
-    "(SELECT DISTINCT user_id % 8 AS f FROM events)")
+@query(_E + "SELECT DISTINCT 'cap' || fileno::VARCHAR || '.pcapng' AS file, 2::INTEGER AS block_ordinal, 1::INTEGER AS link_type, 262144::BIGINT AS "
+    "snap_len FROM e")
 def capture_interfaces(spark, sf_dir):
     return parse_files(X.captures_ng(_table(spark, sf_dir, "events")), "interfaces").select("file", "block_ordinal", "link_type", "snap_len")
 
 
 #: All kinds of blocks, by event; frames are the packet blocks.
-_MIXED = """WITH b AS (SELECT event_id AS e, user_id AS u, event_id % 7 AS kind, 'mixed' || (user_id % 8)::VARCHAR || '.pcapng' AS file,
-  2 + row_number() OVER (PARTITION BY user_id % 8 ORDER BY event_id) AS ordinal FROM events),
+_MIXED = _E + """, b AS (SELECT event_id AS e, user_id AS u, event_id % 7 AS kind, 'mixed' || fileno::VARCHAR || '.pcapng' AS file,
+  2 + row_number() OVER (PARTITION BY fileno ORDER BY event_id) AS ordinal FROM e),
 f AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY e) AS n FROM b WHERE kind IN (0, 1, 2, 5))
 """
 
@@ -527,7 +532,7 @@ def capture_names(spark, sf_dir):
     return _mixed(spark, sf_dir, "names").select("file", "block_ordinal", "record_type", "address", F.array_join("names", ",").alias("names"))
 
 
-_FILED = _E + """, c AS (SELECT *, 'cap' || (user_id % 8)::VARCHAR AS f, row_number() OVER (PARTITION BY user_id % 8 ORDER BY n) AS k, row_number() OVER (PARTITION BY user_id % 8 ORDER BY n DESC) AS last FROM e)
+_FILED = _E + """, c AS (SELECT *, 'cap' || fileno::VARCHAR AS f, row_number() OVER (PARTITION BY fileno ORDER BY n) AS k, row_number() OVER (PARTITION BY fileno ORDER BY n DESC) AS last FROM e)
 """
 _LISTED = "SELECT {source} AS source, f || '.{kind}' AS file, k::INTEGER AS number, 54::BIGINT AS cap_len, 'ok' AS status, ip AS address FROM c"
 
@@ -585,3 +590,142 @@ def capture_diagnostics(spark, sf_dir):
     region = _table(spark, sf_dir, "region")
     bad = region.select(F.concat(F.lit("bad"), F.col("r_regionkey").cast("string")).alias("path"), F.unhex(F.lit("A1B2C3D4" + "00" * 20)).alias("content"))
     return diagnostics(packets(X.frames(events, e + 1, body), tracked=False), parse_files(bad, "blocks"))
+
+
+#: Bytes of a range in these queries, whose files have some 100 kB at sf0.01.
+_RANGE = 1 << 15
+
+
+def _by_ranges(files: DataFrame, table: str = "frames") -> DataFrame:
+    return read_captures(files.sparkSession, X.written(files), table, split=_RANGE).withColumn("file", F.regexp_extract("file", "[^/]+$", 0))
+
+
+@query(ORACLE["capture_scan_pcap"])
+def capture_ranges_pcap(spark, sf_dir):
+    """Classic captures, each read by many tasks."""
+    return _by_ranges(X.captures(_table(spark, sf_dir, "events"))).select("file", "number", "ts_hi", "ts_lo", "cap_len", "status")
+
+
+@query("""WITH e AS (SELECT event_id + 1 AS n, user_id % (SELECT greatest(8, (count(*) + 49999) // 50000) FROM events) AS f,
+  floor((epoch_us(ts) * 1000)::DOUBLE * 0.001::DOUBLE)::BIGINT AS v FROM events),
+w AS (SELECT *, v // 1000000 AS s, v % 1000000 AS u, row_number() OVER (PARTITION BY f ORDER BY n) AS k FROM e),
+a AS (SELECT *, coalesce(first_value(nullif(s, 0) IGNORE NULLS) OVER w, 0) AS s0, coalesce(first_value(nullif(u, 0) IGNORE NULLS) OVER w, 0) AS u0
+  FROM w WINDOW w AS (PARTITION BY f ORDER BY n ROWS UNBOUNDED PRECEDING))
+SELECT 'cap' || f::VARCHAR || '.pcapng' AS file, k::INTEGER AS number, 1::INTEGER AS link_type, 1::INTEGER AS section, (k + 2)::INTEGER AS block_ordinal,
+  printf('%.6f', (s::DOUBLE + 10e-7::DOUBLE * u::DOUBLE) - (s0::DOUBLE + 10e-7::DOUBLE * u0::DOUBLE)) AS time FROM a""")
+def capture_ranges_pcapng(spark, sf_dir):
+    """pcapng files, each read by many tasks: numbers, places of blocks, interfaces and time anchors hold across ranges."""
+    found = with_time_kept(_by_ranges(X.captures_ng(_table(spark, sf_dir, "events"))))
+    return found.select("file", "number", "link_type", "section", "block_ordinal", "time")
+
+
+def with_time_kept(frames: DataFrame) -> DataFrame:
+    """Frames with their shown time; other columns stay."""
+    return with_time(frames).withColumn("time", F.format_string("%.6f", "time"))
+
+
+@query(ORACLE["capture_blocks"])
+def capture_ranges_blocks(spark, sf_dir):
+    """All kinds of blocks, each file read by many tasks."""
+    return _by_ranges(X.captures_mixed(_table(spark, sf_dir, "events")), "blocks").select("file", "block_ordinal", "block_type", "total_length", "status")
+
+
+@query("""WITH p AS (SELECT event_id + 1 AS n, event_id % 2 = 1 AS back, event_id % 1000 = 0 AS syn, event_id % 1000 = 1 AS synack, (event_id * 7919) % 4294967296 AS seq,
+  (event_id * 3) % 4294967296 AS ack FROM events),
+f AS (SELECT *, back = first_value(back) OVER w AS fwd, row_number() OVER w AS rn FROM p WINDOW w AS (ORDER BY n ROWS UNBOUNDED PRECEDING)),
+c AS (SELECT *, synack AND NOT fwd AS answers, NOT fwd AND NOT syn AS cand FROM f),
+d AS (SELECT *, sum(cand::INT) OVER w AS cn, last_value(CASE WHEN rn = 1 OR (fwd AND syn) THEN seq END IGNORE NULLS) OVER w AS client
+  FROM c WINDOW w AS (ORDER BY n ROWS UNBOUNDED PRECEDING)),
+g AS (SELECT *, coalesce(last_value(CASE WHEN answers OR (cand AND cn = 1) THEN seq END IGNORE NULLS) OVER (ORDER BY n ROWS UNBOUNDED PRECEDING), 0) AS server FROM d)
+SELECT n::INTEGER AS number,
+  (CASE WHEN syn THEN CASE WHEN fwd THEN 0 END WHEN synack THEN CASE WHEN answers THEN 0 END ELSE (seq - CASE WHEN fwd THEN client
+  ELSE server END + 4294967296) % 4294967296 END)::BIGINT AS rel_seq,
+  (CASE WHEN syn THEN CASE WHEN fwd THEN -1 END WHEN synack THEN CASE WHEN answers THEN 1 END ELSE (ack - CASE WHEN fwd THEN server
+  ELSE client END + 4294967296) % 4294967296 END)::BIGINT AS rel_ack
+FROM g""")
+def tcp_hot_connection(spark, sf_dir):
+    """All frames are one connection: it is tracked in parts."""
+    return tcp_tracking(X.hot_frames(_table(spark, sf_dir, "events")), part=1000).select("number", "rel_seq", "rel_ack")
+
+
+#: ``captures_named``: events by file with their sections, and the frames among them.
+_NAMED = _E + f""", s AS (SELECT *, 'named' || fileno::VARCHAR || '.pcapng' AS file, 1 + count(*) FILTER (event_id % {X.SECTION} = 0) OVER (PARTITION BY fileno ORDER BY n) AS section FROM e),
+f AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY n) AS k FROM s WHERE event_id % 5 <> 2)
+"""
+
+
+@query(_NAMED + """SELECT file, k::INTEGER AS number, section::INTEGER AS section, (CASE event_id % 3 WHEN 0 THEN us * 1000 WHEN 1 THEN us * 1000 + 7000000000
+  ELSE ((us // 1000)::HUGEINT * 1000000000) // 1024 END)::BIGINT AS time_ns FROM f""")
+def interface_times(spark, sf_dir):
+    """Exact times by the clock of each frame's interface: microseconds, shifted nanoseconds, 1,024ths of a second."""
+    files = X.captures_named(_table(spark, sf_dir, "events"))
+    return with_interface_time(parse_files(files), parse_files(files, "interfaces")).select("file", "number", "section", "time_ns")
+
+
+@query(_NAMED + """, w AS (SELECT *, last_value(CASE WHEN event_id % 5 = 2 THEN 'n' || event_id::VARCHAR END IGNORE NULLS)
+  OVER (PARTITION BY file, section, ip ORDER BY n ROWS UNBOUNDED PRECEDING) AS name FROM s)
+SELECT f.file, k::INTEGER AS number, f.ip AS source, name AS source_name, NULL::VARCHAR AS destination_name FROM f JOIN w ON f.n = w.n""")
+def resolved_names(spark, sf_dir):
+    """Names as they hold at each packet; they change within a section."""
+    files = X.captures_named(_table(spark, sf_dir, "events"))
+    found = with_names(packets(parse_files(files), tracked=False), parse_files(files, "names"))
+    return found.select("file", "number", "source", "source_name", "destination_name")
+
+
+_LAYERS = """WITH e AS (SELECT event_id, [1,6,17,58,99,6,17][(event_id % 7 + 1)::INT] AS p FROM events),
+l AS (SELECT 'ip4' AS l3, CASE p WHEN 1 THEN 'icmp' WHEN 6 THEN 'tcp' WHEN 17 THEN 'udp' WHEN 58 THEN 'icmp6' ELSE 'other' END AS l4,
+  CASE p WHEN 1 THEN 'ICMP' WHEN 6 THEN 'TCP' WHEN 17 THEN 'UDP' WHEN 58 THEN 'ICMPv6' ELSE 'Other' END AS protocol FROM e
+  UNION ALL SELECT 'arp', 'none', 'ARP' FROM customer)
+"""
+
+
+@query(_LAYERS + """SELECT (CASE GROUPING(l3, l4, protocol) WHEN 7 THEN 0 WHEN 3 THEN 1 WHEN 1 THEN 2 ELSE 3 END)::INTEGER AS depth, l3, l4, protocol, count(*)::BIGINT AS frames,
+  sum(CASE l3 WHEN 'ip4' THEN 54 ELSE 42 END)::BIGINT AS bytes FROM l GROUP BY ROLLUP (l3, l4, protocol)""")
+def protocol_hierarchy(spark, sf_dir):
+    """Frames and bytes of all protocols, at each layer."""
+    events, e, k = _table(spark, sf_dir, "events"), X.event(), F.col("c_custkey")
+    proto = F.get(F.array(*map(F.lit, _PROTOS)), (e % 7).cast("int"))
+    body = X.join(X.ethernet(0x0800), X.ip4(F.lit(40), proto, X.client(), X.SERVER), X.tcp(5000, 6000))
+    arp = X.join(X.ethernet(0x0806), "000108000604", "0001", "0200", X.h(k, 4), "0A000001", "000000000000", "0A0000FE")
+    both = X.frames(events, e + 1, body, dns=False).unionByName(X.frames(_table(spark, sf_dir, "customer"), k + 1, arp, dns=False))
+    return statistics.protocol_hierarchy(packets(both, tracked=False))
+
+
+_ENDS = """WITH e AS (SELECT event_id % 2 = 1 AS back, '10.0.' || ((user_id % 65536) // 256)::VARCHAR || '.' || (user_id % 256)::VARCHAR AS ip FROM events),
+p AS (SELECT CASE WHEN back THEN '192.168.0.10' ELSE ip END AS s, CASE WHEN back THEN ip ELSE '192.168.0.10' END AS d FROM e),
+u AS (SELECT s AS address, d AS peer, 1 AS sent FROM p UNION ALL SELECT d, s, 0 FROM p)
+"""
+
+
+@query(_ENDS + """SELECT address, sum(sent)::BIGINT AS sent, sum(1 - sent)::BIGINT AS received, sum(54 * sent)::BIGINT AS bytes_sent,
+  sum(54 * (1 - sent))::BIGINT AS bytes_received, count(DISTINCT peer)::BIGINT AS peers FROM u GROUP BY address""")
+def endpoints(spark, sf_dir):
+    """Packets, bytes and distinct peers of every address, exact."""
+    return statistics.endpoints(packets(X.flow_frames(_table(spark, sf_dir, "events")), tracked=False))
+
+
+@query(_E + "SELECT ip AS address, sum(54)::BIGINT AS bytes FROM e GROUP BY ip ORDER BY bytes DESC, address LIMIT 10")
+def top_talkers(spark, sf_dir):
+    """The ten addresses that sent most (a top-k report)."""
+    return statistics.top_talkers(packets(X.tcp_frames(_table(spark, sf_dir, "events")), tracked=False), 10)
+
+
+@query(_FILED + "SELECT row_number() OVER (ORDER BY us, f, k) AS merged_number, f || '.pcap' AS file, k::INTEGER AS number, us AS time_exact FROM c")
+def merged_captures(spark, sf_dir):
+    """Frames of all files in one order of time."""
+    found = with_time(parse_files(X.captures(_table(spark, sf_dir, "events"))))
+    return merged(found, 3000).select("merged_number", "file", "number", "time_exact")
+
+
+@query(_E + """, f AS (SELECT n, user_id % 50 AS u FROM e), l AS (SELECT *, row_number() OVER (PARTITION BY u ORDER BY n) AS r FROM f),
+r AS (SELECT u, count(*) AS c FROM f WHERE n % 3 = 0 GROUP BY u)
+SELECT n::INTEGER AS number, r::BIGINT AS nth FROM (SELECT l.n, l.r, coalesce(r.c, 0) AS c FROM l LEFT JOIN r ON l.u = r.u) WHERE r > c""")
+def capture_difference(spark, sf_dir):
+    """Frames that a second capture lacks, equal ones by count: each of 50 frames occurs many times."""
+    events = _table(spark, sf_dir, "events")
+    body = X.join(X.ethernet(0x0800), X.ip4(F.lit(40), 6, "0A000001", X.SERVER), X.tcp(1024 + X.user() % 50, 80))
+    frames = X.frames(events, X.event() + 1, body, dns=False)
+    left = difference(frames, frames.where("number % 3 = 0"))
+    rank = Window.partitionBy("raw").orderBy("number")
+    have = frames.withColumn("nth", F.row_number().over(rank).cast("long")).select("number", "nth")
+    return left.select("number").join(have, "number")
