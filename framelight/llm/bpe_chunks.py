@@ -17,12 +17,14 @@ with the shared ones, so its size changes no result.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import blake2b
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +41,13 @@ LEAST, ABOUT, MOST, WINDOW = 128, 512, 8192, 32
 FILTER_BITS, BITS = 1 << 27, 12
 #: Bytes hashed, characters encoded and ids decoded at once; join texts and texts seen that a worker remembers.
 BLOCK, PIECE, IDS, MEMORY = 1 << 20, 1 << 18, 1 << 20, 200_000
+#: Units that a worker remembers.
+UNITS = 400_000
 
+#: Where units begin inside a text, and what speaks against cutting at every space and line feed.
+_SURE, _LOOSE = re.compile(r"(?<=\S)[ \n]"), re.compile(r"\s[ \n]")
+#: Stands before a key that is a whole unit.  No text holds it, as it is no character.
+_BARE = "\ud800"
 _GEAR = np.random.default_rng(11).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
@@ -148,23 +156,84 @@ class Encoder:
         self.start = np.cumsum(self.size) - self.size
         self.pool = np.frombuffer(b"".join(parts), np.uint8)
         self.joins: dict[bytes, np.ndarray] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Units (from one sure place to the next) met before: key -> place of its ids in the pool."""
+        self.known: dict[str, int] = {}
+        self.unit_ids, self.unit_sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+
+    @staticmethod
+    def keys(text: str) -> list[str]:
+        """A unit's key is its text without the space that it begins with, or with its line feed, or whole behind ``_BARE``."""
+        if not text:
+            return []
+        if not _LOOSE.search(text):
+            out = text.replace("\n", " \n").split(" ")
+            if text[0] in " \n":
+                del out[0]
+            else:
+                out[0] = _BARE + out[0]
+            return out
+        at = [0, *[m.start() for m in _SURE.finditer(text)], len(text)]
+        units = [text[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+        return [u if u[0] == "\n" else _BARE + u if u[0] != " " or u[1:2] == "\n" else u[1:] for u in units]
+
+    def learn(self, keys: list[str], most: int = 256) -> None:
+        """Units that begin and end at sure places in any company are encoded many in one text, the others one by one."""
+        units = [k[1:] if k[0:1] == _BARE else k if k[:1] == "\n" else " " + k for k in keys]
+        some = [k for k, u in enumerate(units) if u[0] in " \n" and not u[-1].isspace()]
+        groups = [some[k : k + most] for k in range(0, len(some), most)]
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(["".join(map(units.__getitem__, g)) for g in groups], add_special_tokens=False)]
+        flat = np.fromiter(chain.from_iterable(got), np.int64)
+        upto, want = self.size[flat].cumsum(), np.cumsum([len(units[k].encode()) for k in some])
+        stop = np.searchsorted(upto, want)
+        if len(some) and (stop[-1] + 1 != len(flat) or (upto[stop] != want).any()):  # tokens that are not bytes of the text: none is told apart
+            some, flat, stop = [], flat[:0], stop[:0]
+        done = set(some)
+        rest = [k for k in range(len(units)) if k not in done]
+        alone = [e.ids for e in self.tokenizer.encode_batch_fast([units[k] for k in rest], add_special_tokens=False)]
+        self.known.update(zip(map(keys.__getitem__, [*some, *rest]), range(len(self.known), len(self.known) + len(keys)), strict=True))
+        self.unit_sizes += [np.diff(stop, prepend=-1), np.fromiter(map(len, alone), np.int64, len(alone))]
+        self.unit_ids += [flat.astype(np.uint32), np.fromiter(chain.from_iterable(alone), np.uint32)]
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of texts that begin and end at sure places; long ones go in parts."""
-        flat, owner = [], []
-        for i, t in enumerate(texts):
-            at = 0
-            while len(t) - at > PIECE and (stop := next_sure(t, at + PIECE)) < len(t):
-                flat.append(t[at:stop])
-                owner.append(i)
-                at = stop
-            flat.append(t[at:])
-            owner.append(i)
-        out: list[list] = [[] for _ in texts]
-        for k in range(0, len(flat), 256):
-            for i, e in zip(owner[k : k + 256], self.tokenizer.encode_batch_fast(flat[k : k + 256], add_special_tokens=False), strict=True):
-                out[i].append(np.array(e.ids, np.uint32))
-        return [x[0] if len(x) == 1 else np.concatenate(x) for x in out]
+        """Ids of texts that begin and end at sure places."""
+        out, at = [], 0
+        while at < len(texts):
+            size, to = 0, at
+            while to < len(texts) and size < 4 * PIECE:
+                size += len(texts[to])
+                to += 1
+            if to == at + 1 and size > 8 * PIECE:  # one long text, in parts
+                cut = [0]
+                while cut[-1] < size:
+                    cut.append(next_sure(texts[at], min(size, cut[-1] + 4 * PIECE)))
+                out.append(np.concatenate([self._ids([texts[at][a:b]])[0] for a, b in zip(cut[:-1], cut[1:], strict=True)]))
+            else:
+                out += self._ids(texts[at:to])
+            at = to
+        return out
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self.known) > UNITS:
+            self.forget()
+        split = list(map(self.keys, texts))
+        flat = list(chain.from_iterable(split))
+        at = np.fromiter(map(self.known.get, flat, repeat(-1)), np.int64, len(flat))
+        new = np.flatnonzero(at < 0).tolist()
+        if new:
+            fresh = list(dict.fromkeys(map(flat.__getitem__, new)))
+            for k in range(0, len(fresh), 8192):
+                self.learn(fresh[k : k + 8192])
+            at[new] = np.fromiter((self.known[flat[i]] for i in new), np.int64, len(new))
+        self.unit_ids, self.unit_sizes = [np.concatenate(self.unit_ids)], [np.concatenate(self.unit_sizes)]
+        size = self.unit_sizes[0][at]
+        start = (np.cumsum(self.unit_sizes[0]) - self.unit_sizes[0])[at]
+        ends = np.cumsum(size)
+        ids = self.unit_ids[0][np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - ends + size, size)]
+        total = np.concatenate(([0], ends))[np.cumsum([0, *map(len, split)])]
+        return [ids[a:b] for a, b in zip(total[:-1], total[1:], strict=True)]
 
     def join(self, text: bytes) -> np.ndarray:
         found = self.joins.get(text)
