@@ -5,11 +5,11 @@ add up, so sketches merge by a sum and partial sums run before the shuffle.  Ske
 (lang, source); a group of fewer than ``min_group`` documents uses its language's merged sketch and,
 if that is small too, the sketch of all.
 
-Shares of symbols, repeated lines and repeated words fail above
-``q90 + reach * (q90 - q50) + grace / median size``: the group's upper decile, its spread, and what a few
-events (``grace``, which no document is charged for) make in a document of the group's median size, so that
-the fence follows the group even where nine tenths have none.  Word length fails outside
-``q25 - reach * iqr - slack`` to ``q75 + reach * iqr + slack``.
+Symbols, repeated lines and repeated words are rates, ``count / (size + prior)``.  Sketches hold what each text's
+rate would be with one event more, which is what its length leaves open: so a group's quantiles say something even
+where nine tenths of its texts have none, and one event in a short text is no outlier.  A text's own rate fails above
+``q90 + rate reach * (q90 - q50)`` of its group.  Word length fails outside ``q25 - reach * iqr - slack``
+to ``q75 + reach * iqr + slack``.
 """
 
 from __future__ import annotations
@@ -27,12 +27,13 @@ from . import worker
 from .scratch import Scratch, small_batches
 from .words import mix, word_hashes
 
-#: metric -> (count, size, grace): per mille of the size that the count, less the grace, makes.
-UPPER = {"sym_pm": ("n_symbols", "n_words", 2), "dup_pm": ("n_dup_lines", "n_lines", 1), "rep_pm": ("n_repeat_words", "n_words", 20)}
-SIZES = ("n_words", "n_lines")
+#: metric -> (count, size, prior size, what one event counts: a symbol, a line, a line of ten words twice); rates are in 10,000ths.
+UPPER = {"sym": ("n_symbols", "n_words", 100, 1), "dup": ("n_dup_lines", "n_lines", 10, 1), "rep": ("n_repeat_words", "n_words", 100, 20)}
+UNIT = 10_000
 #: Hundredths of a code point of mean word length.
 LENGTH_SLACK = 80
-REACH = 3
+#: Spreads beyond the quantile, for word length and for rates.
+REACH, RATE_REACH = 3, 2
 MIN_GROUP = 100
 MIN_WORDS = 50
 #: Texts of more bytes are counted in arrays.
@@ -111,10 +112,11 @@ def counts(text: Column) -> Column:
     return counted(text)
 
 
-def _ratios() -> dict[str, Column]:
-    over = lambda a, k, of: F.floor(a * k / F.greatest(F.col(of), F.lit(1))).cast("long")
-    out = {k: over(F.greatest(F.col(count) - grace, F.lit(0)), 1000, size) for k, (count, size, grace) in UPPER.items()}
-    return out | {"len_c": over(F.col("word_chars"), 100, "n_words")}
+def _ratios(more: int = 0) -> dict[str, Column]:
+    """A text's metrics, as they are or with ``more`` events."""
+    rate = lambda count, size, prior, event: F.floor((F.col(count) + more * event) * UNIT / (F.col(size) + prior)).cast("long")
+    out = {k: rate(*of) for k, of in UPPER.items()}
+    return out | {"len_c": F.floor(F.col("word_chars") * 100 / F.greatest(F.col("n_words"), F.lit(1))).cast("long")}
 
 
 def _base_failed() -> Column:
@@ -123,9 +125,8 @@ def _base_failed() -> Column:
 
 def sketches(measured: DataFrame) -> DataFrame:
     """lang, source, metric, bucket, n over documents that pass the base rules."""
-    ratios = _ratios() | {k: F.col(k) for k in SIZES}
-    long = measured.where(~_base_failed()).select("lang", "source", F.inline(F.array(*[F.struct(F.lit(k).alias("metric"), v.alias("v")) for k,
-        v in ratios.items()])))
+    long = measured.where(~_base_failed()).select("lang", "source", F.inline(F.array(*[F.struct(F.lit(k).alias("metric"), v.alias("v"))
+        for k, v in _ratios(more=1).items()])))
     shift = "greatest(0, length(bin(v)) - 6)"
     bucket = F.expr(f"cast(shiftleft(shiftright(v, {shift}), {shift}) as bigint)")
     return long.select("lang", "source", "metric", bucket.alias("bucket")).groupBy("lang", "source", "metric", "bucket").agg(F.count("*").alias("n"))
@@ -151,13 +152,10 @@ def thresholds(hist: DataFrame, min_group: int = MIN_GROUP, reach: int = REACH)
     rows = fine.join(lang, F.col("lang").eqNullSafe(F.col("l_lang")) & (F.col("metric") == F.col("l_metric")))
     rows = rows.join(whole, F.col("metric") == F.col("w_metric"))
     pick = F.when(F.col("q.docs") >= min_group, F.col("q")).when(F.col("by_lang.docs") >= min_group, F.col("by_lang")).otherwise(F.col("by_all"))
-    names = [*UPPER, "len_c", *SIZES]
+    names = [*UPPER, "len_c"]
     each = [F.max(F.when(F.col("metric") == m, F.col("q"))).alias(m) for m in names]
     wide = rows.select("lang", "source", "metric", pick.alias("q")).groupBy("lang", "source").agg(*each)
-    out = []
-    for metric, (_, size, grace) in UPPER.items():
-        free = F.floor(1000 * grace / F.greatest(F.col(f"{size}.q50"), F.lit(1))).cast("long")
-        out.append((F.col(f"{metric}.q90") + (F.col(f"{metric}.q90") - F.col(f"{metric}.q50")) * reach + free).alias(f"{metric}_hi"))
+    out = [(F.col(f"{m}.q90") + (F.col(f"{m}.q90") - F.col(f"{m}.q50")) * RATE_REACH).alias(f"{m}_hi") for m in UPPER]
     spread = (F.col("len_c.q75") - F.col("len_c.q25")) * reach + LENGTH_SLACK
     return wide.select("lang", "source", *out, (F.col("len_c.q75") + spread).alias("len_c_hi"), (F.col("len_c.q25") - spread).alias("len_c_lo"))
 

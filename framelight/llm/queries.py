@@ -140,9 +140,9 @@ SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_scor
 def _op6_sql() -> str:
     """The base counts from words and windows, sketches as bucket counts, fences, verdicts."""
     space, least, reach = r"\x20\x09-\x0D", quality.MIN_GROUP, quality.REACH
-    share = lambda count, size, grace: f"greatest({count} - {grace}, 0) * 1000 // greatest({size}, 1)"
-    metrics = {k: share(*v) for k, v in quality.UPPER.items()} | {"len_c": "word_chars * 100 // greatest(n_words, 1)"} | {k: k for k in quality.SIZES}
-    long = " UNION ALL ".join(f"SELECT rid, lang, source, base_failed, '{k}' AS metric, {v} AS v FROM m" for k, v in metrics.items())
+    rates = lambda more: {k: f"({count} + {more * event}) * {quality.UNIT} // ({size} + {prior})" for k, (count, size, prior, event) in quality.UPPER.items()}
+    metrics, sketched = ({**rates(more), "len_c": "word_chars * 100 // greatest(n_words, 1)"} for more in (0, 1))
+    long = " UNION ALL ".join(f"SELECT rid, lang, source, base_failed, '{k}' AS metric, {v} AS v FROM m" for k, v in sketched.items())
     cuts = ", ".join(f"min(bucket) FILTER (upto * {of} >= docs * {n}) AS {q}" for q, (n, of) in quality.QUANTILES.items())
 
     def quantiles(keys: str) -> str:
@@ -153,10 +153,7 @@ def _op6_sql() -> str:
 
     pick = ", ".join(f"CASE WHEN f.docs >= {least} THEN f.{q} WHEN b.docs >= {least} THEN b.{q} ELSE a.{q} END AS {q}" for q in quality.QUANTILES)
     one = lambda metric, q: f"max({q}) FILTER (metric = '{metric}')"
-    fences = []
-    for k, (_, size, grace) in quality.UPPER.items():
-        high, middle = one(k, "q90"), one(k, "q50")
-        fences.append(f"{high} + ({high} - {middle}) * {reach} + {1000 * grace} // greatest({one(size, 'q50')}, 1) AS {k}_hi")
+    fences = [f"{one(k, 'q90')} + ({one(k, 'q90')} - {one(k, 'q50')}) * {quality.RATE_REACH} AS {k}_hi" for k in quality.UPPER]
     low, high = one("len_c", "q25"), one("len_c", "q75")
     fences.append(f"{high} + ({high} - {low}) * {reach} + {quality.LENGTH_SLACK} AS len_c_hi, {low} - ({high} - {low}) * {reach} - "
         f"{quality.LENGTH_SLACK} AS len_c_lo")

@@ -442,16 +442,15 @@ def slow_bucket(v):
 def slow_kept(rows, min_group):
     """rows: id -> (lang, source, counts)."""
     base = lambda c: c[0] < 50 or 100 * c[4] > 50 * c[0]
-    share = lambda n, grace, size: max(0, n - grace) * 1000 // max(1, size)
-    ratio = lambda c: {"sym_pm": share(c[2], 2, c[0]), "dup_pm": share(c[3], 1, c[5]), "rep_pm": share(c[4], 20, c[0]),
-        "len_c": c[1] * 100 // max(1, c[0]), "n_words": c[0], "n_lines": c[5]}
+    ratio = lambda c, more=0: {"sym": (c[2] + more) * 10_000 // (c[0] + 100), "dup": (c[3] + more) * 10_000 // (c[5] + 10),
+        "rep": (c[4] + 20 * more) * 10_000 // (c[0] + 100), "len_c": c[1] * 100 // max(1, c[0])}
     out = {}
     for k, (lang, source, c) in rows.items():
         if base(c):
             out[k] = (True, False)
             continue
         for fits in (lambda r: r[:2] == (lang, source), lambda r: r[0] == lang, lambda r: True):
-            group = [ratio(r[2]) for r in rows.values() if fits(r) and not base(r[2])]
+            group = [ratio(r[2], 1) for r in rows.values() if fits(r) and not base(r[2])]
             if len(group) >= min_group:
                 break
 
@@ -460,9 +459,9 @@ def slow_kept(rows, min_group):
             return v[-(-len(v) * share // of) - 1]
 
         mine, good = ratio(c), True
-        for metric, size, grace in (("sym_pm", "n_words", 2), ("dup_pm", "n_lines", 1), ("rep_pm", "n_words", 20)):
+        for metric in ("sym", "dup", "rep"):
             high = q(metric, 9, 10)
-            good &= mine[metric] <= high + 3 * (high - q(metric, 1, 2)) + 1000 * grace // max(1, q(size, 1, 2))
+            good &= mine[metric] <= high + 2 * (high - q(metric, 1, 2))
         a, b = q("len_c", 1, 4), q("len_c", 3, 4)
         good &= a - 3 * (b - a) - 80 <= mine["len_c"] <= b + 3 * (b - a) + 80
         out[k] = (False, good)
@@ -485,6 +484,29 @@ def test_each_quality_rule_fires(spark):
     assert gone == {150, 151, 152, 153}
 
 
+def test_fences_follow_their_group(spark):
+    """Where a source's texts repeat lines, its fence of repeated lines rises and so do its verdicts; no other fence moves."""
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    line = lambda: " ".join(word() for _ in range(8))
+    plain = [(k, "\n".join(line() for _ in range(rng.randrange(8, 30))), "en", f"s{k % 3}") for k in range(450)]
+    # Every third text of one source repeats a fifth of its lines.
+    raised = [(k, t + "\n" + "\n".join(t.split("\n")[: len(t.split("\n")) // 5]) if k % 9 == 0 else t, g, s) for k, t, g, s in plain]
+    probe = [line() for _ in range(16)]
+    probe = "\n".join(probe + probe[:5])
+    fences, kept = [], []
+    for rows in (plain, raised):
+        rows = rows + [(900 + k, probe, "en", f"s{k}") for k in range(3)]
+        df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+        _, limits = quality._measured(df, False, quality.MIN_GROUP, quality.REACH)
+        fences.append({r.source: r for r in limits.collect()})
+        kept.append({r.doc_id for r in quality.quality(df).collect() if r.kept and r.doc_id >= 900})
+    # Repeated lines are repeated words too.
+    assert fences[1]["s0"].dup_hi > 2 * fences[0]["s0"].dup_hi and fences[1]["s0"].rep_hi > 2 * fences[0]["s0"].rep_hi
+    assert fences[1]["s0"].len_c_hi == fences[0]["s0"].len_c_hi
+    assert all(fences[0][s] == fences[1][s] for s in ("s1", "s2")) and kept == [set(), {900}]
+
+
 def test_quality_against_sorted_groups(spark):
     table = spark.read.parquet(f"{SF}/documents.parquet")
     rows = {r.doc_id: (r.lang, r.source, slow_measure(r.text)) for r in table.collect()}
