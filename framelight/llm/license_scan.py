@@ -6,8 +6,13 @@ either end of a gap matched first.  A gap without a unique word is anchored at i
 Coverage is the share of the whole template's words that are aligned; a template of fewer than SHORT words
 must be there completely, as one other word makes it another notice.
 
-Where to align: a text is reduced to the words of a template that stand near three of its words in a row.
-Words between the parts of a notice, however many, fall away, and so do the same words in ordinary prose.
+Where to align: first near three of a template's words in a row.  Words between the parts of a notice, however
+many, fall away, and so do the same words in ordinary prose.  Then the whole stretch up to the template's notices
+before and behind (all of the text, if there is none) is aligned without that restriction, so that a notice with a
+foreign word behind every word, or with repeated parts, has its true coverage: templates of SHORT words and more are
+found whatever stands between their words.  Only lone words at either end that stand more than MARGIN words off fall
+away.  A template of fewer words, all of them common, is looked for around each occurrence of its rarest word and may
+have up to GAP - 1 foreign words between two of its own.
 """
 
 from __future__ import annotations
@@ -29,6 +34,8 @@ COVERAGE = 0.8
 SHORT = 16
 #: Words beside three in a row that may belong to a notice.
 MARGIN = 6
+#: Words from one word of a short notice to its next, at most.
+GAP = 8
 #: Characters of a text that are split into words at once; only a template's words are kept of them.
 PIECE = 1 << 20
 
@@ -102,6 +109,22 @@ def align(text: list, template: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def _trimmed(pairs: list[tuple[int, int]], places: list[int]) -> list[tuple[int, int]]:
+    """Without lone words at either end: runs of fewer than three that stand more than MARGIN words off the rest."""
+    low, high = 0, len(pairs)
+    at = [places[i] for i, _ in pairs]
+    while high - low > 1:
+        cut = next((k for k in range(low + 1, min(low + 3, high)) if at[k] - at[k - 1] > MARGIN), None)
+        if cut is not None:
+            low = cut
+            continue
+        cut = next((k for k in range(high - 1, max(high - 3, low), -1) if at[k] - at[k - 1] > MARGIN), None)
+        if cut is None:
+            break
+        high = cut
+    return pairs[low:high]
+
+
 class _Template:
     def __init__(self, name: str, found: list[str], code: dict[str, int], coverage: float):
         self.name, self.codes = name, [code[w] for w in found]
@@ -166,8 +189,65 @@ class Scanner:
                 near_codes.append(c)
         return near_places, near_codes, starts
 
-    def _found(self, t: _Template, places: list[int], codes: list[int]):
+    def _found(self, t: _Template, places: list[int], codes: list[int]) -> list[tuple[int, int, int]]:
         """Notices (aligned words, first word, word after the last), left to right."""
+        own = [i for i, c in enumerate(codes) if c in t.vocabulary]
+        places, codes = [places[i] for i in own], [codes[i] for i in own]
+        seeded = list(self._seeded(t, places, codes))
+        return seeded + self._scattered(t, places, codes, seeded) if len(t.codes) < SHORT else self._stretched(t, places, codes, seeded)
+
+    @staticmethod
+    def _stretched(t: _Template, places: list[int], codes: list[int], found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+        """Notices with what else of the template stands between their neighbours, and notices without three words in a row."""
+        end = places[-1] + 1 if places else 0
+        out, last = [], 0
+
+        def best(low: int, high: int) -> tuple[int, int, int] | None:
+            a, b = bisect_left(places, low), bisect_left(places, high)
+            pairs = _trimmed(align(codes[a:b], t.codes), places[a:b]) if b - a >= t.need else []
+            if pairs:  # once more without the words on either side, which may have led it astray
+                c, d = a + pairs[0][0], a + pairs[-1][0] + 1
+                closer = align(codes[c:d], t.codes)
+                if len(closer) > len(pairs):
+                    a, pairs = c, closer
+            return (len(pairs), places[a + pairs[0][0]], places[a + pairs[-1][0]] + 1) if len(pairs) >= t.need else None
+
+        for k, mine in enumerate(found):
+            high = found[k + 1][1] if k + 1 < len(found) else end
+            more = best(last, high) if mine[0] < len(t.codes) else None
+            out.append(more if more and more[0] > mine[0] else mine)
+            last = out[-1][2]
+        # What lies between them, and on either side of what is found there.
+        edges = [0, *[x for _, first, after in out for x in (first, after)], end]
+        todo = list(zip(edges[::2], edges[1::2], strict=True))
+        while todo:
+            low, high = todo.pop()
+            one = best(low, high)
+            if one:
+                out.append(one)
+                todo += [(low, one[1]), (one[2], high)]
+        return sorted(out, key=lambda x: x[1])
+
+    @staticmethod
+    def _scattered(t: _Template, places: list[int], codes: list[int], found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+        """Complete notices of a short template with few words between its own, apart from ``found``."""
+        have, out = Counter(codes), []
+        if any(have[c] < n for c, n in Counter(t.codes).items()):
+            return []
+        rare, reach = min(t.codes, key=lambda c: have[c]), GAP * len(t.codes)
+        taken = [(first, last) for _, first, last in found]
+        for i, c in enumerate(codes):
+            if c != rare or any(first <= places[i] < last for first, last in taken):
+                continue
+            a, b = bisect_left(places, places[i] - reach), bisect_left(places, places[i] + reach + 1)
+            at = [places[a + x] for x, _ in align(codes[a:b], t.codes)]
+            if len(at) == len(t.codes) and all(y - x <= GAP for x, y in zip(at[:-1], at[1:], strict=True)):
+                out.append((len(at), at[0], at[-1] + 1))
+                taken.append((at[0], at[-1] + 1))
+        return out
+
+    def _seeded(self, t: _Template, places: list[int], codes: list[int]):
+        """Notices near three of their words in a row."""
         places, codes, starts = self._near(t, places, codes)
         best: tuple[int, int, int] | None = None
         taken = -1

@@ -709,6 +709,43 @@ def test_changed_licenses(spark):
     assert got[7] == [("cc-by-nd-4.0-notice", 1.0)] and got[8] == [("gpl-2.0-notice", 1.0)] and got[10] == [("mit", 1.0)]
 
 
+def test_notices_without_three_words_in_a_row():
+    """Every template with a foreign word behind every word or every two, or with its first words repeated, has its true coverage."""
+    scanner = license_scan.Scanner(license_scan.TEMPLATES, license_scan.COVERAGE)
+    for name, text in license_scan.TEMPLATES.items():
+        w = license_scan.words(text)
+        for n in (1, 2):
+            mixed = "before " + " ".join(x + " zzforeign" * (k % n == 0) for k, x in enumerate(w)) + " after"
+            assert [(x["license"], x["coverage"]) for x in scanner.scan(mixed)] == [(name, 1.0)], (name, n)
+    w = license_scan.words(license_scan.TEMPLATES["mit"])
+    got = scanner.scan(" ".join(w[:40] + w[:40] * 12 + w[40:]))
+    assert [(x["license"], x["coverage"]) for x in got] == [("mit", 1.0)]
+
+
+@pytest.mark.parametrize("name", ["mit", "isc", "bsd-3-clause", "zlib"])
+def test_damaged_notices_against_their_alignment(name):
+    """Random insertions, repeats and replacements, prose around: found where the whole notice's alignment reaches the coverage by some words, with about that."""
+    scanner = license_scan.Scanner(license_scan.TEMPLATES, license_scan.COVERAGE)
+    rng = random.Random(name)
+    w = license_scan.words(license_scan.TEMPLATES[name])
+    prose = lambda n: rng.choices("the of to in any copy use software and sell is for notice with on zq qz".split(), k=n)
+    reached = 0
+    for _ in range(60):
+        rate, out = rng.choice([0.02, 0.05, 0.1, 0.15]), []
+        for k, x in enumerate(w):
+            out.append(rng.choice(["zq", "the"]) if rng.random() < rate else x)
+            if rng.random() < rng.choice([0, 0.3]):
+                out += prose(rng.randrange(1, 9))
+            if rng.random() < 0.02:
+                out += w[max(0, k - 12) : k + 1]
+        true = len(license_scan.align(out, w)) / len(w)
+        got = {x["license"]: x["coverage"] for x in scanner.scan(" ".join([*prose(40), *out, *prose(40)]))}
+        if true >= 0.86:  # words beside the notice may lead an alignment astray by a few
+            assert got.get(name, 0) >= true - 0.06, (name, true, got)
+            reached += 1
+    assert reached > 15
+
+
 def test_places_of_licenses_against_brute_force(spark, monkeypatch):
     """Small templates in random texts: the notices are those that trying every stretch of words finds."""
     templates = {"a": "one two three four five six", "b": "seven eight nine"}
