@@ -229,7 +229,7 @@ e AS (SELECT rid, round(sum(ln(pr) - ln(pa)) / count(*) * {url_filter._UNIT})::B
 y AS (SELECT {bucket} AS bucket, count(*) FILTER (rejected) AS rj, count(*) FILTER (NOT rejected) AS ac FROM r JOIN e ON r.rid = e.rid WHERE rejected IS NOT NULL AND apart GROUP BY 1),
 x AS (SELECT bucket, (sum(ac) OVER () - sum(ac) OVER (ORDER BY bucket))::DOUBLE / sum(ac) OVER () AS wrong,
   1 - (sum(rj) OVER () - sum(rj) OVER (ORDER BY bucket))::DOUBLE / sum(rj) OVER () AS missed, sum(ac) OVER () AS acs, sum(rj) OVER () AS rjs FROM y),
-z AS (SELECT bucket AS cut FROM x WHERE wrong <= {url_filter.FALSE_REJECTS}::DOUBLE AND acs > 0 AND rjs > 0 ORDER BY wrong + missed, bucket LIMIT 1)
+z AS (SELECT bucket AS cut FROM x WHERE wrong <= {url_filter.FALSE_REJECTS}::DOUBLE AND acs > 0 AND rjs > 0 ORDER BY bucket LIMIT 1)
 SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN coalesce(url, '') <> '' AND {bucket} > (SELECT cut FROM z) THEN 'block' ELSE 'allow' END) AS verdict,
   coalesce(score, 0)::DOUBLE / {url_filter._UNIT} AS score FROM r LEFT JOIN e ON r.rid = e.rid
 """

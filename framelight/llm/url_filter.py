@@ -122,24 +122,20 @@ def scored(rows: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def calibrated(hist: list[dict], most: float = FALSE_REJECTS) -> int | None:
-    """From (rejected, bucket, n): the bucket above which URLs are rejected, with the least sum of error rates.
-
-    Of those that reject at most ``most`` of the accepted; ties go to the lower bucket.  None if one kind is missing.
-    """
+    """From (rejected, bucket, n): the lowest bucket above which at most ``most`` of the accepted lie, hence most of the rejected.  None if one kind is missing."""
     total = {side: sum(r["n"] for r in hist if r["rejected"] == side) for side in (True, False)}
     if not total[True] or not total[False]:
         return None
-    above, best = dict(total), None
+    above = dict(total)
     by: dict[int, dict] = {}
     for r in hist:
         by.setdefault(r["bucket"], {True: 0, False: 0})[r["rejected"]] += r["n"]
     for bucket in sorted(by):
         for side in (True, False):
             above[side] -= by[bucket][side]
-        wrong, missed = above[False] / total[False], 1 - above[True] / total[True]
-        if wrong <= most and (best is None or (wrong + missed, bucket) < best):
-            best = (wrong + missed, bucket)
-    return best and best[1]
+        if above[False] / total[False] <= most:
+            return bucket
+    return None
 
 
 def bucket_of(score: Column) -> Column:

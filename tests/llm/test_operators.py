@@ -119,7 +119,7 @@ def test_url_scores_and_verdicts_against_recursion(spark):
     hist = Counter((ruled[u] == "block", round(scores[u]) // 10) for u in urls if apart[u])
     total = [sum(n for (side, _), n in hist.items() if side == s) for s in (False, True)]
     rates = lambda cut: [sum(n for (side, b), n in hist.items() if side == s and b > cut) / total[s] for s in (False, True)]
-    cut = min((wrong + 1 - hit, b) for b in {b for _, b in hist} for wrong, hit in [rates(b)] if wrong <= url_filter.FALSE_REJECTS)[1]
+    cut = min(b for b in {b for _, b in hist} if rates(b)[0] <= url_filter.FALSE_REJECTS)
     got = {r.url: r for r in url_filter.filter_urls(spark.createDataFrame(list(enumerate(urls)),
         "page_id bigint, url string")).join(spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string"), "page_id").collect()}
     for u in urls:
