@@ -6,17 +6,21 @@ documents minimise
     1/2 |sum_i r_i t_i p_i / T - target|^2 + ridge/2 sum_i (t_i / T) (r_i - 1)^2
 
 with a ridge so small that it only chooses among rates that come equally close to the targets; t_i are a
-document's tokens, p_i its posteriors.  At the minimum r_i = max(0, 1 + p_i v) for one v of D numbers, so
-nothing but v travels to the documents.  v is found by projected Newton steps with step halving on the dual:
-first over cells of documents whose posteriors agree on a grid of ``GRID`` steps (one shuffle sums tokens and
-expected domain tokens by cell), then over the documents themselves until the gradient is settled.  Each step
-is one aggregation, of which D + D^2 + 1 sums reach the driver.  Where steps do not settle a warning gives
-the residual.
+document's tokens, p_i its posteriors.  Projected gradient steps on the rates find it,
+
+    r_i <- max(0, r_i - p_i e - ridge (r_i - 1)),   e = sum_i r_i t_i p_i / T - target,
+
+each one aggregation over the documents, of which the D numbers of e reach the driver and go back into the next
+step; they end when a step moves the rates by less than MOVED.  As the ridge is small, plain steps would take
+long to choose among equally good rates, so they start near the end: at the minimum r_i = max(0, 1 + p_i v) for one v
+of D numbers, which Newton steps on the dual find, first over cells of documents whose posteriors agree on a grid of
+``GRID`` steps (one shuffle sums tokens and expected domain tokens by cell), then over the documents.
 """
 
 from __future__ import annotations
 
 import logging
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +38,8 @@ RIDGE = 1e-6
 #: A bound only; the steps end where the dual's gradient is below SETTLED.
 STEPS = 300
 SETTLED = 1e-9
+#: Gradient steps on the rates, at most, and the mean move of a rate at which they end.
+DESCENTS, MOVED = 60, 1e-7
 #: Expected domain tokens are summed in fractions of a token, as whole numbers, so that sums are the same in every run.
 FRACTION = 1 << 20
 #: Target shares of tokens.
@@ -243,16 +249,56 @@ def fit_documents(members: DataFrame, targets: list[float], start: np.ndarray, s
     return _newton(at, np.array(targets), ridge, steps, start)
 
 
-def fit(members: DataFrame, targets: dict[str, float], scratch: Scratch) -> np.ndarray:
-    """v for ``members`` (tokens, posterior, cell): over cells, then over documents."""
+@dataclass(frozen=True)
+class Rates:
+    """Where the gradient steps on the rates start, the differences e that they followed, and the last of those: expected less target shares."""
+
+    start: np.ndarray
+    pulls: tuple[np.ndarray, ...]
+    unmet: np.ndarray
+
+    def of(self, posterior: Column, ridge: float = RIDGE) -> Column:
+        r = rate_of(posterior, self.start)
+        for e in self.pulls:
+            r = F.greatest(F.lit(0.0), r * (1 - ridge) + ridge - sum(posterior[k] * F.lit(float(x)) for k, x in enumerate(e)))
+        return r
+
+
+def descend(members: DataFrame, targets: list[float], start: np.ndarray, steps: int = DESCENTS, ridge: float = RIDGE) -> Rates:
+    """Projected gradient steps on the rates of ``members`` (tokens, posterior).
+
+    The longest step that is safe for any posteriors is 1, as they sum to 1.  A step's rates are a function of the
+    posteriors and the steps before, so nothing is written.  Without tokens nothing moves.
+    """
+    total, d = members.agg(F.sum("tokens").alias("t")).first().t or 0, len(targets)
+    done = Rates(start, (), np.zeros(d))
+    if not total:
+        return done
+    p, w = F.col("posterior"), F.col("tokens") / F.lit(float(total))
+    before = None
+    while True:
+        r = done.of(p, ridge)
+        sums = [F.sum(w * F.col("r") * p[k]) for k in range(d)] + [F.sum(w * F.abs(F.col("r") - F.col("old")))]
+        got = members.withColumns({"r": r, "old": before if before is not None else F.lit(0.0)}).agg(*sums).first()
+        e = np.array(got[:d]) - np.array(targets)
+        if before is not None and got[d] <= MOVED or len(done.pulls) >= steps:
+            return Rates(start, done.pulls, e)
+        before, done = r, Rates(start, (*done.pulls, e), e)
+
+
+def fit(members: DataFrame, targets: dict[str, float], scratch: Scratch) -> Rates:
+    """The rates of ``members`` (tokens, posterior, cell): started over cells, then over documents, and descended over documents."""
     expected = [F.sum(F.round(F.col("tokens") * F.col("posterior")[k] * FRACTION).cast("bigint")) for k in range(len(targets))]
     cells = scratch.save(members.groupBy("cell").agg(F.sum("tokens").alias("tokens"), F.array(*expected).alias("expected")), "cells")
     shares = [x / sum(targets.values()) for x in targets.values()]
-    return fit_documents(members, shares, fit_cells(cells, shares))
+    return descend(members, shares, fit_documents(members, shares, fit_cells(cells, shares)))
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
-    """doc_id, tokens, posterior, rate for every row.
+    """doc_id, tokens, posterior, rate, unmet for every row.
+
+    ``unmet`` is the largest difference of a domain's expected and target share, the same in all rows: near 0 unless no
+    rates meet the targets, or the steps did not settle.
 
     Null and empty texts have no tokens and the posterior of an empty text.  Equal texts get equal rates,
     repeated rows and ids included.  With no labelled row posteriors are uniform; without tokens every rate
@@ -264,9 +310,10 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None =
     scratch = Scratch(docs.sparkSession)
     classifier = fit_classifier(docs, labelled, list(targets))
     slim = scratch.save(docs.select("doc_id", membership(classifier, F.col("text")).alias("m")).select("doc_id", "m.*"), "members")
-    v = fit(slim, targets, scratch)
+    rates = fit(slim, targets, scratch)
     scratch.drop("cells")
-    return slim.select("doc_id", "tokens", "posterior", F.round(rate_of(F.col("posterior"), v), 9).alias("rate"))
+    unmet = F.lit(float(np.abs(rates.unmet).max()))
+    return slim.select("doc_id", "tokens", "posterior", F.round(rates.of(F.col("posterior")), 9).alias("rate"), unmet.alias("unmet"))
 
 
 def resample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
@@ -281,9 +328,9 @@ def resample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | N
     classifier = fit_classifier(docs, labelled, list(targets))
     # Rows are written with their posteriors, so that Python sees each text once.
     whole = scratch.save(docs.select(F.struct(*docs.columns).alias("row"), membership(classifier, F.col("text")).alias("m")), "members")
-    v = fit(whole.select("m.cell", "m.tokens", "m.posterior"), targets, scratch)
+    rates = fit(whole.select("m.cell", "m.tokens", "m.posterior"), targets, scratch)
     scratch.drop("cells")
     chance = F.pmod(F.xxhash64(F.lit("mix"), "row.doc_id", "row.text"), F.lit(1_000_000)) / 1_000_000
-    rows = whole.select("row", F.round(rate_of(F.col("m.posterior"), v), 9).alias("rate"))
+    rows = whole.select("row", F.round(rates.of(F.col("m.posterior")), 9).alias("rate"))
     times = (F.floor("rate") + F.when(chance < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int")
     return rows.where(times > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), times))).select("row.*")

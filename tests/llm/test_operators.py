@@ -859,6 +859,28 @@ def test_domain_totals_are_the_best_reachable(spark, sure):
     assert np.abs(after - best).max() < 1e-4
 
 
+def test_gradient_steps_from_anywhere_meet_the_solver(spark):
+    """Projected gradient on the rates: from no start at all it nears the dual's solution, from there it stays."""
+    rng = np.random.default_rng(5)
+    p = rng.dirichlet([0.3, 0.3, 0.3], 200)
+    t, goal, ridge = rng.integers(1, 90, 200), [0.5, 0.3, 0.2], 0.2
+    members = spark.createDataFrame([(int(n), x.tolist()) for n, x in zip(t, p, strict=True)], "tokens bigint, posterior array<double>")
+    v = mixing.fit_documents(members, goal, np.zeros(3), ridge=ridge)
+    want = np.maximum(0, 1 + p @ v)
+    r = np.ones(200)
+    for _ in range(400):
+        r = np.maximum(0, r - p @ ((t / t.sum() * r) @ p - goal) - ridge * (r - 1))
+    assert np.abs(r - want).max() < 1e-6
+    for start, least in ((np.zeros(3), 5), (v, 0)):
+        rates = mixing.descend(members, goal, start, ridge=ridge)
+        got = np.array([x.r for x in members.select("*", rates.of(F.col("posterior"), ridge).alias("r")).collect()])
+        assert np.abs(got - want).max() < 1e-5 and least <= len(rates.pulls) < mixing.DESCENTS
+        assert np.abs(rates.unmet - ((t / t.sum() * want) @ p - goal)).max() < 1e-5
+    few = mixing.descend(members, goal, np.zeros(3), steps=2, ridge=ridge)  # unsettled steps are told
+    assert len(few.pulls) == 2 and np.abs(few.unmet).max() > 0
+    assert mixing.descend(members.where("tokens < 0"), goal, np.zeros(3)).pulls == ()
+
+
 def test_mixing_totals_of_real_posteriors(spark):
     """The totals that mix() reaches, with the posteriors it gives, against a direct solution over the documents."""
     table = spark.read.parquet(f"{SF}/documents.parquet")
