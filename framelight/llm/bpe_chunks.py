@@ -235,15 +235,15 @@ class Encoder:
         total = np.concatenate(([0], ends))[np.cumsum([0, *map(len, split)])]
         return [ids[a:b] for a, b in zip(total[:-1], total[1:], strict=True)]
 
-    def join(self, text: bytes) -> np.ndarray:
-        found = self.joins.get(text)
-        if found is None:
-            found = self.ids([text.decode()])[0]
-            if len(text) <= 64:
-                if len(self.joins) >= MEMORY:
-                    self.joins.clear()
-                self.joins[text] = found
-        return found
+    def joins_of(self, texts: list[bytes]) -> dict[bytes, np.ndarray]:
+        """Ids of the texts around joins, all at once; short ones are remembered."""
+        fresh = [t for t in dict.fromkeys(texts) if t not in self.joins]
+        found = dict(zip(fresh, self.ids([t.decode() for t in fresh]), strict=True))
+        out = {t: found[t] if t in found else self.joins[t] for t in texts}
+        if len(self.joins) > MEMORY:
+            self.joins.clear()
+        self.joins.update((t, x) for t, x in found.items() if len(t) <= 64)
+        return out
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD."""
@@ -323,29 +323,46 @@ def unpack(data: bytes) -> list[Part]:
     return out
 
 
-def joined(parts: list[Part], shared: dict[bytes, Part], code: Encoder) -> np.ndarray:
-    """A text's ids: the text between sure places on both sides of a join is encoded again."""
+def planned(parts: list[Part], shared: dict[bytes, Part]) -> list[bytes | np.ndarray]:
+    """A text's ids in order, and between them the text from the sure place before each join to the first one behind it."""
     out, pending = [], []
     for part in parts:
         _, head, ids, tail = shared[part[0]] if part[0] else part
         pending.append(head)
         if ids is not None:
-            out += [code.join(b"".join(pending)), ids]
+            out += [b"".join(pending), ids]
             pending = [tail]
-    out.append(code.join(b"".join(pending)))
-    return np.concatenate(out)
+    out.append(b"".join(pending))
+    return out
+
+
+def joined(plans: list[list[bytes | np.ndarray]], code: Encoder) -> list[np.ndarray]:
+    """Texts' ids: what lies around joins is encoded again."""
+    known = code.joins_of([x for plan in plans for x in plan if isinstance(x, bytes)])
+    return [np.concatenate([known[x] if isinstance(x, bytes) else x for x in plan]) for plan in plans]
 
 
 def _texts(batch: pa.RecordBatch) -> list[bytes]:
     return batch.column("text").cast(pa.binary()).to_pylist()
 
 
+def _digests(batches: Iterator[pa.RecordBatch]):
+    """Each text's key with its chunks' digests, one after another."""
+    for batch in batches:
+        digests = [b"".join(d) for _, _, d in chunked(_texts(batch))]
+        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(digests, pa.binary())], ["key", "digests"])
+
+
+def _apart(digests: bytes) -> list[bytes]:
+    return [digests[k : k + 16] for k in range(0, len(digests), 16)]
+
+
 def _counted(batches: Iterator[pa.RecordBatch]):
     """Chunks of texts, with how often a batch has them."""
     for batch in batches:
         n: dict[bytes, int] = {}
-        for _, _, digests in chunked(_texts(batch)):
-            for d in digests:
+        for digests in batch.column("digests").to_pylist():
+            for d in _apart(digests):
                 n[d] = n.get(d, 0) + 1
         yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.binary()), pa.array(list(n.values()), pa.int64())], ["chunk", "n"])
 
@@ -382,7 +399,7 @@ def _asked(shared):
         seen = _Seen()
         for batch in batches:
             out = []
-            for key, (_, _, digests) in zip(batch.column("key").to_pylist(), chunked(_texts(batch)), strict=True):
+            for key, digests in zip(batch.column("key").to_pylist(), map(_apart, batch.column("digests").to_pylist()), strict=True):
                 if digests and seen.new(key):
                     out += [(key, d) for d in {digests[k] for k in np.flatnonzero(shared.value.may_hold(digests)).tolist()}]
             yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], pa.binary()) for j in (0, 1)], ["key", "chunk"])
@@ -441,7 +458,7 @@ def _repaired(path: str):
         worker.enter("chunks", encoder.cache_clear)
         code, at, held, done = encoder(path), None, {}, False
         for batch in batches:
-            out, size = [], 0
+            keys, plans = [], []
             columns = [batch.column(c).to_pylist() for c in ("key", "chunk", "data")]
             for key, chunk, data in zip(*columns, strict=True):
                 if key != at:
@@ -450,10 +467,13 @@ def _repaired(path: str):
                     held[chunk] = data
                 elif not done:
                     parts = unpack(data)
-                    ids = joined(parts, {p[0]: unpack(held[p[0]])[0] for p in parts if p[0]}, code)
-                    out.append((key, ids.astype("<u4").tobytes(), code.decode(ids)))
-                    size += 4 * len(ids) + len(out[-1][2])
+                    keys.append(key)
+                    plans.append(planned(parts, {p[0]: unpack(held[p[0]])[0] for p in parts if p[0]}))
                     held, done = {}, True
+            out, size = [], 0
+            for key, ids in zip(keys, joined(plans, code), strict=True):
+                out.append((key, ids.astype("<u4").tobytes(), code.decode(ids)))
+                size += 4 * len(ids) + len(out[-1][2])
                 if size > 8 * BLOCK:
                     yield _rows(out)
                     out, size = [], 0
@@ -486,13 +506,14 @@ def encode_texts(docs: DataFrame, path: str) -> DataFrame:
     if not encoder(path).byte_level:
         return texts.dropDuplicates(["key"]).mapInArrow(_by_library(path), "key binary, ids binary, decoded string")
     scratch = Scratch(spark)
-    counted = texts.select("text").mapInArrow(_counted, "chunk binary, n bigint").groupBy("chunk").agg(F.sum("n").alias("n"))
+    cut = scratch.save(texts.mapInArrow(_digests, "key binary, digests binary"), "cut")
+    counted = cut.mapInArrow(_counted, "chunk binary, n bigint").groupBy("chunk").agg(F.sum("n").alias("n"))
     shared = scratch.save(counted.where("n > 1").select("chunk"), "shared")
     may = spark.sparkContext.broadcast(filter_of(shared, shared.count()))
     scratch.drop("shared")
     once = texts.select("text").mapInArrow(_chunk_texts(may), "chunk binary, text binary").groupBy("chunk").agg(F.first("text").alias("text"))
     table = once.mapInArrow(_encoded_chunks(path), "chunk binary, data binary")
-    asked = texts.mapInArrow(_asked(may), "key binary, chunk binary").dropDuplicates(["key", "chunk"])
+    asked = cut.mapInArrow(_asked(may), "key binary, chunk binary").dropDuplicates(["key", "chunk"])
     parts = asked.join(table, "chunk").select("key", "chunk", "data")
     own = texts.mapInArrow(_own_parts(path, may), "key binary, data binary").select("key", F.lit(None).cast("binary").alias("chunk"), "data")
     met = parts.unionByName(own).repartition("key").sortWithinPartitions("key", F.col("chunk").asc_nulls_last())

@@ -61,7 +61,7 @@ def test_parts_of_a_text_with_and_without_sure_places():
             else:
                 plan.append(bpe_chunks.parts_of([(run, k == 0, k == len(runs) - 1)], code)[0])
         plan = bpe_chunks.unpack(bpe_chunks.pack(plan))
-        ids = bpe_chunks.joined(plan, shared, code)
+        ids = bpe_chunks.joined([bpe_chunks.planned(plan, shared)], code)[0]
         assert ids.tolist() == code.tokenizer.encode(text, add_special_tokens=False).ids
         assert code.decode(ids) == text
 
