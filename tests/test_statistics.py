@@ -4,14 +4,13 @@ import random
 from collections import Counter
 
 import pytest
-from pyspark.sql import functions as F
 
 from framelight import schema as S
 from framelight.operators import merge, resolve, statistics
 from framelight.operators.tcp import track, track_in_parts
 from framelight.plans.packets import packets
 
-from .test_capture import A, B, ETH, frames, ip4, model, plan_of, tcp, udp
+from .test_capture import ETH, frames, ip4, plan_of, tcp, udp
 
 
 @pytest.mark.parametrize("counters", [3, 40, 1000])
@@ -35,12 +34,11 @@ def test_heaviest_against_sums(spark, counters):
 
 
 def test_sketches_of_files_merge_within_their_error(spark):
-    peers = [(1 + k % 3, 2000 * (1 + k % 3)) for k in range(3)]
     rows = spark.range(12_000).selectExpr("concat('f', id % 4) as file", "concat('a', id % 3) as source", "concat('p', (id * 7) % (1000 * (1 + id % 3))) as destination",
         "unhex(repeat('00', 60)) as raw")
     exact = {r.address: r for r in statistics.endpoints(rows).collect()}
     sketched = {r.address: r for r in statistics.merged_endpoints(statistics.endpoint_sketches(rows)).collect()}
-    assert len(peers) == 3 and set(exact) == set(sketched)
+    assert set(exact) == set(sketched)
     for k in ("a0", "a1", "a2"):
         assert exact[k].asDict() | {"peers": 0} == sketched[k].asDict() | {"peers": 0}
         assert abs(exact[k].peers - sketched[k].peers) <= 0.05 * exact[k].peers
@@ -71,7 +69,6 @@ def test_parts_of_connections_give_the_same(spark, size):
     df = spark.createDataFrame(segments(random.Random(size), 900), COLUMNS)
     pick = lambda t: sorted((r.file, r.number, r.rel_seq, r.rel_ack) for r in t.collect())
     assert pick(track_in_parts(df, size)) == pick(track(df))
-    assert model is not None
 
 
 def test_one_connection_spreads(spark):
@@ -107,7 +104,7 @@ def test_names_hold_from_their_block_on(spark, most):
     asked = [("f", 1, k, "x", "y") for k in (1, 3, 6, 8)] + [("f", 2, 11, "y", "x"), ("f", 2, 13, "y", "x"), ("g", 1, 9, "x", "z"), ("f", None, None, "x", "")]
     rows = spark.createDataFrame(asked, "file string, section int, block_ordinal int, source string, destination string")
     got = resolve.with_names(rows, table, most)
-    assert ("BroadcastHashJoin" in plan_of(got)) == (most > 0) or most == 0
+    assert most == 0 or "BroadcastHashJoin" in plan_of(got)
     want = [(None, None), ("n0, n1", "m"), ("n0, n1", "m"), ("n2", "m"), (None, None), (None, "n3"), (None, None), (None, None)]
     key = lambda x: tuple((v is not None, v) for v in x)
     assert sorted(map(tuple, got.collect()), key=key) == sorted((a + w for a, w in zip(asked, want, strict=True)), key=key)
@@ -126,4 +123,3 @@ def test_clocks_of_every_unit(spark):
         unit = ticks * 10**9 // (10**r if r < 128 else 2 ** (r - 128)) + o * 10**9
         assert got[i + 1] == (unit if unit < 2**63 else None), (i, r)
     assert got[50] is None and got[51] is None and got[52] == 3_000_004_000
-    assert F is not None and A != B
