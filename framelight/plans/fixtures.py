@@ -215,6 +215,40 @@ def captures_named(events: DataFrame) -> DataFrame:
     return _filed(events, "named", record, head)
 
 
+#: Events between two blocks that end a scan, in ``captures_ended``.
+END = 300
+
+
+def captures_ended(events: DataFrame) -> DataFrame:
+    """path, content: pcapng files of packets, and of simple packets and statistics whose lengths disagree, by event modulo 4.
+
+    An event before a number divisible by END is a section or interface block whose lengths disagree, which ends a scan.
+    """
+    e = event()
+    enhanced = join(_le(0, 4), _le(1, 4), _le(e, 4), _le(4, 4), _le(4, 4), h(e, 4))
+    kinds = [_block(6, enhanced, size=F.lit(24)), _block(3, join(_le(4, 4), h(e, 4)), 4, F.lit(8)), _block(5, join(_le(0, 4), _le(1, 4), _le(e, 4)), 4, F.lit(12)),
+        _block(0xBAD, h(e, 4), size=F.lit(4))]
+    ends = F.when(e % (2 * END) < END, _block(1, h(e, 8), 8, F.lit(8))).otherwise(_block(0x0A0D0D0A, h(e, 16), 4, F.lit(16)))
+    record = F.when(e % END == END - 1, ends).otherwise(F.get(F.array(*kinds), (e % 4).cast("int")))
+    return _filed(events, "ended", record, _SECTION + "01000000140000000100000000000400" + "14000000")
+
+
+def summed_frames(events: DataFrame) -> DataFrame:
+    """UDP packets over IPv4 with their checksums: right ones, but for the header's in odd events and UDP's in every third, where it is one more; none (0) in every fifth."""
+    e = event()
+    low = F.pmod(user(), F.lit(65536))
+    fold = lambda x: (x % 65536 + F.floor(x / 65536)) % 65536 + F.floor((x % 65536 + F.floor(x / 65536)) / 65536)
+    server = [int(SERVER[:4], 16), int(SERVER[4:], 16)]
+    header = F.lit(0x4500 + 32 + 0x4000 + 0x4011 + 0x0A00 + sum(server)) + e % 65536 + low
+    segment = F.lit(0x0A00 + sum(server) + 17 + 12 + 9999 + 12) + low + 1024 + user() % 1000 + F.floor(e / 65536) % 65536 + e % 65536
+    right = 65535 - fold(header), 65535 - fold(segment)
+    of_udp = F.when(right[1] == 0, 65535).otherwise(right[1])
+    of_udp = F.when(e % 5 == 0, 0).when(e % 3 == 0, of_udp % 65535 + 1).otherwise(of_udp)
+    ip = join("4500", h(32, 2), h(e % 65536, 2), "4000", "4011", h((right[0] + e % 2) % 65536, 2), client(), SERVER)
+    body = join(ethernet(0x0800), ip, h(1024 + user() % 1000, 2), h(9999, 2), h(12, 2), h(of_udp, 2), h(F.floor(e / 65536) % 65536, 2), h(e % 65536, 2))
+    return frames(events, e + 1, body, micros(), dns=False)
+
+
 def captures_cut(events: DataFrame) -> DataFrame:
     """path, content: ``captures`` whose last record lacks its last 10 bytes."""
     return captures(events).select("path", F.expr("substring(content, 1, length(content) - 10)").alias("content"))

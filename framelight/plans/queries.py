@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from framelight.operators import fields as fields_
 from framelight.operators import statistics
+from framelight.operators.checksum import with_checksums
 from framelight.operators.hexdump import hex_dump, hex_text
 from framelight.operators.merge import difference, merged
 from framelight.operators.resolve import with_interface_time, with_names
@@ -729,3 +730,33 @@ def capture_difference(spark, sf_dir):
     rank = Window.partitionBy("raw").orderBy("number")
     have = frames.withColumn("nth", F.row_number().over(rank).cast("long")).select("number", "nth")
     return left.select("number").join(have, "number")
+
+
+#: ``captures_ended``: events of a file up to the block that ends its scan.
+_ENDED = _E + f""", b AS (SELECT event_id AS e, 'ended' || fileno::VARCHAR || '.pcapng' AS file, event_id % {X.END} = {X.END - 1} AS ends,
+  2 + row_number() OVER (PARTITION BY fileno ORDER BY event_id) AS ordinal FROM e),
+c AS (SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY file ORDER BY e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS past FROM b),
+k AS (SELECT *, CASE WHEN ends THEN CASE WHEN e % {2 * X.END} < {X.END} THEN 1 ELSE 168627466 END ELSE [6, 3, 5, 2989][(e % 4 + 1)::INT] END AS kind FROM c WHERE past = 0)
+"""
+
+
+@query(_ENDED + """SELECT file, ordinal::INTEGER AS block_ordinal, kind::BIGINT AS block_type,
+  CASE WHEN kind IN (6, 2989) THEN 'ok' ELSE 'length_mismatch' END AS status FROM k
+UNION ALL SELECT DISTINCT file, 1, 168627466, 'ok' FROM b UNION ALL SELECT DISTINCT file, 2, 1, 'ok' FROM b""")
+def capture_ended_blocks(spark, sf_dir):
+    """Sections and interfaces whose lengths disagree end a scan; simple packets and statistics do not."""
+    return parse_files(X.captures_ended(_table(spark, sf_dir, "events")), "blocks").select("file", "block_ordinal", "block_type", "status")
+
+
+@query(_ENDED + """SELECT file, row_number() OVER (PARTITION BY file ORDER BY e)::INTEGER AS number, kind::BIGINT AS block_type,
+  CASE kind WHEN 6 THEN 'ok' ELSE 'length_mismatch' END AS status, CASE kind WHEN 6 THEN format('{:08X}', e) END AS raw FROM k WHERE kind IN (3, 6)""")
+def capture_ended_packets(spark, sf_dir):
+    """The packets before a scan's end."""
+    return parse_files(X.captures_ended(_table(spark, sf_dir, "events"))).select("file", "number", "block_type", "status", F.hex("raw").alias("raw"))
+
+
+@query("""SELECT (event_id + 1)::INTEGER AS number, event_id % 2 = 0 AS ip_sum_ok, CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_id % 3 <> 0 END AS l4_sum_ok FROM events""")
+def packet_checksums(spark, sf_dir):
+    """Checksums of IPv4 headers and UDP, right and wrong; a UDP packet without one has no verdict."""
+    table = packets(X.summed_frames(_table(spark, sf_dir, "events")), tracked=False)
+    return with_checksums(table).select("number", "ip_sum_ok", "l4_sum_ok")
