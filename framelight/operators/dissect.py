@@ -35,8 +35,8 @@ def _ports_of(at: int | str, port: str) -> str:
 _BEHIND_IP4 = f"cast(14 + 4 * ({be(14, 1)} & 15) as int)"
 IS_DNS = (
     f"coalesce(case when substring(raw, 13, 2) = X'0800' and length(raw) >= 42 and substring(raw, 24, 1) = X'11' then "
-    f"{_ports_of(_BEHIND_IP4, 'X' + chr(39) + '0035' + chr(39))} when substring(raw, 13, 2) = X'86DD' and length(raw) >= 62 and substring(raw, 21, 1) "
-        f"= X'11' then {_ports_of(54, 'X' + chr(39) + '0035' + chr(39))} end, false)"
+    f"""{_ports_of(_BEHIND_IP4, "X'0035'")} when substring(raw, 13, 2) = X'86DD' and length(raw) >= 62 and substring(raw, 21, 1) = X'11' """
+    f"""then {_ports_of(54, "X'0035'")} end, false)"""
 )
 
 
@@ -62,8 +62,10 @@ def offsets(frames: DataFrame) -> DataFrame:
         "total": f"case when l3 = 'ip4' then {be(16, 2)} when l3 = 'ip6' then {be(18, 2)} end",
     })
     needs = f"case when proto in ({S.ICMP}, {S.ICMPV6}) then 8 when proto = {S.TCP} then 20 when proto = {S.UDP} then 8 else 0 end"
-    out = _columns(out, {"l4_off": "cast(case when l3 = 'ip4' then 14 + 4 * ihl when l3 = 'ip6' then 54 end as int)", "ip_len": f"case when l3 = "
-        f"'ip4' then {minus_u32('total', '4 * ihl')} else total end", "l4_size": needs})
+    out = _columns(out, {
+        "l4_off": "cast(case when l3 = 'ip4' then 14 + 4 * ihl when l3 = 'ip6' then 54 end as int)",
+        "ip_len": f"case when l3 = 'ip4' then {minus_u32('total', '4 * ihl')} else total end", "l4_size": needs,
+    })
     l4 = (
         f"case when proto = {S.ICMP} then 'icmp' when proto = {S.ICMPV6} then 'icmp6' when proto = {S.TCP} then 'tcp' when proto = {S.UDP} then "
         f"'udp' when proto is not null then 'other' end"
@@ -109,16 +111,16 @@ def icmp_text(at: str) -> str:
     kind, code = be(at, 1), be(plus(at, 1), 1)
     tail = f"concat(', Identifier=', {be(plus(at, 4), 2)}, ', Sequence=', {be(plus(at, 6), 2)})"
     return (
-        f"case {kind} when 8 then concat('ICMP Echo Request', {tail}) when 0 then concat('ICMP Echo Reply', {tail}) when 3 then concat('ICMP "
-            f"Destination Unreachable, Code=', {code}) "
+        f"case {kind} when 8 then concat('ICMP Echo Request', {tail}) when 0 then concat('ICMP Echo Reply', {tail}) "
+        f"when 3 then concat('ICMP Destination Unreachable, Code=', {code}) "
         f"when 11 then concat('ICMP Time Exceeded, Code=', {code}) else concat('ICMP Type=', {kind}, ', Code=', {code}) end"
     )
 
 
 def arp_text() -> str:
     return (
-        f"case {be(20, 2)} when 1 then concat('ARP Request: Who has ', {ipv4(38)}, '? Tell ', {ipv4(28)}) when 2 then concat('ARP Reply: ', "
-            f"{ipv4(28)}, ' is at ', {mac(22)}) "
+        f"case {be(20, 2)} when 1 then concat('ARP Request: Who has ', {ipv4(38)}, '? Tell ', {ipv4(28)}) "
+        f"when 2 then concat('ARP Reply: ', {ipv4(28)}, ' is at ', {mac(22)}) "
         f"when 3 then concat('ARP Announce: My IP is associated with MAC ', {mac(22)}) else 'ARP Unknown operation' end"
     )
 
@@ -167,18 +169,18 @@ def with_packets(located: DataFrame) -> DataFrame:
     )
     columns = {
         "source": f"case l3 when 'ip4' then {ipv4(26)} when 'ip6' then {ipv6('six_src')} when 'arp' then {mac(22)} when 'rarp' then {mac(22)} else '' end",
-        "destination": f"case l3 when 'ip4' then {ipv4(30)} when 'ip6' then {ipv6('six_dst')} when 'arp' then case when {mac(32)} = "
-            f"'00:00:00:00:00:00' then 'Broadcast' else {mac(32)} end when 'rarp' then case when {mac(32)} = {mac(22)} then 'Broadcast' else "
-                f"{mac(32)} end else '' end",
-        "protocol": "case when l4 = 'icmp' then 'ICMP' when l4 = 'icmp6' then 'ICMPv6' when l4 = 'tcp' then coalesce(app, 'TCP') when l4 = 'udp' then "
-            "coalesce(app, 'UDP') when l4 = 'other' then 'Other' when l3 = 'arp' then 'ARP' when l3 = 'rarp' then 'RARP' else '' end",
-        "length": "cast(case when l4 = 'tcp' then tcp_len when l4 = 'udp' then udp_len when l3 in ('ip4', 'ip6') then ip_len when l3 in ('arp', "
-            "'rarp') then 28 end as bigint)",
-        "info": f"case when l4 in ('icmp', 'icmp6') then case when ip_len < 8 then {preset} when l4_fits then {icmp_text('l4_off')} end when l4 = "
-            f"'tcp' then case when app = 'SMTP' then concat('SMTP data: ', {_PAYLOAD}, '...') else {tcp_head} end when l4 = 'udp' then {udp} when l3 "
-                f"in ('arp', 'rarp') then {arp_text()} else {preset} end",
-        "info_tail": f"case when l4 = 'tcp' then concat({window}, case app when 'Telnet' then concat('[ Telnet data: ', {_PAYLOAD}, '... ]') when "
-            f"'BGP' then concat(' [ BGP: ', {bgp}, ' ]') else '' end) end",
+        "destination": f"case l3 when 'ip4' then {ipv4(30)} when 'ip6' then {ipv6('six_dst')} "
+        f"when 'arp' then case when {mac(32)} = '00:00:00:00:00:00' then 'Broadcast' else {mac(32)} end "
+        f"when 'rarp' then case when {mac(32)} = {mac(22)} then 'Broadcast' else {mac(32)} end else '' end",
+        "protocol": "case when l4 = 'icmp' then 'ICMP' when l4 = 'icmp6' then 'ICMPv6' when l4 = 'tcp' then coalesce(app, 'TCP') "
+        "when l4 = 'udp' then coalesce(app, 'UDP') when l4 = 'other' then 'Other' when l3 = 'arp' then 'ARP' when l3 = 'rarp' then 'RARP' else '' end",
+        "length": "cast(case when l4 = 'tcp' then tcp_len when l4 = 'udp' then udp_len when l3 in ('ip4', 'ip6') then ip_len "
+        "when l3 in ('arp', 'rarp') then 28 end as bigint)",
+        "info": f"case when l4 in ('icmp', 'icmp6') then case when ip_len < 8 then {preset} when l4_fits then {icmp_text('l4_off')} end "
+        f"when l4 = 'tcp' then case when app = 'SMTP' then concat('SMTP data: ', {_PAYLOAD}, '...') else {tcp_head} end "
+        f"when l4 = 'udp' then {udp} when l3 in ('arp', 'rarp') then {arp_text()} else {preset} end",
+        "info_tail": f"case when l4 = 'tcp' then concat({window}, case app when 'Telnet' then concat('[ Telnet data: ', {_PAYLOAD}, '... ]') "
+        f"when 'BGP' then concat(' [ BGP: ', {bgp}, ' ]') else '' end) end",
     }
     known = {k: f"case when raw is not null then {v} {'' if k in ('length', 'info_tail') else chr(101) + 'lse ' + repr('')} end" for k, v in columns.items()}
     known["shown_status"] = "case when status = 'ok' and not (coalesce(l3_fits, true) and l4_fits) then 'truncated' else status end"
@@ -207,13 +209,11 @@ def headers() -> dict[str, str]:
             ("dst", 24, "b16")]),
         "arp": _struct("l3 in ('arp', 'rarp')", 14, [("hardware", 0, 2), ("protocol", 2, 2), ("hardware_size", 4, 1), ("protocol_size", 5, 1),
             ("operation", 6, 2), ("sender_mac", 8, "mac"), ("sender_ip", 14, "ip"), ("target_mac", 18, "mac"), ("target_ip", 24, "ip")]),
-        "icmp": _struct("l4 in ('icmp', 'icmp6') "
-            "and l4_fits", "l4_off", [("type", 0, 1), ("code", 1, 1), ("checksum", 2, 2), ("identifier", 4, 2), ("sequence", 6, 2)]),
+        "icmp": _struct("l4 in ('icmp', 'icmp6') and l4_fits", "l4_off", [("type", 0, 1), ("code", 1, 1), ("checksum", 2, 2), ("identifier", 4, 2), ("sequence", 6, 2)]),
         "tcp": _struct("l4 = 'tcp' and l4_fits", "l4_off", [("src_port", 0, 2), ("dst_port", 2, 2), ("seq", 4, 4), ("ack", 8, 4), ("offset", 12, 1),
             ("flags", 13, 1), ("window", 14, 2), ("checksum", 16, 2), ("urgent", 18, 2)]),
         "udp": _struct("l4 = 'udp' and l4_fits", "l4_off", [("src_port", 0, 2), ("dst_port", 2, 2), ("length", 4, 2), ("checksum", 6, 2)]),
-        "dhcp": _struct("app = 'DHCP' and size >= "
-            "pay_off + 236", "pay_off", [("op", 0, 1), ("htype", 1, 1), ("hlen", 2, 1), ("hops", 3, 1), ("xid", 4, 4), ("secs", 8, 2),
+        "dhcp": _struct("app = 'DHCP' and size >= pay_off + 236", "pay_off", [("op", 0, 1), ("htype", 1, 1), ("hlen", 2, 1), ("hops", 3, 1), ("xid", 4, 4), ("secs", 8, 2),
                 ("flags", 10, 2), ("ciaddr", 12, "ip"), ("yiaddr", 16, "ip"), ("siaddr", 20, "ip"), ("giaddr", 24, "ip"), ("chaddr", 28, "b16"),
                     ("sname", 44, "b64"), ("file", 108, "b128")]),
     }

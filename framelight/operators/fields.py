@@ -45,9 +45,11 @@ def _value(at: int | str, size: int, kind: str | None) -> str:
 
 
 def _layer(name: str, base: int | str, fields: list) -> str:
-    rows = [f"named_struct('layer', '{name}', 'ord', {k}, 'label', '{label}', 'lo', cast({plus(base, lo)} as int), 'hi', cast({plus(base, hi)} as "
-        f"int), 'value', {_value(plus(base, lo), hi - lo + 1, kind)})" for k, (label, lo, hi, kind) in enumerate(fields)]
-    return f"array({', '.join(rows)})"
+    def row(k: int, label: str, lo: int, hi: int, kind: str | None) -> str:
+        ends = f"'lo', cast({plus(base, lo)} as int), 'hi', cast({plus(base, hi)} as int)"
+        return f"named_struct('layer', '{name}', 'ord', {k}, 'label', '{label}', {ends}, 'value', {_value(plus(base, lo), hi - lo + 1, kind)})"
+
+    return f"array({', '.join(row(k, *field) for k, field in enumerate(fields))})"
 
 
 #: Bytes of the last layer's fields.
@@ -80,8 +82,8 @@ def packet_fields(packets: DataFrame) -> DataFrame:
 def byte_to_fields(packets: DataFrame, bytes_: DataFrame) -> DataFrame:
     """``bytes_``: file, number, byte.  All fields that hold the byte; overlapping fields all match.  One row a frame is joined."""
     found = bytes_.join(field_arrays(packets), ["file", "number"])
-    return found.selectExpr("file", "number", "byte", "inline(filter(fields, f -> byte between f.lo "
-        "and f.hi))").select("file", "number", "byte", "layer", "ord", "label")
+    held = "inline(filter(fields, f -> byte between f.lo and f.hi))"
+    return found.selectExpr("file", "number", "byte", held).select("file", "number", "byte", "layer", "ord", "label")
 
 
 def field_to_bytes(packets: DataFrame, label: str) -> DataFrame:
@@ -94,8 +96,8 @@ def same_start(packets: DataFrame, label: str) -> DataFrame:
     """Fields marked together with ``label``: those of the same frame that start at the same byte.  Nothing is joined."""
     chosen = F.explode(F.filter("fields", lambda f: f["label"] == label))
     rows = field_arrays(packets).select("file", "number", "fields", chosen.alias("of"))
-    return rows.selectExpr("file", "number", "of.layer as of_layer", "inline(filter(fields, f -> f.lo "
-        "= of.lo))").select("file", "number", "of_layer", "layer", "label", "lo", "hi")
+    beside = "inline(filter(fields, f -> f.lo = of.lo))"
+    return rows.selectExpr("file", "number", "of.layer as of_layer", beside).select("file", "number", "of_layer", "layer", "label", "lo", "hi")
 
 
 def payload_range(packets: DataFrame) -> DataFrame:

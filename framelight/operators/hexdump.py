@@ -11,8 +11,8 @@ HEADER = " ".join(f"{k:02X}" for k in range(WIDTH))
 
 def hex_dump(frames: DataFrame) -> DataFrame:
     """file, number, line, address, bytes, ascii: 16 bytes a line, upper case; what is not 32 to 126 shows as a dot.  An empty frame has no lines."""
-    lines = frames.where("octet_length(raw) > 0").select("file", "number", "raw", F.explode(F.expr(f"sequence(0, cast((length(raw) - 1) div {WIDTH} "
-        f"as int))")).alias("line"))
+    every = F.expr(f"sequence(0, cast((length(raw) - 1) div {WIDTH} as int))")
+    lines = frames.where("octet_length(raw) > 0").select("file", "number", "raw", F.explode(every).alias("line"))
     part = F.expr(f"substring(raw, line * {WIDTH} + 1, {WIDTH})")
     rows = lines.select("file", "number", "line", part.alias("part"))
     spaced = F.rtrim(F.regexp_replace(F.hex("part"), "(..)", "$1 "))
@@ -31,5 +31,5 @@ def hex_text(frames: DataFrame) -> DataFrame:
     shown = "regexp_replace(decode(raw, 'ISO-8859-1'), '[^\\\\x20-\\\\x7E]', '.')"
     cut = f"regexp_replace({shown}, '(.{{{WIDTH}}})', '$1\\n')"
     end = f"case when length(raw) % {WIDTH} > 0 then '\\n' else '' end"
-    return frames.where("raw is not null").selectExpr("file", "number", f"regexp_replace({pairs}, '(.{{{3 * WIDTH}}})', "
-        f"'$1\\n') as hex", f"concat({cut}, {end}) as text")
+    hexes = f"regexp_replace({pairs}, '(.{{{3 * WIDTH}}})', '$1\\n') as hex"
+    return frames.where("raw is not null").selectExpr("file", "number", hexes, f"concat({cut}, {end}) as text")
