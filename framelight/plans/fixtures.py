@@ -233,6 +233,18 @@ def captures_ended(events: DataFrame) -> DataFrame:
     return _filed(events, "ended", record, _SECTION + "01000000140000000100000000000400" + "14000000")
 
 
+def fragment_frames(events: DataFrame) -> DataFrame:
+    """UDP datagrams of 48 bytes in three fragments that overlap and come in any order; every seventh lacks its end."""
+    e = event()
+    rows = events.select("*", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k")).where((e % 7 != 0) | (F.col("k") < 2))
+    data = join(h(1024 + user() % 1000, 2), h(9999, 2), h(48, 2), "0000", *[h(e + 5 * k, 4) for k in range(10)])
+    k, pick = F.col("k"), lambda xs: F.get(F.array(*map(F.lit, xs)), F.col("k"))
+    at, size = pick([0, 8, 32]), pick([16, 24, 16])
+    part = F.substring(data, 2 * at + 1, 2 * size)
+    ip = join("4500", h(20 + size, 2), h(e % 65536, 2), h(at / 8 + F.when(k == 2, 0).otherwise(8192), 2), "4011", "0000", client(), SERVER)
+    return frames(rows, 3 * e + (k + e) % 3 + 1, join(ethernet(0x0800), ip, part), micros(), dns=False)
+
+
 def summed_frames(events: DataFrame) -> DataFrame:
     """UDP packets over IPv4 with their checksums: right ones, but for the header's in odd events and UDP's in every third, where it is one more; none (0) in every fifth."""
     e = event()

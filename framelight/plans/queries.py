@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 from framelight.operators import fields as fields_
 from framelight.operators import statistics
 from framelight.operators.checksum import with_checksums
+from framelight.operators.fragments import with_whole_datagrams
 from framelight.operators.hexdump import hex_dump, hex_text
 from framelight.operators.merge import difference, merged
 from framelight.operators.resolve import with_interface_time, with_names
@@ -760,3 +761,12 @@ def packet_checksums(spark, sf_dir):
     """Checksums of IPv4 headers and UDP, right and wrong; a UDP packet without one has no verdict."""
     table = packets(X.summed_frames(_table(spark, sf_dir, "events")), tracked=False)
     return with_checksums(table).select("number", "ip_sum_ok", "l4_sum_ok")
+
+
+@query(_E + """SELECT (3 * event_id + 3)::INTEGER AS number, 'UDP' AS protocol, 48::BIGINT AS length,
+  port::VARCHAR || ' -> 9999 Len=40' AS info, format('{:04X}', port) || '270F00300000' || array_to_string(list_transform(range(10),
+  lambda k: format('{:08X}', event_id + 5 * k)), '') AS segment FROM e WHERE event_id % 7 <> 0""")
+def reassembled_datagrams(spark, sf_dir):
+    """Datagrams from fragments that overlap and come in any order; those without an end are left out."""
+    table = packets(with_whole_datagrams(X.fragment_frames(_table(spark, sf_dir, "events"))), tracked=False)
+    return table.select("number", "protocol", "length", "info", F.hex(F.expr("substring(raw, 35, 65535)")).alias("segment"))
