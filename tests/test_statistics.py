@@ -90,6 +90,24 @@ def test_merged_numbers_have_no_gaps(spark, rows):
     assert merge.merged(spark.createDataFrame([], "file string, number int, time_exact bigint")).count() == 0
 
 
+def test_merging_in_many_ranges_stays_small(spark):
+    """Frames are computed twice, and a frame is not held against every range's start."""
+    data = [(f"f{k % 3}", k, None if k % 50 == 0 else (k * 7) % 60) for k in range(600)]
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    ddl = "file string, number int, time_exact bigint"
+    got = merge.merged(spark.createDataFrame(data, ddl).mapInArrow(count, ddl), 2)
+    assert len(plan_of(got)) < 10_000 and "filter(" not in plan_of(got)
+    want = sorted(data, key=lambda x: (x[2] is not None, x[2] or 0, x[0], x[1]))
+    assert [(r.file, r.number, r.time_exact) for r in sorted(got.collect(), key=lambda r: r.merged_number)] == want
+    assert seen.value == 2 * len(data)
+
+
 def test_difference_counts_duplicates(spark):
     left, right = [b"a", b"a", b"b", b"a", None, b"c"], [b"a", b"c", b"c", b"d"]
     got = merge.difference(frames(spark, left, "l"), frames(spark, right, "r")).collect()
