@@ -144,3 +144,33 @@ def test_read_captures_by_ranges(spark, tmp_path):
     assert "content" not in plan.split("ReadSchema")[1][:60]
     found = read_captures(spark, str(tmp_path), split=2000)
     assert found.rdd.getNumPartitions() > 20
+
+
+class Counted(io.BytesIO):
+    taken = 0
+
+    def read(self, n=-1):
+        out = super().read(n)
+        self.taken += len(out)
+        return out
+
+
+@pytest.mark.parametrize("make", [pcap, pcapng])
+def test_a_range_reads_its_own_bytes(make):
+    """And some behind it, not the rest of the file."""
+    data, split = make(random.Random(3), 60_000), 1 << 15
+    for begin in (split, len(data) // 2):
+        f = Counted(data)
+        at = scan.resync(f, begin, begin + split, len(data), make is pcapng)
+        assert f.taken <= 2 * scan.BEHIND
+        scan.walk("f", f, len(data), at, begin + split)
+        assert f.taken <= 5 * scan.BEHIND < len(data) // 2
+
+
+def test_small_ranges_share_tasks(spark):
+    """Tasks go by cores and bytes; ranges of a few kilobytes do not get one each."""
+    cores = spark.sparkContext.defaultParallelism
+    files = lambda n, size: spark.range(n).selectExpr("concat('f', id) as path", f"{size}L as length")
+    assert ranges._tasks(files(100, 4 << 20), 1 << 15) == ranges.TASKS_A_CORE * cores
+    assert ranges._tasks(files(100, 1 << 30), 1 << 15) == 1600 and ranges._tasks(files(100, 1 << 30), ranges.SPLIT) == 1600
+    assert ranges._tasks(files(3, 10), 1 << 15) == 3 and ranges._tasks(files(0, 1), 1 << 15) == 1
