@@ -3,11 +3,13 @@
 import random
 import struct
 
+from pyspark.sql import functions as F
+
 from framelight import schema as S
 from framelight.operators.fragments import reassembled, with_whole_datagrams
 from framelight.plans.packets import packets
 
-from .test_capture import A, B, ETH, ip4, udp
+from .test_capture import A, B, ETH, ip4, plan_of, udp
 
 
 def fragment(ident, at, more, data, proto=17):
@@ -72,3 +74,13 @@ def test_an_identification_used_again_later(spark):
     assert [(r.number, bytes(r.raw[34:])) for r in got] == [(2, a), (4, b)]
     cut = [fragment(1, 0, True, a[:16])[:-1], fragment(1, 16, False, a[16:])]
     assert reassembled(table(spark, cut)).count() == 0 and reassembled(table(spark, raws).limit(0)).count() == 0
+
+
+def test_bytes_are_made_once_for_each_pass(spark):
+    """A condition on the bytes does not make them again: frames of expressions are read twice, as fragments and as others."""
+    data = udp(1, 2, b"x" * 24)
+    raws = [fragment(1, 16, False, data[16:]), ip4(17, udp(5, 6)), fragment(1, 0, True, data[:16])]
+    rows = table(spark, raws).selectExpr(*[c if c != "raw" else "hex(raw) as raw" for c in table(spark, raws).columns]).localCheckpoint()
+    whole = with_whole_datagrams(rows.withColumn("raw", F.unhex("raw")))
+    assert plan_of(whole).count("unhex(raw") == 2
+    assert {r.number: bytes(r.raw[34:]) for r in whole.collect()} == {3: data, 2: raws[1][34:]}
