@@ -333,3 +333,15 @@ def test_conditions_on_derived_columns_plan_small(spark, folder):
     table = packets(C.read_captures(spark, str(folder)), tracked=False)
     chosen = table.where("protocol = 'TCP' and length < 99 and info like '%80%' and source != destination")
     assert len(plan_of(chosen.select("number"))) < 100_000 and chosen.count() == 4
+
+
+def test_files_are_built_by_tasks_of_few(spark, monkeypatch):
+    """More files are more tasks, so no task's batch holds more of them as they grow in number; a file without content is empty."""
+    from framelight.plans import fixtures
+
+    monkeypatch.setattr(fixtures, "EVENTS_A_FILE", 20)
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    for made in (fixtures.captures(events), fixtures.captures_ng(events), fixtures.captures_ended(events)):
+        held = [r["count"] for r in made.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()]
+        assert sum(held) >= 10 and max(held) <= 5
+    assert C.parse_files(spark.createDataFrame([("a", None), ("b", b"")], "path string, content binary")).count() == 0
