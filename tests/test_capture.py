@@ -345,3 +345,12 @@ def test_files_are_built_by_tasks_of_few(spark, monkeypatch):
         held = [r["count"] for r in made.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()]
         assert sum(held) >= 10 and max(held) <= 5
     assert C.parse_files(spark.createDataFrame([("a", None), ("b", b"")], "path string, content binary")).count() == 0
+
+
+def test_numbers_wider_than_their_field_wrap(spark):
+    """A DHCP transaction id of 33 bits is its low 32 in the frame; its high digits are what goes."""
+    from framelight.plans import fixtures
+
+    xid = 65_537 * 65_536
+    got = spark.range(xid, xid + 1).select(fixtures.h(F.col("id"), 4), fixtures.le_hex(F.col("id"), 4), fixtures.h(-F.col("id"), 2), fixtures.h(F.col("id"), 8)).first()
+    assert tuple(got) == ("00010000", "00000100", "0000", "0000000100010000")
