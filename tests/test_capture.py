@@ -352,5 +352,5 @@ def test_numbers_wider_than_their_field_wrap(spark):
     from framelight.plans import fixtures
 
     xid = 65_537 * 65_536
-    got = spark.range(xid, xid + 1).select(fixtures.h(F.col("id"), 4), fixtures.le_hex(F.col("id"), 4), fixtures.h(-F.col("id"), 2), fixtures.h(F.col("id"), 8)).first()
-    assert tuple(got) == ("00010000", "00000100", "0000", "0000000100010000")
+    got = spark.range(xid, xid + 1).select(fixtures.h(F.col("id"), 4), fixtures.le_hex(F.col("id"), 4), fixtures.h(-F.col("id"), 2), fixtures.h(F.col("id"), 16)).first()
+    assert tuple(got) == ("00010000", "00000100", "0000", "0000000100010000".rjust(32, "0"))
